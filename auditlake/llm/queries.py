@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from auditlake.llm import mixing
+from auditlake.llm import line_dedup, mixing
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
 ORACLE_SQL = {
     "op9_mixing": mixing.mixing_sql(),
+    "op10_line_dedup": line_dedup.line_dedup_sql(),
 }
