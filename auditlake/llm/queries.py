@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from auditlake.llm import line_dedup, mixing
+from auditlake.llm import line_dedup, mixing, packing
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op5_packing": packing.op5_packing,
 }
 
 ORACLE_SQL = {
