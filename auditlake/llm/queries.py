@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from auditlake.llm import line_dedup, mixing, packing, secrets
+from auditlake.llm import language_id, line_dedup, mixing, packing, secrets
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op5_packing": packing.op5_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
+    "op6_language_id": language_id.op6_language_id,
 }
 
 ORACLE_SQL = {
