@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import language_id, line_dedup, mixing, packing, secrets
+from auditlake.llm import exact_topk, language_id, line_dedup, mixing, packing, rotated_codes, secrets
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
@@ -10,9 +10,12 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op6_language_id": language_id.op6_language_id,
+    "op3_exact_topk": exact_topk.op3_exact_topk,
+    "op4_rotated_codes": rotated_codes.op4_rotated_codes,
 }
 
 ORACLE_SQL = {
     "op9_mixing": mixing.mixing_sql(),
     "op10_line_dedup": line_dedup.line_dedup_sql(),
+    "op3_exact_topk": exact_topk.exact_topk_sql(),
 }
