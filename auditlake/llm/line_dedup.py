@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import SPACE, cut, table
+from auditlake.llm.common import SPACE, cut_table, table
 
 LEAST_WORDS = 10
 #: Word hashes keep 40 bits, so that a sum of them over 8 million words of a line stays within a long.
@@ -20,7 +20,7 @@ def _words(line: Column) -> Column:
 
 def _docs(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text: the two first name a document even if ids repeat."""
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     docs = _docs(docs)
     lines = _lines(docs)
     first = lines.select("at", "h1", "h2", _halves(least_words).alias("halves")).groupBy("h1", "h2")
-    first = cut(first.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
+    first = cut_table(first.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
 
     halves = first.select("first", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
@@ -124,7 +124,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     near = with_text.dropDuplicates(["doc_id", "text_hash"]).select(
         "doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("line_nos").alias("line_no")
     )
-    near = cut(
+    near = cut_table(
         near.select(
             F.struct("doc_id", "text_hash", "line_no").alias("at"),
             _words(F.element_at("lines", F.col("line_no") + 1)).alias("words"),
@@ -161,7 +161,7 @@ def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     half is whole. So variants, a word each, are made of a small part of the lines. No pair within a group is ever made.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "doc_id", F.hash("text").alias("text_hash"), "text")
     removed = removed_lines(docs, least_words)
     both = keyed.alias("a").join(removed.alias("b"), _same_key(["doc_id", "text_hash"]), "left").select("own", "text", "removed")
     lines = F.split("text", "\n")
