@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import exact_topk, html_extract, language_id, line_dedup, mixing, packing, rotated_codes, secrets, toxicity
+from auditlake.llm import exact_topk, html_extract, language_id, line_dedup, mixing, near_copies, packing, rotated_codes, secrets, toxicity
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op4_rotated_codes": rotated_codes.op4_rotated_codes,
     "op8_toxicity": toxicity.op8_toxicity,
     "op1_html_extract": html_extract.op1_html_extract,
+    "op7_near_copies": near_copies.op7_near_copies,
 }
 
 ORACLE_SQL = {
