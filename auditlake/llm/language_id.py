@@ -235,16 +235,18 @@ def train(texts: list[str], labels: list[str], steps: int = TRAIN_STEPS, seed: i
 
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """A bounded sample of labelled text: of each language ``rows`` documents of the training part, first by a hash of id and
-    text, and ``chars`` characters of each from a place that the hash names. The sample is drawn by partial top-k aggregation."""
+    """A bounded sample of labelled text: of each language about ``rows`` documents of the training part, chosen by a hash of id and
+    text at a rate that follows from the language's count, and ``chars`` characters of each from a place that the hash names."""
     labelled = docs.where(in_training_part() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rate = F.lit(0.0)
+    for language, n in counts.items():
+        rate = F.when(F.col("lang") == language, F.lit(min(1.0, rows / n))).otherwise(rate)
     mark = F.xxhash64("doc_id", "text", F.lit(11))
     start = F.pmod(mark, F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    drawn = labelled.select("lang", mark.alias("mark"), F.substring("text", start, F.lit(chars)).alias("part"))
-    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    found: list = []
-    for language in languages:
-        found += drawn.where(F.col("lang") == language).orderBy("mark", "part").limit(rows).collect()
+    chosen = labelled.where(F.pmod(mark, F.lit(1_000_000)) < rate * 1_000_000)
+    found = chosen.select("lang", F.substring("text", start, F.lit(chars)).alias("part"), mark.alias("mark")).collect()
+    found.sort(key=lambda r: (r["lang"], r["mark"], r["part"]))
     return [r["part"] for r in found], [r["lang"] for r in found]
 
 
