@@ -23,7 +23,7 @@ TRAIN_STEPS = 420
 TRAIN_BATCH = 192
 TRAIN_WINDOW = 64
 #: Documents whose pooled probability of the predicted language is lower are rejected.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
