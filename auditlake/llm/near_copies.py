@@ -22,6 +22,8 @@ COUNT_BLOCK = 2_000_000
 #: Sets of a prefix tree and members of a block of a bucket.
 TREE = 256
 BLOCK = 1024
+#: Rows of blocks that a task compares, about.
+TASK_ROWS = 16_384
 
 
 class GlobalOrder:
@@ -166,7 +168,8 @@ def sketches(docs: DataFrame, order: GlobalOrder) -> DataFrame:
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
-    """Whether sets of n and m elements that differ in at least ``differ`` can link."""
+    """Whether sets of n and m elements that differ in at least ``differ`` (and in no less than their sizes do) can link."""
+    differ = np.maximum(differ, np.abs(n - m))
     return (100 + PERCENT) * ((n + m - differ) // 2) >= PERCENT * (n + m)
 
 
@@ -181,38 +184,47 @@ def _star_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[keep, ["a", "b"]]
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of different components that may link, among members of one or between two blocks of a bucket."""
-    rows = rows.drop_duplicates("key").sort_values("key", ignore_index=True)
-    one, two = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    sizes, component, key = rows["n_shingles"].to_numpy(), rows["component"].to_numpy(), rows["key"].to_numpy()
-    mine = rows["part"].to_numpy()
-    maps = [np.frombuffer(b, np.uint64) for b in rows["bits"]]
+def _pairs_within(sizes: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[np.ndarray], one_block: bool) -> tuple[list, list]:
+    """Places of the pairs of different components that may link, among one block's members or between two blocks'."""
     widths = np.array([len(m) for m in maps])
-    by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-    found_a, found_b = [], []
+    by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
+    stacked = {w: np.stack([maps[i] for i in places]) for w, places in by_width.items()}
+    left, right = [], []
     for w, wide in by_width.items():
-        stacked = np.stack([maps[i] for i in wide])
         for narrow_w in (w, w // 2):
-            narrow = by_width.get(narrow_w)
-            if narrow is None:
+            if narrow_w not in by_width:
                 continue
-            folded = fold(stacked, narrow_w)
-            others = np.stack([maps[i] for i in narrow])
-            for row, at in enumerate(wide):
+            narrow, folded = by_width[narrow_w], fold(stacked[w], narrow_w)
+            for row, at in enumerate(wide.tolist()):
                 other = component[narrow] != component[at]
-                if one != two:
-                    other &= mine[narrow] != mine[at]
+                if not one_block:
+                    other &= part[narrow] != part[at]
                 if narrow_w == w:
                     other &= narrow > at
                 chosen = np.flatnonzero(other)
                 if len(chosen):
-                    differ = np.bitwise_count(others[chosen] ^ folded[row]).sum(axis=1).astype(np.int64)
-                    may = narrow[chosen[_may_link(np.int64(sizes[at]), sizes[narrow[chosen]], differ)]]
-                    found_a += [int(key[at])] * len(may)
-                    found_b += key[may].tolist()
-    a, b = np.array(found_a, np.int64), np.array(found_b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                    differ = np.bitwise_count(stacked[narrow_w][chosen] ^ folded[row]).sum(axis=1).astype(np.int64)
+                    may = narrow[chosen[_may_link(sizes[at], sizes[narrow[chosen]], differ)]]
+                    left += [at] * len(may)
+                    right += may.tolist()
+    return left, right
+
+
+def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+    """``_pairs_within`` for each pair of blocks of a bucket in ``rows``; sets whose widths differ by more than one step can't link."""
+    rows = rows.drop_duplicates(["code", "i", "j", "key"]).sort_values(["code", "i", "j", "key"], ignore_index=True)
+    key, code, i, j = (rows[c].to_numpy() for c in ("key", "code", "i", "j"))
+    new = np.flatnonzero((code[1:] != code[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+    sizes, component, part = (rows[c].to_numpy() for c in ("n_shingles", "component", "part"))
+    maps = [np.frombuffer(b, np.uint64) for b in rows["bits"]]
+    found_a, found_b = [], []
+    for low, high in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
+        own = slice(low, high)
+        left, right = _pairs_within(sizes[own], component[own], part[own], maps[own], bool(i[low] == j[low]))
+        found_a += [low + x for x in left]
+        found_b += [low + x for x in right]
+    a, b = key[found_a].astype(np.int64), key[found_b].astype(np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, order: GlobalOrder) -> DataFrame:
@@ -313,7 +325,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
     blocks = left.select("code", "key", "component", "part", beside).select(
         "code", "key", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
     )
-    again = blocks.join(maps, "key").groupBy("code", "i", "j").applyInPandas(_block_pairs, "a long, b long").distinct()
+    tasks = max(1, blocks.count() // TASK_ROWS)
+    task = F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)).alias("task")
+    again = blocks.join(maps, "key").groupBy(task).applyInPandas(_block_pairs, "a long, b long").distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     again = cut(again.join(done, ["a", "b"], "left_anti"))
     if again.limit(1).count():
