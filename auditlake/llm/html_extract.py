@@ -242,10 +242,12 @@ def train(sentences: list[str], steps: int = TRAIN_STEPS, seed: int = 9) -> Labe
 
 
 def sentences_of(pages: DataFrame, n: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts to set training pages from: the markup-free start of ``n`` pages, first by a hash of url and html."""
-    mark = F.xxhash64("url", "html", F.lit(2))
-    rows = pages.where("html is not null").select(mark.alias("mark"), F.substring("html", 1, chars).alias("part")).orderBy("mark", "part").limit(n)
-    return sorted({b.text for r in rows.collect() for b in leaf_blocks(r["part"]) if len(b.text) > 12})
+    """Texts to set training pages from: the markup-free start of about ``n`` pages, chosen by a hash of url and html at a rate that
+    follows from the number of pages."""
+    mark = F.pmod(F.xxhash64("url", "html", F.lit(2)), F.lit(1_000_000))
+    rate = min(1.0, n / max(1, pages.select(F.lit(1)).count()))
+    chosen = pages.where(F.col("html").isNotNull() & (mark < int(rate * 1_000_000))).select(F.substring("html", 1, chars).alias("part"))
+    return sorted({b.text for r in chosen.collect() for b in leaf_blocks(r["part"]) if len(b.text) > 12})
 
 
 def main_text(m: Labeller, pages: list[str | None]) -> list[str]:
