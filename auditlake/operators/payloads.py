@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from auditlake.functions import severity as S
 from auditlake.functions import text as T
@@ -87,12 +88,12 @@ def findings_in(text: str | None) -> list[str]:
     return []
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def tolerant_findings(replies: pd.Series) -> pd.Series:
     return replies.map(findings_in)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def all_objects(replies: pd.Series) -> pd.Series:
     return replies.map(balanced_objects)
 
@@ -152,7 +153,8 @@ def normalised(findings: DataFrame, keys: list[str]) -> DataFrame:
 def parsed_findings(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
     """Findings of replies, parsed as tolerantly as need be, with the fields of ``FINDING``. Whole replies that are plain JSON objects or
     arrays of the right shape go through the built-in reader; only the others need the repairing one."""
-    plain = F.coalesce(F.from_json(reply, f"array<struct<{FINDING.replace(' string', ': string')}>>"), F.lit(None))
+    listed = F.from_json(reply, f"array<struct<{FINDING.replace(' string', ': string')}>>")
+    plain = F.when(F.ltrim(reply).startswith("["), listed)  # one object would be read as an array of it
     first = replies.withColumn("plain", plain)
     good = first.where("plain is not null").select(*keys, F.explode("plain").alias("f")).select(*keys, "f.*")
     others = first.where("plain is null").select(*keys, F.explode(tolerant_findings(F.col(reply))).alias("j"))

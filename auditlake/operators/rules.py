@@ -104,7 +104,7 @@ def components(manifests: DataFrame, app: str, xml: str = "xml") -> DataFrame:
 def kept_strings(xml: Column) -> Column:
     """Names of a resource file's strings that are the app's own; null if there are none or the file can't be read."""
     names = F.regexp_extract_all(xml, F.lit(r'<string\s[^>]*name="([^"]*)"'), F.lit(1))
-    own = F.filter(names, user_defined)
+    own = F.filter(names, lambda n: user_defined(n))
     return F.when(F.size(own) > 0, own)
 
 

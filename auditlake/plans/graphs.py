@@ -1 +1,209 @@
-"""Queries."""
+"""Queries over the code graph and over verdicts: pages stand for classes and their links for references, conversations for agents."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from auditlake.operators import graph as G
+from auditlake.operators import rollups as R
+from auditlake.operators import verdicts as V
+from auditlake.plans.registry import query, read
+from auditlake.plans.texts import PATHS_SQL, paths
+
+_LINK = r'href="([^"]+)"'
+_SQL_REFS = r"""r AS (SELECT 'C' || page_id AS cls, i AS ord, 'C' || (length(ref) * 31 + page_id * 3) % 97 AS ref, ref AS href FROM (SELECT page_id, unnest(range(0, len(a))) AS i, unnest(a) AS ref
+ FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]+)"', 1) AS a FROM pages)))"""
+
+
+def references(spark, sf: str) -> DataFrame:
+    links = read(spark, sf, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(_LINK), F.lit(1))).alias("ord", "href"))
+    ref = F.concat(F.lit("C"), ((F.length("href") * 31 + F.col("page_id") * 3) % 97).cast("string"))
+    return links.select(F.concat(F.lit("C"), F.col("page_id").cast("string")).alias("cls"), F.col("ord").cast("long").alias("ord"), ref.alias("ref"), "href")
+
+
+@query(f"WITH {_SQL_REFS} SELECT cls, ref, count(*) AS n, min(ord) AS first FROM r GROUP BY cls, ref")
+def code_graph(spark, sf):
+    return references(spark, sf).groupBy("cls", "ref").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
+
+
+_CALLS = [k for keys in G.SINKS.values() for k in keys] + ["Lcom/app/X;->run"]
+_SQL_CALLS = f"c AS (SELECT 'K' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN '$1' ELSE '' END AS cls, [{', '.join(repr(c) for c in _CALLS)}][CAST(l_partkey % {len(_CALLS)} + 1 AS INTEGER)] AS call FROM lineitem)"
+
+
+def calls(spark, sf: str) -> DataFrame:
+    call = F.element_at(F.array(*[F.lit(c) for c in _CALLS]), (F.col("l_partkey") % len(_CALLS) + 1).cast("int"))
+    cls = F.concat(F.lit("K"), F.col("l_suppkey").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, "$1").otherwise(""))
+    return read(spark, sf, "lineitem").select(cls.alias("cls"), call.alias("call"))
+
+
+_SQL_SINKS = "s(family, key) AS (VALUES " + ", ".join(f"('{f}', '{k}')" for f, keys in G.SINKS.items() for k in keys) + ")"
+
+
+@query(f"WITH {_SQL_CALLS}, {_SQL_SINKS}, d AS (SELECT call, family FROM (SELECT DISTINCT call FROM c) JOIN s ON contains(call, key) GROUP BY ALL) SELECT split_part(cls, '$', 1) AS cls, family, count(*) AS n FROM c JOIN d USING (call) GROUP BY 1, 2")
+def sink_tags(spark, sf):
+    return G.signals(calls(spark, sf), "cls", "call")
+
+
+@query(f"""WITH {_SQL_REFS}, l AS (SELECT DISTINCT cls FROM r WHERE href LIKE '%a%' AND CAST(substr(cls, 2) AS BIGINT) < 97), d AS (SELECT DISTINCT r.cls, r.ref FROM r SEMI JOIN l ON l.cls = r.ref WHERE r.cls <> r.ref),
+k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ref) AS n FROM d) SELECT cls, string_agg(ref, ',' ORDER BY ref) AS loaders FROM k WHERE n <= 4 GROUP BY cls""")
+def native_propagation(spark, sf):
+    refs = references(spark, sf)
+    loaders = refs.where(F.col("href").contains("a") & (F.substring("cls", 2, 9).cast("long") < 97)).select("cls").distinct()
+    return G.native_callers(refs.select("cls", "ref"), loaders).withColumn("loaders", F.array_join("loaders", ","))
+
+
+@query(f"WITH {_SQL_REFS}, f AS (SELECT cls, ref, min(ord) AS f FROM r GROUP BY cls, ref), k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY f, ref) AS n FROM f) SELECT cls, string_agg(ref, ',' ORDER BY n) AS refs FROM k WHERE n <= 8 GROUP BY cls")
+def capped_refs(spark, sf):
+    return R.capped_set(references(spark, sf), ["cls"], "ref", "ord", 8).withColumn("refs", F.array_join("refs", ","))
+
+
+@query(f"WITH {PATHS_SQL}, t AS (SELECT DISTINCT path FROM p WHERE path LIKE 'sources/%'), d AS (SELECT DISTINCT path FROM p WHERE page_id % 5 < 3) SELECT path FROM t EXCEPT SELECT path FROM d")
+def coverage_gap(spark, sf):
+    rows = paths(spark, sf)
+    return G.unread(rows.where(F.col("path").startswith("sources/")), rows.where(F.col("page_id") % 5 < 3), "path")
+
+
+@query(rf"""WITH {PATHS_SQL}, f AS (SELECT DISTINCT regexp_replace(path, '^sources/', '') AS file FROM p WHERE path LIKE 'sources/com/%'), n AS (SELECT 'N' || page_id AS node, page_id AS ord, path AS node_file FROM p WHERE path LIKE 'sources/%'),
+m AS (SELECT file, node, ord, CASE WHEN file = node_file OR file LIKE '%/' || node_file OR node_file LIKE '%/' || file THEN 0 ELSE 1 END AS tier FROM f JOIN n ON regexp_extract(file, '([^/]*)$', 1) = regexp_extract(node_file, '([^/]*)$', 1)),
+k AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY tier, ord) AS r FROM m) SELECT file, node, CAST(tier AS INTEGER) AS tier FROM k WHERE r = 1""")
+def node_for_file(spark, sf):
+    rows = paths(spark, sf).where(F.col("path").startswith("sources/"))
+    files = rows.where(F.col("path").startswith("sources/com/")).select(F.regexp_replace("path", "^sources/", "").alias("file")).distinct()
+    nodes = rows.select(F.concat(F.lit("N"), F.col("page_id").cast("string")).alias("node"), F.col("page_id").alias("ord"), F.col("path").alias("node_file"))
+    return G.node_of_file(files, nodes)
+
+
+@query("""
+WITH c AS (SELECT s_suppkey, 'K' || s_suppkey // 3 || CASE s_suppkey % 3 WHEN 0 THEN '' ELSE '$' || s_suppkey % 3 END AS cls, 'Base' || s_nationkey AS extends FROM supplier),
+g AS (SELECT split_part(cls, '$', 1) AS o, max(CASE WHEN NOT contains(cls, '$') THEN extends END) AS own, arg_max(extends, cls) AS nested, count(*) AS members FROM c GROUP BY 1)
+SELECT o AS cls, coalesce(own, nested) AS extends, members, CASE WHEN CAST(substr(o, 2) AS BIGINT) % 2 = 0 THEN 'activity' ELSE 'class' END AS role FROM g""")
+def graph_vertices(spark, sf):
+    k = F.col("s_suppkey")
+    cls = F.concat(F.lit("K"), F.floor(k / 3).cast("string"), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("$"), (k % 3).cast("string"))))
+    classes = read(spark, sf, "supplier").select(cls.alias("cls"), F.concat(F.lit("Base"), F.col("s_nationkey").cast("string")).alias("extends"))
+    roles = classes.select(G.outer_class(F.col("cls")).alias("cls")).distinct().where(F.substring("cls", 2, 9).cast("long") % 2 == 0).withColumn("role", F.lit("activity"))
+    return G.vertices(classes, roles, "cls")
+
+
+@query(f"WITH {PATHS_SQL} SELECT path, 'flagged' AS kind FROM p WHERE page_id % 3 = 0 AND path LIKE 'sources/%' UNION ALL SELECT path, 'library' FROM p WHERE path LIKE '%.so'")
+def flagged_union(spark, sf):
+    rows = paths(spark, sf)
+    flagged = rows.where((F.col("page_id") % 3 == 0) & F.col("path").startswith("sources/")).select("path", F.lit("flagged").alias("kind"))
+    return flagged.unionByName(rows.where(F.col("path").endswith(".so")).select("path", F.lit("library").alias("kind")))
+
+
+@query(rf"WITH {PATHS_SQL} SELECT regexp_extract(path, '([^/]*)$', 1) AS name, min(path) AS path, count(*) AS copies FROM p WHERE path LIKE '%.so' GROUP BY 1")
+def dedupe_libs(spark, sf):
+    return G.first_libraries(paths(spark, sf).where(F.col("path").endswith(".so")), "path")
+
+
+@query("""WITH n AS (SELECT 'Node' || s_suppkey AS cls, s_suppkey % 7 = 0 AS exported, s_suppkey % 3 = 0 AS flagged FROM supplier), t AS (SELECT count(*) AS total FROM n)
+SELECT cls, exported, flagged, CASE WHEN exported THEN 0 WHEN flagged THEN 1 ELSE 2 END AS tier, total FROM n, t ORDER BY tier, lower(cls), cls LIMIT 120""")
+def node_ranking(spark, sf):
+    k = F.col("s_suppkey")
+    nodes = read(spark, sf, "supplier").select(F.concat(F.lit("Node"), k.cast("string")).alias("cls"), (k % 7 == 0).alias("exported"), (k % 3 == 0).alias("flagged"))
+    return G.ranked_nodes(nodes, "cls")
+
+
+@query("SELECT s_nationkey, arg_min(CASE WHEN s_suppkey % 4 = 0 THEN 'emulator-' ELSE 'usb-' END || s_suppkey, (s_suppkey % 4 <> 0, s_suppkey)) AS serial FROM supplier GROUP BY s_nationkey")
+def device_pick(spark, sf):
+    k = F.col("s_suppkey")
+    serial = F.concat(F.when(k % 4 == 0, "emulator-").otherwise("usb-"), k.cast("string"))
+    return read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min_by(serial, F.struct(k % 4 != 0, k)).alias("serial"))
+
+
+@query("""SELECT doc_id, array_to_string(list_filter(['core', CASE WHEN contains(lower(text), 'token') THEN 'auth' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END, CASE WHEN contains(lower(text), '@') THEN 'pii' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents""")
+def tag_routing(spark, sf):
+    lower = F.lower("text")
+    tags = [F.lit("core")] + [F.when(lower.contains(w), t) for w, t in (("token", "auth"), ("license", "legal"), ("@", "pii"))]
+    return read(spark, sf, "documents").select("doc_id", F.array_join(F.filter(F.array(*tags), lambda x: x.isNotNull()), ",").alias("tags"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'core,BUILDING,AUTOMOBILE' WHEN c_mktsegment = 'AUTOMOBILE' THEN 'core,AUTOMOBILE,BUILDING' ELSE 'core,' || c_mktsegment || ',BUILDING,AUTOMOBILE' END AS skills FROM customer")
+def skill_order(spark, sf):
+    last = F.when(F.col("c_mktsegment") == "AUTOMOBILE", F.array(F.lit("BUILDING"))).otherwise(F.array(F.lit("BUILDING"), F.lit("AUTOMOBILE")))
+    names = F.array_distinct(F.concat(F.array(F.lit("core"), F.col("c_mktsegment"), F.lit("core")), last))
+    return read(spark, sf, "customer").select("c_custkey", F.array_join(names, ",").alias("skills"))
+
+
+# verdicts ---------------------------------------------------------------------------------------------------------------------------------
+
+
+def findings(spark, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select(F.col("conv_id").alias("scan"), F.concat(F.lit("F"), (F.col("turn") + 1).cast("string")).alias("finding_id"), "turn")
+
+
+def actions(spark, sf: str) -> DataFrame:
+    """Each turn judges a finding, or two at once, or one that doesn't exist, or with a word that isn't a status."""
+    t = F.col("turn")
+    status = F.when(t % 5 == 4, "maybe").when(t % 2 == 0, "verified").otherwise("not_verified")
+    name = lambda n: F.concat(F.lit("F"), n.cast("string"))
+    return read(spark, sf, "conversations").select(
+        F.col("conv_id").alias("scan"), t.alias("step"), F.when(t % 3 > 0, name(t * 2 % 7)).alias("finding_id"), F.when(t % 3 == 0, F.array(name(t + 1), name(t + 2))).alias("finding_ids"),
+        status.alias("status"), F.left("text", F.lit(12)).alias("evidence"), F.col("role").alias("reason"),
+    )
+
+
+_SQL_VERDICTS = """f AS (SELECT conv_id AS scan, 'F' || (turn + 1) AS finding_id, turn FROM conversations),
+a AS (SELECT conv_id AS scan, turn AS step, unnest(CASE WHEN turn % 3 > 0 THEN ['F' || turn * 2 % 7] ELSE ['F' || (turn + 1), 'F' || (turn + 2)] END) AS finding_id,
+ CASE WHEN turn % 5 = 4 THEN 'maybe' WHEN turn % 2 = 0 THEN 'verified' ELSE 'not_verified' END AS status, left(text, 12) AS evidence, role AS reason FROM conversations),
+k AS (SELECT a.*, row_number() OVER (PARTITION BY scan, finding_id ORDER BY step DESC, status DESC, evidence DESC, reason DESC) AS r FROM a SEMI JOIN f USING (scan, finding_id) WHERE status <> 'maybe'),
+v AS (SELECT scan, finding_id, status, evidence, reason FROM k WHERE r = 1)"""
+
+
+@query(f"WITH {_SQL_VERDICTS} SELECT * FROM v")
+def verdict_batch(spark, sf):
+    return V.recorded(actions(spark, sf), findings(spark, sf))
+
+
+@query(f"""WITH {_SQL_VERDICTS} SELECT f.scan, f.finding_id, f.turn, CASE WHEN v.status = 'verified' THEN 'verified' ELSE 'not_verified' END AS status, coalesce(CASE WHEN v.status = 'verified' THEN evidence END, '-') AS evidence,
+ coalesce(CASE WHEN v.status IS DISTINCT FROM 'verified' THEN coalesce(reason, '{V.NO_REASON}') END, '-') AS reason FROM f LEFT JOIN v USING (scan, finding_id)""")
+def verdict_join(spark, sf):
+    found = findings(spark, sf)
+    judged = V.judged(found, V.recorded(actions(spark, sf), found))
+    return judged.withColumns({c: F.coalesce(c, F.lit("-")) for c in ("evidence", "reason")})
+
+
+@query(f"WITH {_SQL_VERDICTS}, n AS (SELECT DISTINCT scan, finding_id FROM a WHERE step % 2 = 1) SELECT scan, finding_id, turn, true AS needed FROM f SEMI JOIN n USING (scan, finding_id) UNION ALL SELECT scan, finding_id, turn, false FROM f ANTI JOIN n USING (scan, finding_id)")
+def needs_split(spark, sf):
+    named = F.coalesce("finding_ids", F.array("finding_id"))
+    needed = actions(spark, sf).where(F.col("step") % 2 == 1).select("scan", F.explode(named).alias("finding_id"))
+    yes, no = V.needs_check(findings(spark, sf), needed)
+    columns = ["scan", "finding_id", "turn"]
+    return yes.select(*columns, F.lit(True).alias("needed")).unionByName(no.select(*columns, F.lit(False).alias("needed")))
+
+
+@query("SELECT user_id, event_type, CAST(floor(value / 100) AS BIGINT) AS argument, min(event_id) AS first, count(*) AS n FROM events GROUP BY ALL")
+def dedupe_calls(spark, sf):
+    rows = read(spark, sf, "events").withColumn("argument", F.floor(F.col("value") / 100))
+    return V.first_calls(rows, ["user_id", "event_type", "argument"], "event_id")
+
+
+_SQL_ISLANDS = """l AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS c FROM events),
+g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM l)"""
+
+
+@query(f"WITH {_SQL_ISLANDS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) - 1 AS INTEGER) AS repeats FROM g) SELECT user_id, event_id, event_type, repeats, repeats > 0 AND repeats % 2 = 0 AS nudge FROM r")
+def stall_detection(spark, sf):
+    return V.stalls(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+
+
+@query(f"WITH {_SQL_ISLANDS} SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM g GROUP BY user_id, island, event_type HAVING count(*) >= 3")
+def error_runs(spark, sf):
+    return V.runs(read(spark, sf, "events"), "user_id", "event_id", "event_type")
+
+
+@query("""SELECT user_id, event_id, coalesce(string_agg(event_type, '; ') OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), '') AS context FROM events""")
+def last5_context(spark, sf):
+    return V.last_context(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").drop("event_type")
+
+
+@query(rf"""WITH {PATHS_SQL}, x AS (SELECT DISTINCT path FROM p WHERE page_id % 2 = 0), c AS (SELECT page_id, 'p' || page_id || '.java' AS ref FROM pages),
+m AS (SELECT page_id, path, CASE WHEN path = 'sources/com/shop/' || ref THEN 0 ELSE 3 END AS k FROM c JOIN x ON regexp_extract(path, '([^/]*)$', 1) = ref) SELECT page_id, arg_min(path, (k, path)) AS path FROM m GROUP BY page_id""")
+def path_resolution(spark, sf):
+    rows = paths(spark, sf)
+    there = rows.where(F.col("page_id") % 2 == 0).select("path").distinct().withColumn("ref", F.substring_index("path", "/", -1))
+    wanted = read(spark, sf, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".java")).alias("ref"))
+    order = F.when(F.col("path") == F.concat(F.lit("sources/com/shop/"), "ref"), 0).otherwise(3)
+    return wanted.join(there, "ref").groupBy("page_id").agg(F.min_by("path", F.struct(order, F.col("path"))).alias("path"))

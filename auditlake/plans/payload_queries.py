@@ -1 +1,113 @@
-"""Queries."""
+"""Queries over replies of models: conversations stand for agents' turns."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from auditlake.functions import severity as S
+from auditlake.functions import text as T
+from auditlake.operators import payloads as P
+from auditlake.plans.registry import query, read
+
+
+def turns(spark, sf: str) -> DataFrame:
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.left("text", F.lit(40)), r'[^A-Za-z ]', "").alias("said"))
+
+
+def _finding(turn, said):
+    """One finding as JSON; every other turn names its place another way."""
+    place = F.when(turn % 2 == 0, F.lit('"file": "a/B.java", "line": "6-7"')).otherwise(F.lit('"location": "lines 9 to 6"'))
+    return F.concat(F.lit('{"title": "'), said, F.lit('", "severity": "high!", '), place, F.lit(', "description": "d {x}"}'))
+
+
+def replies(spark, sf: str) -> DataFrame:
+    """Replies in the shapes that models use: array, wrapper, object, fenced, bare values, cut off, prose."""
+    t, one = F.col("turn"), _finding(F.col("turn"), F.col("said"))
+    k = (F.col("conv_id") + t) % 7
+    reply = F.when(k == 0, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).when(k == 1, F.concat(F.lit('{"findings": ['), one, F.lit("]}"))).when(k == 2, one)
+    reply = reply.when(k == 3, F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```\nbye"))).when(k == 4, F.concat(F.lit('[{"title": "'), "said", F.lit('", "line": 76-80 (x), "severity": low,}]')))
+    reply = reply.when(k == 5, F.concat(F.lit("["), one, F.lit(', {"title": "t2"'))).otherwise(F.lit("nothing to say"))
+    return turns(spark, sf).select("conv_id", "turn", "said", k.alias("k"), reply.alias("reply"))
+
+
+_SQL_TURNS = "t AS (SELECT conv_id, turn, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') AS said, (conv_id + turn) % 7 AS k FROM conversations)"
+
+
+@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, said AS title, 'high!' AS severity FROM t WHERE k IN (0, 1, 2, 3, 5) UNION ALL SELECT conv_id, turn, said, 'high!' FROM t WHERE k = 0
+ UNION ALL SELECT conv_id, turn, said, 'low' FROM t WHERE k = 4""")
+def tolerant_json(spark, sf):
+    found = P.parsed_findings(replies(spark, sf).select("conv_id", "turn", "reply"), ["conv_id", "turn"], "reply")
+    return found.select("conv_id", "turn", "title", F.coalesce("severity", F.lit("-")).alias("severity"))
+
+
+@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CASE WHEN said = '' THEN 'd {{x}}' ELSE said END AS title, CASE WHEN turn % 2 = 0 THEN 'a/B.java' ELSE 'lines 9 to 6' END AS file, CASE WHEN turn % 2 = 0 THEN 6 ELSE 6 END AS line_number,
+ CASE WHEN turn % 2 = 0 THEN 7 ELSE 9 END AS line_end, CASE WHEN turn % 2 = 0 THEN 'lines 6-7' ELSE 'lines 6-9' END AS location, 'High' AS severity FROM t WHERE k < 3""")
+def validate_normalize_findings(spark, sf):
+    made = replies(spark, sf).where("k < 3").select("conv_id", "turn", F.from_json(_finding(F.col("turn"), F.col("said")), P.FINDING).alias("f"))
+    found = P.normalised(P.valid(made.select("conv_id", "turn", "f.*")), ["conv_id", "turn"])
+    return found.select("conv_id", "turn", "title", "file", "line_number", "line_end", "location", "severity")
+
+
+_SQL_THINK = """x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' || left(text, 30) WHEN 1 THEN 'draft </think> more </THINK>' || left(text, 30) WHEN 2 THEN left(text, 30) || '<Think>x</think>' ELSE left(text, 30) END AS t FROM conversations)"""
+
+
+@query(f"""WITH {_SQL_THINK}, y AS (SELECT *, regexp_replace(t, '(?is)<think>.*?</think>', '', 'g') AS u FROM x)
+SELECT conv_id, turn, trim(CASE WHEN regexp_matches(u, '(?i)</think>') THEN regexp_replace(u, '(?is)^.*</think>', '') ELSE u END) AS said FROM y""")
+def think_strip(spark, sf):
+    t, said = F.col("turn") % 4, F.left("text", F.lit(30))
+    shaped = F.when(t == 0, F.concat(F.lit("<think>a\nb</think>"), said)).when(t == 1, F.concat(F.lit("draft </think> more </THINK>"), said)).when(t == 2, F.concat(said, F.lit("<Think>x</think>"))).otherwise(said)
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(shaped).alias("said"))
+
+
+@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM t""")
+def balanced_json(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", F.size(P.all_objects(F.col("reply"))).cast("long").alias("n"))
+
+
+@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, said AS title, CASE WHEN k = 4 OR turn % 2 = 1 THEN '-' ELSE 'a/B.java' END AS file, 'high!' AS severity FROM t WHERE k IN (0, 1, 2, 3, 5) AND said <> ''
+ UNION ALL SELECT conv_id, turn, said, CASE WHEN turn % 2 = 1 THEN '-' ELSE 'a/B.java' END, 'high!' FROM t WHERE k IN (0, 1) AND said <> ''""")
+def salvage_fields(spark, sf):
+    found = replies(spark, sf).select("conv_id", "turn", F.explode(P.salvaged(F.col("reply"))).alias("f"))
+    return found.select("conv_id", "turn", "f.title", F.coalesce("f.file", F.lit("-")).alias("file"), F.coalesce("f.severity", F.lit("-")).alias("severity"))
+
+
+@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN 2 WHEN 6 THEN 0 ELSE 1 END AS BIGINT) AS n FROM t""")
+def payload_coerce(spark, sf):
+    return replies(spark, sf).select("conv_id", "turn", F.size(P.tolerant_findings(F.col("reply"))).cast("long").alias("n"))
+
+
+@query("""WITH o AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"provider": "own", "limits": {"steps": 9}}' WHEN 1 THEN '{"limits": {"steps": null, "chars": 5}}' ELSE 'broken' END AS j FROM customer)
+SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"provider":"own","limits":{"steps":"9","chars":"100"}}' WHEN 1 THEN '{"provider":"none","limits":{"steps":"30","chars":"5"}}' ELSE '{"provider":"none","limits":{"steps":"30","chars":"100"}}' END AS settings FROM o""")
+def override_merge(spark, sf):
+    k = F.col("c_custkey") % 3
+    override = F.when(k == 0, '{"provider": "own", "limits": {"steps": 9}}').when(k == 1, '{"limits": {"steps": null, "chars": 5}}').otherwise("broken")
+    defaults = {"provider": "none", "limits": {"steps": 30, "chars": 100}}
+    return read(spark, sf, "customer").select("c_custkey", P.merged(defaults, override).alias("settings"))
+
+
+@query("SELECT page_id, coalesce(nullif(regexp_extract('pre ' || CASE WHEN page_id % 3 = 0 THEN 'none' ELSE '{a ' || url || '} x {b}' END || ' post', '(?s)\\{.*\\}'), ''), '-') AS object FROM pages")
+def object_grab(spark, sf):
+    text = F.concat(F.lit("pre "), F.when(F.col("page_id") % 3 == 0, "none").otherwise(F.concat(F.lit("{a "), "url", F.lit("} x {b}"))), F.lit(" post"))
+    return read(spark, sf, "pages").select("page_id", F.coalesce(P.greedy_object(text), F.lit("-")).alias("object"))
+
+
+@query("SELECT CAST(user_id AS BIGINT) AS user_id, '{\"user\":' || user_id || ',\"total\":' || count(*) || ',\"high\":' || count(*) FILTER (event_type = 'purchase') || '}' AS report FROM events GROUP BY user_id")
+def report_json(spark, sf):
+    grouped = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("high"))
+    return grouped.select("user_id", F.to_json(F.struct(F.col("user_id").alias("user"), "total", "high")).alias("report"))
+
+
+@query("""SELECT user_id, '<ul>' || string_agg('<li class="' || event_type || '">' || event_type || ' &amp; ' || event_id || '</li>', '' ORDER BY event_type, event_id) || '</ul>' AS report FROM events WHERE value > 300 GROUP BY user_id""")
+def report_html(spark, sf):
+    rows = read(spark, sf, "events").where("value > 300")
+    item = F.concat(F.lit('<li class="'), "event_type", F.lit('">'), T.html_escaped(F.concat("event_type", F.lit(" & "), F.col("event_id").cast("string"))), F.lit("</li>"))
+    listed = F.array_sort(F.collect_list(F.struct("event_type", "event_id", item.alias("item"))))
+    body = F.array_join(F.transform(listed, lambda s: s["item"]), "")
+    return rows.groupBy("user_id").agg(F.concat(F.lit("<ul>"), body, F.lit("</ul>")).alias("report"))
+
+
+@query("SELECT p_partkey, coalesce('https://cwe.mitre.org/data/definitions/' || nullif(regexp_extract(p_brand, '(\\d+)', 1), '') || '.html', '-') AS link, 'he said \"no\" it''s ' || p_brand AS folded FROM part")
+def cwe_links(spark, sf):
+    said = F.concat(F.lit("he said “no” it’s "), "p_brand")
+    return read(spark, sf, "part").select("p_partkey", F.coalesce(T.cwe_link(F.col("p_brand")), F.lit("-")).alias("link"), T.fold_quotes(said).alias("folded"))

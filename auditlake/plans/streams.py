@@ -1 +1,72 @@
-"""Queries."""
+"""Queries over progress events: the events table read as a stream and run to its end."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from auditlake.plans.registry import query, read
+from auditlake.streaming import events as E
+
+
+def _progress(events: DataFrame) -> DataFrame:
+    """Progress events: scan, seq, type, and what goes with the type."""
+    kind = F.when(F.col("event_type").isin("view", "click"), "log").when(F.col("event_type") == "purchase", "progress").otherwise("status")
+    k = F.col("event_id") % 10
+    status: Column = F.when(k < 6, "running").when(k < 8, "queued").when(k == 8, "completed").otherwise("cancelled")
+    return events.select(
+        F.col("user_id").alias("scan_id"),
+        F.col("event_id").alias("seq"),
+        kind.alias("type"),
+        F.when(kind == "status", status).alias("status"),
+        F.when(kind == "progress", (F.col("value") % 100).cast("int")).alias("percent"),
+    )
+
+
+def _stream(spark, sf: str) -> DataFrame:
+    schema = read(spark, sf, "events").schema
+    return _progress(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def _ran(spark, stream: DataFrame, mode: str) -> DataFrame:
+    name = f"ran_{uuid.uuid4().hex}"
+    E.into_table(stream, name, mode)
+    return spark.table(name)
+
+
+_SQL = """e AS (SELECT user_id AS scan_id, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'log' WHEN event_type = 'purchase' THEN 'progress' ELSE 'status' END AS type,
+ CASE WHEN event_type IN ('error', 'signup') THEN CASE WHEN event_id % 10 < 6 THEN 'running' WHEN event_id % 10 < 8 THEN 'queued' WHEN event_id % 10 = 8 THEN 'completed' ELSE 'cancelled' END END AS status,
+ CASE WHEN event_type = 'purchase' THEN CAST(trunc(value % 100) AS INTEGER) END AS percent FROM events)"""
+
+
+@query(f"""WITH {_SQL} SELECT scan_id, coalesce(arg_max(status, seq) FILTER (type = 'status'), '-') AS status, coalesce(arg_max(percent, seq) FILTER (type = 'progress'), -1) AS percent,
+ count(*) FILTER (type = 'log') AS logs, max(seq) AS last_seq FROM e GROUP BY scan_id""")
+def stream_fold_latest(spark, sf):
+    latest = _ran(spark, E.latest_state(_stream(spark, sf)), "complete")
+    return latest.select("scan_id", F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("percent", F.lit(-1)).alias("percent"), "logs", "last_seq")
+
+
+@query(f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM e) SELECT scan_id, seq FROM r WHERE k <= 20")
+def stream_backlog(spark, sf):
+    return E.newest(_ran(spark, _stream(spark, sf), "append"), 20).select("scan_id", "seq")
+
+
+@query(f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM e WHERE type = 'log') SELECT scan_id, seq FROM r WHERE k <= 10")
+def stream_logs_tail(spark, sf):
+    return E.log_tail(_ran(spark, _stream(spark, sf), "append"), 10).select("scan_id", "seq")
+
+
+@query(f"""WITH {_SQL}, s AS (SELECT scan_id, seq, status, lag(status) OVER w AS before, max(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN 1 ELSE 0 END)
+ OVER (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM e WHERE type = 'status' WINDOW w AS (PARTITION BY scan_id ORDER BY seq))
+SELECT scan_id, seq, status, coalesce(before, '-') AS before, status IN ('completed', 'failed') AS done FROM s WHERE coalesce(over_, 0) = 0""")
+def stream_state_machine(spark, sf):
+    steps = E.statuses(_ran(spark, _stream(spark, sf), "append"))
+    return steps.select("scan_id", "seq", "status", F.coalesce("before", F.lit("-")).alias("before"), E.finished(F.col("status")).alias("done"))
+
+
+@query(f"WITH {_SQL} SELECT scan_id, count(*) AS n FROM e WHERE scan_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY scan_id")
+def stream_live_only(spark, sf):
+    scans = read(spark, sf, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("scan_id"))
+    return _ran(spark, E.live_only(_stream(spark, sf), scans), "append").groupBy("scan_id").agg(F.count("*").alias("n"))
