@@ -22,6 +22,8 @@ COUNT_BLOCK = 2_000_000
 #: Sets of a prefix tree and members of a block of a bucket.
 TREE = 256
 BLOCK = 1024
+#: Rounds in which each member of a bucket is compared with its nearest of another component only.
+NEAREST_ROUNDS = 3
 #: Rows of blocks that a task compares, about.
 TASK_ROWS = 16_384
 
@@ -60,9 +62,9 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def parity_bits(hashes: np.ndarray) -> np.ndarray:
-    """A bitmap about as wide as the set is large, each element toggling a bit. Bits in which two sets' maps differ are no more than
-    the elements in which the sets differ; a wider map folds onto a narrower one."""
-    width = 64 << max(0, int(len(hashes) - 1).bit_length() - 6)
+    """A bitmap of four to eight bits for each element, each toggling one. Bits in which two sets' maps differ are no more than the
+    elements in which the sets differ; a wider map folds onto a narrower one."""
+    width = 256 << max(0, int(len(hashes) - 1).bit_length() - 6)
     toggled = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(toggled.astype(bool), bitorder="little").view(np.uint64)
 
@@ -184,8 +186,11 @@ def _star_filter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pairs.loc[keep, ["a", "b"]]
 
 
-def _pairs_within(sizes: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[np.ndarray], one_block: bool) -> tuple[list, list]:
-    """Places of the pairs of different components that may link, among one block's members or between two blocks'."""
+def _pairs_within(
+    sizes: np.ndarray, component: np.ndarray, part: np.ndarray, maps: list[np.ndarray], one_block: bool, nearest: bool
+) -> tuple[list, list]:
+    """Places of the pairs of different components that may link, among one block's members or between two blocks'; or, of the partners
+    that come after a member, only the nearest by the bitmaps."""
     widths = np.array([len(m) for m in maps])
     by_width = {w: np.flatnonzero(widths == w) for w in np.unique(widths).tolist()}
     stacked = {w: np.stack([maps[i] for i in places]) for w, places in by_width.items()}
@@ -204,13 +209,16 @@ def _pairs_within(sizes: np.ndarray, component: np.ndarray, part: np.ndarray, ma
                 chosen = np.flatnonzero(other)
                 if len(chosen):
                     differ = np.bitwise_count(stacked[narrow_w][chosen] ^ folded[row]).sum(axis=1).astype(np.int64)
-                    may = narrow[chosen[_may_link(sizes[at], sizes[narrow[chosen]], differ)]]
+                    may = np.flatnonzero(_may_link(sizes[at], sizes[narrow[chosen]], differ))
+                    if nearest and len(may):
+                        may = may[[differ[may].argmin()]]
+                    may = narrow[chosen[may]]
                     left += [at] * len(may)
                     right += may.tolist()
     return left, right
 
 
-def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
+def _block_pairs(nearest: bool, rows: pd.DataFrame) -> pd.DataFrame:
     """``_pairs_within`` for each pair of blocks of a bucket in ``rows``; sets whose widths differ by more than one step can't link."""
     rows = rows.drop_duplicates(["code", "i", "j", "key"]).sort_values(["code", "i", "j", "key"], ignore_index=True)
     key, code, i, j = (rows[c].to_numpy() for c in ("key", "code", "i", "j"))
@@ -220,13 +228,20 @@ def _block_pairs(rows: pd.DataFrame) -> pd.DataFrame:
     found_a, found_b = [], []
     for low, high in zip([0, *new.tolist()], [*new.tolist(), len(rows)], strict=True):
         own = slice(low, high)
-        left, right = _pairs_within(sizes[own], component[own], part[own], maps[own], bool(i[low] == j[low]))
+        left, right = _pairs_within(sizes[own], component[own], part[own], maps[own], bool(i[low] == j[low]), nearest)
         found_a += [low + x for x in left]
         found_b += [low + x for x in right]
     a, b = key[found_a].astype(np.int64), key[found_b].astype(np.int64)
     return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
 
+def _comparing(nearest: bool):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        return _block_pairs(nearest, rows)
+
+    return run
+
+
 def verified(pairs: DataFrame, texts: DataFrame, order: GlobalOrder) -> DataFrame:
     """a, b of the ``pairs`` (distinct a, b) that link. The sets of the b of each a are put into prefix trees, of a bounded number
     of sets each, in which the set of a is searched."""
@@ -279,7 +294,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     Classes that link share an element among the first quarter of their sets in the global order, so these elements are the buckets
     of the join; elements in one class only and buckets with the same members as another drop out. First each
     member of a bucket is compared with one centre, which connects groups of copies of any size with as many pairs as members. Then
-    only buckets that still hold several components are looked at, in pairs of bounded blocks, for pairs of different components.
+    only buckets that still hold several components are looked at, in pairs of bounded blocks, for pairs of different components: in
+    a few rounds for each member's nearest, which joins what is left of large groups, and in a last one for all.
     Bitmaps drop pairs that can't link before any text is fetched; the others are searched in prefix trees of whole sets.
     """
     order = frequent_shingles(docs)
@@ -317,22 +333,32 @@ def near_copies(docs: DataFrame) -> DataFrame:
     ends = lambda p: p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key")))
     links = cut(verified(first, texts_for(ends(first)), order))
     grouped = components(links)
-    left = shared.join(grouped, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = left.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("code")
-    left = left.join(mixed, "code", "left_semi").withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
-    left = left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    blocks = left.select("code", "key", "component", "part", beside).select(
-        "code", "key", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
-    )
-    tasks = max(1, blocks.count() // TASK_ROWS)
-    task = F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)).alias("task")
-    again = blocks.join(maps, "key").groupBy(task).applyInPandas(_block_pairs, "a long, b long").distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    again = cut(again.join(done, ["a", "b"], "left_anti"))
-    if again.limit(1).count():
-        links = links.unionByName(verified(again, texts_for(ends(again)), order))
-        grouped = components(links)
+    turn = 0
+    while True:
+        nearest = turn < NEAREST_ROUNDS
+        left = shared.join(grouped, "key", "left").withColumn("component", F.coalesce("component", "key"))
+        mixed = left.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("code")
+        left = left.join(mixed, "code", "left_semi").withColumn("parts", F.ceil(F.col("members") / BLOCK).cast("int"))
+        left = left.withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        beside = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+        blocks = left.select("code", "key", "component", "part", beside).select(
+            "code", "key", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")
+        )
+        tasks = max(1, blocks.count() // TASK_ROWS)
+        task = F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)).alias("task")
+        near = blocks.join(maps, "key").groupBy(task).applyInPandas(_comparing(nearest), "a long, b long")
+        more = cut(near.distinct().join(done, ["a", "b"], "left_anti"))
+        if more.limit(1).count():
+            links = cut(links.unionByName(verified(more, texts_for(ends(more)), order)))
+            grouped = components(links)
+            done = cut(done.unionByName(more))
+        elif nearest:
+            turn = NEAREST_ROUNDS  # the nearest are known: on to all that is left
+            continue
+        if not nearest:
+            break
+        turn += 1
     named = owner.join(grouped, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     result = named.select("key", "component").join(least, "component").select(F.col("key").alias("of"), "component_id")
