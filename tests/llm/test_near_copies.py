@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 
 from auditlake.llm import near_copies as N
 from auditlake.llm.shingles import shingle_hashes
+from tests.compare import same_rows
 
 DOCS = "doc_id long, text string, prefix string"
 
@@ -60,6 +62,11 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, out.collect())) == brute(rows)
 
 
+def test_equals_sql(spark):
+    folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    same_rows(N.op7_near_copies(spark, folder), N.near_copies_sql(), folder)
+
+
 def test_no_rows_and_repeated_rows(spark):
     assert N.near_copies(spark.createDataFrame([], DOCS)).count() == 0
     rows = [(1, "a b c d e f", ""), (1, "a b c d e f", ""), (None, "x y", ""), (2, "A b c d e f", "")]
