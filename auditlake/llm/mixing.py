@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import count_words, table
+from auditlake.llm.common import count_words, cut_table, table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -114,7 +114,8 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(sizes_of(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    sizes = cut_table(sizes_of(table(spark, sf_dir, "documents")))  # words are counted once, not for each use of the sizes
+    return mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixing_sql(documents: str = "documents") -> str:
