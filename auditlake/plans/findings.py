@@ -241,11 +241,11 @@ def flatten_buckets(spark, sf):
     return R.flattened(found.groupBy("user_id").agg(*lists), ["user_id"])
 
 
-@query("""SELECT c_custkey, coalesce(nullif(nullif(c_mktsegment, 'BUILDING'), ''), 'N/A') AS segment, round_even(c_acctbal / 1024, 2) + 0.0 AS size_mb, CAST([] AS VARCHAR[])::VARCHAR AS permissions
+@query("""SELECT c_custkey, coalesce(nullif(nullif(c_mktsegment, 'BUILDING'), ''), 'N/A') AS segment, round_even(c_acctbal / 7.0::DOUBLE, 2) + 0.0 AS size_mb, CAST([] AS VARCHAR[])::VARCHAR AS permissions
  FROM customer""")
 def app_info_projection(spark, sf):
     segment = F.coalesce(T.clean(F.when(F.col("c_mktsegment") == "BUILDING", "Unknown").otherwise(F.col("c_mktsegment"))), F.lit("N/A"))
-    return read(spark, sf, "customer").select("c_custkey", segment.alias("segment"), F.bround(F.col("c_acctbal") / 1024, 2).alias("size_mb"), F.lit("[]").alias("permissions"))
+    return read(spark, sf, "customer").select("c_custkey", segment.alias("segment"), F.bround(F.col("c_acctbal") / 7.0, 2).alias("size_mb"), F.lit("[]").alias("permissions"))
 
 
 @query("SELECT user_id, count(*) FILTER (event_type = 'purchase') AS verified, count(*) AS total FROM events GROUP BY user_id")
