@@ -26,6 +26,10 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark then deletes the shuffle files of a write as soon as it ends; else they stay until the driver's collector runs.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     _shared_folder(df.sparkSession)
@@ -36,7 +40,12 @@ def cut_table(df: DataFrame) -> DataFrame:
     """Cut lineage with a table written to the shared folder, which is smaller than a checkpoint; it goes when the driver ends."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/auditlake-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

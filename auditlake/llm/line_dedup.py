@@ -14,8 +14,18 @@ LEAST_WORDS = 10
 HASH_RANGE = 1 << 40
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+def _normal(line: Column) -> Column:
+    """The words of the line with one space between; lines are equal in this form if their words are."""
+    return F.regexp_replace(_bare(line), f"[{SPACE}]{{2,}}|[\\x09-\\x0D]", " ")
+
+
 def _words(line: Column) -> Column:
-    return F.filter(F.split(line, f"[{SPACE}]+"), lambda w: w != "")
+    """Words of a line that has any."""
+    return F.split(_normal(line), " ")
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -25,12 +35,12 @@ def _docs(docs: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame) -> DataFrame:
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
-    lines = docs.select("doc_id", "text_hash", split).withColumn("words", _words(F.col("line")))
-    return lines.where(F.size("words") > 0).select(
+    lines = docs.select("doc_id", "text_hash", split).where(_bare(F.col("line")) != "")
+    return lines.withColumn("normal", _normal(F.col("line"))).select(
         F.struct("doc_id", "text_hash", "line_no").alias("at"),
-        F.xxhash64("words").alias("h1"),
-        F.xxhash64(F.lit(1), "words").alias("h2"),
-        "words",
+        F.xxhash64("normal").alias("h1"),
+        F.hash("normal").alias("h2"),
+        "normal",
     )
 
 
@@ -113,12 +123,13 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """doc_id, text_hash, removed (sorted line numbers from 0) of the documents that lose lines."""
     docs = _docs(docs)
     lines = _lines(docs)
-    first = lines.select("at", "h1", "h2", _halves(least_words).alias("halves")).groupBy("h1", "h2")
+    split = lines.withColumn("words", F.split("normal", " "))
+    first = split.select("at", "h1", "h2", _halves(least_words).alias("halves")).groupBy("h1", "h2")
     first = cut_table(first.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
 
-    halves = first.select("first", F.explode(F.array_distinct("halves")).alias("half"))
+    halves = first.select("first.*", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").count().where("count > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("first.*").distinct()
+    chosen = halves.join(shared, "half", "left_semi").select("doc_id", "text_hash", "line_no").distinct()
     wanted = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("line_nos"))
     with_text = docs.alias("a").join(wanted.alias("b"), _same_key(["doc_id", "text_hash"])).select("a.*", "line_nos")
     near = with_text.dropDuplicates(["doc_id", "text_hash"]).select(
