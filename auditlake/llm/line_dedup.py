@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import SPACE, cut_table, table
 
 LEAST_WORDS = 10
+#: A line that holds none of these has single spaces only.
+FOLDED = ("  ", "\t", "\n", "\x0b", "\f", "\r")
 #: Word hashes keep 40 bits, so that a sum of them over 8 million words of a line stays within a long.
 HASH_RANGE = 1 << 40
 
@@ -19,8 +21,10 @@ def _bare(line: Column) -> Column:
 
 
 def _normal(line: Column) -> Column:
-    """The words of the line with one space between; lines are equal in this form if their words are."""
-    return F.regexp_replace(_bare(line), f"[{SPACE}]{{2,}}|[\\x09-\\x0D]", " ")
+    """The words of the line with one space between; lines are equal in this form if their words are. Most need no folding."""
+    bare = _bare(line)
+    folded = F.regexp_replace(bare, f"[{SPACE}]{{2,}}|[\\x09-\\x0D]", " ")
+    return F.when(reduce(lambda a, b: a | b, (F.contains(bare, F.lit(c)) for c in FOLDED)), folded).otherwise(bare)
 
 
 def _words(line: Column) -> Column:
@@ -144,7 +148,7 @@ def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     pairs = near_lines(near)
     mine = near.select(F.col("at").alias("at_a"), F.col("words").alias("words_a"))
     theirs = near.select(F.col("at").alias("at_b"), F.col("words").alias("words_b"))
-    verified = (
+    verified = cut_table(
         pairs.join(mine, F.col("at").eqNullSafe(F.col("at_a")))
         .join(theirs, F.col("partner").eqNullSafe(F.col("at_b")))
         .where(_within_one_edit(F.col("words_a"), F.col("words_b")))
