@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, cut_table, table
+from auditlake.llm.common import cut_table, table
 from auditlake.llm.shingles import shingle_hashes
 
 #: 100 * intersection >= 75 * union.
@@ -265,7 +265,7 @@ def verified(pairs: DataFrame, texts: DataFrame, order: GlobalOrder) -> DataFram
 def components(edges: DataFrame) -> DataFrame:
     """key, component (least key) of the nodes of ``edges`` (a, b), by alternating large-star and small-star steps: every node links
     its larger neighbours, then its smaller ones and itself, to the least it knows, until nothing changes."""
-    edges = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    edges = cut_table(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
     before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -273,7 +273,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        edges = cut(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
+        edges = cut_table(small.unionByName(smallest.select("u", F.col("m").alias("v"))).distinct())
         state = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if state == before:
             break
@@ -310,7 +310,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     maps = cut_table(with_words.select("key", "n_shingles", "bits").join(shared.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]))
     pairs = shared.where("key != centre").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     side = lambda s: maps.select(F.col("key").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
-    first = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_star_filter, "a long, b long"))
+    first = cut_table(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_star_filter, "a long, b long"))
 
     owner = with_words.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     wanted_ids = owner.join(shared.select("key").distinct(), "key", "left_semi")
@@ -331,7 +331,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
         return cut_table(rows.select("key", "text").mapInPandas(own, "key long, text string").dropDuplicates(["key"]))
 
     ends = lambda p: p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key")))
-    links = cut(verified(first, texts_for(ends(first)), order))
+    links = cut_table(verified(first, texts_for(ends(first)), order))
     grouped = components(links)
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     turn = 0
@@ -348,11 +348,11 @@ def near_copies(docs: DataFrame) -> DataFrame:
         tasks = max(1, blocks.count() // TASK_ROWS)
         task = F.pmod(F.xxhash64("code", "i", "j"), F.lit(tasks)).alias("task")
         near = blocks.join(maps, "key").groupBy(task).applyInPandas(_comparing(nearest), "a long, b long")
-        more = cut(near.distinct().join(done, ["a", "b"], "left_anti"))
+        more = cut_table(near.distinct().join(done, ["a", "b"], "left_anti"))
         if more.limit(1).count():
-            links = cut(links.unionByName(verified(more, texts_for(ends(more)), order)))
+            links = cut_table(links.unionByName(verified(more, texts_for(ends(more)), order)))
             grouped = components(links)
-            done = cut(done.unionByName(more))
+            done = cut_table(done.unionByName(more))
         elif nearest:
             turn = NEAREST_ROUNDS  # the nearest are known: on to all that is left
             continue
