@@ -18,11 +18,14 @@ from auditlake.llm.common import in_training_part, table
 SAMPLE_ROWS = 3000
 HASH_BITS = 20
 PREFIXES = (4, 5, 6)
-#: Terms that the machine keeps: those most surely associated with a label.
-TERMS = 1024
-LEAST_Z = 3.0
 FACTORS = 4
+#: Steps for the weights alone, as many again for weights and factors.
 TRAIN_STEPS = 150
+STEP = 0.05
+#: A weight is drawn towards 0 with so many standard deviations of its gradient under chance, which eases as it grows past EASE. Every
+#: term of the sample takes part at each step, with the others; a rare one is held back by as much as chance moves it.
+SHRINK = 3.0
+EASE = 0.1
 TOXIC_FROM = 0.3
 CACHED_WORDS = 400_000
 
@@ -45,64 +48,109 @@ def document_terms(text: str | None) -> np.ndarray:
 
 @dataclass
 class Machine:
-    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the kept terms of a text."""
+    """score = sigmoid(bias + sum w_i + sum over pairs <v_i, v_j>) over the terms of a text that the sample has; ``place`` gives the row
+    of each bucket, -1 for those that no sampled document has."""
 
-    place: dict[int, int]
+    place: np.ndarray
     bias: float
     weights: np.ndarray
     factors: np.ndarray
 
 
-def _select(terms: list[np.ndarray], toxic: np.ndarray, keep: int) -> np.ndarray:
-    """Buckets whose share among toxic and other documents differs most surely (z of the log odds ratio)."""
-    flat = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-    owner = np.repeat(toxic, [len(t) for t in terms])
-    inside = np.bincount(flat[owner == 1], minlength=1 << HASH_BITS).astype(np.float64)
-    outside = np.bincount(flat[owner == 0], minlength=1 << HASH_BITS).astype(np.float64)
-    n1, n0 = float((toxic == 1).sum()), float((toxic == 0).sum())
-    odds = np.log((inside + 0.5) / (n1 - inside + 0.5)) - np.log((outside + 0.5) / (n0 - outside + 0.5))
-    spread = np.sqrt(1 / (inside + 0.5) + 1 / (n1 - inside + 0.5) + 1 / (outside + 0.5) + 1 / (n0 - outside + 0.5))
-    z = np.abs(odds / spread)
-    z[inside + outside < 5] = 0
-    best = np.argsort(-z, kind="stable")[:keep]
-    return best[z[best] >= LEAST_Z]
+class SparseRows:
+    """A matrix of 0 and 1, by the columns of each row; every column has a 1. Products with vectors and matrices only."""
 
+    dtype = np.dtype(np.float32)
 
-def loss_and_gradients(x: np.ndarray, y: np.ndarray, bias: np.ndarray, w: np.ndarray, v: np.ndarray, decay: float):
-    """Mean logistic loss of rows of 0/1 terms with weight decay, and gradients of bias, w and v."""
+    def __init__(self, rows: list[np.ndarray], width: int):
+        lengths = np.array([len(r) for r in rows], np.int64)
+        columns = np.concatenate(rows).astype(np.int32)
+        owners = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
+        by_column = np.argsort(columns, kind="stable")
+        counts = np.bincount(columns, minlength=width)
+        self.counts = counts
+        self._take, self._sizes = columns, lengths
+        self._back, self._back_sizes = owners[by_column], counts
+
+    def __matmul__(self, other: np.ndarray) -> np.ndarray:
+        return _sums(other, self._take, self._sizes)
+
+    @property
+    def T(self) -> SparseRows:  # noqa: N802
+        turned = object.__new__(SparseRows)
+        turned._take, turned._sizes, turned._back, turned._back_sizes = self._back, self._back_sizes, self._take, self._sizes
+        return turned
+
+
+def _sums(values: np.ndarray, take: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of the ``values`` taken for each row, so many as its size."""
+    if values.ndim == 2:
+        if not values.shape[1]:
+            return np.zeros((len(sizes), 0), values.dtype)
+        return np.stack([_sums(np.ascontiguousarray(c), take, sizes) for c in values.T], axis=1)
+    out = np.zeros(len(sizes), values.dtype)
+    filled = np.flatnonzero(sizes)
+    if len(filled):
+        out[filled] = np.add.reduceat(values[take], (np.cumsum(sizes) - sizes)[filled])
+    return out
+
+
+def loss_and_gradients(x, y: np.ndarray, bias: np.ndarray, w: np.ndarray, v: np.ndarray, decay):
+    """Mean logistic loss of rows of 0/1 terms with weight decay (one for all terms or one for each), and gradients of bias, w and v."""
+    decay = np.broadcast_to(np.asarray(decay, w.dtype), w.shape)
     sums = x @ v
-    scores = bias + x @ w + 0.5 * (sums * sums - x @ (v * v)).sum(axis=1)
+    scores = bias + x @ w + 0.5 * ((sums * sums).sum(axis=1) - x @ (v * v).sum(axis=1))
     p = 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
-    loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean() + 0.5 * decay * ((w * w).sum() + (v * v).sum()))
+    size = (decay * (w * w + (v * v).sum(axis=1))).sum()
+    loss = float(-(y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9)).mean() + 0.5 * size)
     g = ((p - y) / len(y)).astype(x.dtype)
-    g_w = x.T @ g + decay * w
-    g_v = x.T @ (g[:, None] * sums) - (x.T @ g)[:, None] * v + decay * v
-    return loss, [np.array([g.sum()]), g_w, g_v]
+    g_terms = x.T @ g
+    g_v = x.T @ (g[:, None] * sums) - g_terms[:, None] * v + decay[:, None] * v
+    return loss, [np.array([g.sum()]), g_terms + decay * w, g_v]
 
 
-def train(terms: list[np.ndarray], toxic: list[int], prior: float | None = None, keep: int = TERMS, steps: int = TRAIN_STEPS, seed: int = 5) -> Machine:
-    """Fit a machine to labelled term sets by Adam. ``prior`` is the share of toxic rows where the model will be used; the bias is
-    moved from the sample's share to it. Same input, same machine."""
+def _descend(array: np.ndarray, grad: np.ndarray, chance: np.ndarray, state: list[np.ndarray], step: int) -> None:
+    """A step of Adam in place, then a pull to 0 in the same metric by SHRINK times ``chance``, the gradient's deviation."""
+    first, second = state
+    first += 0.1 * (grad - first)
+    second += 0.01 * (grad * grad - second)
+    rate = STEP / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    array -= rate * first / (1 - 0.9**step)
+    pull = rate * SHRINK * chance / (1 + np.abs(array) / EASE)
+    array[:] = np.sign(array) * np.maximum(np.abs(array) - pull, 0)
+
+
+def train(terms: list[np.ndarray], toxic: list[int], prior: float | None = None, steps: int = TRAIN_STEPS, seed: int = 5) -> Machine:
+    """Fit a machine to labelled term sets over all their terms. ``prior`` is the share of toxic rows where the model will be used; the
+    bias is moved from the sample's share to it. Same input, same machine.
+
+    Weights are fitted first. The factors then start at multiples of them, so that a term that only counts beside another, like a
+    group's name beside an insult, has a gradient although it alone says nothing."""
     y = np.asarray(toxic, np.float32)
-    kept = _select(terms, y, keep) if 0 < y.sum() < len(y) else np.zeros(0, np.int64)
-    place = {int(b): i for i, b in enumerate(kept)}
-    x = np.zeros((len(terms), len(kept)), np.float32)
-    for row, own in enumerate(terms):
-        x[row, [place[t] for t in own.tolist() if t in place]] = 1
-    rng = np.random.default_rng(seed)
-    arrays = [np.zeros(1, np.float32), np.zeros(len(kept), np.float32), (rng.standard_normal((len(kept), FACTORS)) * 0.05).astype(np.float32)]
-    first, second = [np.zeros_like(a) for a in arrays], [np.zeros_like(a) for a in arrays]
-    for step in range(1, steps + 1) if len(kept) else ():
-        _, grads = loss_and_gradients(x, y, *arrays, decay=1e-4)
-        for a, g, m, s in zip(arrays, grads, first, second, strict=True):
-            m += 0.1 * (g - m)
-            s += 0.01 * (g * g - s)
-            a -= 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-8)
-    odds = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    seen = np.unique(np.concatenate(terms)) if len(terms) and 0 < y.sum() < len(y) else np.zeros(0, np.int32)
+    place = np.full(1 << HASH_BITS, -1, np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
     share = float(y.mean()) if len(y) else 0.5
-    base = float(arrays[0][0]) if len(kept) else odds(share)
-    bias = base + (0.0 if prior is None else float(odds(prior) - odds(share)))
-    return Machine(place, bias, arrays[1], arrays[2])
+    bias, w, v = np.zeros(1, np.float32), np.zeros(len(seen), np.float32), np.zeros((len(seen), FACTORS), np.float32)
+    if len(seen):
+        x = SparseRows([place[t] for t in terms], len(seen))
+        chance = lambda squares: np.sqrt(share * (1 - share) * np.maximum(squares, 0)) / len(y)
+        alone = chance(x.counts).astype(np.float32)
+        for factors in (v[:, :0], v):
+            if factors.shape[1]:
+                v += w[:, None] * np.random.default_rng(seed).standard_normal(FACTORS).astype(np.float32)
+            states = [[np.zeros_like(a), np.zeros_like(a)] for a in (bias, w, factors)]
+            for step in range(1, steps + 1):
+                _, grads = loss_and_gradients(x, y, bias, w, factors, decay=1e-5)
+                if factors.shape[1] and step % 10 == 1:
+                    beside = chance(x.T @ np.square(x @ factors)).astype(np.float32)
+                _descend(bias, grads[0], np.zeros(1), states[0], step)
+                _descend(w, grads[1], alone, states[1], step)
+                if factors.shape[1]:
+                    _descend(factors, grads[2], beside, states[2], step)
+    odds = lambda p: np.log(np.clip(p, 1e-4, 1 - 1e-4) / (1 - np.clip(p, 1e-4, 1 - 1e-4)))
+    base = float(bias[0]) if len(seen) else odds(share)
+    return Machine(place, base + (0.0 if prior is None else float(odds(prior) - odds(share))), w, v)
 
 
 def scores(machine: Machine, texts: list[str | None]) -> np.ndarray:
@@ -115,7 +163,7 @@ def scores(machine: Machine, texts: list[str | None]) -> np.ndarray:
             if places is None:
                 if len(cache) >= CACHED_WORDS:
                     cache.clear()
-                places = cache[word] = tuple(machine.place[b] for b in hashed_terms(word) if b in machine.place)
+                places = cache[word] = tuple(p for p in machine.place[list(hashed_terms(word))].tolist() if p >= 0)
             if places:
                 found.update(places)
         own = sorted(found)
