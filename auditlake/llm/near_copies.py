@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import cut_table, table
@@ -147,26 +147,40 @@ def frequent_shingles(docs: DataFrame) -> GlobalOrder:
     return GlobalOrder(np.array([r[0] for r in rows], np.int64).view(np.uint64), np.array([r[1] for r in rows], np.int64))
 
 
-_SKETCH = "doc_id long, n_shingles long, key long, prefix array<long>, bits binary"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, key long, prefix array<long>, bits binary"
 
 
 def sketches(docs: DataFrame, order: GlobalOrder) -> DataFrame:
-    """doc_id, n_shingles, key (of the set; equal sets have equal keys), prefix codes and parity bits of every row."""
+    """doc_id, text_hash, n_shingles, key (of the set; equal sets have equal keys), prefix codes and parity bits of every row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, text_hash, text in zip(batch["doc_id"], batch["text_hash"], batch["text"], strict=True):
                 hashes = shingle_hashes(text)
                 key = int.from_bytes(hashlib.blake2b(hashes.tobytes(), digest_size=8).digest(), "little", signed=True)
                 n = len(hashes)
                 prefix = order.codes(hashes)[: prefix_length(n)] if n else hashes
-                rows.append((doc_id, n, key, prefix.view(np.int64), parity_bits(hashes).tobytes() if n else b""))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_shingles", "key", "prefix", "bits"])
+                rows.append((doc_id, text_hash, n, key, prefix.view(np.int64), parity_bits(hashes).tobytes() if n else b""))
+            out = pd.DataFrame(rows, columns=["doc_id", "text_hash", "n_shingles", "key", "prefix", "bits"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, _SKETCH)
+    return _named(docs).mapInPandas(run, _SKETCH)
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, text: the two first name a document, even if ids repeat or are null."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
+def _first_document() -> Column:
+    """Of a group, the document with the least id, and text hash where ids are equal; null ids come last."""
+    return F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+
+
+def _same_document() -> Column:
+    return F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, differ: np.ndarray) -> np.ndarray:
@@ -283,13 +297,8 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are left out).
-
-    Two documents link if 100 * |intersection| >= 75 * |union| of their sets of 5-word shingles; component_id is the smallest doc_id
-    reachable. Documents without words link with nothing. Equal sets are one class and are joined once (classes are told apart by
-    a 64-bit hash of the set); repeated rows get equal results; a null id counts as smaller than none and is no component_id
-    unless all of its group are null.
+def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sketches of ``docs`` and, of the classes that link with another, key and component (see ``near_copies``).
 
     Classes that link share an element among the first quarter of their sets in the global order, so these elements are the buckets
     of the join; elements in one class only and buckets with the same members as another drop out. First each
@@ -312,23 +321,14 @@ def near_copies(docs: DataFrame) -> DataFrame:
     side = lambda s: maps.select(F.col("key").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("bits").alias(f"bits_{s}"))
     first = cut_table(pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(_star_filter, "a long, b long"))
 
-    owner = with_words.groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    wanted_ids = owner.join(shared.select("key").distinct(), "key", "left_semi")
+    members = with_words.select("key", "doc_id", "text_hash").join(shared.select("key").distinct(), "key", "left_semi")
+    wanted = cut_table(members.groupBy("key").agg(_first_document()).select("key", "first.doc_id", "first.text_hash"))
 
     def texts_for(some: DataFrame) -> DataFrame:
-        """key, text of the classes in ``some``; a row with the same id and another text is told apart by its key."""
-        ids = wanted_ids.join(some.distinct(), "key", "left_semi")
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-
-        def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                keep = [
-                    int.from_bytes(hashlib.blake2b(shingle_hashes(t).tobytes(), digest_size=8).digest(), "little", signed=True) == k
-                    for k, t in zip(batch["key"], batch["text"], strict=True)
-                ]
-                yield batch.loc[keep, ["key", "text"]]
-
-        return cut_table(rows.select("key", "text").mapInPandas(own, "key long, text string").dropDuplicates(["key"]))
+        """key, text of the classes in ``some``, each from its first document, which may lack an id or share it."""
+        ids = wanted.join(some.distinct(), "key", "left_semi")
+        rows = _named(docs).alias("a").join(ids.alias("b"), _same_document())
+        return cut_table(rows.select("key", "text").dropDuplicates(["key"]))
 
     ends = lambda p: p.select(F.col("a").alias("key")).unionByName(p.select(F.col("b").alias("key")))
     links = cut_table(verified(first, texts_for(ends(first)), order))
@@ -359,6 +359,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
         if not nearest:
             break
         turn += 1
+    return sketch, grouped
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text; other columns are left out).
+
+    Two documents link if 100 * |intersection| >= 75 * |union| of their sets of 5-word shingles; component_id is the smallest doc_id
+    reachable. Documents without words link with nothing. Equal sets are one class and are joined once (classes are told apart by
+    a 64-bit hash of the set); repeated rows get equal results; a null id counts as smaller than none and is no component_id
+    unless all of its group are null.
+    """
+    sketch, grouped = linked_classes(docs)
+    owner = sketch.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
     named = owner.join(grouped, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     result = named.select("key", "component").join(least, "component").select(F.col("key").alias("of"), "component_id")
@@ -366,6 +379,18 @@ def near_copies(docs: DataFrame) -> DataFrame:
     return rows.join(result, F.col("key") == F.col("of"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def first_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are the first document of their group of near copies, each document (id and text) once. Rows without
+    words, which link with nothing, stay; so do rows without an id, or with the id of another text, that no other row is near."""
+    sketch, grouped = linked_classes(docs)
+    worded = sketch.where("n_shingles > 0").join(grouped, "key", "left").groupBy(F.coalesce("component", "key").alias("component"))
+    worded = worded.agg(_first_document()).select("first.doc_id", "first.text_hash")
+    first = worded.unionByName(sketch.where("n_shingles = 0").select("doc_id", "text_hash").distinct())
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    kept = named.alias("a").join(first.alias("b"), _same_document(), "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.select("own.*")
+
+
 def op7_near_copies(spark, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
