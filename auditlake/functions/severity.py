@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Severity names and their order, the weights of the CVSS v3.1 specification, the bands of its scores, and the
@@ -59,34 +59,44 @@ def rank(severity: Column) -> Column:
 def cvss_metric(vector: Column, metric: str) -> Column:
     """The last valid value of a metric in a vector, in any order and case; null if there is none."""
     values = "".join(CVSS_WEIGHTS[metric])
-    body = F.regexp_replace(F.upper(F.trim(vector)), r"^CVSS:3\.[01]/", "")
-    found = F.filter(F.split(body, "/"), lambda p: F.trim(p).rlike(rf"^{metric}\s*:\s*[{values}]$"))
-    return F.right(F.trim(F.try_element_at(found, F.lit(-1))), F.lit(1))
+    found = F.regexp_extract(F.upper(F.trim(vector)), rf"(?s)^(?:.*/)?\x20*{metric}\s*:\s*([{values}])\x20*(?:/.*)?$", 1)
+    return F.nullif(found, F.lit(""))
 
 
-def cvss_round_up(score: Column) -> Column:
-    """Smallest number with one decimal that is not below the score, by the integer rule of the specification."""
-    i = F.bround(score * 100000).cast("long")
+def _rounded_up(i: Column) -> Column:
+    """Smallest number with one decimal that is not below i / 100000, by the integer rule of the specification."""
     return F.when(i % 10000 == 0, i / 100000.0).otherwise((F.floor(i / 10000) + 1) / 10.0)
 
 
-def cvss_score(vector: Column) -> Column:
-    """CVSS v3.1 base score; null unless all eight base metrics are valid."""
-    value = {m: cvss_metric(vector, m) for m in CVSS_WEIGHTS}
+def with_cvss_score(df: DataFrame, vector: str = "vector", score: str = "score") -> DataFrame:
+    """``df`` with the CVSS v3.1 base score of a vector; null unless all eight base metrics are valid. A column of that name is replaced.
 
-    def weight(m: str, weights: dict[str, float]) -> Column:
-        return reduce(lambda c, kv: c.when(value[m] == kv[0], kv[1]), list(weights.items())[1:], F.when(value[m] == next(iter(weights)), weights[next(iter(weights))]))
+    Metrics, weights and sub-scores are columns of selections of their own, so that each is found once, not at each use.
+    """
+    own = [F.col(f"`{c}`") for c in df.columns if c != score]
+    metrics = df.select(*own, *[cvss_metric(F.col(f"`{vector}`"), m).alias(f"cvss__{m}") for m in CVSS_WEIGHTS])
 
-    w = {m: weight(m, t) for m, t in CVSS_WEIGHTS.items()}
-    changed = value["S"] == "C"
-    privileges = F.when(changed, weight("PR", PR_CHANGED)).otherwise(w["PR"])
+    def weight(m: str, weights: dict[str, float]) -> Column:
+        value, (first, *rest) = F.col(f"cvss__{m}"), weights.items()
+        return reduce(lambda c, kv: c.when(value == kv[0], kv[1]), rest, F.when(value == first[0], first[1]))
+
+    changed = F.col("cvss__S") == "C"
+    complete = reduce(lambda a, b: a & b, (F.col(f"cvss__{m}").isNotNull() for m in CVSS_WEIGHTS))
+    weights = {m: weight(m, t) for m, t in CVSS_WEIGHTS.items() if m != "S"}
+    weights["PR"] = F.when(changed, weight("PR", PR_CHANGED)).otherwise(weights["PR"])
+    w = {m: F.col(f"cvss_w_{m}") for m in weights}
+    weighed = metrics.select(*own, changed.alias("cvss__S"), complete.alias("cvss__all"), *[c.alias(f"cvss_w_{m}") for m, c in weights.items()])
     base = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
-    impact = F.when(changed, 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))).otherwise(6.42 * base)
-    exploit = 8.22 * w["AV"] * w["AC"] * privileges * w["UI"]
-    both = F.when(changed, 1.08 * (impact + exploit)).otherwise(impact + exploit)
-    score = F.when(impact <= 0, F.lit(0.0)).otherwise(cvss_round_up(F.least(both, F.lit(10.0))))
-    complete = reduce(lambda a, b: a & b, (v.isNotNull() for v in value.values()))
-    return F.when(complete, score)
+    exploit = 8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]
+    based = weighed.select(*own, "cvss__S", "cvss__all", base.alias("cvss__base"), exploit.alias("cvss__exploit"))
+    base, impact = F.col("cvss__base"), F.col("cvss__impact")
+    changed_impact = 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))
+    felt = based.select(*own, "cvss__S", "cvss__all", F.when(F.col("cvss__S"), changed_impact).otherwise(6.42 * base).alias("cvss__impact"), "cvss__exploit")
+    both = impact + F.col("cvss__exploit")
+    both = F.least(F.when(F.col("cvss__S"), 1.08 * both).otherwise(both), F.lit(10.0))
+    summed = felt.select(*own, "cvss__all", "cvss__impact", F.bround(both * 100000).cast("long").alias("cvss__both"))
+    rounded = F.when(impact <= 0, F.lit(0.0)).otherwise(_rounded_up(F.col("cvss__both")))
+    return summed.select(*own, F.when(F.col("cvss__all"), rounded).alias(score))
 
 
 def cvss_band(score: Column) -> Column:
@@ -95,9 +105,9 @@ def cvss_band(score: Column) -> Column:
     return F.when(score.isNotNull(), bands.otherwise("Critical"))
 
 
-def finding_severity(word: Column, vector: Column) -> Column:
-    """The vector's severity if it is valid, else the word's."""
-    return F.coalesce(cvss_band(cvss_score(vector)), word_severity(word))
+def finding_severity(word: Column, score: Column) -> Column:
+    """The severity of the vector's score if there is one, else the word's."""
+    return F.coalesce(cvss_band(score), word_severity(word))
 
 
 def security_score(counts: dict[str, Column], points: dict[str, float] = POINTS_JSON, analysed: Column | None = None) -> Column:

@@ -134,8 +134,8 @@ def normalised(findings: DataFrame, keys: list[str]) -> DataFrame:
     start, end = F.coalesce(span["s"], F.lit(0)), F.coalesce(span["e"], F.lit(0))
     place = F.when(start == 0, F.coalesce("location", F.lit(""))).when(start == end, F.concat(F.lit("line "), start.cast("string")))
     snippet = F.replace(F.coalesce("code_snippet", F.lit("")), F.lit('\\"'), F.lit('"'))
-    score = S.cvss_score(F.col("cvss_vector"))
-    return findings.select(
+    score = F.col("cvss_score")
+    return S.with_cvss_score(findings, "cvss_vector", "cvss_score").select(
         *keys,
         title.alias("title"),
         F.coalesce(_given("file"), _given("location"), F.lit("Unknown")).alias("file"),
@@ -144,9 +144,9 @@ def normalised(findings: DataFrame, keys: list[str]) -> DataFrame:
         place.otherwise(F.concat(F.lit("lines "), start.cast("string"), F.lit("-"), end.cast("string"))).alias("location"),
         F.when(snippet.contains("<"), F.regexp_replace(snippet, r"\s+", " ")).otherwise(snippet).alias("code_snippet"),
         "description",
-        S.finding_severity(F.col("severity"), F.col("cvss_vector")).alias("severity"),
+        S.finding_severity(F.col("severity"), score).alias("severity"),
         F.when(score.isNotNull(), F.col("cvss_vector")).alias("cvss_vector"),
-        score.alias("cvss_score"),
+        "cvss_score",
     )
 
 

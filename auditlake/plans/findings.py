@@ -158,12 +158,12 @@ _SQL_BAND = "CASE WHEN score = 0 THEN 'Informational' WHEN score < 4 THEN 'Low'
 
 @query(f"WITH {_SQL_SCORES} SELECT l_orderkey, l_linenumber, vector, score FROM r")
 def cvss_score(spark, sf):
-    return vectors(spark, sf).withColumn("score", S.cvss_score(F.col("vector")))
+    return S.with_cvss_score(vectors(spark, sf))
 
 
 @query(f"WITH {_SQL_SCORES} SELECT {_SQL_BAND} AS severity, count(*) AS n, min(score) AS least, max(score) AS most FROM r GROUP BY 1")
 def cvss_severity(spark, sf):
-    scored = vectors(spark, sf).withColumn("score", S.cvss_score(F.col("vector")))
+    scored = S.with_cvss_score(vectors(spark, sf))
     return scored.groupBy(S.cvss_band(F.col("score")).alias("severity")).agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("most"))
 
 

@@ -27,8 +27,14 @@ def values(spark, column, inputs):
     ],
 )
 def test_cvss(spark, vector, score, band):
-    assert values(spark, S.cvss_score, [vector]) == [score]
-    assert values(spark, lambda v: S.cvss_band(S.cvss_score(v)), [vector]) == [band]
+    rows = S.with_cvss_score(spark.createDataFrame([(vector,)], "vector string"))
+    assert tuple(rows.select("score", S.cvss_band(F.col("score"))).first()) == (score, band)
+
+
+def test_each_metric_of_a_vector_is_read_once(spark):
+    rows = S.with_cvss_score(spark.createDataFrame([("AV:N",)], "vector string"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract") == len(S.CVSS_WEIGHTS)
 
 
 def test_last_valid_metric_wins(spark):
