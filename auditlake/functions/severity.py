@@ -58,9 +58,18 @@ def rank(severity: Column) -> Column:
 
 def cvss_metric(vector: Column, metric: str) -> Column:
     """The last valid value of a metric in a vector, in any order and case; null if there is none."""
-    values = "".join(CVSS_WEIGHTS[metric])
-    found = F.regexp_extract(F.upper(F.trim(vector)), rf"(?s)^(?:.*/)?\x20*{metric}\s*:\s*([{values}])\x20*(?:/.*)?$", 1)
-    return F.nullif(found, F.lit(""))
+    return F.nullif(_value(_valid_metrics(vector), metric), F.lit(""))
+
+
+def _valid_metrics(vector: Column) -> Column:
+    """The valid metrics of a vector, the last first, as /AV:N/AC:L and so on."""
+    one = "|".join(rf"{m}\s*:\s*[{''.join(values)}]" for m, values in CVSS_WEIGHTS.items())
+    found = F.regexp_extract_all(F.concat(F.lit("/"), F.upper(F.trim(vector))), F.lit(rf"/\x20*(?:{one})\x20*(?=/|$)"), F.lit(0))
+    return F.translate(F.array_join(F.reverse(found), ""), " \t\n\x0b\f\r", "")
+
+
+def _value(valid_metrics: Column, metric: str) -> Column:
+    return F.left(F.split_part(valid_metrics, F.lit(f"/{metric}:"), F.lit(2)), F.lit(1))
 
 
 def _rounded_up(i: Column) -> Column:
@@ -71,32 +80,35 @@ def _rounded_up(i: Column) -> Column:
 def with_cvss_score(df: DataFrame, vector: str = "vector", score: str = "score") -> DataFrame:
     """``df`` with the CVSS v3.1 base score of a vector; null unless all eight base metrics are valid. A column of that name is replaced.
 
-    Metrics, weights and sub-scores are columns of selections of their own, so that each is found once, not at each use.
+    Metrics, weights and sub-scores are columns of selections of their own, so that each is found once, not at each use; weights come
+    from constant maps, as long chains of conditions would make the generated method too long for the compiler.
     """
     own = [F.col(f"`{c}`") for c in df.columns if c != score]
-    metrics = df.select(*own, *[cvss_metric(F.col(f"`{vector}`"), m).alias(f"cvss__{m}") for m in CVSS_WEIGHTS])
+    valid = df.select(*own, _valid_metrics(F.col(f"`{vector}`")).alias("cvss__valid"))
+    metrics = valid.select(*own, *[_value(F.col("cvss__valid"), m).alias(f"cvss__{m}") for m in CVSS_WEIGHTS])
 
     def weight(m: str, weights: dict[str, float]) -> Column:
-        value, (first, *rest) = F.col(f"cvss__{m}"), weights.items()
-        return reduce(lambda c, kv: c.when(value == kv[0], kv[1]), rest, F.when(value == first[0], first[1]))
+        table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+        return F.try_element_at(table, F.col(f"cvss__{m}"))
 
-    changed = F.col("cvss__S") == "C"
-    complete = reduce(lambda a, b: a & b, (F.col(f"cvss__{m}").isNotNull() for m in CVSS_WEIGHTS))
+    changed = F.nullif(F.col("cvss__S"), F.lit("")) == "C"
     weights = {m: weight(m, t) for m, t in CVSS_WEIGHTS.items() if m != "S"}
     weights["PR"] = F.when(changed, weight("PR", PR_CHANGED)).otherwise(weights["PR"])
     w = {m: F.col(f"cvss_w_{m}") for m in weights}
-    weighed = metrics.select(*own, changed.alias("cvss__S"), complete.alias("cvss__all"), *[c.alias(f"cvss_w_{m}") for m, c in weights.items()])
+    weighed = metrics.select(*own, changed.alias("cvss__S"), *[c.alias(f"cvss_w_{m}") for m, c in weights.items()])
     base = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
     exploit = 8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]
-    based = weighed.select(*own, "cvss__S", "cvss__all", base.alias("cvss__base"), exploit.alias("cvss__exploit"))
+    based = weighed.select(*own, "cvss__S", base.alias("cvss__base"), exploit.alias("cvss__exploit"))
     base, impact = F.col("cvss__base"), F.col("cvss__impact")
     changed_impact = 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))
-    felt = based.select(*own, "cvss__S", "cvss__all", F.when(F.col("cvss__S"), changed_impact).otherwise(6.42 * base).alias("cvss__impact"), "cvss__exploit")
+    felt = based.select(*own, "cvss__S", F.when(F.col("cvss__S"), changed_impact).otherwise(6.42 * base).alias("cvss__impact"), "cvss__exploit")
     both = impact + F.col("cvss__exploit")
-    both = F.least(F.when(F.col("cvss__S"), 1.08 * both).otherwise(both), F.lit(10.0))
-    summed = felt.select(*own, "cvss__all", "cvss__impact", F.bround(both * 100000).cast("long").alias("cvss__both"))
+    both = F.when(F.col("cvss__S"), 1.08 * both).otherwise(both)
+    both = F.when(both > 10, 10.0).otherwise(both)  # unlike the least of both, null if one is
+    summed = felt.select(*own, "cvss__S", "cvss__impact", F.bround(both * 100000).cast("long").alias("cvss__both"))
     rounded = F.when(impact <= 0, F.lit(0.0)).otherwise(_rounded_up(F.col("cvss__both")))
-    return summed.select(*own, F.when(F.col("cvss__all"), rounded).alias(score))
+    complete = F.col("cvss__S").isNotNull() & F.col("cvss__both").isNotNull()  # a missing metric makes the sum null
+    return summed.select(*own, F.when(complete, rounded).alias(score))
 
 
 def cvss_band(score: Column) -> Column:

@@ -124,10 +124,12 @@ def vectors(spark, sf: str) -> DataFrame:
     parts = [("AV", "NALP", k), ("AC", "LH", n), ("PR", "NLH", k + n), ("UI", "NR", F.col("l_partkey")), ("S", "UC", F.col("l_suppkey")),
              ("C", "NLH", F.col("l_partkey")), ("I", "NLH", F.col("l_suppkey")), ("A", "NLH", k)]
     body = F.concat_ws("/", *[F.concat(F.lit(f"{m}:"), _pick(v, key)) for m, v, key in parts])
+    bodies = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", body.alias("body"))
+    body = F.col("body")
     vector = (
         F.when(n == 1, F.concat(F.lit("CVSS:3.1/"), body)).when(n == 2, F.concat(body, F.lit("/E:P"))).when(n == 3, F.lower(body)).when(n == 4, F.left(body, F.lit(20)))
     )
-    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", vector.otherwise(body).alias("vector"))
+    return bodies.select("l_orderkey", "l_linenumber", vector.otherwise(body).alias("vector"))
 
 
 _SQL_BODY = " || '/' || ".join(
