@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import threading
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,16 +23,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Only where the session names none (tests, a notebook) is a temporary one set."""
+    """The folder of ``spark.checkpoint.dir``. Only a local master, whose one process sees its own disk, may go without one."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditlake-checkpoint-"))
     return context.getCheckpointDir()
 
 
 #: Spark then deletes the shuffle files of a write as soon as it ends; else they stay until the driver's collector runs.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writing = 0
+_before = ""
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """The setting is on while any thread writes a table, and is put back after the last."""
+    global _writing, _before
+    with _lock:
+        if not _writing:
+            _before = spark.conf.get(_CLEANUP)
+            spark.conf.set(_CLEANUP, "true")
+        _writing += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writing -= 1
+            if not _writing:
+                spark.conf.set(_CLEANUP, _before)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -36,19 +65,35 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _folder(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def cut_table(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table written to the shared folder, which is smaller than a checkpoint; it goes when the driver ends."""
+    """Cut lineage with a table written to the shared folder, which is smaller than a checkpoint. It goes when the driver ends, or
+    with ``drop_table`` before that."""
     spark = df.sparkSession
     path = f"{_shared_folder(spark)}/auditlake-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    place, files = _folder(spark, path)
+    files.deleteOnExit(place)
+    written = spark.read.schema(df.schema).parquet(path)
+    _paths[written] = path
+    return written
+
+
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables of ``cut_table`` that nothing reads any more."""
+    for df in tables:
+        place, files = _folder(df.sparkSession, _paths.pop(df))
+        files.delete(place, True)
+
+
+def drawn(mark: Column, rate: Column | float) -> Column:
+    """Whether a hash (long) falls in the given share of all hashes; by its upper 63 bits, so that a rate can be as small as needed."""
+    return F.shiftrightunsigned(mark, 1).cast("double") / float(1 << 63) < rate
 
 
 def count_words(text: str | Column) -> Column:
