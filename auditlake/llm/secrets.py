@@ -9,7 +9,6 @@ import json
 import re
 import string
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -31,13 +30,19 @@ _ANCHORED = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"(?:gh[pousr]_)[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_[A-Za-z0-9]{36}(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}"),
     "slack": re.compile(r"xox[abeoprs]-[0-9]{8,14}-[0-9A-Za-z-]{16,}"),
     "stripe": re.compile(r"(?:sk|rk)_(?:live|test)_[0-9A-Za-z]{24,}"),
     "google": re.compile(r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"),
-    "private_key": re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[\sA-Za-z0-9+/=:,-]*?-----END (?:[A-Z]+ )?PRIVATE KEY-----"),
 }
 
+# The parts of patterns whose middle has no bound. What follows the middle is looked for once for a run of middle characters, not
+# once for each place in it where the pattern may begin, so that a scan takes time in proportion to the text.
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]*")
+_JWT_TAIL = re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{16,}")
+_KEY_HEAD = re.compile(r"-----BEGIN (?:[A-Z]{1,32} )?PRIVATE KEY-----")
+_KEY_RUN = re.compile(r"[\sA-Za-z0-9+/=:,-]*")
+_KEY_END = re.compile(r"-----END (?:[A-Z]{1,32} )?PRIVATE KEY-----")
+
 #: What the automaton looks for (in lower case) and the kind that may start there.
 KEYWORDS = {
     **{w: "assign" for w in ("password", "passwd", "secret", "token", "apikey", "api_key")},
@@ -71,7 +76,7 @@ def _jwt(token: str) -> bool:
     """Header and claims are JSON objects and the header names its algorithm."""
     try:
         header, claims = (json.loads(base64.urlsafe_b64decode(p + "=" * (-len(p) % 4))) for p in token.split(".")[:2])
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(claims, dict) and isinstance(header, dict) and isinstance(header.get("alg"), str)
 
@@ -93,6 +98,35 @@ def _automaton():
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 
 
+class _Runs:
+    """Ends of matches whose middle is a run of one kind of characters, each run and what follows it read once."""
+
+    def __init__(self, text: str):
+        self.text, self.jwt_run, self.jwt_end, self.key_run, self.key_end = text, -1, None, -1, (0, 0)
+
+    def jwt(self, start: int) -> int | None:
+        """End of a token that begins at ``start``: its first part is the rest of a run, and the other two follow."""
+        if start >= self.jwt_run:
+            self.jwt_run = _JWT_RUN.match(self.text, start).end()
+            tail = _JWT_TAIL.match(self.text, self.jwt_run)
+            self.jwt_end = tail and tail.end()
+        return self.jwt_end if self.jwt_run - start >= 11 else None
+
+    def private_key(self, start: int) -> int | None:
+        """End of a key whose head is at ``start``: the first end mark in the run of characters that a key may hold."""
+        head = _KEY_HEAD.match(self.text, start)
+        if not head:
+            return None
+        at = head.end()
+        if at > self.key_run:
+            self.key_run = _KEY_RUN.match(self.text, at).end()
+            self.key_end = (-1, 0)
+        if self.key_end[0] < at and self.key_end[0] < self.key_run:
+            found = _KEY_END.search(self.text, at, self.key_run)
+            self.key_end = found.span() if found else (self.key_run, 0)
+        return self.key_end[1] or None
+
+
 def find_secrets(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the secrets of a text, in code points, by start and then by kind as listed.
 
@@ -105,7 +139,7 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     if len(lower) != len(text):  # a few letters get longer
         lower = text.translate(_LOWER)
     spans: list[tuple[int, int, str]] = []
-    free = dict.fromkeys(KINDS, 0)
+    free, runs = dict.fromkeys(KINDS, 0), _Runs(text)
     for last, (kind, length) in _automaton().iter(lower):
         start = last - length + 1
         if start < free[kind]:
@@ -115,10 +149,16 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
                 free[kind] = match.end()
                 if len(match[2]) >= 6:
                     spans.append((start, match.end(), kind))
-        elif match := _ANCHORED[kind].match(text, start):
-            free[kind] = match.end()
-            if _CHECKS.get(kind, bool)(match[0]):
-                spans.append((start, match.end(), kind))
+            continue
+        if kind in ("jwt", "private_key"):
+            end = getattr(runs, kind)(start) if text.startswith("eyJ" if kind == "jwt" else "-----BEGIN ", start) else None
+        else:
+            match = _ANCHORED[kind].match(text, start)
+            end = match.end() if match else None
+        if end:
+            free[kind] = end
+            if _CHECKS.get(kind, bool)(text[start:end]):
+                spans.append((start, end, kind))
     spans += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     order = {kind: i for i, kind in enumerate(KINDS)}
     return sorted(spans, key=lambda s: (s[0], order[s[2]]))
@@ -146,16 +186,15 @@ def secret_spans(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def secret_digest(docs: DataFrame) -> DataFrame:
-    """doc_id and the digest of its secrets, of each row of ``docs``; texts never leave the task that read them."""
+    """doc_id (as it is, null ids too) and the digest of its secrets, of each row of ``docs``; other columns are left out. Null and empty
+    texts have no secrets; repeated rows get equal results; no rows give none. Only texts are sent to Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [_digest(find_secrets(t or "")) for t in batch["text"]]
-            out = pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
+    @F.pandas_udf(FOUND)
+    def digest(texts: pd.Series) -> pd.DataFrame:
+        found = [_digest(find_secrets(t or "")) for t in texts]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {FOUND}")
+    return docs.select("doc_id", digest(F.col("text")).alias("found")).select("doc_id", "found.*")
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
