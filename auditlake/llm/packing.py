@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -12,7 +13,7 @@ from math import ceil
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import cut, table
@@ -20,13 +21,15 @@ from auditlake.llm.common import cut, table
 CAPACITY = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k"
-#: Pieces packed together in a task, and underfull bins packed together in a round; both bound memory.
+#: Pieces packed together in a task, and bins at most half full that come together in a round; both bound memory.
 BLOCK = 65_536
-GROUP = 32_768
+GROUP = 128
 #: Bins lacking no more than so many tokens are done.
 SLACK = 4
 
-PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"
+_LONG_SPACE = re.compile(r"\s{2000}")
+
+PLACED = "doc_id string, piece int, start long, length long, ids_crc32 long, bin long, offset long"
 MERGED = "bin long, parent long, shift long, fill long"
 
 
@@ -52,9 +55,10 @@ def _encoders(json_path: str, ranks_path: str):
 
 
 def token_ids(text: str, json_path: str, ranks_path: str) -> list[int]:
-    """Ids of the whole text as the tokenizer gives them with add_special_tokens=False."""
+    """Ids of the whole text as the tokenizer gives them with add_special_tokens=False. The faster reader recurses over white space, so
+    texts with a long run of it go to the tokenizer itself."""
     exact, fast, special = _encoders(json_path, ranks_path)
-    if any(s in text for s in special):
+    if any(s in text for s in special) or _LONG_SPACE.search(text):
         return exact.encode(text, add_special_tokens=False).ids
     return fast.encode_ordinary(text)
 
@@ -89,7 +93,6 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 def _pack_partition(capacity: int, end_id: int, json_path: str, ranks_path: str, block: int):
     def placed(rows: list[tuple], first_bin: int) -> tuple[pd.DataFrame, int]:
         out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-        out["doc_id"] = out["doc_id"].astype("Int64")
         bins, offsets = best_fit(out["length"].to_numpy(np.int64), capacity)
         out["bin"], out["offset"] = bins + first_bin, offsets
         return out, first_bin + int(bins.max()) + 1
@@ -102,7 +105,7 @@ def _pack_partition(capacity: int, end_id: int, json_path: str, ranks_path: str,
                 ids = np.asarray([*token_ids(text or "", json_path, ranks_path), end_id], dtype="<u4")
                 cuts = [0, *range(len(ids) % capacity or capacity, len(ids), capacity), len(ids)]
                 for piece, (start, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    rows.append((None if pd.isna(doc_id) else int(doc_id), piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
+                    rows.append((doc_id, piece, start, end - start, zlib.crc32(ids[start:end].tobytes())))
                     if len(rows) == block:
                         out, next_bin = placed(rows, next_bin)
                         rows = []
@@ -140,33 +143,46 @@ def pack(
 
     A document is its text's ids (null: none) and ``end_id``; one of more than ``capacity`` is cut into pieces of just that
     many, of which the first may be shorter. Each partition tokenizes its documents and packs their pieces best-fit decreasing,
-    a block at a time. Bins lacking at most ``slack`` tokens are done. The others are items of the next round, which packs them
-    best-fit in groups, and so on until one group holds all that is left or nothing merges any more. Repeated rows are packed
-    each on its own; a null id stays null; no rows give no rows. Other columns of ``docs`` are left out.
+    a block at a time. Bins lacking at most ``slack`` tokens are done; the others are items of further rounds. After best-fit packing,
+    no two bins of a block are at most half full, and two that are fuller never fit together: so a round deals the bins at most
+    half full into groups of about ``group``, with them the fuller ones that have room for the least of these (of each fill as
+    many as the group can use), and packs each group best-fit. One half-full bin is left of a group at most, so the rounds form a
+    tree; they end when one group has held all that is left. Repeated rows are packed each on its own; a null id stays
+    null; no rows give no rows. Other columns of ``docs`` are left out.
     """
     json_path = json_path or vocabulary_path(f"{VOCABULARY}.json")
     ranks_path = ranks_path or vocabulary_path(f"{VOCABULARY}.tiktoken")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    placed = cut(texts.mapInPandas(_pack_partition(capacity, end_id, json_path, ranks_path, block), PLACED))
+    # Ids travel as text: among nulls pandas would make them floating-point numbers.
+    texts = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    placed = texts.mapInPandas(_pack_partition(capacity, end_id, json_path, ranks_path, block), PLACED)
+    placed = cut(placed.withColumn("doc_id", F.col("doc_id").cast("long")))
     under = F.col("fill") < capacity - slack
+    movable = F.col("fill") <= capacity // 2
     bins = cut(placed.groupBy("bin").agg(F.sum("length").alias("fill")).where(under))
-    left, moved, turn = bins.count(), None, 0
-    while left > 1:
-        groups, turn = ceil(left / group), turn + 1
-        merged = bins.groupBy(F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)).alias("g")).applyInPandas(_merge(capacity), MERGED)
-        merged = cut(merged)
+    moved, turn = None, 0
+    while True:
+        few = bins.where(movable).agg(F.count("*").alias("n"), F.min("fill").alias("least")).first()
+        if not few["n"]:
+            break
+        turn += 1
+        groups = ceil(few["n"] / group)
+        dealt = bins.where(movable | (F.col("fill") <= capacity - few["least"])).withColumn("g", F.pmod(F.xxhash64("bin", F.lit(turn)), F.lit(groups)))
+        place = F.row_number().over(Window.partitionBy("g", "fill").orderBy("bin"))
+        useful = few["n"] if groups == 1 else 4 * group
+        receivers = dealt.where(~movable).withColumn("place", place).where(F.col("place") <= useful).drop("place")
+        merged = cut(dealt.where(movable).unionByName(receivers).groupBy("g").applyInPandas(_merge(capacity), MERGED))
         step = merged.select(F.col("bin").alias("from"), "parent", "shift")
         if moved is None:
             moved = step
         else:
             then = step.select(F.col("from").alias("then"), F.col("parent").alias("to"), F.col("shift").alias("more"))
-            moved = moved.join(then, F.col("parent") == F.col("then"), "left").select(
-                "from", F.coalesce("to", "parent").alias("parent"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift")
+            moved = moved.join(then, F.col("parent") == F.col("then"), "full").select(
+                F.coalesce("from", "then").alias("from"), F.coalesce("to", "parent").alias("parent"), (F.coalesce("shift", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("shift")
             )
-        bins = merged.groupBy(F.col("parent").alias("bin")).agg(F.first("fill").alias("fill")).where(under)
-        before, left = left, bins.count()
-        if groups == 1 or left > 0.95 * before:
+        if groups == 1:
             break
+        after = merged.groupBy(F.col("parent").alias("bin")).agg(F.first("fill").alias("fill"))
+        bins = cut(bins.join(merged.select("bin"), "bin", "left_anti").unionByName(after).where(under))
     if moved is None:
         return placed.withColumnRenamed("bin", "sequence_id")
     return placed.join(moved, F.col("bin") == F.col("from"), "left").select(
