@@ -10,14 +10,18 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
-#: Their content is not text of the page.
-RAW = frozenset("script style noscript template textarea title svg math iframe object select option button".split())
+#: Their content is not markup, and not text of the page; without an end tag it goes on to the end of the page.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Controls and templates, whose own extent is not text of the page either. One without an end tag, or with another of its kind or an
+#: article before it, ends with the text that follows it.
+CONTROLS = frozenset("select option button datalist template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var "
+    "mi mn mo ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle semantics g text tspan path".split()
 )
 #: Opening one of these ends an open element of the set beside it.
-ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 
 @dataclass
@@ -34,10 +38,38 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(f".{p}" for value in found for p in _PARTS.findall(value.lower()))
 
 
+class _Ends:
+    """Ends of elements in a page; each stretch of it is searched once, however many elements lack an end tag."""
+
+    def __init__(self, page: str):
+        self.page, self.found = page, {}
+
+    def _next(self, pattern: str, at: int) -> tuple[int, int] | None:
+        start, span = self.found.get(pattern, (len(self.page) + 1, None))
+        if not start <= at <= (span[0] if span else len(self.page)):
+            match = re.compile(pattern, re.IGNORECASE).search(self.page, at)
+            span = match.span() if match else None
+            self.found[pattern] = (at, span)
+        return span
+
+    def of_raw(self, tag: str, at: int) -> int:
+        span = self._next(rf"</{tag}\b[^>]*>", at)
+        return span[1] if span else len(self.page)
+
+    def of_control(self, tag: str, at: int) -> int:
+        end = self._next(rf"</{tag}\b[^>]*>", at)
+        other = self._next(rf"<(?:{tag}|article|main|body)\b", at)
+        if end and not (other and other[0] < end[0]):
+            return end[1]
+        tag_starts = self.page.find("<", at)
+        return tag_starts if tag_starts >= 0 else len(self.page)
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Blocks in page order. Comments, declarations and the content of scripts, styles, forms' controls and the like are left out;
     unclosed and stray tags are tolerated; character references are decoded; ``br`` is white space."""
     page = page or ""
+    ends = _Ends(page)
     blocks: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
@@ -80,10 +112,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if tag in ("br", "hr", "wbr"):
                 pieces.append("" if tag == "wbr" else " ")
             continue
-        if tag in RAW:
+        if tag in RAW or tag in CONTROLS:
             if not match[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-                at = end.end() if end else len(page)
+                at = ends.of_raw(tag, at) if tag in RAW else ends.of_control(tag, at)
             continue
         if tag not in INLINE:
             flush()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import table
+from auditlake.llm.common import drawn, table
 from auditlake.llm.html_blocks import Block, leaf_blocks
 from auditlake.llm.html_pages import PageMaker
 
@@ -244,9 +243,9 @@ def train(sentences: list[str], steps: int = TRAIN_STEPS, seed: int = 9) -> Labe
 def sentences_of(pages: DataFrame, n: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
     """Texts to set training pages from: the markup-free start of about ``n`` pages, chosen by a hash of url and html at a rate that
     follows from the number of pages."""
-    mark = F.pmod(F.xxhash64("url", "html", F.lit(2)), F.lit(1_000_000))
     rate = min(1.0, n / max(1, pages.select(F.lit(1)).count()))
-    chosen = pages.where(F.col("html").isNotNull() & (mark < int(rate * 1_000_000))).select(F.substring("html", 1, chars).alias("part"))
+    chosen = pages.where(F.col("html").isNotNull() & drawn(F.xxhash64("url", "html", F.lit(2)), rate))
+    chosen = chosen.select(F.substring("html", 1, chars).alias("part")).distinct()  # a page may be repeated without bound
     return sorted({b.text for r in chosen.collect() for b in leaf_blocks(r["part"]) if len(b.text) > 12})
 
 
@@ -258,15 +257,15 @@ def main_text(m: Labeller, pages: list[str | None]) -> list[str]:
 
 def extract(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text, n_chars (code points) of every row. Null and empty html gives an empty text; repeated rows give equal
-    results; other columns are left out. Pages stream through in batches."""
+    results; null ids stay; no rows give none; other columns are left out. Only html is sent to Python, in batches."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = main_text(labeller, batch["html"].tolist())
-            yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": text, "n_chars": [len(t) for t in text]})
+    @F.pandas_udf("text string, n_chars long")
+    def main(htmls: pd.Series) -> pd.DataFrame:
+        text = main_text(labeller, htmls.tolist())
+        return pd.DataFrame({"text": text, "n_chars": [len(t) for t in text]})
 
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return rows.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", main(F.col("html")).alias("main"))
+    return rows.select("page_id", "url", "main.*")
 
 
 def fit(pages: DataFrame) -> Labeller:

@@ -13,7 +13,7 @@ _HEAD = ["header", 'div class="header"', 'div id="masthead"', 'div class="top-ba
 _FOOT = ["footer", 'div class="footer"', 'div id="footer"', 'footer class="site-footer"', 'div class="bottom copyright"', 'div role="contentinfo"']
 _SIDE = ["aside", 'div class="sidebar"', 'div id="sidebar"', 'aside class="related"', 'div class="widget"', 'div class="recommended"', 'section class="related-posts"', 'div class="social share"']
 _ADVERT = ['div class="ad"', 'div class="advert"', 'div class="ads banner"', 'div id="ad-slot"', 'div class="sponsored"', 'div class="promo"', 'aside class="advertisement"', "ins class='adsbygoogle'"]
-_NOTICE = ['div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div id="gdpr-consent"', 'div class="banner-message"', 'div role="alert"', 'div class="disclaimer"', 'div class="subscribe newsletter"', 'div class="popup modal"']
+_NOTICE = ['div class="cookie-notice"', 'div class="notice"', 'div class="alert"', 'div id="gdpr-consent"', 'div class="banner-message"', 'div role="alert"', 'div class="disclaimer"', 'div class="subscribe newsletter"', 'div class="popup modal"', "noscript"]
 _COMMENTS = ['div class="comments"', 'section id="comments"', 'ol class="comment-list"', 'div class="reader-comments"', 'div id="disqus-thread"', 'section class="responses"', 'div class="comment"']
 _FORM = ["form", 'form class="search"', 'form id="login"', 'div class="form"']
 
