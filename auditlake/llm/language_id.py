@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import in_training_part, table
+from auditlake.llm.common import drawn, in_training_part, table
 
 UNDETERMINED = "und"
 #: Bounds of the labelled sample that the model is fitted on: rows for each language, and characters of each row.
@@ -236,7 +235,7 @@ def train(texts: list[str], labels: list[str], steps: int = TRAIN_STEPS, seed: i
 
 def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
     """A bounded sample of labelled text: of each language about ``rows`` documents of the training part, chosen by a hash of id and
-    text at a rate that follows from the language's count, and ``chars`` characters of each from a place that the hash names."""
+    text at a rate that follows from the language's count, and ``chars`` characters of each from a place that the hash names. Repeated rows count once."""
     labelled = docs.where(in_training_part() & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
@@ -244,8 +243,8 @@ def training_sample(docs: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPL
         rate = F.when(F.col("lang") == language, F.lit(min(1.0, rows / n))).otherwise(rate)
     mark = F.xxhash64("doc_id", "text", F.lit(11))
     start = F.pmod(mark, F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    chosen = labelled.where(F.pmod(mark, F.lit(1_000_000)) < rate * 1_000_000)
-    found = chosen.select("lang", F.substring("text", start, F.lit(chars)).alias("part"), mark.alias("mark")).collect()
+    chosen = labelled.where(drawn(mark, rate))
+    found = chosen.select("lang", F.substring("text", start, F.lit(chars)).alias("part"), mark.alias("mark")).distinct().collect()
     found.sort(key=lambda r: (r["lang"], r["mark"], r["part"]))
     return [r["part"] for r in found], [r["lang"] for r in found]
 
@@ -273,12 +272,6 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(docs)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            language, score = predict(model, batch["text"].tolist())
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "held_out": batch["held_out"], "lang_pred": language, "score": score})
-
     rows = docs.select("doc_id", (~in_training_part()).alias("held_out"), "text")
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    named = identify(rows, fit(docs)).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+    return named.withColumn("held_out", F.coalesce("held_out", F.lit(False)))

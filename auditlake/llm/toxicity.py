@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import in_training_part, table
+from auditlake.llm.common import drawn, in_training_part, table
 
 #: Labelled rows of each class that the model is fitted on, about; the bound of what comes to the driver.
 SAMPLE_ROWS = 3000
@@ -177,21 +177,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     """A machine fitted to about ``rows`` documents of each label of the training part, chosen by a hash of the id.
 
     The sample is drawn from the labels, so its size is known before it is sent to the documents; they are not shuffled, and term
-    sets, not texts, come back. A document labelled twice counts as toxic if any label says so; null labels don't count.
+    sets, not texts, come back. A document labelled twice counts as toxic if any label says so; null labels don't count. Of an id that
+    several rows share, one text is taken, that of the least hash, so that no more rows come back than were drawn.
     """
     known = labels.where(in_training_part() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("toxic") == label, F.lit(min(1.0, rows / n))).otherwise(share)
-    drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
-    sample = F.broadcast(drawn)  # about 2 * rows rows of an id and a label
+    sample = F.broadcast(known.where(drawn(F.xxhash64("doc_id", F.lit(3)), share)))  # about 2 * rows rows of an id and a label
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "terms": [document_terms(t) for t in batch["text"]]})
 
-    rows_of = docs.select("doc_id", "text").join(sample, "doc_id").mapInPandas(run, "doc_id long, toxic int, terms array<int>")
+    texts = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), "text").alias("own")).join(sample, "doc_id")
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("own").alias("own")).select("doc_id", "toxic", "own.text")
+    rows_of = texts.mapInPandas(run, "doc_id long, toxic int, terms array<int>")
     found = rows_of.toPandas()
     found = found.assign(key=[np.asarray(t, np.int32).tobytes() for t in found["terms"]]).sort_values(["doc_id", "key"])
     total = sum(counts.values())
@@ -213,5 +215,5 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     machine = fit(docs, table(spark, sf_dir, "labels"))
-    scored = score_toxicity(docs.select("doc_id", (~in_training_part()).alias("held_out"), "text"), machine)
+    scored = score_toxicity(docs.select("doc_id", F.coalesce(~in_training_part(), F.lit(False)).alias("held_out"), "text"), machine)
     return scored.select("doc_id", "held_out", F.col("toxicity").alias("score"), (F.col("toxicity") >= TOXIC_FROM).cast("int").alias("predicted"))
