@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from auditlake.llm.common import count_words, cut_table, table
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_COPIES = 2.0
+#: Documents that are ranked together in a task, about.
+CHUNK_ROWS = 50_000
 
 
 def _same_source(a: str, b: str):
@@ -22,7 +26,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     Sources by code point, null last, weigh ``weights`` in turn and divide ``share`` times all words; a target stops at
     ``most`` times its source's size and the excess is divided anew by weight. That has a closed form: sources fill up in the
     order of cap/weight, so one pass of running sums over the list of sources (not documents) finds the level at which the
-    rest share by weight. Without words all targets are 0.
+    rest share by weight. Without words all targets are 0. The sources' list, a row each, is sorted in one task.
     """
     named = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -54,26 +58,25 @@ def mix(
     weights=WEIGHTS,
     share: float = SHARE,
     most: float = MOST_COPIES,
-    salt_digits: int = 1,
+    chunk_rows: int = CHUNK_ROWS,
     seed: str = "mix",
 ) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken and any further columns of ``docs`` (by default just the key).
 
-    ``docs`` has doc_id, source and size. Every document of a source expects target/source_size copies. Documents stand in a
-    fixed order (size class, salt of the id, size, id); expected copies are summed along it, a random offset per source (from
-    ``seed`` and the source's name, so reruns agree) is added, and a document is emitted once per integer crossed. As
-    neighbours are of like size, words taken come near the target.
+    ``docs`` has doc_id, source and size, and may have mark, a string that tells documents apart (by default, the id). Every document
+    of a source expects target/source_size copies. Documents stand in a fixed order (size class, md5 of the mark, size, id);
+    expected copies are summed along it, a random offset per source (from ``seed`` and the source's name, so reruns agree) is
+    added, and a document is emitted once per integer crossed. As neighbours are of like size, words taken come near the target.
 
-    The order is never sorted in one task: ranks are counted in chunks of (source, size class, salt) and the chunk's
-    start comes from running sums over the chunk counts, of which there are at most a few thousand a source. More salt digits
-    make smaller chunks. Repeated rows are documents of their own; null and empty texts have size 0 and are taken for 0 words.
+    The order is never sorted in one task: ranks are counted in chunks of (source, size class, first digits of the md5), with as many
+    digits as keep the largest near ``chunk_rows``, and a chunk's start comes from running sums over the chunk counts. The order
+    and so the result don't depend on the chunks. Repeated rows are documents of their own; null and empty texts have size 0 and are
+    taken for 0 words; null ids need a mark to be dealt out; no rows give none.
     """
-    keyed = docs.withColumns(
-        {
-            "size_class": _size_class(),
-            "salt": F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, salt_digits),
-        }
-    )
+    mark = F.coalesce(F.col("mark" if "mark" in docs.columns else "doc_id").cast("string"), F.lit(""))
+    keyed = docs.withColumns({"size_class": _size_class(), "mark": F.md5(mark.cast("binary"))})
+    largest = keyed.groupBy("source", "size_class").count().agg(F.max("count")).first()[0] or 1
+    keyed = keyed.withColumn("salt", F.left("mark", F.lit(max(0, ceil(log(largest / chunk_rows, 16))))))
     chunk = ["source", "size_class", "salt"]
     counts = keyed.groupBy(*chunk).agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     starts = counts.select(
@@ -82,7 +85,7 @@ def mix(
     )
     targets = source_targets(counts, weights, share, most).withColumnRenamed("source", "to_source")
     starts = starts.join(targets, _same_source("of_source", "to_source"))
-    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*chunk).orderBy("size", "doc_id")))
+    ranked = keyed.withColumn("place", F.row_number().over(Window.partitionBy(*chunk).orderBy("mark", "size", "doc_id")))
     ranked = ranked.join(
         starts,
         _same_source("source", "of_source") & (F.col("size_class") == F.col("of_size_class")) & (F.col("salt") == F.col("of_salt")),
@@ -96,19 +99,24 @@ def mix(
     return (
         ranked.withColumn("copies", copies)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .drop("size_class", "salt", "place", "start", "of_source", "of_size_class", "of_salt", "to_source")
+        .drop("size_class", "mark", "salt", "place", "start", "of_source", "of_size_class", "of_salt", "to_source")
     )
 
 
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", count_words("text").alias("size"))
+    """doc_id, source, size (words of the text), mark (the id; without one, the text's hash)."""
+    return docs.select("doc_id", "source", count_words("text").alias("size"), _mark())
+
+
+def _mark() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).alias("mark")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with their own columns, a row for each copy taken."""
     own = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in own])
-    taken = mix(docs.select("doc_id", "source", count_words("text").alias("size"), row.alias("row")))
+    taken = mix(docs.select("doc_id", "source", count_words("text").alias("size"), _mark(), row.alias("row")))
     copies = taken.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
     return copies.select("row.*")
 
@@ -122,7 +130,7 @@ def mixing_sql(documents: str = "documents") -> str:
     """DuckDB SQL for op9_mixing; the same order, offset and closed form."""
     return f"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM {documents}
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, md5(text) AS hash FROM {documents}
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS weight
@@ -142,7 +150,7 @@ WITH d AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.shift,
          CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST(row_number() OVER (PARTITION BY d.source ORDER BY length(d.size::VARCHAR) * 100 + CAST(substr(d.size::VARCHAR, 1, 2) AS INTEGER),
-              substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 1), d.size, d.doc_id) AS DOUBLE) AS rank
+              md5(coalesce(d.doc_id::VARCHAR, d.hash, '')), d.size, d.doc_id) AS DOUBLE) AS rank
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
