@@ -4,16 +4,22 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import SPACE, cut_table, table
+from auditlake.llm.common import SPACE, cut_table, drop_table, table
 
-LEAST_WORDS = 10
+#: Shorter lines (of so few characters in the form that is compared) go only if an earlier line is equal: there, one character
+#: tells numbers, letters of a list and marks apart.
+LEAST_CHARS = 16
+#: Characters of which each is left out in turn; a longer stretch is narrowed down by FAN first.
+STRETCH = 24
+FAN = 8
+#: Lines that make up more than one in so many are looked up in a table of their own, which has at most so many rows.
+HOT_LINES = 1000
 #: A line that holds none of these has single spaces only.
 FOLDED = ("  ", "\t", "\n", "\x0b", "\f", "\r")
-#: Word hashes keep 40 bits, so that a sum of them over 8 million words of a line stays within a long.
-HASH_RANGE = 1 << 40
+_LINE = ["h1", "h2"]
 
 
 def _bare(line: Column) -> Column:
@@ -27,158 +33,154 @@ def _normal(line: Column) -> Column:
     return F.when(reduce(lambda a, b: a | b, (F.contains(bare, F.lit(c)) for c in FOLDED)), folded).otherwise(bare)
 
 
-def _words(line: Column) -> Column:
-    """Words of a line that has any."""
-    return F.split(_normal(line), " ")
-
-
 def _docs(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, text: the two first name a document even if ids repeat."""
     return docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _same_document() -> Column:
+    return F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.text_hash") == F.col("b.text_hash"))
+
+
+def _lines(docs: DataFrame, least_chars: int) -> DataFrame:
+    """doc_id, text_hash, line_no, h1, h2 (hashes that name the line), n (characters), halves of the lines that aren't blank."""
     split = F.posexplode(F.split("text", "\n")).alias("line_no", "line")
     lines = docs.select("doc_id", "text_hash", split).where(_bare(F.col("line")) != "")
-    return lines.withColumn("normal", _normal(F.col("line"))).select(
-        F.struct("doc_id", "text_hash", "line_no").alias("at"),
-        F.xxhash64("normal").alias("h1"),
-        F.hash("normal").alias("h2"),
-        "normal",
+    lines = lines.select("doc_id", "text_hash", "line_no", _normal(F.col("line")).alias("normal"))
+    lines = lines.withColumn("n", F.length("normal"))
+    return lines.select(
+        "doc_id", "text_hash", "line_no", F.xxhash64("normal").alias("h1"), F.hash("normal").alias("h2"), "n", _halves(least_chars).alias("halves")
     )
 
 
-def _halves(least_words: int) -> Column:
-    """Keys of which two lines within one word edit share one: for s, the words of the shorter line, its first s/2 words or its
-    last s - s/2 words are in both. A line's partner has as many words, one less or one more, so s is n - 1 or n."""
-    n = F.size("words")
+def _halves(least_chars: int) -> Column:
+    """Keys of which two lines within one edit share one: for s, the characters of the shorter line, its first s/2 or its last
+    s - s/2 are in both. A line's partner has as many characters, one less or one more, so s is n - 1 or n."""
     keys = []
-    for s in (n - 1, n):
+    for s in (F.col("n") - 1, F.col("n")):
         h = F.floor(s / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), s, F.slice("words", F.lit(1), h)))
-        keys.append(F.xxhash64(F.lit("last"), s, F.slice("words", n - (s - h) + 1, s - h)))
-    return F.when(n >= least_words, F.array(*keys))
+        keys += [F.xxhash64(F.lit("first"), s, F.left("normal", h)), F.xxhash64(F.lit("last"), s, F.right("normal", s - h))]
+    return F.when(F.col("n") >= least_chars, F.array(*keys))
+
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The rows whose key another row has, too."""
+    return rows.join(rows.groupBy(key).count().where("count > 1").select(key), key, "left_semi")
+
 
+def _stretches(halves: DataFrame) -> DataFrame:
+    """h1, h2, s, p, q: a partner of the line agrees with it in the first p and the last q characters, s being the shorter's length."""
+    s = F.col("n") - 1 + F.floor(F.col("half") / 2).cast("int")
+    h = F.floor(s / 2).cast("int")
+    first = F.col("half") % 2 == 0
+    return halves.select(*_LINE, s.alias("s"), F.when(first, h).otherwise(0).alias("p"), F.when(first, 0).otherwise(s - h).alias("q"))
 
-def _same_key(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, (F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys))
 
+def _narrowed(wide: DataFrame, texts: DataFrame) -> DataFrame:
+    """Stretches, each cut into FAN: those of which the line agrees with another in all but one part."""
+    m = F.col("s") - F.col("p") - F.col("q")
+    cuts = [F.floor(m * j / FAN).cast("int") for j in range(FAN + 1)]
+    parts = F.array(*[F.struct((F.col("p") + a).alias("p"), (F.col("q") + m - b).alias("q")) for a, b in zip(cuts, cuts[1:], strict=False)])
+    each = wide.select(*_LINE, "s", F.explode(parts).alias("part")).select(*_LINE, "s", "part.*")
+    keyed = each.join(texts, _LINE).select(*_LINE, "s", "p", "q", F.xxhash64("s", "p", "q", F.left("normal", F.col("p")), F.right("normal", F.col("q"))).alias("key"))
+    return _shared(keyed, "key").drop("key").distinct()
 
-def _variants(lines: DataFrame) -> DataFrame:
-    """Every line with one word left out, hashed, and every line whole (i = -1): at, n, m words left, their hash v, i.
 
-    A word at place j counts hash(word, j); leaving out word i is the sum before i plus the sum, moved by one place, after it.
-    Running sums make that linear in the words of a line, however long it is.
+def _variants(stretches: DataFrame, texts: DataFrame) -> DataFrame:
+    """line (at, h1, h2), role, v, w: each line whole and with each character of the stretch left out, hashed.
+
+    Lines of equal length that differ in character i share the variant without i (role 0, i is part of the key); a line of one
+    character more shares, without it (role 2), the whole of the other (role 1).
     """
-    words = lines.select("at", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    hashed = words.select(
-        "at",
-        "n",
-        "i",
-        F.pmod(F.xxhash64("word", F.col("i")), F.lit(HASH_RANGE)).alias("here"),
-        F.pmod(F.xxhash64("word", F.col("i") - 1), F.lit(HASH_RANGE)).alias("moved"),
-    )
-    line = Window.partitionBy("at.doc_id", "at.text_hash", "at.line_no")
-    so_far = line.orderBy("i")
-    sums = hashed.select(
-        "at",
-        "n",
-        "i",
-        (F.sum("here").over(so_far) - F.col("here")).alias("before"),
-        (F.sum("moved").over(line) - F.sum("moved").over(so_far)).alias("after"),
-        F.sum("here").over(line).alias("whole"),
-    )
-    shorter = F.struct((F.col("n") - 1).alias("m"), (F.col("before") + F.col("after")).alias("v"), F.col("i").alias("i"))
-    itself = F.struct(F.col("n").alias("m"), F.col("whole").alias("v"), F.lit(-1).alias("i"))
-    rows = F.when(F.col("i") == 0, F.array(shorter, itself)).otherwise(F.array(shorter))
-    return sums.select("at", F.explode(rows).alias("r")).select("at", "r.*")
-
-
-def near_lines(lines: DataFrame) -> DataFrame:
-    """at, partner, i, of distinct ``lines`` (at, words): those with an earlier line within one word edit, and the earliest such
-    line that a shared variant shows. Lines of equal length that differ in word i share the variant without i; a line lacking
-    word i of another equals that line's variant. So each key is a clique, of which the earliest member is all that counts."""
-    variants = _variants(lines)
-    best = variants.groupBy("m", "v", "i").agg(F.min("at").alias("best"), F.count("*").alias("n"))
-    key = Window.partitionBy("m", "v")
-    longer = F.min(F.when(F.col("i") >= 0, F.col("best"))).over(key)
-    whole = F.min(F.when(F.col("i") < 0, F.col("best"))).over(key)
-    best = best.withColumns({"longer": longer, "whole": whole})
-    partner = F.when(F.col("i") < 0, F.col("longer")).otherwise(F.least("best", "whole"))
-    shared = best.where((F.col("n") > 1) | (F.col("longer").isNotNull() & F.col("whole").isNotNull()))
-    shared = shared.select("m", "v", "i", partner.alias("partner")).where("partner is not null")
-    found = variants.join(shared, ["m", "v", "i"]).where(F.col("partner") < F.col("at"))
-    return found.select("at", "partner").distinct()
-
-
-def _within_one_edit(a: Column, b: Column) -> Column:
-    """Whether two word arrays are equal or one insertion, deletion or substitution of a word apart."""
-    n, m = F.size(a), F.size(b)
-    places = F.arrays_zip(F.slice(a, F.lit(1), F.least(n, m)).alias("x"), F.slice(b, F.lit(1), F.least(n, m)).alias("y"))
-    differ = F.transform(places, lambda p: p["x"] != p["y"])
-    first = F.array_position(differ, True).cast("int")
-    rest = lambda w, k: F.slice(w, k, F.greatest(F.size(w) - k + 1, F.lit(0)))
-    apart = F.when(n == m, rest(a, first + 1) == rest(b, first + 1))
-    apart = apart.when(n == m + 1, rest(a, first + 1) == rest(b, first)).when(m == n + 1, rest(a, first) == rest(b, first + 1))
-    return F.when(first == 0, F.abs(n - m) <= 1).otherwise(F.coalesce(apart, F.lit(False)))
-
-
-def removed_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+    n, same = F.length("normal"), F.length("normal") == F.col("s")
+
+    def row(role: int, i: Column, said: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), F.xxhash64(F.lit(role > 0), i, said).alias("v"), F.hash(F.lit(role > 0), i, said).alias("w"))
+
+    places = F.sequence(F.col("p"), n - F.col("q") - 1)
+    without = lambda i: F.concat(F.left("normal", i), F.right("normal", n - i - 1))
+    equal = F.concat(F.transform(places, lambda i: row(0, i, without(i))), F.array(row(1, F.lit(-1), F.col("normal"))))
+    longer = F.transform(places, lambda i: row(2, F.lit(-1), without(i)))
+    rows = stretches.join(texts, _LINE).select(F.struct("at", *_LINE).alias("line"), F.explode(F.when(same, equal).otherwise(longer)).alias("r"))
+    return rows.select("line", "r.*").distinct()
+
+
+def _earlier_partners(variants: DataFrame) -> DataFrame:
+    """line, partner: the earliest line that shares a variant, where it is earlier. Of the lines that share one without a character at
+    one place any two are one edit apart, so the earliest of them is all that counts."""
+    least = lambda role: F.min(F.when(F.col("role") == role, F.col("line")))
+    best = variants.groupBy("v", "w").agg(least(0).alias("equal"), least(1).alias("whole"), least(2).alias("longer"), F.count("*").alias("n"))
+    found = variants.join(best.where("n > 1").drop("n"), ["v", "w"])
+    partner = F.when(F.col("role") == 0, F.col("equal")).when(F.col("role") == 1, F.col("longer")).otherwise(F.col("whole"))
+    return found.select("line", partner.alias("partner")).where(F.col("partner.at") < F.col("line.at")).distinct()
+
+
+def _near(first: DataFrame, docs: DataFrame) -> DataFrame:
+    """h1, h2 of the distinct lines ``first`` that have an earlier line within one edit."""
+    halves = first.select("first", "n", *_LINE, F.posexplode("halves").alias("half", "key"))
+    halves = cut_table(_shared(halves, "key").select("first", "n", *_LINE, "half"))
+    at = halves.select("first.*", *_LINE).distinct()
+    wanted = at.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", *_LINE)).alias("wanted"))
+    with_text = docs.alias("a").join(wanted.alias("b"), _same_document()).select("a.*", "wanted").dropDuplicates(["doc_id", "text_hash"])
+    lines = with_text.select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
+    place = F.struct("doc_id", "text_hash", "x.line_no").alias("at")
+    texts = cut_table(lines.select("x.h1", "x.h2", place, _normal(F.element_at("lines", F.col("x.line_no") + 1)).alias("normal")))
+
+    left = cut_table(_stretches(halves).distinct())
+    drop_table(halves)
+    wide = F.col("s") - F.col("p") - F.col("q") > STRETCH
+    found, old = left.where(~wide), [left]
+    while left.where(wide).limit(1).count():  # once for usual lines; a stretch of a million characters takes six rounds
+        left = cut_table(_narrowed(left.where(wide), texts))
+        found, old = found.unionByName(left.where(~wide)), [*old, left]
+    variants = cut_table(_variants(found, texts))
+    a = texts.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("normal").alias("normal_a"))
+    b = texts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("normal").alias("normal_b"))
+    pairs = _earlier_partners(variants)
+    pairs = pairs.join(a, (F.col("line.h1") == F.col("a1")) & (F.col("line.h2") == F.col("a2")))
+    pairs = pairs.join(b, (F.col("partner.h1") == F.col("b1")) & (F.col("partner.h2") == F.col("b2")))
+    near = cut_table(pairs.where(F.levenshtein("normal_a", "normal_b", 1) >= 0).select("line.h1", "line.h2").distinct())
+    drop_table(texts, variants, *old)
+    return near
+
+
+def removed_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """doc_id, text_hash, removed (sorted line numbers from 0) of the documents that lose lines."""
     docs = _docs(docs)
-    lines = _lines(docs)
-    split = lines.withColumn("words", F.split("normal", " "))
-    first = split.select("at", "h1", "h2", _halves(least_words).alias("halves")).groupBy("h1", "h2")
-    first = cut_table(first.agg(F.min("at").alias("first"), F.count("*").alias("n"), F.first("halves").alias("halves")))
-
-    halves = first.select("first.*", F.explode(F.array_distinct("halves")).alias("half"))
-    shared = halves.groupBy("half").count().where("count > 1").select("half")
-    chosen = halves.join(shared, "half", "left_semi").select("doc_id", "text_hash", "line_no").distinct()
-    wanted = chosen.groupBy("doc_id", "text_hash").agg(F.collect_list("line_no").alias("line_nos"))
-    with_text = docs.alias("a").join(wanted.alias("b"), _same_key(["doc_id", "text_hash"])).select("a.*", "line_nos")
-    near = with_text.dropDuplicates(["doc_id", "text_hash"]).select(
-        "doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("line_nos").alias("line_no")
-    )
-    near = cut_table(
-        near.select(
-            F.struct("doc_id", "text_hash", "line_no").alias("at"),
-            _words(F.element_at("lines", F.col("line_no") + 1)).alias("words"),
-        )
-    )
-    pairs = near_lines(near)
-    mine = near.select(F.col("at").alias("at_a"), F.col("words").alias("words_a"))
-    theirs = near.select(F.col("at").alias("at_b"), F.col("words").alias("words_b"))
-    verified = cut_table(
-        pairs.join(mine, F.col("at").eqNullSafe(F.col("at_a")))
-        .join(theirs, F.col("partner").eqNullSafe(F.col("at_b")))
-        .where(_within_one_edit(F.col("words_a"), F.col("words_b")))
-        .select(F.col("at").alias("gone"))
-        .distinct()
-    )
-    fate = first.join(verified, F.col("first").eqNullSafe(F.col("gone")), "left").where("n > 1 or gone is not null")
-    fate = fate.select(F.col("h1").alias("f1"), F.col("h2").alias("f2"), "first", F.col("gone").isNotNull().alias("near"))
-    gone = lines.select("at", "h1", "h2").join(fate, (F.col("h1") == F.col("f1")) & (F.col("h2") == F.col("f2")))
+    lines = cut_table(_lines(docs, least_chars))
+    first = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), *_LINE, "n", "halves").groupBy(*_LINE)
+    first = cut_table(first.agg(F.min("at").alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("halves").alias("halves")))
+    near = _near(first, docs)
+    fate = first.join(near.withColumn("near", F.lit(True)), _LINE, "left").where("times > 1 or near")
+    fate = cut_table(fate.select(*_LINE, "first", "times", F.coalesce("near", F.lit(False)).alias("near")))
+    many = max(1, lines.count() // HOT_LINES)
+    hot = F.broadcast(fate.where(F.col("times") > many))
+    at = lines.select(F.struct("doc_id", "text_hash", "line_no").alias("at"), *_LINE)
+    gone = at.join(hot, _LINE).unionByName(at.join(fate.where(F.col("times") <= many), _LINE))
     gone = gone.where(F.col("near") | ~F.col("at").eqNullSafe(F.col("first")))
-    return gone.groupBy("at.doc_id", "at.text_hash").agg(F.array_sort(F.collect_set("at.line_no")).alias("removed"))
+    removed = cut_table(gone.groupBy("at.doc_id", "at.text_hash").agg(F.array_sort(F.collect_set("at.line_no")).alias("removed")))
+    drop_table(lines, first, near, fate)
+    return removed
 
 
-def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with text lacking its repeated lines, and n_lines, n_removed (long).
 
-    Lines end at a line feed and are compared as sequences of words. Of equal lines the earliest stays, in the order of doc_id
-    and then of place; so does, of lines of ``least_words`` words or more that are one word edit (insertion, deletion or
-    substitution of a word) apart, the earlier: a line goes if any earlier line of the corpus, itself kept or not, is that
-    near. Blank lines stay. Edits are counted in words: a changed letter changes one word. Null text: n_lines 0, text null.
-    Rows with equal id and text are one document and keep the same lines; a null id comes before all others. Other columns of
-    ``docs`` are kept unless they are named n_lines or n_removed, which are replaced.
+    Lines end at a line feed and are compared by their words, with one space between. Of equal lines the earliest stays, in the order
+    of doc_id and then of place; so does, of lines of ``least_chars`` characters or more that are one edit (insertion, deletion or
+    substitution of a character) apart, the earlier: a line goes if any earlier line of the corpus, itself kept or not, is that
+    near. Blank lines stay. Null text: n_lines 0, text null. Rows with equal id and text are one document and keep the same lines; a
+    null id comes before all others. Other columns of ``docs`` are kept unless they are named n_lines or n_removed, which are
+    replaced.
 
-    Before any variant is made, lines are kept that share their first or last half with another: with one edit, one
-    half is whole. So variants, a word each, are made of a small part of the lines. No pair within a group is ever made.
+    Before any variant is made, lines are kept that share their first or last half with another: with one edit, one half is whole. The
+    other half is narrowed down in the same way to a few characters, of which variants are made. So most lines make none, and
+    a long line as few as a short one. No pair within a group is ever made.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "doc_id", F.hash("text").alias("text_hash"), "text")
-    removed = removed_lines(docs, least_words)
-    both = keyed.alias("a").join(removed.alias("b"), _same_key(["doc_id", "text_hash"]), "left").select("own", "text", "removed")
+    removed = removed_lines(docs, least_chars)
+    both = keyed.alias("a").join(removed.alias("b"), _same_document(), "left").select("own", "text", "removed")
     lines = F.split("text", "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("removed"))
     text = F.array_join(F.transform(left, lambda i: F.element_at("lines", i + 1)), "\n")
@@ -194,29 +196,30 @@ def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 
-def line_dedup_sql(documents: str = "documents", least_words: int = LEAST_WORDS) -> str:
-    """DuckDB SQL for op10_line_dedup, with whole lists of words in the place of hashes."""
+def line_dedup_sql(documents: str = "documents", least_chars: int = LEAST_CHARS) -> str:
+    """DuckDB SQL for op10_line_dedup, with every variant of every line."""
     return f"""
 WITH l AS (
   SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (
     SELECT doc_id, string_split(text, chr(10)) AS lines, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {documents}
   )
 ), w AS (
-  SELECT doc_id, line_no, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS words FROM l
+  SELECT doc_id, line_no, line, array_to_string(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+'), ' ') AS normal FROM l
 ), f AS (
-  SELECT words, min((doc_id, line_no)) AS first FROM w WHERE len(words) > 0 GROUP BY words
+  SELECT normal, min((doc_id, line_no)) AS first FROM w WHERE normal <> '' GROUP BY normal
 ), v AS (
-  SELECT first, len(words) AS n, i, list_concat(words[1:i - 1], words[i + 1:len(words)]) AS rest
-  FROM (SELECT *, unnest(range(1, len(words) + 1)) AS i FROM f WHERE len(words) >= {least_words})
+  SELECT first, length(normal) AS n, i, hash(left(normal, i - 1) || substr(normal, i + 1)) AS rest
+  FROM (SELECT *, unnest(range(1, length(normal) + 1)) AS i FROM f WHERE length(normal) >= {least_chars})
+), whole AS (SELECT first, hash(normal) AS rest FROM f WHERE length(normal) >= {least_chars}
 ), one AS (
   SELECT v.first FROM v JOIN (SELECT n, i, rest, min(first) AS best FROM v GROUP BY ALL) b
     ON v.n = b.n AND v.i = b.i AND v.rest = b.rest WHERE b.best < v.first
-  UNION SELECT v.first FROM v JOIN f ON v.rest = f.words AND len(f.words) >= {least_words} WHERE f.first < v.first
-  UNION SELECT f.first FROM v JOIN f ON v.rest = f.words AND len(f.words) >= {least_words} WHERE v.first < f.first
+  UNION SELECT v.first FROM v JOIN whole f ON v.rest = f.rest WHERE f.first < v.first
+  UNION SELECT f.first FROM v JOIN whole f ON v.rest = f.rest WHERE v.first < f.first
 ), k AS (
   SELECT w.doc_id, w.line_no, w.line,
-         len(w.words) > 0 AND ((w.doc_id, w.line_no) <> f.first OR one.first IS NOT NULL) AS gone
-  FROM w LEFT JOIN f USING (words) LEFT JOIN one ON one.first = f.first
+         w.normal <> '' AND ((w.doc_id, w.line_no) <> f.first OR one.first IS NOT NULL) AS gone
+  FROM w LEFT JOIN f USING (normal) LEFT JOIN one ON one.first = f.first
 )
 SELECT d.doc_id, CAST(coalesce(x.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(x.gone, 0) AS BIGINT) AS n_removed,
        CASE WHEN d.text IS NOT NULL THEN coalesce(x.kept, '') END AS text
