@@ -1,6 +1,7 @@
 """Mixing and line dedup: against their SQL, and the cases that tables bring."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -49,17 +50,51 @@ def test_targets_stop_at_twice_the_size(spark):
 def test_near_lines(spark):
     texts = [
         f"{LONG}\nshort line\n\n  ",
-        f"{LONG.replace('six', 'SIX')}\nshort  line",  # substitution; equal but for white space
-        f"{LONG} more",  # insertion at the end
-        LONG.replace("one ", ""),  # deletion at the start
-        LONG.replace("two", "2").replace("nine", "9"),  # two edits
+        f"{LONG.replace('six', 'siX')}\nshort  line",  # substitution; equal but for white space
+        f"{LONG}s",  # insertion at the end
+        LONG[1:],  # deletion at the start
+        LONG.replace("two", "tw0").replace("nine", "n1ne"),  # two edits
         "short lines",  # near, but too short for that
+        LONG.replace("four five", "fourfive"),  # words joined
+        LONG.replace("seven", "eleven"),  # another word in a template
+        f"{'a b c d ' * 4000}\n{'x' * 16}\n{'y' * 16}",
+        f"{'a b c d ' * 4000}e\n{'x' * 15}z",  # a very long line, and one just long enough
     ]
     docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], DOCS)
     out = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.dedup_lines(docs).collect()}
     assert out[0] == (4, 0, texts[0])
-    assert out[1] == (2, 2, "") and out[2][1] == 1 and out[3][1] == 1
-    assert out[4][1] == 0 and out[5][1] == 0
+    assert out[1] == (2, 2, "") and out[2][1] == out[3][1] == out[6][1] == 1
+    assert out[4][1] == out[5][1] == out[7][1] == out[8][1] == 0 and out[9] == (2, 1, f"{'a b c d ' * 4000}e")
+
+
+def test_near_lines_equal_brute_force(spark):
+    rng = random.Random(5)
+    lines = ["".join(rng.choice("abc ") for _ in range(rng.randrange(14, 60))) for _ in range(20)]
+    for line in lines[:20] * 6:
+        i = rng.randrange(len(line))
+        lines.append(rng.choice([line, line[:i] + "z" + line[i + 1 :], line[:i] + line[i + 1 :], line[:i] + "z" + line[i:], line[:i] + "zz" + line[i:]]))
+    rng.shuffle(lines)
+
+    def apart(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    said = [" ".join(x.split()) for x in lines]
+    near = lambda a, b: a == b or (min(len(a), len(b)) >= line_dedup.LEAST_CHARS and abs(len(a) - len(b)) < 2 and apart(a, b) < 2)
+    gone = {i for i, x in enumerate(said) if x and any(near(x, y) for y in said[:i])}
+    docs = spark.createDataFrame([(i, x, "s") for i, x in enumerate(lines)], DOCS).repartition(3)
+    assert {r.doc_id for r in line_dedup.dedup_lines(docs).where("n_removed > 0").collect()} == gone
+
+
+def test_mixing_does_not_depend_on_chunks(spark):
+    docs = spark.createDataFrame([(i if i % 5 else None, "w " * (i % 40), f"s{i % 3}") for i in range(300)], DOCS)
+    sizes = mixing.sizes_of(docs)
+    few, many = (sorted(map(str, mixing.mix(sizes, chunk_rows=n).collect())) for n in (1000, 1))
+    assert few == many
 
 
 def test_line_dedup_odd_rows(spark):
