@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps; the last gives packed pieces. Between stages the
 documents are written and read again, so a lost executor costs no more than the stage at hand.
+
+In every stage a null id is an id like others, rows that repeat an id and a text are copies of one document, rows that share an id
+only are different documents, further columns stay, and a table without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -25,10 +28,12 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that stand, within a word, earlier in the corpus; those of which nothing is left go."""
+    """Documents without lines that stand, within one character, earlier in the corpus; those of which nothing is left go. Rows
+    without text or words have lost nothing and stay; n_chars, where there is such a column, is counted anew."""
     slim = line_dedup.dedup_lines(docs)
-    left = (F.col("n_removed") == 0) | (count_words("text") > 0)
-    slim = slim.where(left).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    slim = slim.where((F.col("n_removed") == 0) | (count_words("text") > 0))
+    if "n_chars" in docs.columns:
+        slim = slim.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return slim.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
@@ -55,7 +60,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: A trained network decides the first stage, which SQL can't express; the tests hold run() against a plain version.
+#: A trained network decides the first stage, which SQL can't express; the tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
