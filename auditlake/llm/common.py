@@ -96,6 +96,19 @@ def drawn(mark: Column, rate: Column | float) -> Column:
     return F.shiftrightunsigned(mark, 1).cast("double") / float(1 << 63) < rate
 
 
+def likely_among(rows: DataFrame, wanted: DataFrame, key: list[str], bits: int = 24) -> DataFrame:
+    """The ``rows`` whose key is in ``wanted``, and of the others those few whose hash meets one that is: before a join that would
+    shuffle all rows. The marks that are broadcast have 2 ** bits bits, whatever the tables' sizes; should they be all set, every
+    row stays."""
+    place = F.pmod(F.xxhash64(*key), F.lit(1 << bits))
+    marks = wanted.select(place.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("likely__of"))
+    marks = F.broadcast(marks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("likely__marks")))
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("likely__marks", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = rows.join(marks, F.bitmap_bucket_number(place) == F.col("likely__of"))
+    return marked.where(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1).drop("likely__of", "likely__marks")
+
+
 def count_words(text: str | Column) -> Column:
     """Number of words (runs of anything but the white space above); null counts 0."""
     text = F.col(text) if isinstance(text, str) else text

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import SPACE, cut_table, drop_table, table
+from auditlake.llm.common import SPACE, cut_table, drop_table, likely_among, table
 
 #: Shorter lines (of so few characters in the form that is compared) go only if an earlier line is equal: there, one character
 #: tells numbers, letters of a list and marks apart.
@@ -121,7 +121,7 @@ def _near(first: DataFrame, docs: DataFrame) -> DataFrame:
     halves = cut_table(_shared(halves, "key").select("first", "n", *_LINE, "half"))
     at = halves.select("first.*", *_LINE).distinct()
     wanted = at.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("line_no", *_LINE)).alias("wanted"))
-    with_text = docs.alias("a").join(wanted.alias("b"), _same_document()).select("a.*", "wanted").dropDuplicates(["doc_id", "text_hash"])
+    with_text = likely_among(docs, wanted, ["doc_id", "text_hash"]).alias("a").join(wanted.alias("b"), _same_document()).select("a.*", "wanted").dropDuplicates(["doc_id", "text_hash"])
     lines = with_text.select("doc_id", "text_hash", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("x"))
     place = F.struct("doc_id", "text_hash", "x.line_no").alias("at")
     texts = cut_table(lines.select("x.h1", "x.h2", place, _normal(F.element_at("lines", F.col("x.line_no") + 1)).alias("normal")))
