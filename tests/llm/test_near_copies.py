@@ -62,6 +62,16 @@ def test_equals_brute_force(spark):
     assert sorted(map(tuple, out.collect())) == brute(rows)
 
 
+def test_large_buckets_equal_brute_force(spark, monkeypatch):
+    """Buckets of many blocks, trees of few sets, long sets in several parts, hot sets and shingles known as frequent."""
+    for name, value in (("BLOCK", 4), ("TREE", 2), ("ROWS_TOGETHER", 8), ("HOT_SETS", 5), ("FREQUENT_SHARE", 20), ("SHARES", 3)):
+        monkeypatch.setattr(N, name, value)
+    rows = corpus()
+    rows += [(1000 + i, rows[60][1]) for i in range(30)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], DOCS).repartition(5)
+    assert sorted(map(tuple, N.near_copies(docs).collect())) == brute(rows)
+
+
 def test_equals_sql(spark):
     folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
     same_rows(N.op7_near_copies(spark, folder), N.near_copies_sql(), folder)
@@ -83,7 +93,7 @@ def test_tree_equals_plain_search():
         probe = sets[0]
         want = {(i, len(np.intersect1d(s, probe))) for i, s in enumerate(sets)}
         want = {(i, n) for i, n in want if 100 * n >= 75 * (len(sets[i]) + len(probe) - n)}
-        assert set(N.search_tree(sets, probe)) == want
+        assert set(N.PrefixTree(sets).search(probe)) == want
 
 
 def test_bitmaps_never_overstate():
