@@ -19,7 +19,7 @@ PERCENT = 75
 #: are sent to every task. Any order gives the same links.
 FREQUENT_SHARE = 8192
 KNOWN = 400_000
-COUNT_BLOCK = 3_000_000
+COUNT_BLOCK = 2_000_000
 #: Sets of a prefix tree and members of a block of a bucket.
 TREE = 256
 BLOCK = 1024
@@ -70,8 +70,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
 
 
 def _map_width(n: int) -> int:
-    """Two to four bits for each of n elements, 128 at least."""
-    return 128 << max(0, (n - 1).bit_length() - 6)
+    """One to two bits for each of n elements, 64 at least: sets that share nothing still differ in twice the bits that may differ."""
+    return 64 << max(0, (n - 1).bit_length() - 6)
 
 
 def parity_bits(hashes: np.ndarray, width: int | None = None) -> np.ndarray:
