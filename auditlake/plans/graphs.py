@@ -141,13 +141,13 @@ def actions(spark, sf: str) -> DataFrame:
     name = lambda n: F.concat(F.lit("F"), n.cast("string"))
     return read(spark, sf, "conversations").select(
         F.col("conv_id").alias("scan"), t.alias("step"), F.when(t % 3 > 0, name(t * 2 % 7)).alias("finding_id"), F.when(t % 3 == 0, F.array(name(t + 1), name(t + 2))).alias("finding_ids"),
-        status.alias("status"), F.left("text", F.lit(12)).alias("evidence"), F.col("role").alias("reason"),
+        status.alias("status"), F.col("text").alias("evidence"), F.col("role").alias("reason"),
     )
 
 
 _SQL_VERDICTS = """f AS (SELECT conv_id AS scan, 'F' || (turn + 1) AS finding_id, turn FROM conversations),
 a AS (SELECT conv_id AS scan, turn AS step, unnest(CASE WHEN turn % 3 > 0 THEN ['F' || turn * 2 % 7] ELSE ['F' || (turn + 1), 'F' || (turn + 2)] END) AS finding_id,
- CASE WHEN turn % 5 = 4 THEN 'maybe' WHEN turn % 2 = 0 THEN 'verified' ELSE 'not_verified' END AS status, left(text, 12) AS evidence, role AS reason FROM conversations),
+ CASE WHEN turn % 5 = 4 THEN 'maybe' WHEN turn % 2 = 0 THEN 'verified' ELSE 'not_verified' END AS status, text AS evidence, role AS reason FROM conversations),
 k AS (SELECT a.*, row_number() OVER (PARTITION BY scan, finding_id ORDER BY step DESC, status DESC, evidence DESC, reason DESC) AS r FROM a SEMI JOIN f USING (scan, finding_id) WHERE status <> 'maybe'),
 v AS (SELECT scan, finding_id, status, evidence, reason FROM k WHERE r = 1)"""
 

@@ -12,7 +12,7 @@ from auditlake.plans.registry import query, read
 
 
 def turns(spark, sf: str) -> DataFrame:
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace(F.left("text", F.lit(40)), r'[^A-Za-z ]', "").alias("said"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r'[^A-Za-z ]', "").alias("said"))
 
 
 def _finding(turn, said):
@@ -31,7 +31,7 @@ def replies(spark, sf: str) -> DataFrame:
     return turns(spark, sf).select("conv_id", "turn", "said", k.alias("k"), reply.alias("reply"))
 
 
-_SQL_TURNS = "t AS (SELECT conv_id, turn, regexp_replace(left(text, 40), '[^A-Za-z ]', '', 'g') AS said, (conv_id + turn) % 7 AS k FROM conversations)"
+_SQL_TURNS = "t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS said, (conv_id + turn) % 7 AS k FROM conversations)"
 
 
 @query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, said AS title, 'high!' AS severity FROM t WHERE k IN (0, 1, 2, 3, 5) UNION ALL SELECT conv_id, turn, said, 'high!' FROM t WHERE k = 0
@@ -49,13 +49,13 @@ def validate_normalize_findings(spark, sf):
     return found.select("conv_id", "turn", "title", "file", "line_number", "line_end", "location", "severity")
 
 
-_SQL_THINK = """x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' || left(text, 30) WHEN 1 THEN 'draft </think> more </THINK>' || left(text, 30) WHEN 2 THEN left(text, 30) || '<Think>x</think>' ELSE left(text, 30) END AS t FROM conversations)"""
+_SQL_THINK = """x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' || text WHEN 1 THEN 'draft </think> more </THINK>' || text WHEN 2 THEN text || '<Think>x</think>' ELSE text END AS t FROM conversations)"""
 
 
 @query(f"""WITH {_SQL_THINK}, y AS (SELECT *, regexp_replace(t, '(?is)<think>.*?</think>', '', 'g') AS u FROM x)
 SELECT conv_id, turn, trim(CASE WHEN regexp_matches(u, '(?i)</think>') THEN regexp_replace(u, '(?is)^.*</think>', '') ELSE u END) AS said FROM y""")
 def think_strip(spark, sf):
-    t, said = F.col("turn") % 4, F.left("text", F.lit(30))
+    t, said = F.col("turn") % 4, F.col("text")
     shaped = F.when(t == 0, F.concat(F.lit("<think>a\nb</think>"), said)).when(t == 1, F.concat(F.lit("draft </think> more </THINK>"), said)).when(t == 2, F.concat(said, F.lit("<Think>x</think>"))).otherwise(said)
     return read(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(shaped).alias("said"))
 
@@ -98,9 +98,9 @@ def report_json(spark, sf):
     return grouped.select("user_id", F.to_json(F.struct(F.col("user_id").alias("user"), "total", "high")).alias("report"))
 
 
-@query("""SELECT user_id, '<ul>' || string_agg('<li class="' || event_type || '">' || event_type || ' &amp; ' || event_id || '</li>', '' ORDER BY event_type, event_id) || '</ul>' AS report FROM events WHERE value > 300 GROUP BY user_id""")
+@query("""SELECT user_id, '<ul>' || string_agg('<li class="' || event_type || '">' || event_type || ' &amp; ' || event_id || '</li>', '' ORDER BY event_type, event_id) || '</ul>' AS report FROM events GROUP BY user_id""")
 def report_html(spark, sf):
-    rows = read(spark, sf, "events").where("value > 300")
+    rows = read(spark, sf, "events")
     item = F.concat(F.lit('<li class="'), "event_type", F.lit('">'), T.html_escaped(F.concat("event_type", F.lit(" & "), F.col("event_id").cast("string"))), F.lit("</li>"))
     listed = F.array_sort(F.collect_list(F.struct("event_type", "event_id", item.alias("item"))))
     body = F.array_join(F.transform(listed, lambda s: s["item"]), "")

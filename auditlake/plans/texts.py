@@ -24,9 +24,9 @@ def grep_lines(spark, sf):
     return C.grep(documents(spark, sf), "license|secret|token", scoped=True)
 
 
-@query(f"WITH {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'the (') ORDER BY path, line_no LIMIT 60")
+@query(f"WITH {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'e t') ORDER BY path, line_no LIMIT 60")
 def grep_first_60(spark, sf):
-    return C.first_matches(C.grep(documents(spark, sf), "the (", scoped=True))
+    return C.first_matches(C.grep(documents(spark, sf), "e t", scoped=True))
 
 
 @query(rf"""
@@ -198,10 +198,10 @@ def extract_urls(spark, sf):
 
 
 @query(r"""
-WITH t AS (SELECT doc_id, 'x' || chr(10) || '```java' || chr(10) || '  ' || left(text, 40) || chr(10) || '```' || chr(10) || 'y ```' || chr(10) || '  ' || chr(10) || '```' AS t FROM documents)
+WITH t AS (SELECT doc_id, 'x' || chr(10) || '```java' || chr(10) || '  ' || text || chr(10) || '```' || chr(10) || 'y ```' || chr(10) || '  ' || chr(10) || '```' AS t FROM documents)
 SELECT doc_id, array_to_string(list_filter(list_transform(regexp_extract_all(t, '(?s)```(?:\w+)?\n(.*?)```', 1), lambda b: regexp_replace(b, '^\s+|\s+$', '', 'g')), lambda b: b <> ''), '|') AS blocks FROM t""")
 def code_blocks(spark, sf):
-    text = F.concat(F.lit("x\n```java\n  "), F.left("text", F.lit(40)), F.lit("\n```\ny ```\n  \n```"))
+    text = F.concat(F.lit("x\n```java\n  "), F.col("text"), F.lit("\n```\ny ```\n  \n```"))
     return read(spark, sf, "documents").select("doc_id", F.array_join(T.code_blocks(text), "|").alias("blocks"))
 
 
