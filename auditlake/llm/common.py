@@ -33,22 +33,27 @@ def _shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-#: Spark then deletes the shuffle files of a write as soon as it ends; else they stay until the driver's collector runs.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written. With the first, Spark deletes the shuffle files of a write as soon as it ends; else they stay until the driver's
+#: collector runs. With the second, batches for Python stay small where texts are long.
+_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
 _lock = threading.Lock()
 _writing = 0
-_before = ""
+_before: dict[str, str] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 @contextmanager
 def _cleaning(spark: SparkSession) -> Iterator[None]:
-    """The setting is on while any thread writes a table, and is put back after the last."""
+    """The settings hold while any thread writes a table, and are put back after the last."""
     global _writing, _before
     with _lock:
         if not _writing:
-            _before = spark.conf.get(_CLEANUP)
-            spark.conf.set(_CLEANUP, "true")
+            _before = {name: spark.conf.get(name) for name in _SETTINGS}
+            for name, value in _SETTINGS.items():
+                spark.conf.set(name, value)
         _writing += 1
     try:
         yield
@@ -56,7 +61,8 @@ def _cleaning(spark: SparkSession) -> Iterator[None]:
         with _lock:
             _writing -= 1
             if not _writing:
-                spark.conf.set(_CLEANUP, _before)
+                for name, value in _before.items():
+                    spark.conf.set(name, value)
 
 
 def cut(df: DataFrame) -> DataFrame:

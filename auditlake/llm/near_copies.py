@@ -28,7 +28,9 @@ NEAREST_ROUNDS = 3
 #: Bits of the bitmaps in a tree, at most.
 WIDEST = 4096
 #: Rows of blocks that a task compares, about.
-TASK_ROWS = 16_384
+TASK_ROWS = 4_096
+#: Sets that link differ in size by 4/3 at most, so their classes of size, each this much wider than the one before, are equal or neighbours.
+SIZE_STEP = 1.4
 #: A class has its rows (one for each element of its prefix) dealt by parts of so many, a shingle known as frequent by so many shares.
 ROWS_TOGETHER = 512
 SHARES = 64
@@ -357,6 +359,19 @@ def components(edges: DataFrame) -> DataFrame:
     return grouped
 
 
+def _size_class(n_shingles: Column) -> Column:
+    return F.floor(F.log(n_shingles) / float(np.log(SIZE_STEP))).cast("int")
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """code, size_class of the rows (code, size_class, component) that have, in their bucket, a row of another component whose class of
+    size is theirs or beside it. The others can't link there: a long text leaves the buckets in which all others are short."""
+    own = rows.groupBy("code", "size_class").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    near = F.explode(F.array(F.col("size_class") - 1, "size_class", F.col("size_class") + 1)).alias("size_class")
+    around = own.repartition("code").select("code", near, "lo", "hi").groupBy("code", "size_class")  # no second shuffle
+    return around.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("code", "size_class")
+
+
 def _parts(n_shingles: Column) -> Column:
     """Parts in which the prefix of a set of so many shingles is dealt; at least its number of elements in parts of ROWS_TOGETHER."""
     return F.ceil((n_shingles / 4 + 1) / ROWS_TOGETHER).cast("int")
@@ -376,16 +391,19 @@ def _each_share(codes: DataFrame) -> DataFrame:
 
 
 def _buckets(postings: DataFrame) -> DataFrame:
-    """key, code, part_of_key, share, members, centre of the postings in buckets of several classes; of buckets of a kind (frequent or
-    not) with the same members, in the one of the least code."""
+    """key, size_class, code, part_of_key, share, members, centre, centre_class of the postings in buckets of several classes; of buckets
+    of a kind (frequent or not) with the same members, in the one of the least code."""
 
     def of(rows: DataFrame) -> DataFrame:
         # The greatest part is not used, but with it the count and the join below need the same columns, so one shuffle serves both.
         bucket = rows.groupBy("code").agg(
-            F.count("*").alias("members"), F.min("key").alias("centre"), F.bit_xor(F.xxhash64("key")).alias("all"), F.max("part_of_key").alias("part")
+            F.count("*").alias("members"),
+            F.min(F.struct("key", "size_class")).alias("centre"),
+            F.bit_xor(F.xxhash64("key")).alias("all"),
+            F.max("part_of_key").alias("part"),
         )
         bucket = bucket.where("members > 1 and part >= 0").groupBy("members", "centre", "all").agg(F.min("code").alias("code"))
-        return bucket.select("code", "members", "centre")
+        return bucket.select("code", "members", F.col("centre.key").alias("centre"), F.col("centre.size_class").alias("centre_class"))
 
     rare = postings.where("code >= 0").repartition("code")
     common = postings.where("code < 0")
@@ -399,7 +417,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Classes that link share an element among the first quarter of their sets in the global order, so these elements are the buckets
     of the join; elements in one class only and buckets with the same members as another drop out. First the members of a bucket are
     put in trees in which its one centre is searched, which connects groups of copies of any size with as many comparisons as
-    members. Then only buckets that still hold several components are looked at. Bitmaps find the members that may have a
+    members. Then only buckets that still hold several components in sets of about one size are looked at. Bitmaps find the members that may have a
     partner in another component; their sets are put in a tree, in which each of them is searched, and a subtree is left once all
     of it is in the component of the probe: a block gives fewer links than it has members. Buckets of one block take one round. Larger
     ones go in pairs of blocks: in a few rounds for each member's nearest, which joins what is left of large groups, and in a last
@@ -407,9 +425,9 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     order = frequent_shingles(docs)
     whole = cut_table(sketches(docs, order))
-    classes = whole.where("n_shingles > 0").select("key", "prefix").dropDuplicates(["key"])
-    postings = classes.select("key", F.posexplode("prefix").alias("at", "code"))
-    shared = cut_table(_buckets(postings.select("key", "code", F.floor(F.col("at") / ROWS_TOGETHER).cast("int").alias("part_of_key"))))
+    classes = whole.where("n_shingles > 0").select("key", "n_shingles", "prefix").dropDuplicates(["key"])
+    postings = classes.select("key", _size_class(F.col("n_shingles")).alias("size_class"), F.posexplode("prefix").alias("at", "code"))
+    shared = cut_table(_buckets(postings.select("key", "size_class", "code", F.floor(F.col("at") / ROWS_TOGETHER).cast("int").alias("part_of_key"))))
 
     members = whole.where("n_shingles > 0").groupBy("key")
     members = members.agg(_first_document(), F.first("n_shingles").alias("n_shingles"), F.first("bits").alias("bits"))
@@ -419,7 +437,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     drop_table(whole)
 
     # Members of a large bucket have one centre, and long sets are in many buckets: both sides are dealt in parts.
-    pairs = shared.where("key != centre").groupBy(F.col("centre").alias("a"), F.col("key").alias("b"))
+    pairs = shared.where("key != centre and abs(size_class - centre_class) <= 1").groupBy(F.col("centre").alias("a"), F.col("key").alias("b"))
     pairs = pairs.agg(F.max("members").alias("members"), F.min("part_of_key").alias("part_of_key"))
     trees = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.col("members") / TREE, F.lit(1.0))))).cast("int")
     pairs = pairs.withColumn("trees", trees).withColumn("tree", F.pmod(F.xxhash64("b"), F.col("trees")).cast("int"))
@@ -450,8 +468,7 @@ def linked_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         named = maps.select("key", "n_shingles").join(grouped, "key")
         left = compared.join(_each_part(named, _parts(F.col("n_shingles"))).drop("n_shingles"), ["key", "part_of_key"], "left")
         left = cut_table(left.withColumn("component", F.coalesce("component", "key")))
-        mixed = left.groupBy("code").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("code")
-        rows = left.join(_each_share(mixed), ["code", "share"], "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+        rows = left.join(_each_share(_mixed(left)), ["code", "size_class", "share"], "left_semi").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
         rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
         beside = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
         rows = rows.select("code", "key", "component", "part_of_key", "part", (F.lit(nearest) & (F.col("blocks") > 1)).alias("nearest"), beside)
