@@ -56,13 +56,11 @@ def finding_ids(findings: DataFrame, keys: list[str], order: list[str]) -> DataF
     return findings.withColumn("finding_id", F.concat(F.lit("F"), n.cast("string")))
 
 
-def flattened(buckets: DataFrame, keys: list[str]) -> DataFrame:
-    """A row for each item of bucket columns (arrays), worst bucket first; place counts through."""
-    one = [buckets.select(*keys, F.lit(i).alias("rank"), F.lit(b).alias("bucket"), F.posexplode(b).alias("at", "item")) for i, b in enumerate(S.BUCKETS)]
-    out = one[0]
-    for more in one[1:]:
-        out = out.unionByName(more)
-    return out.select(*keys, "bucket", "item", F.row_number().over(Window.partitionBy(*keys).orderBy("rank", "at")).alias("place"))
+def flattened(findings: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """keys, bucket, item, place of each finding: worst bucket first, by item within it; place counts through. Rows are sorted, which
+    may spill, and never gathered into one row."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(S.rank(F.col("severity")), item))
+    return findings.select(*keys, S.bucket(F.col("severity")).alias("bucket"), F.col(item).alias("item"), place.alias("place"))
 
 
 def dashboard_totals(scans: DataFrame) -> DataFrame:

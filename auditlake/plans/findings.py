@@ -238,9 +238,7 @@ WITH f AS (SELECT user_id, event_id, {_SQL_BUCKET} AS bucket FROM events)
 SELECT user_id, bucket, event_id AS item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE bucket WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
  WHEN 'low' THEN 3 ELSE 4 END, event_id) AS INTEGER) AS place FROM f""")
 def flatten_buckets(spark, sf):
-    found = events_as_findings(spark, sf)
-    lists = [F.array_sort(F.collect_list(F.when(S.bucket(F.col("severity")) == b, F.col("event_id")))).alias(b) for b in S.BUCKETS]
-    return R.flattened(found.groupBy("user_id").agg(*lists), ["user_id"])
+    return R.flattened(events_as_findings(spark, sf), ["user_id"], "event_id")
 
 
 @query("""SELECT c_custkey, coalesce(nullif(nullif(c_mktsegment, 'BUILDING'), ''), 'N/A') AS segment, round_even(c_acctbal / 7.0::DOUBLE, 2) + 0.0 AS size_mb, CAST([] AS VARCHAR[])::VARCHAR AS permissions
