@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.plans.registry import query, read
+from auditlake.sources.shared import shared_folder
 from auditlake.streaming import events as E
 
 
@@ -30,10 +29,9 @@ def _stream(spark, sf: str) -> DataFrame:
     return _progress(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf))
 
 
-def _ran(spark, stream: DataFrame, mode: str) -> DataFrame:
-    name = f"ran_{uuid.uuid4().hex}"
-    E.into_table(stream, name, mode)
-    return spark.table(name)
+def _folded(spark, stream: DataFrame, step, mode: str = "append") -> DataFrame:
+    table = E.folded(stream, step, shared_folder(spark), mode)
+    return spark.createDataFrame([], stream.schema) if table is None else table
 
 
 _SQL = """e AS (SELECT user_id AS scan_id, event_id AS seq, CASE WHEN event_type IN ('view', 'click') THEN 'log' WHEN event_type = 'purchase' THEN 'progress' ELSE 'status' END AS type,
@@ -41,32 +39,61 @@ _SQL = """e AS (SELECT user_id AS scan_id, event_id AS seq, CASE WHEN event_type
  CASE WHEN event_type = 'purchase' THEN CAST(trunc(value % 100) AS INTEGER) END AS percent FROM events)"""
 
 
+_BUSY = "b AS (SELECT * REPLACE (scan_id % 2 AS scan_id) FROM e)"
+
+
+def _busy(events: DataFrame) -> DataFrame:
+    """All events as those of two scans, so that the limits are met."""
+    return events.withColumn("scan_id", F.col("scan_id") % 2)
+
+
 @query(f"""WITH {_SQL} SELECT scan_id, coalesce(arg_max(status, seq) FILTER (type = 'status'), '-') AS status, coalesce(arg_max(percent, seq) FILTER (type = 'progress'), -1) AS percent,
  count(*) FILTER (type = 'log') AS logs, max(seq) AS last_seq FROM e GROUP BY scan_id""")
 def stream_fold_latest(spark, sf):
-    latest = _ran(spark, E.latest_state(_stream(spark, sf)), "complete")
+    latest = _folded(spark, E.latest_state(_stream(spark, sf)), E.upsert, "update")
     return latest.select("scan_id", F.coalesce("status", F.lit("-")).alias("status"), F.coalesce("percent", F.lit(-1)).alias("percent"), "logs", "last_seq")
 
 
-@query(f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM e) SELECT scan_id, seq FROM r WHERE k <= 20")
+@query(f"WITH {_SQL}, {_BUSY}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM b) SELECT scan_id, seq, type FROM r WHERE k <= {E.BACKLOG}")
 def stream_backlog(spark, sf):
-    return E.newest(_ran(spark, _stream(spark, sf), "append"), 20).select("scan_id", "seq")
+    return _folded(spark, _busy(_stream(spark, sf)), E.merge_backlog).select("scan_id", "seq", "type")
 
 
-@query(f"WITH {_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM e WHERE type = 'log') SELECT scan_id, seq FROM r WHERE k <= 10")
+@query(f"WITH {_SQL}, {_BUSY}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM b WHERE type = 'log') SELECT scan_id, seq FROM r WHERE k <= {E.LOG_TAIL}")
 def stream_logs_tail(spark, sf):
-    return E.log_tail(_ran(spark, _stream(spark, sf), "append"), 10).select("scan_id", "seq")
+    logs = _busy(_stream(spark, sf)).where(F.col("type") == "log")
+    return _folded(spark, logs, lambda kept, batch: E.merge_backlog(kept, batch, E.LOG_TAIL)).select("scan_id", "seq")
+
+
+@query(f"""WITH {_SQL}, {_BUSY}, m AS (SELECT max(seq) // 2 AS upto FROM b), r AS (SELECT b.*, row_number() OVER (PARTITION BY scan_id ORDER BY seq DESC) AS k FROM b, m WHERE seq <= upto)
+SELECT scan_id, seq, 'replay' AS part FROM r WHERE k <= {E.BACKLOG} UNION ALL SELECT scan_id, seq, 'live' FROM b, m WHERE seq > upto""")
+def stream_subscribe(spark, sf):
+    past = _busy(_progress(read(spark, sf, "events")))
+    upto = past.agg(F.floor(F.max("seq") / 2).alias("upto"))
+    backlog = E.newest(past.join(F.broadcast(upto), F.col("seq") <= F.col("upto")).drop("upto"))  # one row
+    live = E.appended(E.subscribe(backlog, _busy(_stream(spark, sf))), shared_folder(spark))
+    parts = [rows.select("scan_id", "seq", F.lit(part).alias("part")) for rows, part in ((backlog, "replay"), (live, "live"))]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""WITH {_SQL}, s AS (SELECT scan_id, seq, status, lag(status) OVER w AS before, max(CASE WHEN status IN ('completed', 'failed', 'cancelled') THEN 1 ELSE 0 END)
  OVER (PARTITION BY scan_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over_ FROM e WHERE type = 'status' WINDOW w AS (PARTITION BY scan_id ORDER BY seq))
 SELECT scan_id, seq, status, coalesce(before, '-') AS before, status IN ('completed', 'failed') AS done FROM s WHERE coalesce(over_, 0) = 0""")
 def stream_state_machine(spark, sf):
-    steps = E.statuses(_ran(spark, _stream(spark, sf), "append"))
+    steps = E.appended(E.streamed_statuses(_stream(spark, sf)), shared_folder(spark))
     return steps.select("scan_id", "seq", "status", F.coalesce("before", F.lit("-")).alias("before"), E.finished(F.col("status")).alias("done"))
 
 
 @query(f"WITH {_SQL} SELECT scan_id, count(*) AS n FROM e WHERE scan_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) GROUP BY scan_id")
 def stream_live_only(spark, sf):
     scans = read(spark, sf, "customer").where(F.col("c_custkey") % 2 == 0).select(F.col("c_custkey").alias("scan_id"))
-    return _ran(spark, E.live_only(_stream(spark, sf), scans), "append").groupBy("scan_id").agg(F.count("*").alias("n"))
+    return E.appended(E.live_only(_stream(spark, sf), scans), shared_folder(spark)).groupBy("scan_id").agg(F.count("*").alias("n"))
+
+
+@query("""WITH f AS (SELECT user_id AS session, event_type || '.example' AS host, ts, min(ts) OVER (PARTITION BY user_id) AS began FROM events)
+SELECT session, coalesce(bool_or(contains(host, 'purchase') AND epoch(date_trunc('second', ts)) - epoch(date_trunc('second', began)) <= 604800), false) AS seen FROM f GROUP BY session""")
+def flow_hosts(spark, sf):
+    events = read(spark, sf, "events")
+    began = events.groupBy(F.col("user_id").alias("session")).agg(F.min("ts").alias("began"))
+    flows = events.select(F.col("user_id").alias("session"), F.concat("event_type", F.lit(".example")).alias("host"), "ts").join(began, "session")
+    return E.seen_hosts(flows, "purchase", within_seconds=7 * 86400)

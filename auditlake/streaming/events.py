@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from auditlake.sources.shared import Versions
 
 BACKLOG = 3000
 LOG_TAIL = 1500
 TERMINAL = ("completed", "failed", "cancelled")
 #: What a client takes as the end; it goes on waiting after a cancelled scan.
 CLIENT_TERMINAL = ("completed", "failed")
-STATE = "scan_id long, seq long, status string, percent int"
+STEP = "scan_id long, seq long, status string, before string"
 
 
 def stream_of(spark: SparkSession, folder: str, schema, files_each: int = 1) -> DataFrame:
@@ -53,6 +59,39 @@ def statuses(events: DataFrame, key: str = "scan_id", seq: str = "seq") -> DataF
     return rows.where("over = 0").drop("over")
 
 
+def streamed_statuses(events: DataFrame) -> DataFrame:
+    """The rows of ``statuses`` from a stream whose scans' events come in order of seq: scan_id, seq, status, before. The state of a scan is
+    its last status; after a final one its rows are dropped. A micro-batch may hold a scan's events in any order."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        (last,) = state.get if state.exists else (None,)
+        rows, out = pd.concat(list(batches)).sort_values("seq", kind="stable"), []
+        for seq, status in zip(rows["seq"], rows["status"], strict=True):
+            if last in TERMINAL:
+                break
+            out.append((key[0], seq, status, last))
+            last = status
+        state.update((last,))
+        yield pd.DataFrame(out, columns=["scan_id", "seq", "status", "before"])
+
+    only = events.where(F.col("type") == "status").select("scan_id", "seq", "status")
+    return only.groupBy("scan_id").applyInPandasWithState(run, STEP, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
+def upsert(kept: DataFrame | None, changed: DataFrame, key: str = "scan_id") -> DataFrame:
+    """Rows kept, but for those whose key has a newer one. Rows with a null key are replaced, too."""
+    if kept is None:
+        return changed
+    same = kept[key].eqNullSafe(changed[key])
+    return kept.join(changed.select(key), same, "left_anti").unionByName(changed)
+
+
+def subscribe(backlog: DataFrame, live: DataFrame, key: str = "scan_id", seq: str = "seq") -> DataFrame:
+    """Live events that the replay of the backlog has not given: put behind the backlog they leave no gap and give no event twice."""
+    upto = backlog.groupBy(F.col(key).alias("of")).agg(F.max(seq).alias("upto"))
+    return live.join(upto, F.col(key) == F.col("of"), "left").where(F.col("upto").isNull() | (F.col(seq) > F.col("upto"))).drop("of", "upto")
+
+
 def finished(status: Column, for_client: bool = True) -> Column:
     return status.isin(*(CLIENT_TERMINAL if for_client else TERMINAL))
 
@@ -68,10 +107,22 @@ def seen_hosts(flows: DataFrame, wanted: str, within_seconds: int = 6) -> DataFr
     return flows.groupBy("session").agg(F.coalesce(F.max(near), F.lit(False)).alias("seen"))
 
 
-def into_table(stream: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> None:
-    """Run a stream over all that is there into a table in memory, for tests and short reports."""
-    writer = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
+def folded(stream: DataFrame, step: Callable[[DataFrame | None, DataFrame], DataFrame], root: str, mode: str = "append") -> DataFrame | None:
+    """Run a stream over all that is there; ``step`` makes the next version of a table from the one before (None at first) and a micro-batch.
+    Gives the last version, None if no event ever came. The version is numbered by the micro-batch, so one that runs again changes
+    nothing, and a new run with the same folder goes on where the last one ended."""
+    table = Versions(stream.sparkSession, f"{root}/table")
+
+    def one(batch: DataFrame, number: int) -> None:
+        table.write(step(table.read(before=number), batch), number)
+
+    writer = stream.writeStream.outputMode(mode).foreachBatch(one).option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return table.read()
+
+
+def appended(stream: DataFrame, root: str) -> DataFrame:
+    """Run a stream over all that is there into a Parquet folder, each row once; the rows written so far."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    writer.trigger(availableNow=True).start(f"{root}/rows").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/rows")
