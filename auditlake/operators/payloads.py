@@ -21,7 +21,7 @@ WRAPPERS = ("vulnerabilities", "results", "findings", "response", "issues")
 
 
 def balanced_objects(text: str | None) -> list[str]:
-    """Every {...} of a text, at any depth, in order of their start; braces in strings don't count."""
+    """Every {...} of a text, at any depth, in order of their start; braces between two quotes don't count, wherever the quotes are."""
     starts, found, inside, escaped = [], [], False, False
     for i, c in enumerate(text or ""):
         if inside:
@@ -31,7 +31,7 @@ def balanced_objects(text: str | None) -> list[str]:
                 escaped = True
             elif c == '"':
                 inside = False
-        elif c == '"' and starts:
+        elif c == '"':
             inside = True
         elif c == "{":
             starts.append(i)
@@ -108,12 +108,67 @@ def greedy_object(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def salvaged(text: Column) -> Column:
-    """title, file, severity by pattern of every object with just one title, kept if there is a title and a file or severity."""
-    field = lambda o, k: F.nullif(F.regexp_extract(o, rf'"{k}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
-    objects = F.filter(all_objects(text), lambda o: F.regexp_count(o, F.lit('"title"')) == 1)
-    fields = F.transform(objects, lambda o: F.struct(field(o, "title").alias("title"), field(o, "file").alias("file"), field(o, "severity").alias("severity")))
-    return F.filter(fields, lambda f: f["title"].isNotNull() & (f["file"].isNotNull() | f["severity"].isNotNull()))
+#: Fields that are salvaged one by one.
+SALVAGED = ("title", "cvss_vector", "severity", "file", "line", "description", "recommendation", "impact", "cwe", "owasp_mobile", "exploitation")
+
+
+def _salvaged_field(text: Column, name: str) -> Column:
+    """A quoted value, decoded as JSON where that is possible, else a bare one up to a comma, brace or line end."""
+    quoted = F.regexp_extract(text, rf'"{name}"\s*:\s*("(?:[^"\\]|\\.)*")', 1)
+    decoded = F.get_json_object(F.concat(F.lit('{"v":'), quoted, F.lit("}")), "$.v")
+    bare = F.trim(F.regexp_extract(text, rf'"{name}"\s*:\s*([^",}}\n][^,}}\n]*)', 1))
+    value = F.when(quoted != "", F.coalesce(decoded, F.substring(quoted, F.lit(2), F.length(quoted) - 2))).otherwise(bare)
+    return F.nullif(value, F.lit(""))
+
+
+def salvaged(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
+    """keys, ord and the fields of every object with just one "title" in a reply, kept if there is a title and a file or severity."""
+    objects = replies.select(*keys, F.posexplode(all_objects(F.col(reply))).alias("ord", "object"))
+    found = objects.where(F.regexp_count("object", F.lit('"title"')) == 1)
+    fields = found.select(*keys, "ord", *[_salvaged_field(F.col("object"), name).alias(name) for name in SALVAGED])
+    return fields.where(F.col("title").isNotNull() & F.coalesce("file", "severity").isNotNull())
+
+
+# Patterns that find a field in a block of plain text, in order.
+BLOCK_FIELDS = (
+    (r'vulnerability_type["\s:]+([^",\n}]+)', "vulnerability_type"),
+    (r'file["\s:]+([^",\n}]+)', "file"),
+    (r'line_number["\s:]+(\d+)', "line_number"),
+    (r'code_snippet["\s:]+(.+?)(?=",|\})', "code_snippet"),
+    (r'description["\s:]+([^",\n}]+)', "description"),
+    (r'severity["\s:]+([^",\n}]+)', "severity"),
+)
+
+
+def block_findings(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
+    """keys, ord and the fields that patterns find in the parts of a reply between brackets and braces; parts without a type are left out.
+    The last resort for replies in which nothing parses."""
+    blocks = replies.select(*keys, F.posexplode(F.split(reply, r"[{}\[\]]")).alias("ord", "block"))
+    value = lambda pattern: F.nullif(F.btrim(F.trim(F.regexp_extract("block", pattern, 1)), F.lit('"')), F.lit(""))
+    fields = blocks.where(F.col("block").contains("vulnerability_type")).select(*keys, "ord", *[value(p).alias(name) for p, name in BLOCK_FIELDS])
+    return fields.where("vulnerability_type is not null")
+
+
+def actions(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
+    """keys, action (lower case), path and findings (JSON array; null unless it is a report) of an agent's next step. Thinking and fences are
+    taken off; what is no JSON object or array gives way to the first balanced object in it. A bare array, or an object that has
+    findings but no action, is a report. Replies without any object have no row."""
+    bare = T.without_thinking(F.col(reply))
+    bare = F.when(bare.startswith("```"), F.trim(F.regexp_replace(F.btrim(bare, F.lit("`")), r"^(?i)json", ""))).otherwise(bare)
+    whole = F.trim(bare)
+    kind = F.json_object_keys(whole)
+    listed = F.json_array_length(whole)
+    said = replies.select(*keys, whole.alias("whole"), kind.isNotNull().alias("is_object"), listed.isNotNull().alias("is_list"))
+    fine = F.col("is_object") | F.col("is_list")
+    good = said.where(fine).select(*keys, F.col("whole").alias("json"), "is_list")
+    odd = said.where(~fine).select(*keys, first_object(F.col("whole")).alias("json"), F.lit(False).alias("is_list"))
+    rows = good.unionByName(odd.where(F.json_object_keys("json").isNotNull()))
+    field = lambda path: F.get_json_object("json", path)
+    action = F.lower(F.trim(F.coalesce(field("$.action"), F.lit(""))))
+    arrays = [F.when(F.json_array_length(field(f"$.{k}")).isNotNull(), field(f"$.{k}")) for k in ("vulnerabilities", "findings", "results")]
+    found = F.when(F.col("is_list"), F.col("json")).when(action == "", F.coalesce(*arrays)).when(action == "report", arrays[0])
+    report = F.col("is_list") | ((action == "") & found.isNotNull())
+    return rows.select(*keys, F.when(report, "report").otherwise(action).alias("action"), field("$.path").alias("path"), found.alias("findings"))
 
 
 def _given(name: str) -> Column:

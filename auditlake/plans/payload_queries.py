@@ -60,21 +60,51 @@ def think_strip(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(shaped).alias("said"))
 
 
-@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 1 WHEN 5 THEN 1 ELSE 0 END AS BIGINT) AS n FROM t""")
+_SQL_ONE = """o AS (SELECT *, '{"title": "' || said || '", "severity": "high!", ' || CASE WHEN turn % 2 = 0 THEN '"file": "a/B.java", "line": "6-7"' ELSE '"location": "lines 9 to 6"' END
+ || ', "description": "d {x}"}' AS one FROM t)"""
+
+
+@query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, CAST(0 AS INTEGER) AS ord, CASE k WHEN 1 THEN '{{"findings": [' || one || ']}}' WHEN 4 THEN '{{"title": "' || said || '", "line": 76-80 (x), "severity": low,}}' ELSE one END AS object
+ FROM o WHERE k < 6 UNION ALL SELECT conv_id, turn, 1, one FROM o WHERE k IN (0, 1)""")
 def balanced_json(spark, sf):
-    return replies(spark, sf).select("conv_id", "turn", F.size(P.all_objects(F.col("reply"))).cast("long").alias("n"))
+    return replies(spark, sf).select("conv_id", "turn", F.posexplode(P.all_objects(F.col("reply"))).alias("ord", "object"))
 
 
-@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, said AS title, CASE WHEN k = 4 OR turn % 2 = 1 THEN '-' ELSE 'a/B.java' END AS file, 'high!' AS severity FROM t WHERE k IN (0, 1, 2, 3, 5) AND said <> ''
- UNION ALL SELECT conv_id, turn, said, CASE WHEN turn % 2 = 1 THEN '-' ELSE 'a/B.java' END, 'high!' FROM t WHERE k IN (0, 1) AND said <> ''""")
+@query(f"""WITH {_SQL_TURNS}, x AS (SELECT conv_id, turn, said AS title, CASE WHEN k = 4 THEN 'low' ELSE 'high!' END AS severity, CASE WHEN k < 4 OR k = 5 THEN CASE WHEN turn % 2 = 0 THEN 'a/B.java' END END AS file,
+ CASE WHEN k = 4 THEN '76-80 (x)' WHEN turn % 2 = 0 THEN '6-7' END AS line, CASE WHEN k <> 4 THEN 'd {{x}}' END AS description, k FROM t WHERE k < 6 AND trim(said, ' ') <> '' OR k < 6 AND said <> '')
+SELECT conv_id, turn, title, coalesce(severity, '-') AS severity, coalesce(file, '-') AS file, coalesce(line, '-') AS line, coalesce(description, '-') AS description FROM x
+UNION ALL SELECT conv_id, turn, title, severity, coalesce(file, '-'), coalesce(line, '-'), description FROM x WHERE k = 0 OR k = 1""")
 def salvage_fields(spark, sf):
-    found = replies(spark, sf).select("conv_id", "turn", F.explode(P.salvaged(F.col("reply"))).alias("f"))
-    return found.select("conv_id", "turn", "f.title", F.coalesce("f.file", F.lit("-")).alias("file"), F.coalesce("f.severity", F.lit("-")).alias("severity"))
+    found = P.salvaged(replies(spark, sf), ["conv_id", "turn"], "reply")
+    return found.select("conv_id", "turn", "title", *[F.coalesce(c, F.lit("-")).alias(c) for c in ("severity", "file", "line", "description")])
 
 
-@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CAST(CASE k WHEN 0 THEN 2 WHEN 6 THEN 0 ELSE 1 END AS BIGINT) AS n FROM t""")
+@query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, said AS title, CASE WHEN k = 4 THEN '76-80 (x)' WHEN turn % 2 = 0 THEN '6-7' ELSE '-' END AS line, CASE WHEN k = 4 THEN 'low' ELSE 'high!' END AS severity FROM o WHERE k < 6
+UNION ALL SELECT conv_id, turn, said, CASE WHEN turn % 2 = 0 THEN '6-7' ELSE '-' END, 'high!' FROM o WHERE k = 0""")
 def payload_coerce(spark, sf):
-    return replies(spark, sf).select("conv_id", "turn", F.size(P.tolerant_findings(F.col("reply"))).cast("long").alias("n"))
+    found = replies(spark, sf).select("conv_id", "turn", F.explode(P.tolerant_findings(F.col("reply"))).alias("j"))
+    field = lambda name: F.coalesce(F.get_json_object("j", f"$.{name}"), F.lit("-")).alias(name)
+    return found.select("conv_id", "turn", F.get_json_object("j", "$.title").alias("title"), field("line"), field("severity"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS said FROM conversations), x AS (SELECT *, 'x ' || said || '"' AS d FROM t)
+SELECT conv_id, turn, 'SQL ' || turn AS vulnerability_type, 'B.java' AS file, CAST(turn AS VARCHAR) AS line_number, CASE WHEN trim(said) = '' THEN 'x' ELSE trim('x ' || said) END AS description, 'low' AS severity FROM x""")
+def text_patterns(spark, sf):
+    line = F.col("turn").cast("string")
+    reply = F.concat(F.lit("no [json] {vulnerability_type: SQL "), line, F.lit(', file: B.java, line_number: '), line, F.lit(', description: "x '), "said", F.lit('", severity: low} {file: other}'))
+    found = P.block_findings(turns(spark, sf).select("conv_id", "turn", reply.alias("reply")), ["conv_id", "turn"], "reply")
+    return found.select("conv_id", "turn", "vulnerability_type", "file", "line_number", "description", "severity")
+
+
+@query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, CASE WHEN k < 2 THEN 'report' WHEN k IN (2, 4) THEN '' WHEN k = 3 THEN 'read' ELSE 'grep' END AS action, CASE k WHEN 3 THEN 'a/' || said WHEN 5 THEN 'p' ELSE '-' END AS path,
+ CASE k WHEN 0 THEN '[' || one || ']' ELSE '-' END AS bare, k = 0 OR k = 1 AS has_findings FROM o WHERE k <> 6""")
+def action_parse(spark, sf):
+    k, one = F.col("k"), _finding(F.col("turn"), F.col("said"))
+    reply = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, F.concat(F.lit('<think>{"action": "x"}</think>{"findings": ['), one, F.lit("]}"))).when(k.isin(2, 4), one)
+    reply = reply.when(k == 3, F.concat(F.lit('```json\n{"action": " READ", "path": "a/'), "said", F.lit('"}\n```'))).when(k == 5, 'I will look: {"action": "grep", "path": "p"} and then {"action": "z"}').otherwise("nothing {")
+    found = P.actions(replies(spark, sf).select("conv_id", "turn", "k", reply.alias("reply")), ["conv_id", "turn", "k"], "reply")
+    bare = F.when(F.col("k") == 0, F.col("findings")).otherwise("-")
+    return found.select("conv_id", "turn", "action", F.coalesce("path", F.lit("-")).alias("path"), bare.alias("bare"), F.col("findings").isNotNull().alias("has_findings"))
 
 
 @query("""WITH o AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '{"provider": "own", "limits": {"steps": 9}}' WHEN 1 THEN '{"limits": {"steps": null, "chars": 5}}' ELSE 'broken' END AS j FROM customer)

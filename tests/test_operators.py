@@ -105,3 +105,18 @@ def test_backlog_of_batches_equals_that_of_all(spark):
     for low in range(0, 10, 3):
         kept = events.merge_backlog(kept, everything.where((F.col("seq") >= low) & (F.col("seq") < low + 3)), 4)
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, events.newest(everything, 4).collect()))
+
+
+def test_salvage_and_patterns(spark):
+    replies = [(1, '{"v": [{"title": "a \\"q\\" \\u00e9", "line": 76-80 (x), "file": "B.java"}, {"title": "no place"}]}'), (2, None), (3, ""), (4, 'say " {"title": "t", "severity": bad}')]
+    found = payloads.salvaged(spark.createDataFrame(replies, "id long, reply string"), ["id"], "reply").collect()
+    assert [(r.id, r.title, r.file, r.line) for r in found] == [(1, 'a "q" é', "B.java", "76-80 (x)")]
+    blocks = spark.createDataFrame([(1, "x {vulnerability_type: SQL, file: A.java} [file: B.java]"), (2, None)], "id long, reply string")
+    assert [(r.vulnerability_type, r.file, r.severity) for r in payloads.block_findings(blocks, ["id"], "reply").collect()] == [("SQL", "A.java", None)]
+
+
+def test_actions(spark):
+    replies = ['{"action": "Read", "path": "p"}', "[]", '{"findings": [1]}', '{"action": "report", "vulnerabilities": []}', "so: {\"action\": \"grep\"} {", "", None, "{", "7"]
+    rows = spark.createDataFrame(list(enumerate(replies)), "id long, reply string")
+    found = {r.id: (r.action, r.path, r.findings) for r in payloads.actions(rows, ["id"], "reply").collect()}
+    assert found == {0: ("read", "p", None), 1: ("report", None, "[]"), 2: ("report", None, "[1]"), 3: ("report", None, "[]"), 4: ("grep", None, None)}
