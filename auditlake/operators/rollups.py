@@ -6,10 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import severity as S
+from auditlake.sources.shared import shared_folder
 
 PLAIN_TITLE = "Security Issue"
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
+    """Rows with their number from 1 within the keys. They are dealt by ranges of keys and order and written to the shared folder; each range is
+    numbered by itself, after the rows of its keys in the ranges before. So no task sorts all rows of a key, however many it has
+    (rows that are equal in the whole order stay together)."""
+    spark, root = rows.sparkSession, shared_folder(rows.sparkSession)
+    spread = rows.repartitionByRange(*keys, *order) if keys or order else rows
+    spread.withColumn("range_no", F.spark_partition_id()).write.parquet(root)
+    fixed = spark.read.parquet(root)
+    counts = fixed.groupBy("range_no", *keys).agg(F.count("*").alias("range_n"))
+    earlier = Window.partitionBy(*keys).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range of a key
+    starts = counts.select(F.col("range_no").alias("of_range"), *[F.col(k).alias(f"of_{k}") for k in keys], F.coalesce(F.sum("range_n").over(earlier), F.lit(0)).alias("range_start"))
+    near = F.row_number().over(Window.partitionBy("range_no", *keys).orderBy(*order))
+    same = F.col("range_no") == F.col("of_range")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"of_{k}"))
+    found = fixed.withColumn("range_place", near).join(starts, same).withColumn(name, F.col("range_start") + F.col("range_place"))
+    return found.select(*rows.columns, name)
+
+
 def bucket_counts(findings: DataFrame, keys: list[str], severity: str = "severity") -> DataFrame:
     """keys and a count for each bucket (none: 0); one pass, combined before the shuffle."""
     bucket = S.bucket(F.col(severity))
@@ -45,22 +65,27 @@ def by_title(findings: DataFrame) -> DataFrame:
     """Title (blank: the plain one), count and worst severity; place orders them by severity, count, title."""
     title = F.when(F.coalesce(F.trim("title"), F.lit("")) == "", PLAIN_TITLE).otherwise(F.col("title"))
     grouped = findings.groupBy(title.alias("title")).agg(F.count("*").alias("n"), F.min(S.rank(F.col("severity"))).alias("rank"))
-    place = F.row_number().over(Window.orderBy("rank", F.desc("n"), F.lower("title"), "title"))
+    placed = numbered(grouped, [], ["rank", F.desc("n"), F.lower("title"), "title"])
     name = F.element_at(F.array(*[F.lit(b) for b in S.BUCKETS]), F.col("rank") + 1)
-    return grouped.select("title", "n", name.alias("severity"), place.alias("place"))
+    return placed.select("title", "n", name.alias("severity"), "place")
 
 
 def finding_ids(findings: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Ids F1, F2, ... in the given order within the keys."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return findings.withColumn("finding_id", F.concat(F.lit("F"), n.cast("string")))
+    return numbered(findings, keys, order, "number").withColumn("finding_id", F.concat(F.lit("F"), F.col("number").cast("string"))).drop("number")
 
 
 def flattened(findings: DataFrame, keys: list[str], item: str) -> DataFrame:
-    """keys, bucket, item, place of each finding: worst bucket first, by item within it; place counts through. Rows are sorted, which
-    may spill, and never gathered into one row."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(S.rank(F.col("severity")), item))
-    return findings.select(*keys, S.bucket(F.col("severity")).alias("bucket"), F.col(item).alias("item"), place.alias("place"))
+    """keys, bucket, item, place of each finding: worst bucket first, by item within it; place counts through."""
+    rows = findings.select(*keys, S.bucket(F.col("severity")).alias("bucket"), F.col(item).alias("item"), S.rank(F.col("severity")).alias("worse"))
+    return numbered(rows, keys, ["worse", "item"]).drop("worse")
+
+
+def with_severity(findings: DataFrame, wanted: str | None) -> DataFrame:
+    """Findings of one severity in any spelling; None or all: every one."""
+    if wanted is None or wanted.strip().lower() == "all":
+        return findings
+    return findings.where(S.bucket(F.col("severity")) == S.bucket(F.lit(wanted)))
 
 
 def dashboard_totals(scans: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from auditlake.operators import verdicts as V
 from auditlake.plans.registry import query, read
 
 EVENT_SEVERITY = {"error": "Critical", "purchase": "high", "click": "MEDIUM", "view": " low ", "signup": "Informational"}
-_SQL_BUCKET = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END"
+SQL_BUCKET = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END"
 
 
 def events_as_findings(spark, sf: str) -> DataFrame:
@@ -21,7 +21,7 @@ def events_as_findings(spark, sf: str) -> DataFrame:
 
 
 @query(f"""
-WITH f AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, {_SQL_BUCKET} AS b FROM events),
+WITH f AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, {SQL_BUCKET} AS b FROM events),
 c AS (SELECT user_id, day, count(*) FILTER (b = 'critical') AS critical, count(*) FILTER (b = 'high') AS high, count(*) FILTER (b = 'medium') AS medium,
              count(*) FILTER (b = 'low') AS low, count(*) FILTER (b = 'info') AS info FROM f GROUP BY user_id, day)
 SELECT *, critical + high + medium + low + info AS total,
@@ -31,17 +31,17 @@ def severity_rollup(spark, sf):
 
 
 @query(f"""
-SELECT event_type, {_SQL_BUCKET} AS bucket, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY event_type), 0) AS percent
+SELECT event_type, {SQL_BUCKET} AS bucket, count(*) AS n, round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (PARTITION BY event_type), 0) AS percent
 FROM events GROUP BY event_type, bucket
 UNION ALL
-SELECT 'all', {_SQL_BUCKET} AS bucket, count(*), round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 0) FROM events GROUP BY bucket""")
+SELECT 'all', {SQL_BUCKET} AS bucket, count(*), round_even(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 0) FROM events GROUP BY bucket""")
 def severity_pct(spark, sf):
     found = events_as_findings(spark, sf)
     return R.severity_shares(found, ["event_type"]).unionByName(R.severity_shares(found, []).withColumn("event_type", F.lit("all")))
 
 
 @query(f"""
-WITH f AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, {_SQL_BUCKET} AS b FROM events),
+WITH f AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, {SQL_BUCKET} AS b FROM events),
 c AS (SELECT user_id, day, count(*) FILTER (b = 'critical')::DOUBLE AS c, count(*) FILTER (b = 'high')::DOUBLE AS h, count(*) FILTER (b = 'medium')::DOUBLE AS m,
              count(*) FILTER (b = 'low')::DOUBLE AS l, count(*) FILTER (b = 'info')::DOUBLE AS i FROM f GROUP BY user_id, day)
 SELECT user_id, day, CASE WHEN user_id % 2 = 0 THEN greatest(0::DOUBLE, 100 - (20 * c + 10 * h + 5 * m + 2 * l + 0.5::DOUBLE * i)) ELSE 0 END AS json_score,
@@ -54,9 +54,9 @@ _TITLES = "CASE WHEN event_type = 'signup' THEN '' ELSE event_type || ' ' || CAS
 
 
 @query(f"""
-WITH f AS (SELECT {_TITLES} AS t, CASE {_SQL_BUCKET} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS r FROM events),
+WITH f AS (SELECT {_TITLES} AS t, CASE {SQL_BUCKET} WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS r FROM events),
 g AS (SELECT CASE WHEN coalesce(trim(t), '') = '' THEN 'Security Issue' ELSE t END AS title, count(*) AS n, min(r) AS r FROM f GROUP BY 1)
-SELECT title, n, ['critical', 'high', 'medium', 'low', 'info'][r + 1] AS severity, CAST(row_number() OVER (ORDER BY r, n DESC, lower(title), title) AS INTEGER) AS place FROM g""")
+SELECT title, n, ['critical', 'high', 'medium', 'low', 'info'][r + 1] AS severity, row_number() OVER (ORDER BY r, n DESC, lower(title), title) AS place FROM g""")
 def group_by_title_max_severity(spark, sf):
     title = F.when(F.col("event_type") == "signup", "").otherwise(F.concat("event_type", F.lit(" "), F.floor(F.col("value") / 50).cast("string")))
     return R.by_title(events_as_findings(spark, sf).withColumn("title", title))
@@ -234,9 +234,9 @@ def finding_index(spark, sf):
 
 
 @query(f"""
-WITH f AS (SELECT user_id, event_id, {_SQL_BUCKET} AS bucket FROM events)
-SELECT user_id, bucket, event_id AS item, CAST(row_number() OVER (PARTITION BY user_id ORDER BY CASE bucket WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
- WHEN 'low' THEN 3 ELSE 4 END, event_id) AS INTEGER) AS place FROM f""")
+WITH f AS (SELECT user_id, event_id, {SQL_BUCKET} AS bucket FROM events)
+SELECT user_id, bucket, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY CASE bucket WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2
+ WHEN 'low' THEN 3 ELSE 4 END, event_id) AS place FROM f""")
 def flatten_buckets(spark, sf):
     return R.flattened(events_as_findings(spark, sf), ["user_id"], "event_id")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from auditlake.functions import severity as S
 from auditlake.functions import text as T
 from auditlake.operators import payloads as P
+from auditlake.operators import reports as RP
+from auditlake.plans.findings import SQL_BUCKET, events_as_findings
 from auditlake.plans.registry import query, read
 
 
@@ -122,19 +124,49 @@ def object_grab(spark, sf):
     return read(spark, sf, "pages").select("page_id", F.coalesce(P.greedy_object(text), F.lit("-")).alias("object"))
 
 
-@query("SELECT CAST(user_id AS BIGINT) AS user_id, '{\"user\":' || user_id || ',\"total\":' || count(*) || ',\"high\":' || count(*) FILTER (event_type = 'purchase') || '}' AS report FROM events GROUP BY user_id")
+_SQL_COUNTS = f"""c AS (SELECT user_id, count(*) FILTER (b = 'critical') AS critical, count(*) FILTER (b = 'high') AS high, count(*) FILTER (b = 'medium') AS medium, count(*) FILTER (b = 'low') AS low,
+ count(*) FILTER (b = 'info') AS info, count(*) AS n FROM (SELECT user_id, {SQL_BUCKET} AS b FROM events) GROUP BY user_id)"""
+
+
+@query(f"""WITH {_SQL_COUNTS}, x AS (SELECT c_custkey AS scan, c_mktsegment AS segment, c_custkey % 3 > 0 AS analysed, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, coalesce(medium, 0) AS medium,
+ coalesce(low, 0) AS low, coalesce(info, 0) AS info, coalesce(n, 0) AS n FROM customer LEFT JOIN c ON c_custkey = user_id), y AS (SELECT *, CASE WHEN analysed THEN 'true' ELSE 'false' END AS done,
+ CASE WHEN analysed THEN greatest(0.0::DOUBLE, 100.0::DOUBLE - (20.0::DOUBLE * critical + 10 * high + 5 * medium + 2 * low + 0.5::DOUBLE * info)) ELSE 0.0::DOUBLE END AS score FROM x)
+SELECT scan, '{{"metadata":{{"scan":' || scan || '}},"framework_detection":{{"primary":"' || segment || '"}},"application_info":{{"package":"app.c' || scan || '"}},"vulnerability_analysis":{{"analyzed":' || done
+ || ',"total_vulnerabilities":' || n || ',"by_severity":{{"critical":' || critical || ',"high":' || high || ',"medium":' || medium || ',"low":' || low || ',"info":' || info || '}}}},"analyzer_details":{{}},"summary":{{"framework_detected":true,"vulnerability_scan_complete":'
+ || done || ',"total_vulnerabilities":' || n || ',"critical_count":' || critical || ',"high_count":' || high || ',"medium_count":' || medium || ',"low_count":' || low || ',"security_score":' || CAST(score AS VARCHAR) || '}}}}' AS report FROM y""")
 def report_json(spark, sf):
-    grouped = read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("high"))
-    return grouped.select("user_id", F.to_json(F.struct(F.col("user_id").alias("user"), "total", "high")).alias("report"))
+    key, package = F.col("c_custkey"), F.concat(F.lit("app.c"), F.col("c_custkey").cast("string"))
+    scans = read(spark, sf, "customer").select(
+        key.alias("scan"),
+        F.struct(key.alias("scan")).alias("metadata"),
+        F.struct(F.col("c_mktsegment").alias("primary")).alias("framework_detection"),
+        F.struct(package.alias("package")).alias("application_info"),
+        F.create_map().cast("map<string,string>").alias("analyzer_details"),
+        (key % 3 > 0).alias("analysed"),
+    )
+    return RP.json_reports(scans, events_as_findings(spark, sf).withColumnRenamed("user_id", "scan"), "scan")
+
+
+_SQL_PAGE = f"""f AS (SELECT user_id, event_id, {SQL_BUCKET} AS bucket, event_type || ' & ' || CASE WHEN event_id % 2 = 0 THEN 'B' ELSE 'a' END AS title FROM events),
+g AS (SELECT *, CASE bucket WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END AS worse FROM f)"""
+_SQL_ITEM = """'<li class="' || bucket || '">' || replace(title, '&', '&amp;') || CASE WHEN event_id % 3 = 0 THEN '' ELSE '<table><tr><td>1</td><td>a &lt; ' || event_id || '</td></tr><tr><td>2</td><td>b</td></tr></table>' END || '</li>'"""
 
 
-@query("""SELECT user_id, '<ul>' || string_agg('<li class="' || event_type || '">' || event_type || ' &amp; ' || event_id || '</li>', '' ORDER BY event_type, event_id) || '</ul>' AS report FROM events GROUP BY user_id""")
+def _titled(spark, sf: str) -> DataFrame:
+    k = F.col("event_id")
+    title = F.concat("event_type", F.lit(" & "), F.when(k % 2 == 0, "B").otherwise("a"))
+    code = F.when(k % 3 > 0, F.concat(F.lit("a < "), k.cast("string"), F.lit("\nb")))
+    return events_as_findings(spark, sf).withColumns({"title": title, "code": code})
+
+
+@query(f"WITH {_SQL_PAGE} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY worse, lower(title), event_id) AS place, {_SQL_ITEM} AS html FROM g")
 def report_html(spark, sf):
-    rows = read(spark, sf, "events")
-    item = F.concat(F.lit('<li class="'), "event_type", F.lit('">'), T.html_escaped(F.concat("event_type", F.lit(" & "), F.col("event_id").cast("string"))), F.lit("</li>"))
-    listed = F.array_sort(F.collect_list(F.struct("event_type", "event_id", item.alias("item"))))
-    body = F.array_join(F.transform(listed, lambda s: s["item"]), "")
-    return rows.groupBy("user_id").agg(F.concat(F.lit("<ul>"), body, F.lit("</ul>")).alias("report"))
+    return RP.page_rows(_titled(spark, sf), "user_id", "title", "code", "event_id")
+
+
+@query(f"WITH {_SQL_PAGE} SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY lower(title), event_id) AS place, {_SQL_ITEM} AS html FROM g WHERE bucket = 'high'")
+def severity_filter(spark, sf):
+    return RP.page_rows(_titled(spark, sf), "user_id", "title", "code", "event_id", "HIGH")
 
 
 @query("SELECT p_partkey, coalesce('https://cwe.mitre.org/data/definitions/' || nullif(regexp_extract(p_brand, '(\\d+)', 1), '') || '.html', '-') AS link, 'he said \"no\" it''s ' || p_brand AS folded FROM part")
