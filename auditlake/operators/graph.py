@@ -70,6 +70,70 @@ def ranked_nodes(nodes: DataFrame, cls: str, most: int = 120) -> DataFrame:
     return nodes.withColumn("tier", tier).orderBy("tier", F.lower(cls), cls).limit(most).crossJoin(F.broadcast(total))  # one row
 
 
+def first_values(rows: DataFrame, keys: list[str], value: str, order: list[str], most: int, name: str) -> DataFrame:
+    """keys and the first distinct values, joined by commas; cut by a window before they are gathered."""
+    first = rows.groupBy(*keys, value).agg(*[F.min(o).alias(f"by_{i}") for i, o in enumerate(order)])
+    by = [f"by_{i}" for i in range(len(order))]
+    cut = first.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("n") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("n", value)))
+    return cut.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda s: s[value]), ", ").alias(name))
+
+
+def code_graph(classes: DataFrame, roles: DataFrame, refs: DataFrame, calls: DataFrame, loaders: DataFrame) -> DataFrame:
+    """One node for each outer class: cls, file, extends, role, exported, flagged, signals, refs.
+
+    classes: cls, extends, file; roles: cls, role; refs: cls, ord, ref; calls: cls, call; loaders: cls of those that load native
+    libraries. signals is an array of family and the first four calls by name, with native-call for the loaders that a class refers to;
+    a loader that is not exported becomes a native-bridge. refs are the first five. Every list is cut before it is gathered.
+    """
+    nodes = vertices(classes, roles, "cls").join(classes.groupBy(outer_class(F.col("cls")).alias("cls")).agg(F.min("file").alias("file")), "cls")
+    nodes = nodes.join(loaders.select("cls").distinct().withColumn("loads", F.lit(True)), "cls", "left").withColumn("exported", exported(F.col("role")))
+    nodes = nodes.withColumn("role", F.when(F.col("loads") & ~F.col("exported"), "native-bridge").otherwise(F.col("role"))).drop("loads", "members")
+    called = calls.select(outer_class(F.col("cls")).alias("cls"), F.explode(sink_families(F.col("call"))).alias("family"), "call")
+    native = native_callers(refs.select("cls", "ref"), loaders).select("cls", F.lit("native-call").alias("family"), F.array_join("loaders", ", ").alias("names"))
+    families = first_values(called, ["cls", "family"], "call", ["call"], 4, "names").unionByName(native)  # a dozen families a class at most
+    listed = F.array_sort(F.collect_list(F.struct("family", "names")))
+    near = first_values(refs, ["cls"], "ref", ["ord", "ref"], 5, "refs")
+    found = nodes.join(families.groupBy("cls").agg(listed.alias("signals")), "cls", "left").join(near, "cls", "left")
+    return found.withColumn("flagged", F.col("signals").isNotNull())
+
+
+def _signs(before: str, after: str) -> Column:
+    said = F.transform("signals", lambda s: F.concat(s["family"], F.lit("("), s["names"], F.lit(")")))
+    return F.when(F.col("signals").isNotNull(), F.concat(F.lit(before), F.array_join(said, "; "), F.lit(after)))
+
+
+def node_lines(nodes: DataFrame) -> DataFrame:
+    """The nodes and their line of the map: role, class, file, superclass (but the plainest), sinks and references."""
+    plain = F.coalesce(F.col("extends"), F.lit("")).isin("", "Object", "AppCompatActivity")
+    head = F.concat(F.lit("["), "role", F.lit("] "), "cls", F.lit(" ("), "file", F.lit(")"), F.when(plain, "").otherwise(F.concat(F.lit(" extends "), "extends")))
+    bits = F.concat_ws(" | ", _signs("sinks: ", ""), F.concat(F.lit("refs: "), F.col("refs")))
+    return nodes.withColumn("line", F.when(bits == "", head).otherwise(F.concat(head, F.lit("\n    "), bits)))
+
+
+def rendered(nodes: DataFrame, most: int = 120) -> DataFrame:
+    """The map: lines of the first nodes (exported, flagged, others; by name) with their tier and the number of nodes in all."""
+    return ranked_nodes(node_lines(nodes), "cls", most).select("tier", "cls", "line", "total")
+
+
+def entry_points(nodes: DataFrame) -> DataFrame:
+    """The short map: exported nodes and what they call, - for nothing."""
+    signs = F.coalesce(_signs("", ""), F.lit("-"))
+    return nodes.where("exported").select("cls", F.concat(F.lit("["), "role", F.lit("] "), "cls", F.lit(" ("), "file", F.lit("): "), signs).alias("line"))
+
+
+def resolved_paths(wanted: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, path of the file that a report means: as given, in sources/, in resources/, else the first with the same base name.
+    Every rung implies equal base names, so that is the join's key. Blank and unknown files have no row."""
+    base = lambda c: F.substring_index(c, "/", -1)
+    asked = wanted.withColumn("asked", F.ltrim(F.trim("file"), F.lit("/"))).withColumn("base", base("asked")).where("base <> ''")
+    pairs = asked.join(files.select("path", base("path").alias("base")).distinct(), "base")
+    rung = F.when(F.col("path") == F.col("asked"), 0)
+    for i, folder in enumerate(("sources/", "resources/"), 1):
+        rung = rung.when(F.col("path") == F.concat(F.lit(folder), "asked"), i)
+    return pairs.groupBy(*keys).agg(F.min_by("path", F.struct(rung.otherwise(3), F.col("path"))).alias("path"))
+
+
 def unread(targets: DataFrame, read: DataFrame, path: str) -> DataFrame:
     """Files that ought to be read and were not."""
     return targets.select(path).distinct().join(read.select(path).distinct(), path, "left_anti")

@@ -40,15 +40,15 @@ def first_calls(calls: DataFrame, keys: list[str], order: str) -> DataFrame:
     return first
 
 
-def stalls(actions: DataFrame, key: str, order: str, signature: str, nudge_at: int = 2) -> DataFrame:
-    """How many times in a row an action repeats the one before, and whether that is a nudge (which starts the count again)."""
+def stalls(actions: DataFrame, key: str, order: str, signature: str, observed: str, nudge_at: int = 2) -> DataFrame:
+    """How many actions in a row made no headway, as they repeat the one before or saw that a file was read to its end already, and whether
+    that is a nudge (which starts the count again)."""
     by_order = Window.partitionBy(key).orderBy(order)
-    same = F.coalesce(F.col(signature) == F.lag(signature).over(by_order), F.lit(False))
-    island = F.sum(F.when(same, 0).otherwise(1)).over(by_order)
-    rows = actions.withColumn("island", island)
-    run = F.row_number().over(Window.partitionBy(key, "island").orderBy(order)) - 1
-    rows = rows.withColumn("repeats", run)
-    return rows.withColumn("nudge", (F.col("repeats") > 0) & (F.col("repeats") % nudge_at == 0)).drop("island")
+    ended = F.coalesce(F.col(observed).startswith("(already read to the end"), F.lit(False))
+    same = F.coalesce(F.col(signature) == F.lag(signature).over(by_order), F.lit(False)) | ended
+    rows = actions.withColumn("same", same.cast("long")).withColumn("island", F.sum(1 - F.col("same")).over(by_order))
+    rows = rows.withColumn("repeats", F.sum("same").over(Window.partitionBy(key, "island").orderBy(order)))
+    return rows.withColumn("nudge", (F.col("repeats") > 0) & (F.col("repeats") % nudge_at == 0)).drop("island", "same")
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str, least: int = 3) -> DataFrame:

@@ -22,11 +22,6 @@ def references(spark, sf: str) -> DataFrame:
     return links.select(F.concat(F.lit("C"), F.col("page_id").cast("string")).alias("cls"), F.col("ord").cast("long").alias("ord"), ref.alias("ref"), "href")
 
 
-@query(f"WITH {_SQL_REFS} SELECT cls, ref, count(*) AS n, min(ord) AS first FROM r GROUP BY cls, ref")
-def code_graph(spark, sf):
-    return references(spark, sf).groupBy("cls", "ref").agg(F.count("*").alias("n"), F.min("ord").alias("first"))
-
-
 _CALLS = [k for keys in G.SINKS.values() for k in keys] + ["Lcom/app/X;->run"]
 _SQL_CALLS = f"c AS (SELECT 'K' || l_suppkey || CASE WHEN l_linenumber % 2 = 0 THEN '$1' ELSE '' END AS cls, [{', '.join(repr(c) for c in _CALLS)}][CAST(l_partkey % {len(_CALLS)} + 1 AS INTEGER)] AS call FROM lineitem)"
 
@@ -45,6 +40,46 @@ def sink_tags(spark, sf):
     return G.signals(calls(spark, sf), "cls", "call")
 
 
+_SQL_GRAPH = f"""{_SQL_REFS}, {_SQL_CALLS}, {_SQL_SINKS}, d AS (SELECT call, family FROM (SELECT DISTINCT call FROM c) JOIN s ON contains(call, key) GROUP BY ALL),
+v AS (SELECT 'C' || page_id AS cls, 'f/C' || page_id || '.java' AS file, CASE page_id % 3 WHEN 0 THEN 'Object' WHEN 1 THEN 'Base' END AS extends, page_id % 7 = 0 AS exported, page_id % 5 = 0 AS loads FROM pages),
+k AS (SELECT DISTINCT 'C' || substr(split_part(cls, '$', 1), 2) AS cls, family, call FROM c JOIN d USING (call)),
+k4 AS (SELECT *, row_number() OVER (PARTITION BY cls, family ORDER BY call) AS n FROM k), m AS (SELECT DISTINCT r.cls, r.ref AS call FROM r JOIN v ON v.cls = r.ref AND v.loads WHERE r.cls <> r.ref),
+m4 AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY call) AS n FROM m),
+g AS (SELECT cls, family, string_agg(call, ', ' ORDER BY call) AS names FROM (SELECT cls, family, call FROM k4 WHERE n <= 4 UNION ALL SELECT cls, 'native-call', call FROM m4 WHERE n <= 4) GROUP BY cls, family),
+h AS (SELECT cls, string_agg(family || '(' || names || ')', '; ' ORDER BY family) AS signs FROM g GROUP BY cls),
+f AS (SELECT cls, ref, min(ord) AS o FROM r GROUP BY cls, ref), f5 AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY o, ref) AS n FROM f), rf AS (SELECT cls, string_agg(ref, ', ' ORDER BY n) AS refs FROM f5 WHERE n <= 5 GROUP BY cls),
+z AS (SELECT v.*, CASE WHEN exported THEN 'activity' WHEN loads THEN 'native-bridge' ELSE 'class' END AS role, signs, refs FROM v LEFT JOIN h USING (cls) LEFT JOIN rf USING (cls))"""
+
+
+def graph_nodes(spark, sf: str) -> DataFrame:
+    """Pages as classes, their links as references, the calls of suppliers' line items as those of the class of the same number."""
+    k = F.col("page_id")
+    name = F.concat(F.lit("C"), k.cast("string"))
+    pages = read(spark, sf, "pages")
+    classes = pages.select(name.alias("cls"), F.when(k % 3 == 0, "Object").when(k % 3 == 1, "Base").alias("extends"), F.concat(F.lit("f/"), name, F.lit(".java")).alias("file"))
+    roles = pages.where(k % 7 == 0).select(name.alias("cls"), F.lit("activity").alias("role"))
+    made = calls(spark, sf).select(F.concat(F.lit("C"), F.expr("substring(cls, 2)")).alias("cls"), "call")
+    return G.code_graph(classes, roles, references(spark, sf).select("cls", "ord", "ref"), made, pages.where(k % 5 == 0).select(name.alias("cls")))
+
+
+@query(f"WITH {_SQL_GRAPH} SELECT cls, file, coalesce(extends, '-') AS extends, role, exported, signs IS NOT NULL AS flagged, coalesce(signs, '-') AS signs, coalesce(refs, '-') AS refs FROM z")
+def code_graph(spark, sf):
+    signs = F.array_join(F.transform("signals", lambda s: F.concat(s["family"], F.lit("("), s["names"], F.lit(")"))), "; ")
+    lists = [F.coalesce(c, F.lit("-")).alias(n) for c, n in ((signs, "signs"), (F.col("refs"), "refs"))]
+    return graph_nodes(spark, sf).select("cls", "file", F.coalesce("extends", F.lit("-")).alias("extends"), "role", "exported", "flagged", *lists)
+
+
+@query(f"""WITH {_SQL_GRAPH} SELECT CASE WHEN exported THEN 0 WHEN signs IS NOT NULL THEN 1 ELSE 2 END AS tier, cls, '[' || role || '] ' || cls || ' (' || file || ')' || CASE WHEN extends = 'Base' THEN ' extends Base' ELSE '' END
+ || CASE WHEN signs IS NULL AND refs IS NULL THEN '' ELSE chr(10) || '    ' || concat_ws(' | ', 'sinks: ' || signs, 'refs: ' || refs) END AS line, (SELECT count(*) FROM z) AS total FROM z ORDER BY tier, lower(cls), cls LIMIT 120""")
+def graph_map(spark, sf):
+    return G.rendered(graph_nodes(spark, sf))
+
+
+@query(f"WITH {_SQL_GRAPH} SELECT cls, '[' || role || '] ' || cls || ' (' || file || '): ' || coalesce(signs, '-') AS line FROM z WHERE exported")
+def graph_entry_points(spark, sf):
+    return G.entry_points(graph_nodes(spark, sf))
+
+
 @query(f"""WITH {_SQL_REFS}, l AS (SELECT DISTINCT cls FROM r WHERE href LIKE '%a%' AND CAST(substr(cls, 2) AS BIGINT) < 97), d AS (SELECT DISTINCT r.cls, r.ref FROM r SEMI JOIN l ON l.cls = r.ref WHERE r.cls <> r.ref),
 k AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY ref) AS n FROM d) SELECT cls, string_agg(ref, ',' ORDER BY ref) AS loaders FROM k WHERE n <= 4 GROUP BY cls""")
 def native_propagation(spark, sf):
@@ -184,9 +219,13 @@ _SQL_ISLANDS = """l AS (SELECT user_id, event_id, event_type, CASE WHEN event_ty
 g AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM l)"""
 
 
-@query(f"WITH {_SQL_ISLANDS}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) - 1 AS INTEGER) AS repeats FROM g) SELECT user_id, event_id, event_type, repeats, repeats > 0 AND repeats % 2 = 0 AS nudge FROM r")
+@query("""WITH s AS (SELECT user_id, event_id, event_type, coalesce(event_type = lag(event_type) OVER w, false) OR event_id % 6 = 0 AS same FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+g AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM s),
+r AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY event_id) AS n FROM g) SELECT user_id, event_id, event_type, CAST(n AS BIGINT) AS repeats, n > 0 AND n % 2 = 0 AS nudge FROM r""")
 def stall_detection(spark, sf):
-    return V.stalls(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type")
+    said = F.when(F.col("event_id") % 6 == 0, "(already read to the end of it)").otherwise("text")
+    rows = read(spark, sf, "events").select("user_id", "event_id", "event_type", said.alias("observed"))
+    return V.stalls(rows, "user_id", "event_id", "event_type", "observed").drop("observed")
 
 
 @query(f"WITH {_SQL_ISLANDS} SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS length FROM g GROUP BY user_id, island, event_type HAVING count(*) >= 3")
@@ -199,11 +238,10 @@ def last5_context(spark, sf):
     return V.last_context(read(spark, sf, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").drop("event_type")
 
 
-@query(rf"""WITH {PATHS_SQL}, x AS (SELECT DISTINCT path FROM p WHERE page_id % 2 = 0), c AS (SELECT page_id, 'p' || page_id || '.java' AS ref FROM pages),
-m AS (SELECT page_id, path, CASE WHEN path = 'sources/com/shop/' || ref THEN 0 ELSE 3 END AS k FROM c JOIN x ON regexp_extract(path, '([^/]*)$', 1) = ref) SELECT page_id, arg_min(path, (k, path)) AS path FROM m GROUP BY page_id""")
+@query(rf"""WITH {PATHS_SQL}, x AS (SELECT DISTINCT path FROM p WHERE page_id % 2 = 0), c AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'com/shop/p' || page_id || '.java' WHEN 1 THEN '/AndroidManifest.xml' WHEN 2 THEN path
+ ELSE 'res/values/strings.xml' END AS ref FROM p), m AS (SELECT page_id, path, CASE path WHEN ref THEN 0 WHEN 'sources/' || ltrim(ref, '/') THEN 1 WHEN 'resources/' || ltrim(ref, '/') THEN 2 ELSE 3 END AS k
+ FROM c JOIN x ON regexp_extract(path, '([^/]*)$', 1) = regexp_extract(ref, '([^/]*)$', 1)) SELECT page_id, arg_min(path, (k, path)) AS path FROM m GROUP BY page_id""")
 def path_resolution(spark, sf):
-    rows = paths(spark, sf)
-    there = rows.where(F.col("page_id") % 2 == 0).select("path").distinct().withColumn("ref", F.substring_index("path", "/", -1))
-    wanted = read(spark, sf, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit(".java")).alias("ref"))
-    order = F.when(F.col("path") == F.concat(F.lit("sources/com/shop/"), "ref"), 0).otherwise(3)
-    return wanted.join(there, "ref").groupBy("page_id").agg(F.min_by("path", F.struct(order, F.col("path"))).alias("path"))
+    rows, k = paths(spark, sf), F.col("page_id") % 4
+    asked = F.when(k == 0, F.concat(F.lit("com/shop/p"), F.col("page_id").cast("string"), F.lit(".java"))).when(k == 1, " /AndroidManifest.xml").when(k == 2, F.col("path")).otherwise("res/values/strings.xml")
+    return G.resolved_paths(rows.select("page_id", asked.alias("file")), rows.where(F.col("page_id") % 2 == 0), ["page_id"])
