@@ -134,6 +134,23 @@ def file_size(size: Column) -> Column:
     )
 
 
+def client_size(size: Column) -> Column:
+    """Size as clients show it: B, KB and MB with one decimal, GB with two; a dash for none."""
+    k = 1024.0
+    return (
+        F.when(size.isNull(), "—")
+        .when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
+        .when(size < 1024**2, F.concat(tenths(size / k), F.lit(" KB")))
+        .when(size < 1024**3, F.concat(tenths(size / k**2), F.lit(" MB")))
+        .otherwise(F.concat(F.format_string("%.2f", F.bround(size / k**3, 2)), F.lit(" GB")))
+    )
+
+
+def short_date(when: Column) -> Column:
+    """Day of a time as in Mar 5, 2024; null for none."""
+    return F.date_format(when, "MMM d, yyyy")
+
+
 def time_ago(then: Column, now: Column) -> Column:
     seconds = F.unix_timestamp(now) - F.unix_timestamp(then)
     said = lambda n, u: F.concat(F.floor(seconds / n).cast("string"), F.lit(u))

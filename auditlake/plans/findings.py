@@ -10,6 +10,8 @@ from auditlake.functions import text as T
 from auditlake.operators import rollups as R
 from auditlake.operators import verdicts as V
 from auditlake.plans.registry import query, read
+from auditlake.sources import files as SF
+from auditlake.sources.shared import shared_folder
 
 EVENT_SEVERITY = {"error": "Critical", "purchase": "high", "click": "MEDIUM", "view": " low ", "signup": "Informational"}
 SQL_BUCKET = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END"
@@ -94,21 +96,34 @@ def scan_search(spark, sf):
     return R.scan_search(orders_as_scans(spark, sf), "completed", " APP-1 ", ["filename", "framework"]).select("id", "status", "filename", "framework")
 
 
+def stored(spark, sf: str) -> DataFrame:
+    """The scans, written to a store of JSON documents and read again."""
+    root = shared_folder(spark)
+    SF.write_scans(orders_as_scans(spark, sf).select("id", "status", "filename", "created_at"), root)
+    return SF.scan_store(spark, root, whole_files=False)
+
+
 @query(f"SELECT id, status, created_at FROM {_SCANS} ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
 def scan_list(spark, sf):
-    return R.newest_first(orders_as_scans(spark, sf), 100).select("id", "status", "created_at")
+    return R.newest_first(stored(spark, sf), 100).select("id", "status", "created_at")
 
 
 @query(f"SELECT id, status, filename FROM {_SCANS} WHERE id = '7'")
 def scan_get(spark, sf):
-    return orders_as_scans(spark, sf).where(F.col("id") == "7").select("id", "status", "filename")
+    return stored(spark, sf).where(F.col("id") == "7").select("id", "status", "filename")
 
 
 @query(f"SELECT id, status FROM {_SCANS} WHERE id <> '7'")
 def scan_delete(spark, sf):
-    from auditlake.sources.files import without_scan
+    return SF.without_scan(stored(spark, sf), "7").select("id", "status")
 
-    return without_scan(orders_as_scans(spark, sf), "7").select("id", "status")
+
+@query(f"SELECT id, CASE WHEN id LIKE '%3' THEN 'cancelled' ELSE status END AS status FROM {_SCANS}")
+def scan_save(spark, sf):
+    store = stored(spark, sf).select("id", "status", "filename", "created_at")
+    changed = store.where(F.col("id").endswith("3")).withColumn("status", F.lit("cancelled"))
+    gone = changed.withColumn("id", F.concat(F.lit("gone-"), F.col("id")))
+    return SF.saved_scans(store, changed.unionByName(gone)).select("id", "status")
 
 
 # CVSS -----------------------------------------------------------------------------------------------------------------------------
@@ -278,6 +293,19 @@ def format_size(spark, sf):
     return read(spark, sf, "documents").select("doc_id", T.file_size(F.when(k == 0, n).when(k == 1, n * 1000).otherwise(n * 1000000)).alias("said"))
 
 
+@query("""SELECT doc_id, CASE WHEN n IS NULL THEN '—' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', round_even(n / 1024.0::DOUBLE, 1)) || ' KB'
+ WHEN n < 1073741824 THEN printf('%.1f', round_even(n / 1048576.0::DOUBLE, 1)) || ' MB' ELSE printf('%.2f', round_even(n / 1073741824.0::DOUBLE, 2)) || ' GB' END AS said
+FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN n_chars WHEN 1 THEN n_chars * 1000 WHEN 2 THEN n_chars * 1000000 END AS n FROM documents)""")
+def client_size(spark, sf):
+    k, n = F.col("doc_id") % 4, F.col("n_chars")
+    return read(spark, sf, "documents").select("doc_id", T.client_size(F.when(k == 0, n).when(k == 1, n * 1000).when(k == 2, n * 1000000)).alias("said"))
+
+
+@query("SELECT event_id, strftime(ts, '%b %-d, %Y') AS day FROM events")
+def short_date(spark, sf):
+    return read(spark, sf, "events").select("event_id", T.short_date(F.col("ts")).alias("day"))
+
+
 @query("""
 WITH t AS (SELECT event_id, CAST(epoch(TIMESTAMP '2024-03-01') AS BIGINT) - CAST(floor(epoch(ts)) AS BIGINT) AS s, value FROM events)
 SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN s // 60 || 'm ago' WHEN s < 86400 THEN s // 3600 || 'h ago' ELSE CAST(floor(s / 86400) AS BIGINT) || 'd ago' END AS ago,

@@ -104,7 +104,7 @@ def file_listing(spark, sf):
     return SF.listing(paths(spark, sf).select("path").distinct(), "path")
 
 
-@query(f"WITH {PATHS_SQL}, d AS (SELECT DISTINCT path FROM p) SELECT path, {_BUNDLED} AS bundled FROM d ORDER BY bundled, path LIMIT 400")
+@query(f"WITH {PATHS_SQL}, d AS (SELECT DISTINCT path FROM p) SELECT path, {_BUNDLED} AS bundled, (SELECT greatest(count(*) - 400, 0) FROM d) AS more FROM d ORDER BY bundled, path LIMIT 400")
 def file_tree(spark, sf):
     return SF.tree(paths(spark, sf).select("path").distinct(), "path")
 

@@ -51,8 +51,10 @@ def listing(files: DataFrame, path: str, most: int = 200) -> DataFrame:
 
 
 def tree(files: DataFrame, path: str, most: int = 400) -> DataFrame:
-    """App paths first, then bundled ones, each in order; the first ``most``."""
-    return files.withColumn("bundled", bundled_path(F.col(path))).orderBy("bundled", path).limit(most)
+    """App paths first, then bundled ones, each in order; the first ``most``, with how many more there are."""
+    more = F.greatest(F.count("*") - most, F.lit(0)).alias("more")
+    first = files.withColumn("bundled", bundled_path(F.col(path))).orderBy("bundled", path).limit(most)
+    return first.crossJoin(F.broadcast(files.agg(more)))  # one row
 
 
 def bucket_of(path: Column) -> Column:
@@ -102,9 +104,10 @@ def package_names(captured: DataFrame, line: str) -> DataFrame:
     return captured.where(F.col(line).startswith("package:")).select(F.trim(F.substring(line, 9, 1 << 20)).alias("package")).orderBy("package")
 
 
-def scan_store(spark: SparkSession, root: str) -> DataFrame:
-    """Scans of a store: one JSON document in a folder each; broken ones and those without an id are left out."""
-    found = spark.read.schema(META).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+def scan_store(spark: SparkSession, root: str, whole_files: bool = True) -> DataFrame:
+    """Scans of a store: one JSON document in a folder each, or a document a line as ``write_scans`` writes them; broken ones and those
+    without an id are left out."""
+    found = spark.read.schema(META).option("multiLine", whole_files).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
     return found.where(F.col("id").isNotNull())
 
 
@@ -112,5 +115,13 @@ def write_scans(scans: DataFrame, root: str) -> None:
     scans.write.mode("overwrite").json(root)
 
 
+def saved_scans(store: DataFrame, changed: DataFrame) -> DataFrame:
+    """The store after changes, by id; a change to a scan that is gone does nothing, and does not bring it back. Of several changes to a scan
+    the greatest by created_at, then by the whole row, holds; the columns are those of the store."""
+    last = changed.groupBy("id").agg(F.max_by(F.struct(*store.columns), F.struct("created_at", F.to_json(F.struct(*store.columns)))).alias("row"))
+    new = last.select("row.*").join(store.select("id"), "id", "left_semi").select(*store.columns)
+    return store.join(new.select("id"), "id", "left_anti").select(*store.columns).unionByName(new)
+
+
 def without_scan(scans: DataFrame, scan_id: str) -> DataFrame:
     return scans.where(~F.col("id").eqNullSafe(F.lit(scan_id)))

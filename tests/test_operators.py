@@ -120,3 +120,17 @@ def test_actions(spark):
     rows = spark.createDataFrame(list(enumerate(replies)), "id long, reply string")
     found = {r.id: (r.action, r.path, r.findings) for r in payloads.actions(rows, ["id"], "reply").collect()}
     assert found == {0: ("read", "p", None), 1: ("report", None, "[]"), 2: ("report", None, "[1]"), 3: ("report", None, "[]"), 4: ("grep", None, None)}
+
+
+def test_saved_scans(spark):
+    store = spark.createDataFrame([("1", "a", None, {"json": True}), ("2", "b", "2024", None)], "id string, status string, created_at string, reports map<string,boolean>")
+    changed = spark.createDataFrame([("2", "x", "2024", None), ("2", "y", "2025", {"html": False}), ("9", "z", "2025", None), (None, "n", None, None)], store.schema)
+    assert sorted((r.id, r.status) for r in files.saved_scans(store, changed).collect()) == [("1", "a"), ("2", "y")]
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(None, 3), (None, None), (1, 2), (1, 2), (1, 1)], "k long, v long")
+    found = sorted((r.k or 0, r.place, r.v or 0) for r in rollups.numbered(rows, ["k"], ["v"]).collect())
+    assert found == [(0, 1, 0), (0, 2, 3), (1, 1, 1), (1, 2, 2), (1, 3, 2)]
+    assert sorted(r.place for r in rollups.numbered(spark.range(1000).toDF("v"), [], ["v"]).where("place = v + 1").collect()) == list(range(1, 1001))
+    assert rollups.numbered(rows.limit(0), ["k"], ["v"]).count() == 0
