@@ -34,8 +34,8 @@ def _normal(line: Column) -> Column:
 
 
 def _docs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, text: the two first name a document even if ids repeat."""
-    return docs.select("doc_id", F.hash("text").alias("text_hash"), "text")
+    """doc_id, text_hash, text: the two first name a document even if ids repeat or are null."""
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
 
 
 def _same_document() -> Column:
@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
     a long line as few as a short one. No pair within a group is ever made.
     """
     own = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "doc_id", F.hash("text").alias("text_hash"), "text")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "doc_id", F.xxhash64("text").alias("text_hash"), "text")
     removed = removed_lines(docs, least_chars)
     both = keyed.alias("a").join(removed.alias("b"), _same_document(), "left").select("own", "text", "removed")
     lines = F.split("text", "\n")

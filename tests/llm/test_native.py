@@ -105,3 +105,17 @@ def test_line_dedup_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_lines, r.n_removed) for r in out.collect())
     assert got == [("1", 0, 0), ("1", 1, 0), ("2", 2, 2), ("2", 2, 2), ("3", 1, 0), ("None", 1, 0)]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_texts_whose_short_hashes_meet_keep_their_own_lines(spark):
+    """Two rows without id, told apart by the text alone, of which one loses a line that the other has no copy of."""
+    text = lambda i: F.concat(F.lit("own first line of document "), i.cast("string"), F.lit("\nmore of it"))
+    made = spark.range(150_000).select(text(F.col("id")).alias("text"))
+    meet = made.groupBy(F.hash("text").alias("h")).agg(F.collect_list("text").alias("texts")).where(F.size("texts") > 1)
+    first, second = meet.orderBy("h").first()["texts"][:2]
+    rows = [(None, first, "s"), (None, second, "s"), (None, first.split("\n")[0] + "\nanother end", "s")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS))
+    kept = [line for r in out.collect() for line in r.text.split("\n")]
+    for line in (first.split("\n")[0], second.split("\n")[0], "another end", "more of it"):
+        assert line in kept
+    assert kept.count("more of it") == 1
