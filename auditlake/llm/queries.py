@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from auditlake.llm import conversations, exact_topk, html_extract, language_id, line_dedup, mixing, near_copies, packing, rotated_codes, secrets, toxicity, whitening
+from auditlake.llm import conversations, exact_topk, html_extract, language_id, line_dedup, mixing, near_copies, packing, rotated_codes, secrets, simhash, toxicity, whitening
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_simhash": simhash.op11_simhash,
     "op12_whitening": whitening.op12_whitening,
     "op13_conversation_repair": conversations.op13_conversation_repair,
 }
