@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import PERMISSION_PATTERNS, user_defined
+from auditlake.operators.manifests import manifests
 
 # Permissions that deserve a word, words of login screens, words of manifests in binary files.
 DANGEROUS_PERMISSIONS = tuple(
@@ -26,7 +24,6 @@ MANIFEST_WORDS = (
     "permission", "activity", "service", "receiver", "provider", "intent", "action", "category", "data", "android:", "package",
     "versioncode", "versionname",
 )
-COMPONENTS = ("activity", "service", "receiver", "provider")
 
 
 def permissions(xml: Column) -> Column:
@@ -76,29 +73,11 @@ def action_names(actions: Column) -> Column:
     return F.array_sort(F.filter(F.transform(actions, lambda a: F.substring_index(a, ".", -1)), lambda a: a != "MAIN"))
 
 
-_OPEN = re.compile(r"<(activity|service|receiver|provider)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"""(?:android:)?([\w:]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
-
-
-def components(manifests: DataFrame, app: str, xml: str = "xml") -> DataFrame:
-    """app, kind, name, exported, permission, has_filter, actions of each component, missing attributes null. Attributes must stay with
-    their element, which path expressions that return lists don't keep, so each manifest is read by a small reader in its task."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch[app], batch[xml], strict=True):
-                for m in _OPEN.finditer(text or ""):
-                    own = {k: a or b for k, a, b in _ATTRIBUTE.findall(m[2])}
-                    end = -1 if m[3] else (text or "").find(f"</{m[1]}>", m.end())
-                    body = text[m.end() : end] if end >= 0 else ""
-                    actions = re.findall(r"""<action\b[^>]*name\s*=\s*["']([^"']*)""", body)
-                    rows.append((name, m[1], own.get("name"), own.get("exported"), own.get("permission"), "<intent-filter" in body, actions))
-            yield pd.DataFrame(rows, columns=[app, "kind", "name", "exported", "permission", "has_filter", "actions"])
-
-    kind = dict(manifests.dtypes)[app]
-    schema = f"{app} {kind}, kind string, name string, exported string, permission string, has_filter boolean, actions array<string>"
-    return manifests.select(app, xml).mapInPandas(run, schema)
+def components(files: DataFrame, app: str, xml: str = "xml") -> DataFrame:
+    """app, kind, name, exported, enabled, permission, has_filter, actions of each component, missing attributes null."""
+    rows = manifests(files, [app], xml).select(app, F.explode("components").alias("c")).select(app, "c.*")
+    actions = F.flatten(F.transform("filters", lambda f: f["actions"]))
+    return rows.select(app, "kind", "name", "exported", "enabled", "permission", (F.size("filters") > 0).alias("has_filter"), actions.alias("actions"))
 
 
 def kept_strings(xml: Column) -> Column:
@@ -121,8 +100,9 @@ def printable_strings(content: Column, words: tuple[str, ...] = MANIFEST_WORDS)
     return F.array_sort(F.array_distinct(F.filter(found, lambda s: F.lower(s).rlike("|".join(words)))))
 
 
-def resolved(refs: DataFrame, values: DataFrame) -> DataFrame:
-    """References @string/name with their value (name, ord, value: the first by ord), or as they are if there is none."""
-    first = values.groupBy("name").agg(F.min_by("value", "ord").alias("value"))
-    named = refs.withColumn("name", F.regexp_extract("ref", r"^@string/(.+)$", 1))
-    return named.join(first, "name", "left").withColumn("resolved", F.coalesce("value", "ref")).drop("name", "value")
+def resolved(refs: DataFrame, values: DataFrame, app: str) -> DataFrame:
+    """References @string/name with the value that their own app gives the name (app, name, ord, value: the first by ord), or as they
+    are if it gives none. Rows without an app are those of one app."""
+    first = values.groupBy(F.col(app).alias("of_app"), F.col("name").alias("of_name")).agg(F.min_by("value", "ord").alias("value"))
+    same = F.col(app).eqNullSafe(F.col("of_app")) & (F.regexp_extract("ref", r"^@string/(.+)$", 1) == F.col("of_name"))
+    return refs.join(first, same, "left").withColumn("resolved", F.coalesce("value", "ref")).drop("of_app", "of_name", "value")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as T
 from auditlake.operators import indicators as I
+from auditlake.operators import manifests as M
 from auditlake.operators import rollups as R
 from auditlake.operators import rules as RU
 from auditlake.plans.registry import query, read
@@ -166,13 +167,58 @@ def manifest_rules(spark, sf):
 
 
 @query("""
-WITH v AS (SELECT p_brand AS name, arg_min(p_type, p_partkey) AS value FROM part GROUP BY p_brand), r AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN '@string/' || p_brand WHEN 1 THEN '@string/none' ELSE p_name END AS ref FROM part)
-SELECT p_partkey, ref, coalesce(v.value, ref) AS resolved FROM r LEFT JOIN v ON '@string/' || v.name = r.ref""")
+WITH v AS (SELECT p_brand AS app, p_size AS name, arg_min(p_name, p_partkey) AS value FROM part GROUP BY p_brand, p_size), r AS (SELECT p_partkey, p_brand AS app, CASE WHEN p_size > 25 THEN '@string/' || (p_size - 7) ELSE p_name END AS ref FROM part)
+SELECT p_partkey, r.app, ref, coalesce(v.value, ref) AS resolved FROM r LEFT JOIN v ON v.app = r.app AND '@string/' || v.name = r.ref""")
 def resolve_string_ref(spark, sf):
-    part = read(spark, sf, "part")
-    k = F.col("p_partkey") % 3
-    refs = part.select("p_partkey", F.when(k == 0, F.concat(F.lit("@string/"), "p_brand")).when(k == 1, "@string/none").otherwise(F.col("p_name")).alias("ref"))
-    return RU.resolved(refs, part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("ord"), F.col("p_type").alias("value")))
+    """Brands stand for apps, which give the same names (sizes) their own values."""
+    part = read(spark, sf, "part").withColumn("app", F.col("p_brand"))
+    ref = F.when(F.col("p_size") > 25, F.concat(F.lit("@string/"), (F.col("p_size") - 7).cast("string"))).otherwise(F.col("p_name"))
+    values = part.select("app", F.col("p_size").cast("string").alias("name"), F.col("p_partkey").alias("ord"), F.col("p_name").alias("value"))
+    return RU.resolved(part.select("p_partkey", "app", ref.alias("ref")), values, "app")
+
+
+def app_manifests(spark, sf: str) -> DataFrame:
+    """A manifest for each page, with its host, address and paragraphs in it. One in four is cut off before its end."""
+    k, host = F.col("page_id"), F.regexp_extract("url", r"^https?://([^/?#]+)", 1)
+    said = T.html_escaped(F.col("url"))
+    n = F.regexp_count("html", F.lit("<p"))
+    whole = F.concat(
+        F.lit("<?xml version='1.0'?>\n<!-- <activity android:name=\"Hidden\"/> --><manifest xmlns:android='http://schemas.android.com/apk/res/android' xmlns:t=\"urn:t\" package='"), host,
+        F.lit("' android:versionCode='"), F.length("html").cast("string"), F.lit("' android:versionName=\"v"), n.cast("string"), F.lit('"><uses-sdk android:minSdkVersion="'), (n % 30).cast("string"),
+        F.lit('" android:targetSdkVersion="'), F.when(n % 2 == 0, "S").otherwise("31"), F.lit('"/><application android:label="'), said, F.lit('"><activity android:name=".'), said,
+        F.lit("Activity\" android:enabled='false' t:exported='true'><intent-filter><action android:name='a.MAIN'/><category android:name='c'/><data android:scheme='x'/></intent-filter></activity>"),
+        F.lit("<![CDATA[<service android:name='no'/>]]><activity-alias android:name=\".Alias\"/><service android:name='.S&amp;T' android:exported='true' android:permission=\"p>q\"/><receiver/>"),
+        F.repeat(F.lit("<provider android:name='.P'></provider>"), (n % 4).cast("int")),
+    )
+    xml = F.when(k % 4 == 0, whole).otherwise(F.concat(whole, F.lit("</application></manifest>")))
+    return read(spark, sf, "pages").select(k.alias("app"), xml.alias("xml"))
+
+
+_SQL_APPS = r"""k AS (SELECT page_id AS app, url, page_id % 4 <> 0 AS parsed, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, length(html) AS size, CAST(len(regexp_extract_all(html, '<p')) AS BIGINT) AS n,
+ replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS raw FROM pages)"""
+
+
+@query(rf"""WITH {_SQL_APPS} SELECT app, parsed, CASE WHEN parsed THEN host ELSE '-' END AS package, CASE WHEN parsed THEN size ELSE -1 END AS version_code, CASE WHEN parsed THEN 'v' || n ELSE '-' END AS version_name,
+ CASE WHEN parsed THEN n % 30 ELSE -1 END AS min_sdk, CASE WHEN parsed AND n % 2 = 1 THEN 31 ELSE -1 END AS target_sdk, CASE WHEN NOT parsed THEN '-' WHEN n % 2 = 0 THEN 'S' ELSE '31' END AS target_sdk_text,
+ CASE WHEN parsed THEN url ELSE '-' END AS label, '.' || CASE WHEN parsed THEN url ELSE raw END || 'Activity' AS activities, CASE WHEN parsed THEN '.S&T' ELSE '.S&amp;T' END AS services, '' AS receivers,
+ array_to_string(list_transform(range(n % 4), lambda x: '.P'), ',') AS providers FROM k""")
+def manifest_info(spark, sf):
+    info = M.app_info(M.manifests(app_manifests(spark, sf), ["app"]), ["app"])
+    text = [F.coalesce(c, F.lit("-")).alias(c) for c in ("package", "version_name", "target_sdk_text", "label")]
+    numbers = [F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("version_code", "min_sdk", "target_sdk")]
+    return info.select("app", "parsed", *text, *numbers, *[F.array_join(p, ",").alias(p) for p in M.PLURALS.values()])
+
+
+@query(rf"WITH {_SQL_APPS} SELECT app, 1 AS activities, 1 AS services, 0 AS receivers, CAST(n % 4 AS INTEGER) AS providers, CAST(2 + n % 4 AS INTEGER) AS total FROM k")
+def component_counts(spark, sf):
+    return M.component_counts(M.app_info(M.manifests(app_manifests(spark, sf), ["app"]), ["app"]), ["app"])
+
+
+@query(rf"""WITH {_SQL_APPS} SELECT app, '.' || url || 'Activity' AS name, 'false' AS exported, 'false' AS enabled, '' AS permission, true AS has_intent_filters FROM k WHERE parsed
+ UNION ALL SELECT app, '.' || raw || 'Activity', 'unknown', 'unknown', '', false FROM k WHERE NOT parsed""")
+def activity_details(spark, sf):
+    files = app_manifests(spark, sf)
+    return M.activity_details(M.manifests(files, ["app", "xml"]), ["app"], F.col("xml"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN string_split(p_name, ' ')[1] ELSE '-' END AS kept FROM part")
