@@ -8,10 +8,11 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from auditlake.functions import severity as S
 from auditlake.functions import text as T
+from auditlake.operators.repair import containers
 
 FINDING = (
     "title string, vulnerability_type string, vulnerability string, issue string, cvss_vector string, severity string, file string, line string, "
@@ -20,9 +21,10 @@ FINDING = (
 WRAPPERS = ("vulnerabilities", "results", "findings", "response", "issues")
 
 
-def balanced_objects(text: str | None) -> list[str]:
-    """Every {...} of a text, at any depth, in order of their start; braces between two quotes don't count, wherever the quotes are."""
-    starts, found, inside, escaped = [], [], False, False
+def object_spans(text: str | None, most: int | None = None) -> list[tuple[int, int]]:
+    """Start and end of every {...} of a text, at any depth, in order of their start, or of the ``most`` that come first; braces between two
+    quotes don't count, wherever the quotes are."""
+    starts, ends, inside, escaped = [], {}, False, False
     for i, c in enumerate(text or ""):
         if inside:
             if escaped:
@@ -36,39 +38,19 @@ def balanced_objects(text: str | None) -> list[str]:
         elif c == "{":
             starts.append(i)
         elif c == "}" and starts:
-            at = starts.pop()
-            found.append((at, text[at : i + 1]))
-    return [s for _, s in sorted(found)]
-
-
-def repaired(text: str) -> str:
-    """Text with the faults that models make put right: fences, trailing commas, bare values, brackets left open."""
-    out = re.sub(r"```(?:\w+)?", "", text).strip()
-    out = re.sub(r":\s*(?!true|false|null)([A-Za-z0-9_.][^,\"{}\[\]\n]*?)(?=\s*[,}\n])", lambda m: m[0] if _number(m[1]) else f': "{m[1].strip()}"', out)
-    out = re.sub(r",\s*([}\]])", r"\1", out)
-    return out + "".join({"{": "}", "[": "]"}[c] for c in reversed(_open_brackets(out)))
-
+            ends[starts.pop()] = i + 1
+            if most is not None and not starts and len(ends) >= most:  # nothing that starts earlier is open any more
+                break
+    return sorted(ends.items())[:most]
 
-def _number(text: str) -> bool:
-    return re.fullmatch(r"-?\d+(\.\d+)?([eE][+-]?\d+)?", text.strip()) is not None
 
-
-def _open_brackets(text: str) -> list[str]:
-    waiting, inside, escaped = [], False, False
-    for c in text:
-        if inside:
-            escaped, inside = (not escaped and c == "\\"), inside and not (c == '"' and not escaped)
-        elif c == '"':
-            inside = True
-        elif c in "{[":
-            waiting.append(c)
-        elif c in "}]" and waiting:
-            waiting.pop()
-    return waiting
+def balanced_objects(text: str | None) -> list[str]:
+    return [text[a:b] for a, b in object_spans(text)]
 
 
 def findings_in(text: str | None) -> list[str]:
-    """Findings of a reply as JSON objects: an array, a wrapper's array, one object, a fenced block, a repaired text, in this order."""
+    """Findings of a reply as JSON objects: an array, a wrapper's array, one object, a fenced block, what stands between the outermost
+    brackets, the text with its faults put right, in this order. Each step takes time in proportion to the text."""
 
     def listed(value) -> list | None:
         if isinstance(value, list):
@@ -77,15 +59,19 @@ def findings_in(text: str | None) -> list[str]:
             return next((value[k] for k in WRAPPERS if isinstance(value.get(k), list)), [value])
         return None
 
-    tries = [text or "", *re.findall(r"(?s)```(?:\w+)?\n(.*?)```", text or ""), *re.findall(r"(?s)\[.*\]|\{.*\}", text or ""), repaired(text or "")]
-    for attempt in tries:
+    said = text or ""
+    spans = [said[said.find(a) : said.rfind(b) + 1] for a, b in ("[]", "{}") if a in said]
+    if "{" in said and "[" in said and said.find("{") < said.find("["):
+        spans.reverse()
+    for attempt in [said, *re.findall(r"(?s)```(?:\w+)?\n(.*?)```", said), *spans]:
         try:
             found = listed(json.loads(attempt))
-        except ValueError:
+        except (ValueError, RecursionError):
             continue
         if found is not None:
             return [json.dumps(f) for f in found if isinstance(f, dict)]
-    return []
+    found = [f for root in containers(said) for f in listed(root) or []]
+    return [json.dumps(f) for f in found if isinstance(f, dict) and f]
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -93,13 +79,22 @@ def tolerant_findings(replies: pd.Series) -> pd.Series:
     return replies.map(findings_in)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def all_objects(replies: pd.Series) -> pd.Series:
-    return replies.map(balanced_objects)
+@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
+def _spans(replies: pd.Series) -> pd.Series:
+    return replies.map(lambda text: [list(at) for at in object_spans(text)])
+
 
+@F.pandas_udf(StringType())
+def first_object(replies: pd.Series) -> pd.Series:
+    """The first {...} of a text that is closed; null without one."""
+    return replies.map(lambda text: next((text[a:b] for a, b in object_spans(text, 1)), None))
 
-def first_object(text: Column) -> Column:
-    return F.try_element_at(all_objects(text), F.lit(1))
+
+def objects(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
+    """keys, ord, object: every {...} of a reply. Their places come out of Python, their texts are cut out row by row, so what is held at once
+    doesn't grow with the depth."""
+    at = replies.select(*keys, reply, F.posexplode(_spans(F.col(reply))).alias("ord", "at"))
+    return at.select(*keys, "ord", F.substring(F.col(reply), F.col("at")[0] + 1, F.col("at")[1] - F.col("at")[0]).alias("object"))
 
 
 def greedy_object(text: Column) -> Column:
@@ -123,8 +118,7 @@ def _salvaged_field(text: Column, name: str) -> Column:
 
 def salvaged(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
     """keys, ord and the fields of every object with just one "title" in a reply, kept if there is a title and a file or severity."""
-    objects = replies.select(*keys, F.posexplode(all_objects(F.col(reply))).alias("ord", "object"))
-    found = objects.where(F.regexp_count("object", F.lit('"title"')) == 1)
+    found = objects(replies, keys, reply).where(F.regexp_count("object", F.lit('"title"')) == 1)
     fields = found.select(*keys, "ord", *[_salvaged_field(F.col("object"), name).alias(name) for name in SALVAGED])
     return fields.where(F.col("title").isNotNull() & F.coalesce("file", "severity").isNotNull())
 
@@ -140,13 +134,17 @@ BLOCK_FIELDS = (
 )
 
 
+def _blocks(reply: Column) -> Column:
+    """The fields that patterns find in the parts of a text between brackets and braces, of parts with a type."""
+    said = F.filter(F.split(reply, r"[{}\[\]]"), lambda b: b.contains("vulnerability_type"))
+    value = lambda block, pattern: F.nullif(F.btrim(F.trim(F.regexp_extract(block, pattern, 1)), F.lit('"')), F.lit(""))
+    fields = F.transform(said, lambda b: F.struct(*[value(b, p).alias(name) for p, name in BLOCK_FIELDS]))
+    return F.filter(fields, lambda f: f["vulnerability_type"].isNotNull())
+
+
 def block_findings(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
-    """keys, ord and the fields that patterns find in the parts of a reply between brackets and braces; parts without a type are left out.
-    The last resort for replies in which nothing parses."""
-    blocks = replies.select(*keys, F.posexplode(F.split(reply, r"[{}\[\]]")).alias("ord", "block"))
-    value = lambda pattern: F.nullif(F.btrim(F.trim(F.regexp_extract("block", pattern, 1)), F.lit('"')), F.lit(""))
-    fields = blocks.where(F.col("block").contains("vulnerability_type")).select(*keys, "ord", *[value(p).alias(name) for p, name in BLOCK_FIELDS])
-    return fields.where("vulnerability_type is not null")
+    """keys, ord and the fields that patterns find in a reply in which nothing parses."""
+    return replies.select(*keys, F.posexplode(_blocks(F.col(reply))).alias("ord", "f")).select(*keys, "ord", "f.*")
 
 
 def actions(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
@@ -206,14 +204,20 @@ def normalised(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def parsed_findings(replies: DataFrame, keys: list[str], reply: str) -> DataFrame:
-    """Findings of replies, parsed as tolerantly as need be, with the fields of ``FINDING``. Whole replies that are plain JSON objects or
-    arrays of the right shape go through the built-in reader; only the others need the repairing one."""
-    listed = F.from_json(reply, f"array<struct<{FINDING.replace(' string', ': string')}>>")
-    plain = F.when(F.ltrim(reply).startswith("["), listed)  # one object would be read as an array of it
-    first = replies.withColumn("plain", plain)
+    """Findings of replies, parsed as tolerantly as need be, with the fields of ``FINDING``. Whole replies that are plain JSON arrays of the
+    right shape go through the built-in reader; only the others need the repairing one. Where that finds none either, patterns
+    look for fields in the text."""
+    shape = f"array<struct<{FINDING.replace(' string', ': string')}>>"
+    plain = F.when(F.ltrim(reply).startswith("["), F.from_json(reply, shape))  # one object would be read as an array of it
+    first = replies.select(*keys, reply, plain.alias("plain"))
     good = first.where("plain is not null").select(*keys, F.explode("plain").alias("f")).select(*keys, "f.*")
-    others = first.where("plain is null").select(*keys, F.explode(tolerant_findings(F.col(reply))).alias("j"))
-    return good.unionByName(others.select(*keys, F.from_json("j", FINDING).alias("f")).select(*keys, "f.*"))
+    others = first.where("plain is null").select(*keys, reply, tolerant_findings(F.col(reply)).alias("found"))
+    read = F.transform("found", lambda j: F.from_json(j, FINDING))
+    known = {name: "line_number" if name == "line" else name for name in (c.split()[0] for c in FINDING.split(", "))}
+    said = {name for _, name in BLOCK_FIELDS}
+    loose = F.transform(_blocks(F.col(reply)), lambda b: F.struct(*[(b[k] if k in said else F.lit(None).cast("string")).alias(n) for n, k in known.items()]))
+    rows = others.select(*keys, F.explode(F.when(F.size("found") > 0, read).otherwise(loose)).alias("f"))
+    return good.unionByName(rows.select(*keys, "f.*"))
 
 
 def merged(default: dict, override: Column) -> Column:

@@ -14,26 +14,29 @@ from auditlake.plans.registry import query, read
 
 
 def turns(spark, sf: str) -> DataFrame:
-    return read(spark, sf, "conversations").select("conv_id", "turn", F.regexp_replace("text", r'[^A-Za-z ]', "").alias("said"))
+    """The whole text of each turn, and the same as the inside of a JSON string."""
+    quoted = F.to_json(F.struct(F.col("text").alias("v")))
+    escaped = F.substring(quoted, F.lit(7), F.length(quoted) - 8)
+    return read(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("said"), escaped.alias("escaped"))
 
 
-def _finding(turn, said):
+def _finding(turn, escaped):
     """One finding as JSON; every other turn names its place another way."""
     place = F.when(turn % 2 == 0, F.lit('"file": "a/B.java", "line": "6-7"')).otherwise(F.lit('"location": "lines 9 to 6"'))
-    return F.concat(F.lit('{"title": "'), said, F.lit('", "severity": "high!", '), place, F.lit(', "description": "d {x}"}'))
+    return F.concat(F.lit('{"title": "'), escaped, F.lit('", "severity": "high!", '), place, F.lit(', "description": "d {x}"}'))
 
 
 def replies(spark, sf: str) -> DataFrame:
     """Replies in the shapes that models use: array, wrapper, object, fenced, bare values, cut off, prose."""
-    t, one = F.col("turn"), _finding(F.col("turn"), F.col("said"))
+    t, one = F.col("turn"), _finding(F.col("turn"), F.col("escaped"))
     k = (F.col("conv_id") + t) % 7
     reply = F.when(k == 0, F.concat(F.lit("["), one, F.lit(", "), one, F.lit("]"))).when(k == 1, F.concat(F.lit('{"findings": ['), one, F.lit("]}"))).when(k == 2, one)
-    reply = reply.when(k == 3, F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```\nbye"))).when(k == 4, F.concat(F.lit('[{"title": "'), "said", F.lit('", "line": 76-80 (x), "severity": low,}]')))
+    reply = reply.when(k == 3, F.concat(F.lit("Here:\n```json\n["), one, F.lit("]\n```\nbye"))).when(k == 4, F.concat(F.lit('[{"title": "'), "escaped", F.lit('", "line": 76-80 (x), "severity": low,}]')))
     reply = reply.when(k == 5, F.concat(F.lit("["), one, F.lit(', {"title": "t2"'))).otherwise(F.lit("nothing to say"))
-    return turns(spark, sf).select("conv_id", "turn", "said", k.alias("k"), reply.alias("reply"))
+    return turns(spark, sf).select("conv_id", "turn", "said", "escaped", k.alias("k"), reply.alias("reply"))
 
 
-_SQL_TURNS = "t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS said, (conv_id + turn) % 7 AS k FROM conversations)"
+_SQL_TURNS = """t AS (SELECT conv_id, turn, text AS said, CAST(to_json(text) AS VARCHAR)[2:-2] AS escaped, (conv_id + turn) % 7 AS k FROM conversations)"""
 
 
 @query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, said AS title, 'high!' AS severity FROM t WHERE k IN (0, 1, 2, 3, 5) UNION ALL SELECT conv_id, turn, said, 'high!' FROM t WHERE k = 0
@@ -43,11 +46,12 @@ def tolerant_json(spark, sf):
     return found.select("conv_id", "turn", "title", F.coalesce("severity", F.lit("-")).alias("severity"))
 
 
-@query(f"""WITH {_SQL_TURNS} SELECT conv_id, turn, CASE WHEN said = '' THEN 'd {{x}}' ELSE said END AS title, CASE WHEN turn % 2 = 0 THEN 'a/B.java' ELSE 'lines 9 to 6' END AS file, CASE WHEN turn % 2 = 0 THEN 6 ELSE 6 END AS line_number,
- CASE WHEN turn % 2 = 0 THEN 7 ELSE 9 END AS line_end, CASE WHEN turn % 2 = 0 THEN 'lines 6-7' ELSE 'lines 6-9' END AS location, 'High' AS severity FROM t WHERE k < 3""")
+@query(f"""WITH {_SQL_TURNS}, n AS (SELECT * FROM t WHERE k IN (0, 1, 2, 3, 5) UNION ALL SELECT * FROM t WHERE k = 0) SELECT conv_id, turn, CASE WHEN said = '' THEN 'd {{x}}' ELSE said END AS title,
+ CASE WHEN turn % 2 = 0 THEN 'a/B.java' ELSE 'lines 9 to 6' END AS file, 6 AS line_number, CASE WHEN turn % 2 = 0 THEN 7 ELSE 9 END AS line_end, CASE WHEN turn % 2 = 0 THEN 'lines 6-7' ELSE 'lines 6-9' END AS location, 'High' AS severity FROM n""")
 def validate_normalize_findings(spark, sf):
-    made = replies(spark, sf).where("k < 3").select("conv_id", "turn", F.from_json(_finding(F.col("turn"), F.col("said")), P.FINDING).alias("f"))
-    found = P.normalised(P.valid(made.select("conv_id", "turn", "f.*")), ["conv_id", "turn"])
+    """Of all turns; those without a description or a place (cut off, prose) have no valid finding."""
+    made = P.parsed_findings(replies(spark, sf), ["conv_id", "turn"], "reply")
+    found = P.normalised(P.valid(made), ["conv_id", "turn"])
     return found.select("conv_id", "turn", "title", "file", "line_number", "line_end", "location", "severity")
 
 
@@ -62,18 +66,18 @@ def think_strip(spark, sf):
     return read(spark, sf, "conversations").select("conv_id", "turn", T.without_thinking(shaped).alias("said"))
 
 
-_SQL_ONE = """o AS (SELECT *, '{"title": "' || said || '", "severity": "high!", ' || CASE WHEN turn % 2 = 0 THEN '"file": "a/B.java", "line": "6-7"' ELSE '"location": "lines 9 to 6"' END
+_SQL_ONE = """o AS (SELECT *, '{"title": "' || escaped || '", "severity": "high!", ' || CASE WHEN turn % 2 = 0 THEN '"file": "a/B.java", "line": "6-7"' ELSE '"location": "lines 9 to 6"' END
  || ', "description": "d {x}"}' AS one FROM t)"""
 
 
-@query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, CAST(0 AS INTEGER) AS ord, CASE k WHEN 1 THEN '{{"findings": [' || one || ']}}' WHEN 4 THEN '{{"title": "' || said || '", "line": 76-80 (x), "severity": low,}}' ELSE one END AS object
+@query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, CAST(0 AS INTEGER) AS ord, CASE k WHEN 1 THEN '{{"findings": [' || one || ']}}' WHEN 4 THEN '{{"title": "' || escaped || '", "line": 76-80 (x), "severity": low,}}' ELSE one END AS object
  FROM o WHERE k < 6 UNION ALL SELECT conv_id, turn, 1, one FROM o WHERE k IN (0, 1)""")
 def balanced_json(spark, sf):
-    return replies(spark, sf).select("conv_id", "turn", F.posexplode(P.all_objects(F.col("reply"))).alias("ord", "object"))
+    return P.objects(replies(spark, sf), ["conv_id", "turn"], "reply")
 
 
 @query(f"""WITH {_SQL_TURNS}, x AS (SELECT conv_id, turn, said AS title, CASE WHEN k = 4 THEN 'low' ELSE 'high!' END AS severity, CASE WHEN k < 4 OR k = 5 THEN CASE WHEN turn % 2 = 0 THEN 'a/B.java' END END AS file,
- CASE WHEN k = 4 THEN '76-80 (x)' WHEN turn % 2 = 0 THEN '6-7' END AS line, CASE WHEN k <> 4 THEN 'd {{x}}' END AS description, k FROM t WHERE k < 6 AND trim(said, ' ') <> '' OR k < 6 AND said <> '')
+ CASE WHEN k = 4 THEN '76-80 (x)' WHEN turn % 2 = 0 THEN '6-7' END AS line, CASE WHEN k <> 4 THEN 'd {{x}}' END AS description, k FROM t WHERE k < 6 AND said <> '')
 SELECT conv_id, turn, title, coalesce(severity, '-') AS severity, coalesce(file, '-') AS file, coalesce(line, '-') AS line, coalesce(description, '-') AS description FROM x
 UNION ALL SELECT conv_id, turn, title, severity, coalesce(file, '-'), coalesce(line, '-'), description FROM x WHERE k = 0 OR k = 1""")
 def salvage_fields(spark, sf):
@@ -89,21 +93,35 @@ def payload_coerce(spark, sf):
     return found.select("conv_id", "turn", F.get_json_object("j", "$.title").alias("title"), field("line"), field("severity"))
 
 
-@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(text, '[^A-Za-z ]', '', 'g') AS said FROM conversations), x AS (SELECT *, 'x ' || said || '"' AS d FROM t)
-SELECT conv_id, turn, 'SQL ' || turn AS vulnerability_type, 'B.java' AS file, CAST(turn AS VARCHAR) AS line_number, CASE WHEN trim(said) = '' THEN 'x' ELSE trim('x ' || said) END AS description, 'low' AS severity FROM x""")
+@query(rf"""WITH {_SQL_TURNS} SELECT conv_id, turn, 'SQL ' || turn AS vulnerability_type, 'B.java' AS file, CAST(turn AS VARCHAR) AS line_number, trim(regexp_extract('x ' || escaped, '^([^",}}{{\[\]]*)', 1)) AS description, 'low' AS severity
+ FROM t WHERE NOT regexp_matches(escaped, '["\[\]{{}}]')""")
 def text_patterns(spark, sf):
+    """Of texts without brackets, braces and quotes, which would end a part or a value elsewhere."""
     line = F.col("turn").cast("string")
-    reply = F.concat(F.lit("no [json] {vulnerability_type: SQL "), line, F.lit(', file: B.java, line_number: '), line, F.lit(', description: "x '), "said", F.lit('", severity: low} {file: other}'))
-    found = P.block_findings(turns(spark, sf).select("conv_id", "turn", reply.alias("reply")), ["conv_id", "turn"], "reply")
+    reply = F.concat(F.lit("no [json] {vulnerability_type: SQL "), line, F.lit(', file: B.java, line_number: '), line, F.lit(', description: "x '), "escaped", F.lit('", severity: low} {file: other}'))
+    plain = turns(spark, sf).where(~F.col("escaped").rlike(r'["\[\]{}]'))
+    found = P.block_findings(plain.select("conv_id", "turn", reply.alias("reply")), ["conv_id", "turn"], "reply")
     return found.select("conv_id", "turn", "vulnerability_type", "file", "line_number", "description", "severity")
 
 
+@query(rf"""WITH {_SQL_TURNS} SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'SQL: ' || said || ', unsafe' ELSE 'SQL ' || turn END AS title, CASE WHEN turn % 2 = 0 THEN 'low' ELSE '-' END AS severity, CASE WHEN turn % 2 = 0 THEN '-' ELSE 'B.java' END AS file
+ FROM t WHERE turn % 2 = 0 OR NOT regexp_matches(said, '[\[\]{{}}]')""")
+def json_repair(spark, sf):
+    """Marks of JSON within strings beside a fault elsewhere; prose in which only patterns find anything."""
+    faulty = F.concat(F.lit('Report: [{"title": "SQL: '), "escaped", F.lit(', unsafe", "severity": low,}'))
+    prose = F.concat(F.lit("vulnerability_type: SQL "), F.col("turn").cast("string"), F.lit("\nfile: B.java\n"), "said")
+    rows = turns(spark, sf).where((F.col("turn") % 2 == 0) | ~F.col("said").rlike(r"[\[\]{}]"))
+    found = P.parsed_findings(rows.select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, faulty).otherwise(prose).alias("reply")), ["conv_id", "turn"], "reply")
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return found.select("conv_id", "turn", F.coalesce("title", "vulnerability_type").alias("title"), dash("severity"), dash("file"))
+
+
 @query(f"""WITH {_SQL_TURNS}, {_SQL_ONE} SELECT conv_id, turn, CASE WHEN k < 2 THEN 'report' WHEN k IN (2, 4) THEN '' WHEN k = 3 THEN 'read' ELSE 'grep' END AS action, CASE k WHEN 3 THEN 'a/' || said WHEN 5 THEN 'p' ELSE '-' END AS path,
  CASE k WHEN 0 THEN '[' || one || ']' ELSE '-' END AS bare, k = 0 OR k = 1 AS has_findings FROM o WHERE k <> 6""")
 def action_parse(spark, sf):
-    k, one = F.col("k"), _finding(F.col("turn"), F.col("said"))
+    k, one = F.col("k"), _finding(F.col("turn"), F.col("escaped"))
     reply = F.when(k == 0, F.concat(F.lit("["), one, F.lit("]"))).when(k == 1, F.concat(F.lit('<think>{"action": "x"}</think>{"findings": ['), one, F.lit("]}"))).when(k.isin(2, 4), one)
-    reply = reply.when(k == 3, F.concat(F.lit('```json\n{"action": " READ", "path": "a/'), "said", F.lit('"}\n```'))).when(k == 5, 'I will look: {"action": "grep", "path": "p"} and then {"action": "z"}').otherwise("nothing {")
+    reply = reply.when(k == 3, F.concat(F.lit('```json\n{"action": " READ", "path": "a/'), "escaped", F.lit('"}\n```'))).when(k == 5, 'I will look: {"action": "grep", "path": "p"} and then {"action": "z"}').otherwise("nothing {")
     found = P.actions(replies(spark, sf).select("conv_id", "turn", "k", reply.alias("reply")), ["conv_id", "turn", "k"], "reply")
     bare = F.when(F.col("k") == 0, F.col("findings")).otherwise("-")
     return found.select("conv_id", "turn", "action", F.coalesce("path", F.lit("-")).alias("path"), bare.alias("bare"), F.col("findings").isNotNull().alias("has_findings"))
