@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from auditlake.sources.shared import Versions
 
@@ -51,31 +49,14 @@ def merge_backlog(kept: DataFrame | None, batch: DataFrame, n: int = BACKLOG) ->
 
 
 def statuses(events: DataFrame, key: str = "scan_id", seq: str = "seq") -> DataFrame:
-    """Status events until the first that is final, with the one before; what comes later is dropped."""
-    only = events.where(F.col("type") == "status")
+    """Status events until the first that is final or the deletion of the scan (an event of type "deleted"), with the one before; what
+    comes later is dropped."""
+    only = events.where(F.col("type").isin("status", "deleted"))
     by_seq = Window.partitionBy(key).orderBy(seq)
-    over = F.max(F.col("status").isin(*TERMINAL).cast("int")).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
+    ends = F.col("status").isin(*TERMINAL) | (F.col("type") == "deleted")
+    over = F.max(F.coalesce(ends, F.lit(False)).cast("int")).over(by_seq.rowsBetween(Window.unboundedPreceding, -1))
     rows = only.withColumns({"before": F.lag("status").over(by_seq), "over": F.coalesce(over, F.lit(0))})
-    return rows.where("over = 0").drop("over")
-
-
-def streamed_statuses(events: DataFrame) -> DataFrame:
-    """The rows of ``statuses`` from a stream whose scans' events come in order of seq: scan_id, seq, status, before. The state of a scan is
-    its last status; after a final one its rows are dropped. A micro-batch may hold a scan's events in any order."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (last,) = state.get if state.exists else (None,)
-        rows, out = pd.concat(list(batches)).sort_values("seq", kind="stable"), []
-        for seq, status in zip(rows["seq"], rows["status"], strict=True):
-            if last in TERMINAL:
-                break
-            out.append((key[0], seq, status, last))
-            last = status
-        state.update((last,))
-        yield pd.DataFrame(out, columns=["scan_id", "seq", "status", "before"])
-
-    only = events.where(F.col("type") == "status").select("scan_id", "seq", "status")
-    return only.groupBy("scan_id").applyInPandasWithState(run, STEP, "last string", "append", GroupStateTimeout.NoTimeout)
+    return rows.where("over = 0 and type = 'status'").drop("over")
 
 
 def upsert(kept: DataFrame | None, changed: DataFrame, key: str = "scan_id") -> DataFrame:
@@ -103,7 +84,7 @@ def live_only(events: DataFrame, scans: DataFrame, key: str = "scan_id") -> Data
 
 def seen_hosts(flows: DataFrame, wanted: str, within_seconds: int = 6) -> DataFrame:
     """Sessions in whose first seconds a host that contains the text was seen."""
-    near = F.col("host").contains(wanted) & (F.unix_timestamp("ts") - F.unix_timestamp("began") <= within_seconds)
+    near = F.col("host").contains(wanted) & (F.col("ts") <= F.col("began") + F.make_dt_interval(secs=F.lit(within_seconds)))
     return flows.groupBy("session").agg(F.coalesce(F.max(near), F.lit(False)).alias("seen"))
 
 

@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from auditlake.sources.shared import Versions
 from auditlake.streaming import events as E
+from auditlake.streaming import stateful as S
 
 SCHEMA = "scan_id long, seq long, type string, status string, percent int"
 
@@ -41,16 +42,64 @@ def test_a_version_that_was_not_ended_does_not_count(spark, tmp_path):
     assert table.whole() == [0] and table.read().count() == 1 and table.read(before=0) is None
 
 
-def test_states_over_parts(spark, tmp_path):
-    source = f"{tmp_path}/in"
-    part(spark, source, [status(1, 2, "running"), status(1, 1, "queued"), (1, 3, "log", None, None), status(None, 9, None)])
-    part(spark, source, [status(1, 5, "failed"), status(1, 4, "completed"), status(2**53 + 1, 6, "queued")])
-    part(spark, source, [status(1, 7, "running"), status(2**53 + 1, 8, "cancelled")])
-    steps = E.appended(E.streamed_statuses(E.stream_of(spark, source, SCHEMA)), f"{tmp_path}/out").collect()
-    assert sorted((r.seq, r.scan_id, r.before, r.status) for r in steps) == [
-        (1, 1, None, "queued"), (2, 1, "queued", "running"), (4, 1, "running", "completed"),
+CLOCKED = f"{SCHEMA}, clock timestamp"
+
+
+def clocked(spark, folder, rows):
+    made = spark.createDataFrame(rows, SCHEMA).withColumn("clock", F.timestamp_seconds(F.col("seq") * 60))
+    made.coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_states_over_parts_in_any_order(spark, tmp_path):
+    parts = [
+        [status(1, 2, "running"), status(1, 1, "queued"), (1, 3, "log", None, None), status(None, 9, None)],
+        [status(1, 5, "failed"), status(1, 4, "completed"), status(2**53 + 1, 6, "queued")],
+        [status(1, 7, "running"), status(2**53 + 1, 8, "cancelled"), status(3, 2, "queued"), status(3, 6, "completed")],
+        [(3, 5, "deleted", None, None), status(3, 3, "running")],
+    ]
+    want = [
+        (1, 1, None, "queued"), (2, 1, "queued", "running"), (2, 3, None, "queued"), (3, 3, "queued", "running"), (4, 1, "running", "completed"),
         (6, 2**53 + 1, None, "queued"), (8, 2**53 + 1, "queued", "cancelled"), (9, None, None, None),
     ]
+    everything = spark.createDataFrame(sum(parts, []), SCHEMA)
+    assert sorted((r.seq, r.scan_id, r.before, r.status) for r in E.statuses(everything).collect()) == want
+    for name, order in (("forth", parts), ("back", parts[::-1])):
+        source, root = f"{tmp_path}/{name}", f"{tmp_path}/{name}-out"
+        for rows in order:
+            clocked(spark, source, rows)
+        steps = lambda: S.appended(S.streamed_steps(E.stream_of(spark, source, CLOCKED), "1 hour"), root)
+        assert steps().count() == 0  # the watermark is behind all of them
+        clocked(spark, source, [(None, 100, "beat", None, None)])
+        assert sorted((r.seq, r.scan_id, r.before, r.status) for r in steps().collect()) == want
+        clocked(spark, source, [status(3, 101, "running"), status(4, 102, "queued"), (None, 200, "beat", None, None)])
+        assert sorted(r.seq for r in steps().collect() if r.seq > 9) == [102]  # what was deleted stays so
+
+
+def test_backlog_in_state(spark, tmp_path):
+    source, root = f"{tmp_path}/in", f"{tmp_path}/out"
+    rows = [(s, i, "log", None, i) for s in (1, None) for i in range(10)] + [(2, 0, "log", "x", None)]
+    for low in (7, 3, 0):
+        part(spark, source, [r for r in rows if low <= r[1] < (10 if low == 7 else 7 if low == 3 else 3)])
+    stream = E.stream_of(spark, source, SCHEMA)
+    got = S.backlog(stream, root, 4)
+    assert got.columns == stream.columns
+    want = E.newest(spark.createDataFrame(rows, SCHEMA), 4)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    part(spark, source, [(1, 20, "log", None, None), (1, 1, "log", None, None)])  # goes on from the checkpoint
+    assert sorted(r.seq for r in S.backlog(E.stream_of(spark, source, SCHEMA), root, 4).collect() if r.scan_id == 1) == [7, 8, 9, 20]
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/none")
+    assert S.backlog(E.stream_of(spark, f"{tmp_path}/none", SCHEMA), f"{tmp_path}/none-out").count() == 0
+
+
+def test_sessions_and_their_first_flows(spark, tmp_path):
+    begin = [(1, 0.0), (2, 0.0), (3, 50.0), (None, 90_000.0)]
+    flows = [(1, "api.shop", 6.0), (2, "api.shop", 6.001), (2, "other", 1.0), (3, "api.shop", 49.0), (None, None, 90_000.0)]
+    at = F.timestamp_millis(((F.col("at") + 1e9) * 1000).cast("long"))
+    spark.createDataFrame(begin, "session long, at double").select("session", at.alias("began")).write.parquet(f"{tmp_path}/starts")
+    spark.createDataFrame(flows, "session long, host string, at double").select("session", "host", at.alias("ts")).write.parquet(f"{tmp_path}/flows")
+    read = lambda name, schema: spark.readStream.schema(schema).parquet(f"{tmp_path}/{name}")
+    stream = S.seen_in_time(read("starts", "session long, began timestamp"), read("flows", "session long, host string, ts timestamp"), "shop", 6, "1 minute")
+    assert sorted((r.session, r.seen) for r in S.appended(stream, f"{tmp_path}/out").collect()) == [(1, True), (2, False), (3, False)]
 
 
 def test_upsert_and_subscribe(spark):
