@@ -10,8 +10,8 @@ from auditlake.functions import text as T
 from auditlake.operators import rollups as R
 from auditlake.operators import verdicts as V
 from auditlake.plans.registry import query, read
-from auditlake.sources import files as SF
 from auditlake.sources.shared import shared_folder
+from auditlake.sources.store import ScanStore
 
 EVENT_SEVERITY = {"error": "Critical", "purchase": "high", "click": "MEDIUM", "view": " low ", "signup": "Informational"}
 SQL_BUCKET = "CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END"
@@ -96,34 +96,42 @@ def scan_search(spark, sf):
     return R.scan_search(orders_as_scans(spark, sf), "completed", " APP-1 ", ["filename", "framework"]).select("id", "status", "filename", "framework")
 
 
-def stored(spark, sf: str) -> DataFrame:
-    """The scans, written to a store of JSON documents and read again."""
-    root = shared_folder(spark)
-    SF.write_scans(orders_as_scans(spark, sf).select("id", "status", "filename", "created_at"), root)
-    return SF.scan_store(spark, root, whole_files=False)
+SCAN = "id string, status string, filename string, created_at string"
 
 
-@query(f"SELECT id, status, created_at FROM {_SCANS} ORDER BY created_at DESC NULLS LAST, id LIMIT 100")
+def stored(spark, sf: str) -> ScanStore:
+    """The scans, written to a store."""
+    store = ScanStore(spark, shared_folder(spark), SCAN)
+    store.create(orders_as_scans(spark, sf))
+    return store
+
+
+@query(f"SELECT id, status, created_at FROM {_SCANS}")
 def scan_list(spark, sf):
-    return R.newest_first(stored(spark, sf), 100).select("id", "status", "created_at")
+    return R.newest_first(stored(spark, sf).read()).select("id", "status", "created_at")
 
 
 @query(f"SELECT id, status, filename FROM {_SCANS} WHERE id = '7'")
 def scan_get(spark, sf):
-    return stored(spark, sf).where(F.col("id") == "7").select("id", "status", "filename")
+    return stored(spark, sf).get("7").select("id", "status", "filename")
 
 
-@query(f"SELECT id, status FROM {_SCANS} WHERE id <> '7'")
+@query(f"SELECT id, status FROM {_SCANS} WHERE id NOT LIKE '%7'")
 def scan_delete(spark, sf):
-    return SF.without_scan(stored(spark, sf), "7").select("id", "status")
+    """Deleted, then saved: what is gone stays so."""
+    store = stored(spark, sf)
+    gone = orders_as_scans(spark, sf).where(F.col("id").endswith("7"))
+    store.delete(gone.select("id"))
+    store.save(gone)
+    return store.read().select("id", "status")
 
 
 @query(f"SELECT id, CASE WHEN id LIKE '%3' THEN 'cancelled' ELSE status END AS status FROM {_SCANS}")
 def scan_save(spark, sf):
-    store = stored(spark, sf).select("id", "status", "filename", "created_at")
-    changed = store.where(F.col("id").endswith("3")).withColumn("status", F.lit("cancelled"))
-    gone = changed.withColumn("id", F.concat(F.lit("gone-"), F.col("id")))
-    return SF.saved_scans(store, changed.unionByName(gone)).select("id", "status")
+    store = stored(spark, sf)
+    changed = store.read().where(F.col("id").endswith("3")).withColumn("status", F.lit("cancelled"))
+    store.save(changed.unionByName(changed.withColumn("id", F.concat(F.lit("gone-"), F.col("id")))))
+    return store.read().select("id", "status")
 
 
 # CVSS -----------------------------------------------------------------------------------------------------------------------------
