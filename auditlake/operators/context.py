@@ -6,10 +6,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions.text import bundled_path
+from auditlake.operators.segments import Segments
 
 AROUND = 4
 MOST_MATCHES = 60
@@ -98,17 +99,19 @@ def pages(files: DataFrame, key: str, most: int = PAGE_CHARS) -> DataFrame:
 
 def batch_within(rows: DataFrame, keys: list[str], order: str, size: str, most: int, count: int) -> DataFrame:
     """Rows in order until their sizes have reached ``most`` (the one that crosses it stays) or there are ``count``."""
-    before = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    kept = rows.withColumn("before", F.coalesce(F.sum(size).over(before), F.lit(0))).withColumn("place", place)
-    return kept.where((F.col("before") < most) & (F.col("place") <= count))
+    parts = Segments(rows, keys, [order])
+    found = parts.running(parts.rows, {"upto__size": F.col(size), "upto__rows": F.lit(1)})
+    before = F.col("upto__size") - F.coalesce(F.col(size), F.lit(0))
+    kept = found.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("place", F.col("upto__rows"))
+    return parts.plain(kept.where((F.col("before") < most) & (F.col("place") <= count))).drop("upto__size", "upto__rows", "upto__size_total", "upto__rows_total")
 
 
 def transcript_tail(turns: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
     """The last ``most`` characters of a key's turns, a line feed between them. A turn that ends further from the end than that is
     dropped before the turns are gathered, so what is gathered is bounded."""
-    after = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
-    near = turns.withColumn("after", F.coalesce(F.sum(F.length(text) + 1).over(after), F.lit(0))).where(F.col("after") < most)
+    parts = Segments(turns.select(key, order, text), [key], [order])
+    found = parts.running(parts.rows, {"upto": F.coalesce(F.length(text), F.lit(0)) + 1})
+    near = found.where(F.col("upto_total") - F.col("upto") < most)
     listed = F.array_sort(F.collect_list(F.struct(order, text)))
     joined = near.groupBy(key).agg(F.array_join(F.transform(listed, lambda s: s[text]), "\n").alias("joined"))
     return joined.select(key, F.right("joined", F.lit(most)).alias("tail"))

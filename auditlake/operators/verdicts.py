@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.operators.segments import Segments
+
 STATUSES = ("verified", "not_verified")
 NO_REASON = "No verdict was recorded for this finding."
 
@@ -43,27 +45,30 @@ def first_calls(calls: DataFrame, keys: list[str], order: str) -> DataFrame:
 def stalls(actions: DataFrame, key: str, order: str, signature: str, observed: str, nudge_at: int = 2) -> DataFrame:
     """How many actions in a row made no headway, as they repeat the one before or saw that a file was read to its end already, and whether
     that is a nudge (which starts the count again)."""
-    by_order = Window.partitionBy(key).orderBy(order)
+    parts = Segments(actions, [key], [order])
     ended = F.coalesce(F.col(observed).startswith("(already read to the end"), F.lit(False))
-    same = F.coalesce(F.col(signature) == F.lag(signature).over(by_order), F.lit(False)) | ended
-    rows = actions.withColumn("same", same.cast("long")).withColumn("island", F.sum(1 - F.col("same")).over(by_order))
-    rows = rows.withColumn("repeats", F.sum("same").over(Window.partitionBy(key, "island").orderBy(order)))
-    return rows.withColumn("nudge", (F.col("repeats") > 0) & (F.col("repeats") % nudge_at == 0)).drop("island", "same")
+    rows = parts.previous(parts.rows, F.col(signature), "before__signature")
+    same = F.coalesce(F.col(signature) == F.col("before__signature"), F.lit(False)) | ended
+    rows = parts.since_reset(rows.withColumn("same", same), F.col("same"), "repeats")
+    nudge = (F.col("repeats") > 0) & (F.col("repeats") % nudge_at == 0)
+    return parts.plain(rows).withColumn("nudge", nudge).drop("same", "before__signature", "before__signature_first")
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str, least: int = 3) -> DataFrame:
     """Runs of equal values of at least a length: key, value, first, last, length."""
-    by_order = Window.partitionBy(key).orderBy(order)
-    changed = ~F.col(value).eqNullSafe(F.lag(value).over(by_order)) | (F.row_number().over(by_order) == 1)
-    marked = rows.withColumn("island", F.sum(changed.cast("int")).over(by_order))
-    grouped = marked.groupBy(key, "island", value).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("length"))
-    return grouped.where(F.col("length") >= least).drop("island")
+    parts = Segments(rows.select(key, order, value), [key], [order])
+    marked = parts.previous(parts.rows, F.col(value), "before__value")
+    changed = F.col("before__value_first") | ~F.col(value).eqNullSafe(F.col("before__value"))
+    marked = parts.running_max(marked, F.when(changed, F.col(order)), "began__at")
+    grouped = marked.groupBy(key, "began__at", value).agg(F.max(order).alias("last"), F.count("*").alias("length"))
+    return grouped.where(F.col("length") >= least).select(key, value, F.col("began__at").alias("first"), "last", "length")
 
 
 def last_context(rows: DataFrame, key: str, order: str, text: str, n: int = 5) -> DataFrame:
-    """The n rows before each, joined."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(-n, -1)
-    return rows.withColumn("context", F.array_join(F.collect_list(text).over(before), "; "))
+    """The n rows before each, joined; missing texts are left out."""
+    parts = Segments(rows, [key], [order])
+    found = parts.before(parts.rows, F.col(text), n, "before__texts")
+    return parts.plain(found.withColumn("context", F.array_join("before__texts", "; "))).drop("before__texts")
 
 
 def step_budget(n: Column) -> Column:

@@ -10,14 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path below ``spark.checkpoint.dir``. Only a local master, whose one process sees its own disk, may go without that setting."""
+    """A new path below ``spark.checkpoint.dir``, which goes when the driver ends. Only a local master, whose one process sees its own disk,
+    may go without that setting."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="auditlake-shared-"))
-    return f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 class Versions:
