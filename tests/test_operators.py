@@ -134,3 +134,26 @@ def test_numbered(spark):
     assert found == [(0, 1, 0), (0, 2, 3), (1, 1, 1), (1, 2, 2), (1, 3, 2)]
     assert sorted(r.place for r in rollups.numbered(spark.range(1000).toDF("v"), [], ["v"]).where("place = v + 1").collect()) == list(range(1, 1001))
     assert rollups.numbered(rows.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_apps_with_equal_names_never_meet(spark):
+    two = lambda rows, schema: spark.createDataFrame(rows, f"app string, {schema}")
+    classes = two([("a", "X", "Base", "X.java"), ("b", "X", None, "X.java"), (None, "X", "None", "n.java"), ("b", "Y", None, "Y.java")], "cls string, extends string, file string")
+    roles, loaders = two([("a", "X", "activity")], "cls string, role string"), two([("b", "X")], "cls string")
+    refs = two([("a", "Y", 0, "X"), ("b", "Y", 0, "X")], "cls string, ord long, ref string")
+    calls = two([("b", "X$1", "z->execSQL"), (None, "X", "Landroid/util/Log;->d")], "cls string, call string")
+    got = {(r.app, r.cls): (r.extends, r.role, r.flagged, r.refs) for r in graph.code_graph(classes, roles, refs, calls, loaders, ("app",)).collect()}
+    assert got == {
+        ("a", "X"): ("Base", "activity", False, None),
+        ("b", "X"): (None, "native-bridge", True, None),
+        ("b", "Y"): (None, "class", True, "X"),
+        (None, "X"): ("None", "class", True, None),
+    }
+    nodes = two([("a", "Na", 1, "com/x/A.java"), ("b", "Nb", 0, "com/x/A.java"), ("b", "Nc", 1, "com/y/A.java")], "node string, ord int, node_file string")
+    files = two([("a", "./sources/com/x/A.java:7"), ("b", "com\\y\\A.java"), ("b", "q/A.java:3-4"), ("c", "com/x/A.java"), ("a", " "), ("a", None)], "file string")
+    found = {(r.app, r.file): (r.node, r.tier) for r in graph.node_of_file(files, nodes, ("app",)).collect()}
+    assert found == {("a", "./sources/com/x/A.java:7"): ("Na", 0), ("b", "com\\y\\A.java"): ("Nc", 0), ("b", "q/A.java:3-4"): ("Nb", 1)}
+    paths = two([("a", "sources/S.java"), ("b", "resources/S.java"), ("a", "S.txt")], "path string")
+    wanted = two([("a", 1, "/S.java"), ("b", 2, "S.java"), ("b", 3, "S.txt"), (None, 4, "S.java")], "id int, file string")
+    assert {r.id: r.path for r in graph.resolved_paths(wanted, paths, ["id"], ("app",)).collect()} == {1: "sources/S.java", 2: "resources/S.java"}
+    assert sorted(tuple(r) for r in graph.unread(paths, paths.where("app = 'a'"), "path", ("app",)).collect()) == [("b", "resources/S.java")]
