@@ -220,12 +220,23 @@ def parsed_findings(replies: DataFrame, keys: list[str], reply: str) -> DataFram
     return good.unionByName(rows.select(*keys, "f.*"))
 
 
-def merged(default: dict, override: Column) -> Column:
-    """JSON settings: each leaf of the defaults, replaced where the override (JSON text) has one that isn't null."""
-
-    def leaves(value, path: str) -> Column:
+def _merged(default: dict, override: Column) -> Column:
+    """The defaults with what an override (a variant) has in their place: objects key by key, all else as it is, a null too."""
+    own = override.cast("map<string,variant>")
+    values = []
+    for key, value in default.items():
+        there, given = F.map_contains_key(own, key), F.try_element_at(own, F.lit(key))
+        found = F.when(there, given).otherwise(F.parse_json(F.lit(json.dumps(value))))
         if isinstance(value, dict):
-            return F.struct(*[leaves(v, f"{path}.{k}").alias(k) for k, v in value.items()])
-        return F.coalesce(F.get_json_object(override, path), F.lit(str(value)))
+            found = F.when(there & F.startswith(F.schema_of_variant(given), F.lit("OBJECT")), _merged(value, given)).otherwise(found)
+        values += [F.lit(key), found]
+    more = F.map_filter(own, lambda key, _: ~key.isin(*default))
+    return F.parse_json(F.to_json(F.map_concat(F.create_map(*values), more) if values else own))
 
-    return F.to_json(leaves(default, "$"))
+
+def merged(default: dict, override: Column) -> Column:
+    """JSON settings: the defaults merged with an override (JSON text). Keys that defaults lack stay, numbers stay numbers, a null replaces;
+    what is no JSON object (or names a key twice) changes nothing."""
+    given = F.try_parse_json(override)
+    fine = F.startswith(F.schema_of_variant(given), F.lit("OBJECT"))
+    return F.when(fine, F.to_json(_merged(default, given))).otherwise(F.to_json(F.parse_json(F.lit(json.dumps(default)))))

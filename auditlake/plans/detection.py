@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from auditlake.functions import text as T
 from auditlake.operators import indicators as I
 from auditlake.operators import manifests as M
+from auditlake.operators import matching as MA
 from auditlake.operators import rollups as R
 from auditlake.operators import rules as RU
 from auditlake.plans.registry import query, read
@@ -59,6 +60,26 @@ def indicator_score(spark, sf):
     return _rounded(I.weighted_score(read(spark, sf, "documents").select("doc_id", "text"), "text", WEIGHTS).drop("text"), "confidence")
 
 
+_SQL_PASSAGES = "w AS (SELECT lower(substr(text, k * 9 + 1, 6)) AS pattern, max(item_id % 5 + 1) AS weight FROM benchmark, range(8) r(k) WHERE length(text) > k * 9 GROUP BY 1)"
+
+
+@query(f"""WITH {_SQL_PASSAGES}, h AS (SELECT doc_id, count(pattern) AS hits, coalesce(sum(weight), 0) AS score FROM documents LEFT JOIN w ON contains(lower(text), pattern) GROUP BY doc_id)
+SELECT doc_id, hits, CAST(score AS BIGINT) AS score, round_even(least(1.0::DOUBLE, score / (SELECT CAST(sum(weight) AS DOUBLE) FROM w)), 6) AS confidence FROM h""")
+def indicator_table(spark, sf):
+    """Hundreds of indicators out of a table: pieces of the benchmark's texts, in every document."""
+    at = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("k")
+    cut = read(spark, sf, "benchmark").select("item_id", "text", at).where(F.length("text") > F.col("k") * 9)
+    indicators = cut.select(F.lower(F.substring("text", F.col("k") * 9 + 1, F.lit(6))).alias("pattern"), (F.col("item_id") % 5 + 1).alias("weight"))
+    return _rounded(MA.table_score(read(spark, sf, "documents").select("doc_id", F.lower("text").alias("text")), ["doc_id"], "text", indicators), "confidence")
+
+
+@query(f"WITH {_SQL_HITS} SELECT app, CAST(ord AS INTEGER) AS ord, framework, n FROM h")
+def framework_table(spark, sf):
+    """The same frameworks as by flag columns, with the indicators as rows."""
+    rows = [(k, f, i) for k, (f, own) in enumerate(I.TECHNOLOGIES.items()) for i in own]
+    return MA.table_hits(entries(spark, sf), "app", "entry", spark.createDataFrame(rows, "ord int, framework string, pattern string"))
+
+
 @query(f"WITH {_SQL_HITS} SELECT app, ord, framework, n, round_even({_SQL_CONFIDENCE}, 6) AS confidence FROM h")
 def framework_detect(spark, sf):
     found = I.with_confidence(I.framework_hits(entries(spark, sf), "app", "entry"))

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as T
 from auditlake.operators import context as C
+from auditlake.operators import highlight as H
 from auditlake.operators import rules as RU
+from auditlake.operators import symbols as SY
 from auditlake.plans.registry import query, read
 from auditlake.sources import files as SF
 
@@ -185,6 +187,36 @@ def paged_read(spark, sf):
     return C.pages(documents(spark, sf), "path", 2000)
 
 
+@query(f"""WITH s AS (SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.txt' ELSE '.java' END AS path, doc_id, string_split('/* ' || replace(text, '*/', '* /') || ' */' || chr(10) || 'int x = ' || doc_id || ';', chr(10)) AS a FROM documents),
+l AS (SELECT path, doc_id, len(a) AS n, unnest(range(1, len(a) + 1)) AS line_no, unnest(a) AS line FROM s), e AS (SELECT *, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') AS safe FROM l)
+SELECT path, CAST(line_no AS INTEGER) AS line_no, md5(CASE WHEN path LIKE '%.txt' OR safe = '' THEN safe WHEN line_no < n THEN '<span class="tok-cm">' || safe || '</span>'
+ ELSE '<span class="tok-kw">int</span> x <span class="tok-op">=</span> <span class="tok-num">' || doc_id || '</span><span class="tok-op">;</span>' END) AS html FROM e""")
+def code_highlight(spark, sf):
+    """Texts as comments of many lines before a line of code; every third file is of no known kind."""
+    k = F.col("doc_id")
+    source = F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("* /")), F.lit(" */\nint x = "), k.cast("string"), F.lit(";"))
+    name = F.concat(k.cast("string"), F.when(k % 3 == 0, ".txt").otherwise(".java"))
+    found = H.highlighted_lines(read(spark, sf, "documents").select(name.alias("path"), source.alias("text")))
+    return found.select("path", "line_no", F.md5(F.col("html").cast("binary")).alias("html"))
+
+
+@query(r"""WITH c AS (SELECT p_brand AS file, p_partkey AS line_no, p_partkey % 5 AS k, p_name, p_size, lower(string_split(p_name, ' ')[1]) AS word FROM part),
+h AS (SELECT *, max(CASE WHEN k = 0 THEN line_no END) OVER (PARTITION BY file ORDER BY line_no) AS at FROM c), o AS (SELECT h.*, 'lib/' || x.p_size || '.so' AS library FROM h LEFT JOIN part x ON x.p_partkey = h.at)
+SELECT file, line_no, coalesce(library, '-') AS library, CASE WHEN k = 1 THEN '*UND*' ELSE '.text' END AS section, CASE WHEN k = 1 THEN 'imported' ELSE 'exported' END AS kind,
+ CASE k WHEN 1 THEN CASE WHEN p_size % 2 = 0 THEN 'strcpy' ELSE 'malloc' END WHEN 2 THEN 'Java_com_app_' || word || '_1x_run' || p_size || '_000e9__ILjava_lang_String_2' ELSE 'helper_' || word END AS symbol,
+ CASE WHEN k = 2 THEN 'com.app.' || word || '_x' ELSE '-' END AS class, CASE WHEN k = 2 THEN 'run' || p_size || 'é' ELSE '-' END AS method, k = 1 AND p_size % 2 = 0 AS unsafe FROM o WHERE k IN (1, 2, 3)""")
+def symbol_listing(spark, sf):
+    """Brands stand for captured listings, their parts for the lines: headers, imported and exported symbols, and lines that are none."""
+    k, size, word = F.col("p_partkey") % 5, F.col("p_size").cast("string"), F.lower(F.element_at(F.split("p_name", " "), 1))
+    line = F.when(k == 0, F.concat(F.lit("lib/"), size, F.lit(".so:     file format elf64-littleaarch64")))
+    line = line.when(k == 1, F.concat(F.lit("0000000000000000      DF *UND*\t0000000000000000  LIBC        "), F.when(F.col("p_size") % 2 == 0, "strcpy").otherwise("malloc")))
+    line = line.when(k == 2, F.concat(F.lit("00000000000007a0 g    DF .text\t0000000000000050  Base        Java_com_app_"), word, F.lit("_1x_run"), size, F.lit("_000e9__ILjava_lang_String_2")))
+    line = line.when(k == 3, F.concat(F.lit("00000000000007a0 g    DF .text\t0000000000000050  Base        helper_"), word)).otherwise("DYNAMIC SYMBOL TABLE:")
+    found = SY.symbols(read(spark, sf, "part").select(F.col("p_brand").alias("file"), F.col("p_partkey").alias("line_no"), line.alias("line")))
+    dash = lambda c: F.coalesce(c, F.lit("-")).alias(c)
+    return found.select("file", "line_no", dash("library"), "section", "kind", "symbol", dash("class"), dash("method"), "unsafe")
+
+
 @query(f"WITH {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, line_no BETWEEN path % 3 + 1 AND path % 3 + 3 AS highlight FROM l")
 def highlight_rows(spark, sf):
     files = documents(spark, sf)
