@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,43 +73,56 @@ def _value(valid_metrics: Column, metric: str) -> Column:
     return F.left(F.split_part(valid_metrics, F.lit(f"/{metric}:"), F.lit(2)), F.lit(1))
 
 
-def _rounded_up(i: Column) -> Column:
-    """Smallest number with one decimal that is not below i / 100000, by the integer rule of the specification."""
-    return F.when(i % 10000 == 0, i / 100000.0).otherwise((F.floor(i / 10000) + 1) / 10.0)
+#: A vector with its base metrics in the usual order, before others that don't count.
+_USUAL = (
+    r"^(?:CVSS:3\.[01]/)?" + "/".join(f"{m}:([{''.join(values)}])" for m, values in CVSS_WEIGHTS.items()) + r"(?:/(?:E|RL|RC|CR|IR|AR|M[ACIPSU][CIRV]?):[A-Z])*$"
+)
+
+
+def base_score(letters: str) -> float:
+    """Base score of the values of the eight metrics, in the order of the weights; rounded up to one decimal by the integer rule of
+    the specification."""
+    value = dict(zip(CVSS_WEIGHTS, letters, strict=True))
+    weight = {m: CVSS_WEIGHTS[m][v] for m, v in value.items()}
+    changed = value["S"] == "C"
+    base = 1 - (1 - weight["C"]) * (1 - weight["I"]) * (1 - weight["A"])
+    exploit = 8.22 * weight["AV"] * weight["AC"] * (PR_CHANGED if changed else CVSS_WEIGHTS["PR"])[value["PR"]] * weight["UI"]
+    impact = 7.52 * (base - 0.029) - 3.25 * (base - 0.02) ** 15 if changed else 6.42 * base
+    if impact <= 0:
+        return 0.0
+    i = round(min(10.0, (1.08 if changed else 1.0) * (impact + exploit)) * 100000)
+    return i / 100000 if i % 10000 == 0 else (i // 10000 + 1) / 10
+
+
+@cache
+def _score_table() -> str:
+    """SQL of an array with the score of every combination, the first metric's values changing slowest. Spark folds it into one constant."""
+    return f"array({', '.join(f'{base_score(''.join(c))}D' for c in product(*CVSS_WEIGHTS.values()))})"
+
+
+def _letters(vector: Column) -> Column:
+    """The values of the eight metrics as eight letters; fewer where one lacks. A vector in the usual order takes one pattern, only others
+    are searched for the last valid value of each metric."""
+    usual = F.regexp_replace(F.upper(F.trim(vector)), _USUAL, "".join(f"${i}" for i in range(1, 9)))
+    found = F.transform(F.array(_valid_metrics(vector)), lambda valid: F.concat(*[_value(valid, m) for m in CVSS_WEIGHTS]))
+    return F.when(F.length(usual) == 8, usual).otherwise(found.getItem(0))
 
 
 def with_cvss_score(df: DataFrame, vector: str = "vector", score: str = "score") -> DataFrame:
     """``df`` with the CVSS v3.1 base score of a vector; null unless all eight base metrics are valid. A column of that name is replaced.
 
-    Metrics, weights and sub-scores are columns of selections of their own, so that each is found once, not at each use; weights come
-    from constant maps, as long chains of conditions would make the generated method too long for the compiler.
+    A score depends on eight letters, of which there are 2592 combinations: it is looked up in an array, at the place that they name.
     """
     own = [F.col(f"`{c}`") for c in df.columns if c != score]
-    valid = df.select(*own, _valid_metrics(F.col(f"`{vector}`")).alias("cvss__valid"))
-    metrics = valid.select(*own, *[_value(F.col("cvss__valid"), m).alias(f"cvss__{m}") for m in CVSS_WEIGHTS])
-
-    def weight(m: str, weights: dict[str, float]) -> Column:
-        table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
-        return F.try_element_at(table, F.col(f"cvss__{m}"))
-
-    changed = F.nullif(F.col("cvss__S"), F.lit("")) == "C"
-    weights = {m: weight(m, t) for m, t in CVSS_WEIGHTS.items() if m != "S"}
-    weights["PR"] = F.when(changed, weight("PR", PR_CHANGED)).otherwise(weights["PR"])
-    w = {m: F.col(f"cvss_w_{m}") for m in weights}
-    weighed = metrics.select(*own, changed.alias("cvss__S"), *[c.alias(f"cvss_w_{m}") for m, c in weights.items()])
-    base = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
-    exploit = 8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]
-    based = weighed.select(*own, "cvss__S", base.alias("cvss__base"), exploit.alias("cvss__exploit"))
-    base, impact = F.col("cvss__base"), F.col("cvss__impact")
-    changed_impact = 7.52 * (base - 0.029) - 3.25 * F.pow(base - 0.02, F.lit(15.0))
-    felt = based.select(*own, "cvss__S", F.when(F.col("cvss__S"), changed_impact).otherwise(6.42 * base).alias("cvss__impact"), "cvss__exploit")
-    both = impact + F.col("cvss__exploit")
-    both = F.when(F.col("cvss__S"), 1.08 * both).otherwise(both)
-    both = F.when(both > 10, 10.0).otherwise(both)  # unlike the least of both, null if one is
-    summed = felt.select(*own, "cvss__S", "cvss__impact", F.bround(both * 100000).cast("long").alias("cvss__both"))
-    rounded = F.when(impact <= 0, F.lit(0.0)).otherwise(_rounded_up(F.col("cvss__both")))
-    complete = F.col("cvss__S").isNotNull() & F.col("cvss__both").isNotNull()  # a missing metric makes the sum null
-    return summed.select(*own, F.when(complete, rounded).alias(score))
+
+    def place(letters: Column) -> Column:
+        at = F.lit(0)
+        for i, values in enumerate(CVSS_WEIGHTS.values()):
+            at = at * len(values) + F.instr(F.lit("".join(values)), F.substring(letters, i + 1, 1)) - 1
+        return at
+
+    found = F.transform(F.array(_letters(F.col(f"`{vector}`"))), lambda x: F.when(F.length(x) == 8, F.get(F.expr(_score_table()), place(x))))
+    return df.select(*own, found.getItem(0).alias(score))
 
 
 def cvss_band(score: Column) -> Column:

@@ -97,12 +97,18 @@ def location_text(value: Column) -> Column:
 
 
 def derived_title(description: Column) -> Column:
-    """First sentence of a description, at most 80 characters."""
-    text = F.trim(F.regexp_replace(description, r"\s+", " "))
-    head = F.regexp_extract(text, r"^(.*?[.!?])\s", 1)
-    title = F.when(head == "", text).otherwise(head)
-    title = F.when(F.length(title) > 80, F.concat(F.rtrim(F.left(title, F.lit(77))), F.lit("..."))).otherwise(title)
-    return F.when(F.coalesce(text, F.lit("")) == "", "Security Issue").otherwise(title)
+    """First sentence of a description, at most 80 characters. These follow from its first 81 characters with white space folded, so only
+    where the start doesn't hold as many is the whole folded."""
+    folded = lambda text: F.trim(F.regexp_replace(text, r"\s+", " "))
+
+    def title(text: Column) -> Column:
+        head = F.regexp_extract(text, r"^(.*?[.!?])\s", 1)
+        said = F.when(head == "", text).otherwise(head)
+        said = F.when(F.length(said) > 80, F.concat(F.rtrim(F.left(said, F.lit(77))), F.lit("..."))).otherwise(said)
+        return F.when(F.coalesce(text, F.lit("")) == "", "Security Issue").otherwise(said)
+
+    start = F.transform(F.array(folded(F.left(description, F.lit(400)))), lambda text: F.when(F.length(text) > 90, text).otherwise(folded(description)))
+    return F.transform(start, title).getItem(0)
 
 
 def tenths(x: Column) -> Column:
@@ -264,3 +270,9 @@ def public_url(url: Column) -> Column:
 def version_key(version: Column) -> Column:
     """Numbers of a dotted version, for sorting; parts that are no numbers count 0."""
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(p.try_cast("int"), F.lit(0)))
+
+
+def error_count(log: Column) -> Column:
+    """The number that a log says it counted (ERROR - 12), else how often it says ERROR."""
+    named = F.regexp_extract(log, r"ERROR - (\d+)", 1)
+    return F.when(named != "", named.try_cast("bigint")).otherwise(F.regexp_count(log, F.lit("ERROR"))).cast("long")

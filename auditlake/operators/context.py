@@ -40,19 +40,28 @@ def grep(files: DataFrame, pattern: str, path: str = "path", scoped: bool = Fals
 
 
 def first_matches(found: DataFrame, path: str = "path", n: int = MOST_MATCHES) -> DataFrame:
-    return found.orderBy(path, "line_no").limit(n)
+    """The first matches by path and line; behind them, once there are n, a row without a path that says so."""
+    first = found.orderBy(path, "line_no").limit(n)
+    listed = F.array_sort(F.collect_list(F.struct(path, "line_no", "line")))  # n rows at most
+    kinds = {f.name: f.dataType for f in found.schema.fields}
+    stop = F.struct(F.lit(None).cast(kinds[path]).alias(path), F.lit(None).cast(kinds["line_no"]).alias("line_no"), F.lit(f"... (stopped at {n} matches)").alias("line"))
+    whole = first.agg(listed.alias("found"))
+    return whole.select(F.inline(F.when(F.size("found") >= n, F.concat("found", F.array(stop))).otherwise(F.col("found"))))
 
 
 def context(files: DataFrame, spans: DataFrame, key: str, around: int = AROUND) -> DataFrame:
-    """Lines around each span (key, s, e): start, end and the lines, clamped to the file; swapped ends are put right."""
-    pair = spans.join(files, key)
-    split = F.split("text", r"\r\n|\n|\r")
-    low, high = F.least("s", "e"), F.greatest("s", "e")
-    pair = pair.withColumn("all", split).withColumn("n", F.size("all"))
-    start = F.greatest(F.lit(1), F.least(low, F.col("n")) - around)
-    end = F.least(F.col("n"), high + around)
-    pair = pair.withColumn("start_line", start).withColumn("end_line", F.greatest(start, end))
-    return pair.select(*spans.columns, "start_line", "end_line", F.slice("all", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1).alias("lines"))
+    """Lines around each span (key, s, e): start, end and the lines, clamped to the file; swapped ends are put right. A file meets all its
+    spans at once, and is split once."""
+    asked = spans.groupBy(key).agg(F.collect_list(F.struct(*spans.columns)).alias("spans"))  # a few numbers for each finding of a file
+    pair = asked.join(files.select(key, F.split("text", r"\r\n|\n|\r").alias("all")), key)
+
+    def near(span: Column) -> Column:
+        n, low, high = F.size("all"), F.least(span["s"], span["e"]), F.greatest(span["s"], span["e"])
+        start = F.greatest(F.lit(1), F.least(low, n) - around)
+        end = F.greatest(start, F.least(n, high + around))
+        return F.struct(*[span[c].alias(c) for c in spans.columns], start.alias("start_line"), end.alias("end_line"), F.slice("all", start, end - start + 1).alias("lines"))
+
+    return pair.select(F.inline(F.transform("spans", near)))
 
 
 def anchor(snippet: Column) -> Column:
@@ -63,10 +72,14 @@ def anchor(snippet: Column) -> Column:
 
 
 def locate(files: DataFrame, snippets: DataFrame, key: str) -> DataFrame:
-    """First line of a file that contains the snippet's anchor, and the last line of its span; snippets are (key, snippet)."""
-    pair = snippets.withColumn("anchor", anchor(F.col("snippet"))).withColumn("height", F.size(F.split("snippet", r"\r\n|\n|\r")))
-    near = lines(files, key).join(pair, key).where(F.col("line").contains(F.col("anchor")))
-    found = near.groupBy(key, "snippet").agg(F.min("line_no").alias("first_line"), F.max("height").alias("height"))
+    """First line of a file that contains the snippet's anchor, and the last line of its span; snippets are (key, snippet). A file meets all
+    its snippets at once; only files that have any are split."""
+    pair = snippets.select(key, "snippet", anchor(F.col("snippet")).alias("anchor"), F.size(F.split("snippet", r"\r\n|\n|\r")).alias("height")).distinct()
+    asked = pair.groupBy(key).agg(F.collect_list(F.struct("snippet", "anchor", "height")).alias("asked"))
+    both = asked.join(files.select(key, F.split("text", r"\r\n|\n|\r").alias("all")), key)
+    first = lambda a: F.array_position(F.transform("all", lambda line: F.contains(line, a["anchor"])), True).cast("int")
+    found = both.select(key, F.inline(F.transform("asked", lambda a: F.struct(a["snippet"].alias("snippet"), first(a).alias("first_line"), a["height"].alias("height")))))
+    found = found.where("first_line > 0").groupBy(key, "snippet").agg(F.min("first_line").alias("first_line"), F.max("height").alias("height"))
     return found.select(key, "snippet", "first_line", (F.col("first_line") + F.col("height") - 1).alias("last_line"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from auditlake.functions.text import SECRET_PATTERN
+
 # Call signatures that show a family of sensitive sinks.
 SINKS = {
     "sql": ("->execSQL", "->rawQuery", "SQLiteDatabase;->query", "->compileStatement"),
@@ -30,6 +32,18 @@ def sink_families(call: Column, sinks: dict[str, tuple[str, ...]] | None = None)
     return F.filter(F.array(*[F.when(any_of(keys), F.lit(name)) for name, keys in sinks.items()]), lambda x: x.isNotNull())
 
 
+def secret_strings(literals: Column, most: int | None = None) -> Column:
+    """Of the string constants of a class, in order, the first 60 characters of those that look like secrets; the first ``most``. A constant is
+    left out if what is kept of an earlier one equals it, so that longer ones stay each time (they equal none)."""
+    hits = F.filter(literals, lambda x: x.rlike(SECRET_PATTERN))
+    short = lambda x: F.left(x, F.lit(60))
+    kept = F.transform(
+        F.array(hits),
+        lambda own: F.transform(F.filter(own, lambda x, i: (F.length(x) > 60) | (F.array_position(F.transform(own, short), x) == i + 1)), short),
+    ).getItem(0)
+    return kept if most is None else F.slice(kept, 1, most)
+
+
 def outer_class(name: Column) -> Column:
     return F.substring_index(name, "$", 1)
 

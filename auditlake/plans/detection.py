@@ -249,11 +249,14 @@ def strings_xml_filter(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.coalesce(F.array_join(RU.kept_strings(xml), ","), F.lit("-")).alias("kept"))
 
 
-@query("SELECT p_partkey, p_partkey % 3 <> 2 AS login FROM part")
+@query("""SELECT doc_id, lang = 'fr' OR regexp_matches(lower(text), 'login|log in|sign in|signin|username|password|email|phone') AS login FROM documents""")
 def login_screen(spark, sf):
-    k = F.col("p_partkey") % 3
-    screen = F.when(k == 0, '<node password="true"/>').when(k == 1, '<node text="Please Sign In"/>').otherwise('<node text="Settings" bounds="login"/>')
-    return read(spark, sf, "part").select("p_partkey", RU.login_screen(screen).alias("login"))
+    """Screens whose texts, descriptions or hints are whole documents; words in other attributes don't count."""
+    said, k = T.html_escaped(F.col("text")), F.col("doc_id") % 3
+    where = F.when(k == 0, F.lit('text="')).when(k == 1, F.lit('content-desc="')).otherwise(F.lit('hint="'))
+    secret = F.when(F.col("lang") == "fr", '" password="true').otherwise("")
+    screen = F.concat(F.lit('<node bounds="login" '), where, said, secret, F.lit('"/>'))
+    return read(spark, sf, "documents").select("doc_id", RU.login_screen(screen).alias("login"))
 
 
 # inventories ----------------------------------------------------------------------------------------------------------------------------
@@ -276,13 +279,12 @@ def dir_sizes(spark, sf):
 
 
 @query("""
-WITH t AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ERROR - ' || doc_id || ' of' WHEN 1 THEN 'ERROR x ERROR' ELSE text END AS t FROM documents)
+WITH t AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' ERROR - ' || n_chars || ' of' WHEN 1 THEN ' ERROR x ERROR' ELSE '' END || text AS t FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(t, 'ERROR - (\\d+)') THEN CAST(regexp_extract(t, 'ERROR - (\\d+)', 1) AS BIGINT) ELSE CAST(len(regexp_extract_all(t, 'ERROR')) AS BIGINT) END AS errors FROM t""")
 def error_count(spark, sf):
     k = F.col("doc_id") % 3
-    said = F.when(k == 0, F.concat(F.lit("ERROR - "), F.col("doc_id").cast("string"), F.lit(" of"))).when(k == 1, "ERROR x ERROR").otherwise(F.col("text"))
-    named = F.regexp_extract(said, r"ERROR - (\d+)", 1)
-    return read(spark, sf, "documents").select("doc_id", F.when(named != "", named.try_cast("bigint")).otherwise(F.regexp_count(said, F.lit("ERROR"))).cast("long").alias("errors"))
+    more = F.when(k == 0, F.concat(F.lit(" ERROR - "), F.col("n_chars").cast("string"), F.lit(" of"))).when(k == 1, " ERROR x ERROR").otherwise("")
+    return read(spark, sf, "documents").select("doc_id", T.error_count(F.concat("text", more, "text")).alias("errors"))
 
 
 @query(rf"""WITH {PATHS_SQL}, d AS (SELECT app, regexp_replace(path, '/[^/]*$', '') AS dir, page_id FROM p WHERE regexp_matches(path, '\.(java|kt)$')),

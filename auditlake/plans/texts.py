@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import text as T
 from auditlake.operators import context as C
+from auditlake.operators import graph as G
 from auditlake.operators import highlight as H
 from auditlake.operators import rules as RU
 from auditlake.operators import symbols as SY
@@ -26,7 +27,8 @@ def grep_lines(spark, sf):
     return C.grep(documents(spark, sf), "license|secret|token", scoped=True)
 
 
-@query(f"WITH {_LINES} SELECT path, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'e t') ORDER BY path, line_no LIMIT 60")
+@query(f"""WITH {_LINES}, f AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'e t') ORDER BY path, line_no LIMIT 60)
+SELECT * FROM f UNION ALL SELECT NULL, NULL, '... (stopped at 60 matches)' FROM f HAVING count(*) >= 60""")
 def grep_first_60(spark, sf):
     return C.first_matches(C.grep(documents(spark, sf), "e t", scoped=True))
 
@@ -35,11 +37,22 @@ def grep_first_60(spark, sf):
 WITH s AS (SELECT doc_id, regexp_extract_all(text, '{T.SECRET_PATTERN}', 1) AS f FROM documents WHERE regexp_matches(text, '{T.SECRET_PATTERN}'))
 SELECT doc_id, len(f) AS n, left(f[1], 60) AS first FROM s""")
 def secret_scan(spark, sf):
+    """Texts with hits, found in one pass: the filter stands between the hits and the row that they make."""
     hits = F.regexp_extract_all("text", F.lit(T.SECRET_PATTERN), F.lit(1))
-    found = read(spark, sf, "documents").where(F.col("text").rlike(T.SECRET_PATTERN)).select("doc_id", hits.alias("f"))
+    found = read(spark, sf, "documents").select("doc_id", F.explode(F.filter(F.array(hits), lambda f: F.size(f) > 0)).alias("f"))
     return found.select("doc_id", F.size("f").cast("long").alias("n"), F.left(F.element_at("f", 1), F.lit(60)).alias("first"))
 
 
+@query(rf"""WITH h AS (SELECT doc_id, list_filter(list_concat(string_split(text, chr(10)), string_split(text, chr(10))), lambda x: regexp_matches(x, '{T.SECRET_PATTERN}')) AS h FROM documents),
+k AS (SELECT doc_id, list_transform(list_filter(list_transform(h, lambda x, i: {{'x': x, 'i': i}}), lambda s: length(s.x) > 60 OR list_position(list_transform(h, lambda y: left(y, 60)), s.x) = s.i), lambda s: left(s.x, 60)) AS k FROM h)
+SELECT doc_id, len(k) AS n, md5(array_to_string(k, chr(10))) AS kept FROM k WHERE len(k) > 0""")
+def secret_strings(spark, sf):
+    """Lines of a text, each of them twice, as the constants of a class."""
+    own = F.split("text", "\n")
+    kept = read(spark, sf, "documents").select("doc_id", G.secret_strings(F.concat(own, own)).alias("k")).where(F.size("k") > 0)
+    return kept.select("doc_id", F.size("k").cast("long").alias("n"), F.md5(F.array_join("k", "\n").cast("binary")).alias("kept"))
+
+
 _TOKENS = """t AS (SELECT p_partkey, i, CASE p_partkey % 9 WHEN 0 THEN 'abc_' || w WHEN 1 THEN 'android.' || w WHEN 2 THEN 'main' WHEN 3 THEN '@string/' || w WHEN 4 THEN p_partkey::VARCHAR
  WHEN 5 THEN 'deadbeef01' WHEN 6 THEN ' ' WHEN 7 THEN '${' || w || '}' ELSE w END AS name FROM (SELECT p_partkey, unnest(range(0, len(s))) AS i, unnest(s) AS w FROM (SELECT p_partkey, string_split(p_name, ' ') AS s FROM part)))"""
 
@@ -127,26 +140,38 @@ def resource_pick(spark, sf):
     return SF.resource_files(paths(spark, sf), "path").select("page_id", "path", "size")
 
 
-@query(rf"""WITH {PATHS_SQL} SELECT page_id, NOT path LIKE '%R.java' AND NOT {_BUNDLED} AND NOT (length(html) < 1500 AND NOT contains(html, 'class=')) AS keep,
+@query(rf"""WITH {PATHS_SQL} SELECT page_id, NOT path LIKE '%R.java' AND NOT {_BUNDLED} AND NOT (length(html) < 500 AND NOT contains(html, 'class ')) AS keep,
  coalesce(CASE WHEN path LIKE '%.java' OR path LIKE '%.kt' THEN regexp_matches('L' || regexp_replace(regexp_replace(path, '^sources/', ''), '\.[a-z]+$', '') || ';', '^L')
  AND NOT regexp_matches('L' || regexp_replace(path, '^sources/', ''), '^(Landroid/|Landroidx/|Lkotlin/|Lorg/json/)') AND NOT regexp_matches(path, '/(R|BuildConfig)(\$|\.)') END, false) AS own_class FROM p""")
 def class_selection(spark, sf):
     rows = paths(spark, sf)
     descriptor = F.concat(F.lit("L"), F.regexp_replace(F.regexp_replace("path", "^sources/", ""), r"\.[a-z]+$", ""), F.lit(";"))
-    keep = ~F.col("path").endswith("R.java") & ~T.bundled_path(F.col("path")) & ~((F.length("html") < 1500) & ~F.col("html").contains("class="))
+    keep = SF.worth_reading(F.col("path"), F.col("html"))
     return rows.select("page_id", keep.alias("keep"), (F.col("path").rlike(r"\.(java|kt)$") & T.app_class(descriptor)).alias("own_class"))
 
 
+@query(rf"""WITH {PATHS_SQL}, s AS (SELECT app, page_id, path, CASE page_id % 3 WHEN 0 THEN 'out/' ELSE 'x/y/' END || CASE WHEN path LIKE 'sources/com/%' AND app < 'm' THEN replace(path, 'com/shop', 'com/google') ELSE path END AS file, html FROM p WHERE path LIKE 'sources/%'),
+f AS (SELECT *, regexp_extract(file, '(?:^|/)sources/(.*)$', 1) AS under FROM s), o AS (SELECT *, regexp_matches(under, '^[^/]+/') AND NOT regexp_matches(under, '^(androidx|android|kotlin|kotlinx|com|org)/')
+ OR regexp_matches(under, '^com/[^/]+/') AND NOT regexp_matches(under, '^com/(google|android)/') OR regexp_matches(under, '^org/[^/]+/') AND NOT regexp_matches(under, '^org/(jetbrains|intellij|apache|junit)/') AS own FROM f),
+a AS (SELECT *, bool_or(own) OVER (PARTITION BY app) AS any_own FROM o) SELECT app, page_id, file, own FROM a WHERE (own OR NOT any_own)""")
+def app_folders(spark, sf):
+    """Files below the folders of the app's own packages; of apps without any, all sources."""
+    rows = paths(spark, sf).where(F.col("path").startswith("sources/"))
+    shop = F.when(F.col("path").startswith("sources/com/") & (F.col("app") < "m"), F.replace("path", F.lit("com/shop"), F.lit("com/google"))).otherwise(F.col("path"))
+    file = F.concat(F.when(F.col("page_id") % 3 == 0, "out/").otherwise("x/y/"), shop)
+    found = SF.app_folders(rows.select("app", "page_id", file.alias("file")), "app", "file")
+    return found.select("app", "page_id", "file", SF.own_folder(F.col("file")).alias("own"))
+
+
 _WORDS = "|".join(RU.MANIFEST_WORDS)
 
 
-@query(rf"""SELECT page_id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(CASE WHEN page_id % 2 = 0 THEN 'xx' || chr(1) || 'android:name' || chr(2) || 'tag' || chr(3) || 'package.data' || chr(10)
- ELSE url || chr(9) || 'MyActivity ' || page_id END, '[\x20-\x7e]{{4,}}'), lambda x: regexp_matches(lower(x), '{_WORDS}')))), ',') AS found FROM pages""")
+@query(rf"""SELECT page_id, md5(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(chr(1) || 'android:name' || chr(2) || 'tag' || chr(3) || html || chr(0) || url, '[\x20-\x7e]{{4,}}'), lambda x: regexp_matches(lower(x), '{_WORDS}')))), chr(10))) AS found FROM pages""")
 def printable_strings(spark, sf):
-    even = F.concat(F.lit("xx\x01android:name\x02tag\x03package.data\n"))
-    odd = F.concat("url", F.lit("\tMyActivity "), F.col("page_id").cast("string"))
-    content = F.when(F.col("page_id") % 2 == 0, even).otherwise(odd).cast("binary")
-    return read(spark, sf, "pages").select("page_id", F.array_join(RU.printable_strings(content), ",").alias("found"))
+    """Of the bytes of each page, between others that don't print."""
+    content = F.concat(F.lit("\x01android:name\x02tag\x03"), "html", F.lit("\x00"), "url").cast("binary")
+    found = RU.printable_strings(content)
+    return read(spark, sf, "pages").select("page_id", F.md5(F.array_join(found, "\n").cast("binary")).alias("found"))
 
 
 def spans(spark, sf: str) -> DataFrame:

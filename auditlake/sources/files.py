@@ -75,9 +75,30 @@ def resource_files(files: DataFrame, path: str) -> DataFrame:
 
 
 def app_sources(files: DataFrame, path: str) -> DataFrame:
-    """Source files that the app's authors wrote, in order."""
+    """Source files that the app's authors wrote."""
     stem = F.regexp_replace(base_name(F.col(path)), r"\.[^.]*$", "")
-    return files.where(~bundled_path(F.col(path)) & ~stem.rlike(r"^(R|BuildConfig)$|^R\$")).orderBy(path)
+    return files.where(~bundled_path(F.col(path)) & ~stem.rlike(r"^(R|BuildConfig)$|^R\$"))
+
+
+def _under_sources(path: Column) -> Column:
+    return F.regexp_extract(path, r"(?:^|/)sources/(.*)$", 1)
+
+
+def own_folder(path: Column) -> Column:
+    """Whether a file stands below sources/ in a folder of a package that is the app's own: none of the platform's, of com none of two and of org
+    none of four makers."""
+    under = _under_sources(path)
+    first = under.rlike("^[^/]+/") & ~under.rlike("^(androidx|android|kotlin|kotlinx|com|org)/")
+    com = under.rlike("^com/[^/]+/") & ~under.rlike("^com/(google|android)/")
+    return first | com | (under.rlike("^org/[^/]+/") & ~under.rlike("^org/(jetbrains|intellij|apache|junit)/"))
+
+
+def app_folders(files: DataFrame, app: str, path: str) -> DataFrame:
+    """Files below the folders of an app's own packages; of an app that has none, all below sources/. A path counts once."""
+    below = files.where(_under_sources(F.col(path)) != "").dropDuplicates([app, path])
+    owned = below.where(own_folder(F.col(path))).select(F.col(app).alias("of__app")).distinct().withColumn("owned", F.lit(True))
+    both = below.join(owned, F.col(app).eqNullSafe(F.col("of__app")), "left")
+    return both.where(F.col("owned").isNull() | own_folder(F.col(path))).select(*files.columns)
 
 
 def worth_reading(path: Column, text: Column) -> Column:

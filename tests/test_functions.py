@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,35 @@ def test_paths_and_text(spark):
     assert values(spark, T.html_escaped, ["<a & 'b'>", None]) == ["&lt;a &amp; &#x27;b&#x27;&gt;", ""]
     assert values(spark, T.user_defined, ["abc_x", "main", " ", "app_name", "12", "deadbeef00"]) == [False, False, False, True, False, False]
     assert values(spark, T.bundled_path, ["res/values-de/a.xml", "sources/androidx/A.java", "res/values/strings.xml"]) == [True, True, False]
+
+
+def test_all_scores_by_formula(spark):
+    """Every combination against the specification's formula written out again, in the usual order and turned round."""
+    from itertools import product
+
+    def formula(av, ac, pr, ui, s, c, i, a):
+        w = S.CVSS_WEIGHTS
+        iss = 1 - (1 - w["C"][c]) * (1 - w["I"][i]) * (1 - w["A"][a])
+        impact = 6.42 * iss if s == "U" else 7.52 * (iss - 0.029) - 3.25 * (iss - 0.02) ** 15
+        reach = 8.22 * w["AV"][av] * w["AC"][ac] * ({"N": 0.85, "L": 0.62, "H": 0.27} if s == "U" else {"N": 0.85, "L": 0.68, "H": 0.5})[pr] * w["UI"][ui]
+        total = 0 if impact <= 0 else min(10, impact + reach) if s == "U" else min(10, 1.08 * (impact + reach))
+        return -(-round(total * 100000) // 10000) / 10
+
+    every = list(product("NALP", "LH", "NLH", "NR", "UC", "NLH", "NLH", "NLH"))
+    metrics = [[f"{m}:{v}" for m, v in zip(("AV", "AC", "PR", "UI", "S", "C", "I", "A"), c, strict=True)] for c in every]
+    rows = [(i, "/".join(m)) for i, m in enumerate(metrics)] + [(i, "AV:X/ " + " / ".join(m[::-1]).lower()) for i, m in enumerate(metrics)]
+    scored = S.with_cvss_score(spark.createDataFrame(rows, "i int, vector string")).collect()
+    assert len(scored) == 2 * 2592 and all(r.score == formula(*every[r.i]) for r in scored)
+
+
+def test_titles_need_the_start_alone(spark):
+    words = "word " * 200
+    said = [None, " ", "One. Two.", f"{words}. End.", "a" * 79 + ". b", "a" * 80 + ". b", "x\n\n" * 300, " " * 500 + "Late start. Then", "y" * 395 + " " * 300 + "z. w", "Short.", " no. dot"]
+
+    def title(text):
+        folded = re.sub(r"[ \t\n\x0b\f\r]+", " ", text or "").strip(" ")
+        first = re.match(r"(.*?[.!?])\s", folded)
+        head = first[1] if first else folded
+        return "Security Issue" if not folded else head if len(head) <= 80 else head[:77].rstrip() + "..."
+
+    assert values(spark, T.derived_title, said) == [title(t) for t in said]
