@@ -155,6 +155,11 @@ def component_counts(infos: DataFrame, keys: list[str]) -> DataFrame:
     return infos.select(*keys, *[n.alias(PLURALS[kind]) for n, kind in zip(sizes, KINDS, strict=True)], (sizes[0] + sizes[1] + sizes[2] + sizes[3]).alias("total"))
 
 
+def has_components(counts: DataFrame) -> Column:
+    """Whether an app has any component, of a row of ``component_counts``."""
+    return counts["total"] > 0
+
+
 def activity_details(read: DataFrame, keys: list[str], xml: Column) -> DataFrame:
     """keys, name, exported, enabled, permission and has_intent_filters of each activity of rows of ``manifests`` that keep their ``xml``
     beside, with what holds where an attribute lacks. Text that starts like a manifest but is broken gives the names in it that

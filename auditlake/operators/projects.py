@@ -43,6 +43,11 @@ SIGNS = [
 BASE = {"Flutter": (0.8, 1.0), "React Native": (0.7, 1.0), "Cordova": (0.6, 0.95), "Xamarin": (0.7, 0.95), "Unity": (0.75, 0.98), "Unreal Engine": (0.75, 0.98),
         "LibGDX": (0.7, 0.95), "Kony": (0.7, 0.95), "Java": (0.0, 1.0), "Kotlin": (0.0, 1.0), "Native (C/C++)": (0.0, 1.0)}
 EXTENSIONS = {"java": ".java", "kotlin": ".kt", "dart": ".dart", "script": ".js", "native_libs": ".so", "layouts": ".xml"}
+SKILLS = {
+    "manifest_review": (("manifest",), None),
+    "network_security": (("ssl", "trust", "http", "cert", "hostname", "network", "socket"), None),
+    "offensive_android": ((".so", "jni", "native"), "inspect_native"),
+}
 ALLOWED_COMMANDS = ("logcat", "run-as", "dumpsys", "pm", "am", "input", "screencap", "getprop", "pidof")
 
 
@@ -101,6 +106,14 @@ def allowed_command(command: Column) -> Column:
     return F.lower(F.regexp_extract(bare, r"^(\S+)", 1)).isin(*ALLOWED_COMMANDS)
 
 
+def contextual_skills(action: Column, path: Column, pattern: Column) -> Column:
+    """Array of the skills that a step calls for, by words in its path and pattern and by its action, in the order of the table."""
+    said = F.lower(F.concat_ws(" ", F.coalesce(path, F.lit("")), F.coalesce(pattern, F.lit(""))))
+    any_of = lambda words: reduce(lambda a, b: a | b, (said.contains(w) for w in words))
+    wanted = [F.when(any_of(words) | (F.coalesce(action == of, F.lit(False)) if of else F.lit(False)), F.lit(skill)) for skill, (words, of) in SKILLS.items()]
+    return F.filter(F.array(*wanted), lambda x: x.isNotNull())
+
+
 def first_source(*candidates: Column) -> Column:
     """The first candidate that holds anything: manifests are acquired in several ways, best first."""
     return F.coalesce(*[F.when(F.length(F.trim(c)) > 0, c) for c in candidates])

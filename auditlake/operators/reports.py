@@ -50,6 +50,28 @@ def page_rows(findings: DataFrame, key: str, title: str, code: str, tie: str, se
     return placed.select(key, "place", F.concat(head, table, F.lit("</li>")).alias("html"))
 
 
+#: Fields of a finding that are texts, blank where they lack.
+_TEXTS = ("description", "file", "location", "impact", "code_snippet", "exploitation", "recommendation", "cwe", "owasp_mobile")
+
+
+def entries(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings as a report lists them: keys, bucket, title (else vulnerability_type, else Unknown), severity, line, line_start, line_end (else the
+    start), texts, blank where they lack, and cvss_vector, cvss_score as they are. Columns that ``findings`` lacks count as missing."""
+    there = set(findings.columns)
+    col = lambda c, kind="string": F.col(c).cast(kind) if c in there else F.lit(None).cast(kind)
+    filled = lambda c: F.nullif(col(c), F.lit(""))
+    start = F.coalesce(col("line_number", "int"), F.lit(0))
+    end = F.coalesce(F.nullif(col("line_end", "int"), F.lit(0)), start)
+    severity = F.coalesce(col("severity"), F.lit("info"))
+    title = F.when(filled("title").isNotNull(), col("title")).otherwise(F.coalesce(col("vulnerability_type"), F.lit("Unknown")))
+    lower = F.lower(severity)
+    return findings.select(
+        *keys, F.when(lower.isin(*S.BUCKETS), lower).otherwise("info").alias("bucket"), title.alias("title"), severity.alias("severity"),
+        start.alias("line"), start.alias("line_start"), end.alias("line_end"), *[F.coalesce(col(c), F.lit("")).alias(c) for c in _TEXTS],
+        col("cvss_vector").alias("cvss_vector"), col("cvss_score", "double").alias("cvss_score"),
+    )
+
+
 def report(kind: str, scans: DataFrame, findings: DataFrame, key: str, title: str, code: str, tie: str) -> DataFrame:
     """The report in one of the formats; another one is an error."""
     if kind not in FORMATS:

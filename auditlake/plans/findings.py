@@ -227,19 +227,24 @@ def location_text(spark, sf):
     return line_references(spark, sf).select("p_partkey", T.location_text(F.col("v")).alias("location"))
 
 
-_WORDS = ["critical!", "HIGH risk", "medium", "lowish", "Info", "weird", ""]
+_SQL_WORD = """CASE o_orderkey % 3 WHEN 0 THEN CASE o_orderpriority WHEN '1-URGENT' THEN 'critical!' WHEN '2-HIGH' THEN 'HIGH risk' WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'lowish' ELSE 'Info' END
+ WHEN 1 THEN o_orderpriority ELSE CASE WHEN o_orderstatus = 'F' THEN ' ' || lower(substr(o_orderpriority, 3)) || ' ' END END"""
 
 
-@query("""
-WITH p AS (SELECT p_partkey, ['critical!', 'HIGH risk', 'medium', 'lowish', 'Info', 'weird', ''][CAST(p_partkey % 7 + 1 AS INTEGER)] AS w FROM part)
-SELECT p_partkey, CASE WHEN contains(upper(w), 'CRITICAL') THEN 'Critical' WHEN contains(upper(w), 'HIGH') THEN 'High' WHEN contains(upper(w), 'MEDIUM') THEN 'Medium'
+@query(f"""
+WITH p AS (SELECT o_orderkey, {_SQL_WORD} AS w FROM orders)
+SELECT o_orderkey, CASE WHEN contains(upper(w), 'CRITICAL') THEN 'Critical' WHEN contains(upper(w), 'HIGH') THEN 'High' WHEN contains(upper(w), 'MEDIUM') THEN 'Medium'
  WHEN contains(upper(w), 'LOW') THEN 'Low' WHEN contains(upper(w), 'INFO') THEN 'Informational' ELSE 'Medium' END AS word,
  CASE WHEN starts_with(lower(w), 'crit') THEN 'critical' WHEN starts_with(lower(w), 'high') THEN 'high' WHEN starts_with(lower(w), 'med') THEN 'medium'
  WHEN starts_with(lower(w), 'low') THEN 'low' ELSE 'info' END AS client,
  CASE WHEN lower(trim(w)) IN ('critical', 'high', 'medium', 'low', 'info') THEN lower(trim(w)) ELSE 'info' END AS report FROM p""")
 def normalize_severity(spark, sf):
-    word = F.element_at(F.array(*[F.lit(w) for w in _WORDS]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return read(spark, sf, "part").select("p_partkey", S.word_severity(word).alias("word"), S.client_severity(word).alias("client"), S.bucket(word).alias("report"))
+    """Priorities of orders in several spellings, missing ones among them."""
+    priority, k = F.col("o_orderpriority"), F.col("o_orderkey") % 3
+    spelt = F.when(priority == "1-URGENT", "critical!").when(priority == "2-HIGH", "HIGH risk").when(priority == "3-MEDIUM", "medium").when(priority == "5-LOW", "lowish").otherwise("Info")
+    bare = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit(" "), F.lower(F.substring(priority, 3, 20)), F.lit(" ")))
+    word = F.when(k == 0, spelt).when(k == 1, priority).otherwise(bare)
+    return read(spark, sf, "orders").select("o_orderkey", S.word_severity(word).alias("word"), S.client_severity(word).alias("client"), S.bucket(word).alias("report"))
 
 
 @query("""

@@ -152,11 +152,12 @@ def node_ranking(spark, sf):
     return G.ranked_nodes(nodes, "cls")
 
 
-@query("SELECT s_nationkey, arg_min(CASE WHEN s_suppkey % 4 = 0 THEN 'emulator-' ELSE 'usb-' END || s_suppkey, (s_suppkey % 4 <> 0, s_suppkey)) AS serial FROM supplier GROUP BY s_nationkey")
+@query("SELECT s_nationkey, arg_min(CASE WHEN s_acctbal < 2000 THEN 'emulator-' ELSE 'usb-' END || s_name, (s_acctbal >= 2000, s_name)) AS serial FROM supplier GROUP BY s_nationkey")
 def device_pick(spark, sf):
-    k = F.col("s_suppkey")
-    serial = F.concat(F.when(k % 4 == 0, "emulator-").otherwise("usb-"), k.cast("string"))
-    return read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min_by(serial, F.struct(k % 4 != 0, k)).alias("serial"))
+    """The first emulator of a nation, else its first device, by name."""
+    virtual = F.col("s_acctbal") < 2000
+    serial = F.concat(F.when(virtual, "emulator-").otherwise("usb-"), "s_name")
+    return read(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min_by(serial, F.struct(~virtual, F.col("s_name"))).alias("serial"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter(['core', CASE WHEN contains(lower(text), 'token') THEN 'auth' END, CASE WHEN contains(lower(text), 'license') THEN 'legal' END, CASE WHEN contains(lower(text), '@') THEN 'pii' END], lambda x: x IS NOT NULL), ',') AS tags FROM documents""")

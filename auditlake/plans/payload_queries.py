@@ -55,6 +55,16 @@ def validate_normalize_findings(spark, sf):
     return found.select("conv_id", "turn", "title", "file", "line_number", "line_end", "location", "severity")
 
 
+@query(f"""WITH {_SQL_TURNS}, n AS (SELECT * FROM t WHERE k < 6 UNION ALL SELECT * FROM t WHERE k = 0) SELECT conv_id, turn, 'info' AS bucket, CASE WHEN said = '' THEN 'Unknown' ELSE said END AS title, CASE WHEN k = 4 THEN 'low' ELSE 'high!' END AS severity,
+ CASE WHEN k = 4 THEN 0 ELSE 6 END AS line, CASE WHEN k = 4 THEN 0 WHEN turn % 2 = 0 THEN 7 ELSE 6 END AS line_end, CASE WHEN k <> 4 AND turn % 2 = 0 THEN 'a/B.java' ELSE '' END AS file, CASE WHEN k = 4 THEN '' ELSE 'd {{x}}' END AS description FROM n""".replace("'info' AS bucket", "CASE WHEN k = 4 THEN 'low' ELSE 'info' END AS bucket"))
+def report_entries(spark, sf):
+    """Findings as they were said, with what a report puts where fields lack."""
+    found = P.parsed_findings(replies(spark, sf), ["conv_id", "turn"], "reply")
+    span = T.line_span(F.coalesce("line", "location"))
+    rows = found.withColumn("line_number", F.when(F.col("severity") != "low", span["s"])).withColumn("line_end", F.when(F.col("severity").eqNullSafe("high!") & F.col("file").isNotNull(), span["e"]))
+    return RP.entries(rows, ["conv_id", "turn"]).select("conv_id", "turn", "bucket", "title", "severity", "line", "line_end", "file", "description")
+
+
 _SQL_THINK = """x AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<think>a' || chr(10) || 'b</think>' || text WHEN 1 THEN 'draft </think> more </THINK>' || text WHEN 2 THEN text || '<Think>x</think>' ELSE text END AS t FROM conversations)"""
 
 
@@ -191,6 +201,20 @@ def severity_filter(spark, sf):
     return RP.page_rows(_titled(spark, sf), "user_id", "title", "code", "event_id", "HIGH")
 
 
+@query(f"""WITH {_SQL_PAGE}, {_SQL_COUNTS}, j AS (SELECT c_custkey AS scan, coalesce(n, 0) AS n FROM customer LEFT JOIN c ON c_custkey = user_id)
+SELECT 'html' AS kind, user_id AS scan, count(*) AS n FROM g GROUP BY user_id UNION ALL SELECT 'json', scan, n FROM j""")
+def report_formats(spark, sf):
+    """The report in each format: findings that its page lists, and that its JSON counts."""
+    key = F.col("c_custkey")
+    none = F.create_map().cast("map<string,string>").alias("analyzer_details")
+    scans = read(spark, sf, "customer").select(key.alias("user_id"), F.struct(key.alias("scan")).alias("metadata"), F.struct(F.col("c_mktsegment").alias("primary")).alias("framework_detection"),
+                                               F.struct(key.alias("app")).alias("application_info"), none, F.lit(True).alias("analysed"))
+    made = {kind: RP.report(kind, scans, _titled(spark, sf), "user_id", "title", "code", "event_id") for kind in ("html", "json")}
+    pages = made["html"].groupBy(F.col("user_id").alias("scan")).agg(F.count("*").alias("n")).select(F.lit("html").alias("kind"), "scan", "n")
+    total = F.get_json_object("report", "$.vulnerability_analysis.total_vulnerabilities").cast("long")
+    return pages.unionByName(made["json"].select(F.lit("json").alias("kind"), F.col("user_id").alias("scan"), total.alias("n")))
+
+
 @query("SELECT p_partkey, coalesce('https://cwe.mitre.org/data/definitions/' || nullif(regexp_extract(p_brand, '(\\d+)', 1), '') || '.html', '-') AS link, 'he said \"no\" it''s ' || p_brand AS folded FROM part")
 def cwe_links(spark, sf):
     said = F.concat(F.lit("he said “no” it’s "), "p_brand")

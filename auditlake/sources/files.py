@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import io
+import re
+import struct
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,23 +29,66 @@ def source_tree(spark: SparkSession, root: str, pattern: str = "*.{java,kt}") ->
     return found.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
+#: Paths that a task opens by itself and reads from where it wants; others come to it whole.
+_SEEKABLE = r"^(file|s3|s3a|gs):"
+
+
+def _opened(path: str):
+    """A file to seek in, by its path as Spark's reader names it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return open("/" + rest.lstrip("/"), "rb")
+    import pyarrow.fs as fs
+
+    store, place = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1))
+    return store.open_input_file(place)
+
+
+def _archives(spark: SparkSession, glob: str, schema: str, rows_of: Callable[[str, zipfile.ZipFile], Iterable[tuple]]) -> DataFrame:
+    """Rows of each archive. Its list of contents stands at its end, so a task seeks there, and reads on only what it is asked for; no archive becomes
+    a cell, whatever its size. Where a path can't be opened on an executor, the file is read by Spark and handed over whole, of 2 GB at most."""
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = spark.read.format("binaryFile").load(glob)
+
+    def read(files: Iterator[tuple[str, object]]) -> Iterator[pd.DataFrame]:
+        for path, opened in files:
+            try:
+                with opened() as source, zipfile.ZipFile(source) as archive:
+                    rows = list(rows_of(path, archive))
+            except (zipfile.BadZipFile, zipfile.LargeZipFile, OSError, ValueError, NotImplementedError, EOFError, struct.error, zlib.error):
+                continue
+            yield pd.DataFrame(rows, columns=names)
+
+    def seeking(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from read((path, partial(_opened, path)) for batch in batches for path in batch["path"])
+
+    def handed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from read((path, partial(io.BytesIO, content)) for batch in batches for path, content in zip(batch["path"], batch["content"], strict=True))
+
+    near = found.select("path").where(F.col("path").rlike(_SEEKABLE)).mapInPandas(seeking, schema)
+    far = found.select("path", "content").where(~F.col("path").rlike(_SEEKABLE)).mapInPandas(handed, schema)
+    return near.unionByName(far)
+
+
 def archive_entries(spark: SparkSession, glob: str) -> DataFrame:
-    """path, entry, size of what the archives hold; broken ones give no rows. A package is a few hundred MB at most and is read
-    by one task; many are spread over the cluster."""
-    packages = spark.read.format("binaryFile").load(glob).select("path", "content")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        rows += [(path, i.filename, i.file_size) for i in archive.infolist()]
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(rows, columns=["path", "entry", "size"])
-
-    return packages.mapInPandas(run, "path string, entry string, size long")
+    """path, entry, size, packed (bytes) of what the archives hold, repeated names too; empty, cut off and otherwise broken ones give no rows."""
+    own = lambda path, archive: ((path, i.filename, i.file_size, i.compress_size) for i in archive.infolist())
+    return _archives(spark, glob, "path string, entry string, size long, packed long", own)
+
+
+def archive_texts(spark: SparkSession, glob: str, pattern: str, most: int = 64 << 20) -> DataFrame:
+    """path, entry, text of the entries whose names fit the pattern, UTF-8 with other bytes replaced; of an archive in which any is larger than
+    ``most`` bytes, or broken, no rows."""
+    wanted = re.compile(pattern)
+
+    def own(path: str, archive: zipfile.ZipFile) -> Iterator[tuple]:
+        for i in archive.infolist():
+            if wanted.search(i.filename):
+                if i.file_size > most:
+                    raise ValueError(f"{i.filename} has {i.file_size} bytes")
+                yield path, i.filename, archive.read(i).decode("utf-8", "replace")
+
+    return _archives(spark, glob, "path string, entry string, text string", own)
 
 
 def listing(files: DataFrame, path: str, most: int = 200) -> DataFrame:

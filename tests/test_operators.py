@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import context, graph, indicators, payloads, rollups, rules, verdicts
+from auditlake.operators import context, graph, indicators, payloads, reports, rollups, rules, verdicts
 from auditlake.sources import files
 from auditlake.streaming import events
 
@@ -157,3 +157,30 @@ def test_apps_with_equal_names_never_meet(spark):
     wanted = two([("a", 1, "/S.java"), ("b", 2, "S.java"), ("b", 3, "S.txt"), (None, 4, "S.java")], "id int, file string")
     assert {r.id: r.path for r in graph.resolved_paths(wanted, paths, ["id"], ("app",)).collect()} == {1: "sources/S.java", 2: "resources/S.java"}
     assert sorted(tuple(r) for r in graph.unread(paths, paths.where("app = 'a'"), "path", ("app",)).collect()) == [("b", "resources/S.java")]
+
+
+def test_archives_of_any_kind(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "plain a.apk", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("AndroidManifest.xml", "<manifest é/>")
+        z.writestr("x/big.txt", "y" * 100_000)
+        with z.open(zipfile.ZipInfo("huge"), "w", force_zip64=True) as entry:
+            entry.write(b"z")
+    whole = (tmp_path / "plain a.apk").read_bytes()
+    (tmp_path / "cut.apk").write_bytes(whole[:-40])
+    (tmp_path / "none.apk").write_bytes(b"")
+    (tmp_path / "torn.apk").write_bytes(whole[:200] + b"?" * 40 + whole[240:])
+    with zipfile.ZipFile(tmp_path / "empty.apk", "w"):
+        pass
+    found = files.archive_entries(spark, f"{tmp_path}/*.apk").where("path like '%plain%' or path like '%empty%' or path like '%cut%' or path like '%none%'")
+    assert sorted((r.entry, r.size) for r in found.collect()) == [("AndroidManifest.xml", len("<manifest é/>".encode())), ("huge", 1), ("x/big.txt", 100_000)]
+    texts = files.archive_texts(spark, f"{tmp_path}/*.apk", r"Manifest\.xml$").where("path like '%plain%'").collect()
+    assert [(r.entry, r.text) for r in texts] == [("AndroidManifest.xml", "<manifest é/>")]
+    assert files.archive_texts(spark, f"{tmp_path}/plain*.apk", "big", most=10).count() == 0
+
+
+def test_reports_know_their_formats(spark):
+    with pytest.raises(ValueError, match="pdf"):
+        reports.report("pdf", spark.range(1), spark.range(1), "id", "t", "c", "o")
+    rows = spark.createDataFrame([(1, None, "SQL", None, 5, None), (2, "t", None, "HIGH", None, 9)], "id int, title string, vulnerability_type string, severity string, line_number int, line_end int")
+    got = [(r.id, r.bucket, r.title, r.severity, r.line, r.line_end, r.file, r.cvss_score) for r in reports.entries(rows, ["id"]).orderBy("id").collect()]
+    assert got == [(1, "info", "SQL", "info", 5, 5, "", None), (2, "high", "t", "HIGH", 0, 9, "", None)]
