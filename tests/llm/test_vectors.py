@@ -52,3 +52,28 @@ def test_codes_recall_and_scores(spark, rows):
         hits, total = hits + len({r.vec_id for r in mine} & set(best)), total + 20
         assert all(abs(r.score - scores[r.vec_id]) < 1e-9 for r in mine) and [r.rank for r in sorted(mine, key=lambda r: r.rank)] == list(range(1, 21))
     assert hits / total >= 0.9
+
+
+def test_exact_scores_of_any_size(spark):
+    """Components whose products doubles can't hold, next to small ones; scores beyond a long tie."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(-9, 9, (60, 4)).astype(np.float64)
+    data[10:20] *= 2.0**40
+    data[20:30] = data[20:30] * 2.0**26 + rng.integers(-3, 3, (10, 4)) * 2.0**20
+    data[30] = [3e38, -3e38, 1e30, 0]
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "vec_id long, embedding array<float>")
+    whole = vectors(rows, exact_topk.whole_component)
+    got = [tuple(r) for r in exact_topk.top_k(whole, whole, whole=True).collect()]
+    x = [[int(float(np.float32(c)) * 256) for c in v] for v in data]
+    want = []
+    for q in range(60):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(x[q], x[c], strict=True)), -exact_topk.LONG), exact_topk.LONG), c) for c in range(60) if c != q)
+        want += [(q, rank, c, -s) for rank, (s, c) in enumerate(scores[:5], 1)]
+    assert sorted(got) == sorted(want)
+
+
+def test_repeated_ids_are_rows_like_others(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 1.0]), (5, [2.0, 0.0]), (5, [2.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    whole = vectors(rows, exact_topk.whole_component)
+    found = [tuple(r)[1:] for r in exact_topk.top_k(whole, whole.where("vec_id = 7"), whole=True).collect()]
+    assert found == [(1, 0, 65536), (2, 0, 0), (3, 5, 0), (4, 5, 0)]
