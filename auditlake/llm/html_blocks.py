@@ -4,9 +4,20 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
+from itertools import islice
+
+#: A quote opens a value only behind an equals sign, and closes it only where the tag could go on. A tag ends at its mark, else before the
+#: next tag or at the end of the page. So every tag is matched where it starts, and no place is read for more than one of them.
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    r"|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>\"'=]|=\s*(?:\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))?|[\"'])*+)(?:>|(?=<)|\Z)"
+    r"|<[!?][^>]*(?:>|\Z)|[^<]+|<",
+    re.DOTALL,
+)
+#: Tags and name parts of a block's path, those nearest to it.
+PATH_PARTS = 96
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
 
@@ -26,7 +37,8 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 
 @dataclass
 class Block:
-    """Text with white space turned into single spaces; tags and name parts from the page's root; characters inside links."""
+    """Text with white space turned into single spaces; tags and name parts from the page's root (the last PATH_PARTS); characters inside
+    links."""
 
     text: str
     path: tuple[str, ...]
@@ -74,13 +86,23 @@ def leaf_blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     pieces: list[str] = []
     links, linked, at = 0, 0, 0
+    open_tags: Counter[str] = Counter()  # so that no tag searches the stack for what isn't there
+
+    def path() -> tuple[str, ...]:
+        parts: list[str] = []
+        for tag, names in islice(reversed(stack), 4 * PATH_PARTS):
+            if tag not in INLINE:
+                parts += [*reversed(names), tag]
+                if len(parts) >= PATH_PARTS:
+                    break
+        return tuple(reversed(parts[:PATH_PARTS]))
 
     def flush() -> None:
         nonlocal pieces, linked
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                blocks.append(Block(text, tuple(p for tag, names in stack if tag not in INLINE for p in (tag, *names)), min(linked, len(text))))
+                blocks.append(Block(text, path(), min(linked, len(text))))
             pieces, linked = [], 0
 
     def close(k: int) -> None:
@@ -88,6 +110,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if any(tag not in INLINE for tag, _ in stack[k:]):
             flush()
         links -= sum(tag == "a" for tag, _ in stack[k:])
+        open_tags.subtract(tag for tag, _ in stack[k:])
         del stack[k:]
 
     while match := _TOKEN.match(page, at):
@@ -103,7 +126,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         tag = tag.lower()
         if match[1]:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
                     close(k)
                     break
@@ -118,18 +141,18 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if tag in ENDS:
+            if tag in ENDS and any(open_tags[t] for t in ENDS[tag]):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ENDS[tag]:
                         close(k)
                         break
                     if stack[k][0] in ("ul", "ol", "dl", "table"):
                         break
-            open_p = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-            if open_p is not None:
-                close(open_p)
+            if open_tags["p"]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"))
         elif tag == "a":
             links += 1
         stack.append((tag, _names(match[3]) if match[3] else ()))
+        open_tags[tag] += 1
     flush()
     return blocks

@@ -9,19 +9,23 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
-from auditlake.llm.common import drawn, table
+from auditlake.llm.common import cut_table, drawn, drop_table, table
 from auditlake.llm.html_blocks import Block, leaf_blocks
 from auditlake.llm.html_pages import PageMaker
 
-#: Pages whose text the training pages are set from; the bound of what comes to the driver, with so many characters of each.
+#: Pages whose text the training pages are set from, all of it; so many of their texts come to the driver, about, of so many characters at most.
 SAMPLE_PAGES = 400
-SAMPLE_CHARS = 3000
+SAMPLE_TEXTS = 8000
+TEXT_CHARS = 1000
 TAG_BUCKETS, WORD_BUCKETS = 2048, 4096
 TAG_SIZE, LEAF_SIZE, WORD_SIZE, NUMBERS = 16, 8, 8, 4
 HIDDEN = 16
 TRAIN_PAGES, TRAIN_STEPS, TRAIN_BATCH = 3000, 480, 24
+#: Pages that are labelled together, and blocks with which the longest of them is padded to.
 GROUP = 256
+GROUP_BLOCKS = 1 << 15
 CACHED_WORDS = 300_000
 
 
@@ -152,8 +156,11 @@ def label(m: Labeller, pages: list[list[Block]]) -> list[np.ndarray]:
     """Probability of being main text for each block of each page."""
     out: list[np.ndarray] = [np.zeros(0)] * len(pages)
     order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: -len(pages[i]))
-    for at in range(0, len(order), GROUP):
-        group = order[at : at + GROUP]
+    at = 0
+    while at < len(order):
+        size = max(1, min(GROUP, GROUP_BLOCKS // len(pages[order[at]])))  # the longest comes first, and all are padded to it
+        group = order[at : at + size]
+        at += size
         lengths = np.array([len(pages[i]) for i in group])
         x, active, where = _padded(_inputs(m, features([b for i in group for b in pages[i]])), lengths)
         ahead = _lstm(m.forward, x, active, range(len(x)))
@@ -240,13 +247,23 @@ def train(sentences: list[str], steps: int = TRAIN_STEPS, seed: int = 9) -> Labe
     return m
 
 
-def sentences_of(pages: DataFrame, n: int = SAMPLE_PAGES, chars: int = SAMPLE_CHARS) -> list[str]:
-    """Texts to set training pages from: the markup-free start of about ``n`` pages, chosen by a hash of url and html at a rate that
-    follows from the number of pages."""
+@F.pandas_udf(ArrayType(StringType()))
+def _texts(htmls: pd.Series) -> pd.Series:
+    return htmls.map(lambda page: [b.text for b in leaf_blocks(page)])
+
+
+def sentences_of(pages: DataFrame, n: int = SAMPLE_PAGES, texts: int = SAMPLE_TEXTS) -> list[str]:
+    """Texts to set training pages from: blocks of about ``n`` whole pages, chosen by a hash of url and html at a rate that follows from the
+    number of pages; longer ones than TEXT_CHARS in sentences. Of these about ``texts`` are chosen in the same way."""
     rate = min(1.0, n / max(1, pages.select(F.lit(1)).count()))
-    chosen = pages.where(F.col("html").isNotNull() & drawn(F.xxhash64("url", "html", F.lit(2)), rate))
-    chosen = chosen.select(F.substring("html", 1, chars).alias("part")).distinct()  # a page may be repeated without bound
-    return sorted({b.text for r in chosen.collect() for b in leaf_blocks(r["part"]) if len(b.text) > 12})
+    chosen = pages.where(F.col("html").isNotNull() & drawn(F.xxhash64("url", "html", F.lit(2)), rate)).select("html").distinct()  # a page may be repeated without bound
+    each = chosen.select(F.explode(_texts(F.col("html"))).alias("text"))
+    parts = F.when(F.length("text") > TEXT_CHARS, F.split("text", r"(?<=[.!?])\s+")).otherwise(F.array("text"))
+    each = cut_table(each.select(F.explode(parts).alias("text")).where(F.length("text").between(13, TEXT_CHARS)).distinct())
+    rate = min(1.0, texts / max(1, each.count()))
+    found = sorted(r["text"] for r in each.where(drawn(F.xxhash64("text", F.lit(3)), rate)).collect())
+    drop_table(each)
+    return found
 
 
 def main_text(m: Labeller, pages: list[str | None]) -> list[str]:

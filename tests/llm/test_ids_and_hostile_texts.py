@@ -117,3 +117,48 @@ def test_toxicity_query_on_rows(spark, tmp_path):
     for kept in ("false", "toxic = 0"):
         machine = toxicity.fit(docs, marks.where(kept))
         assert {r.toxicity > 0 for r in toxicity.score_toxicity(docs, machine).collect()} == {True}
+
+
+def test_pages_take_time_in_proportion_to_their_length():
+    """Tags without an end, quotes without a partner, deep and unclosed elements, stray end tags, declarations."""
+    import time
+
+    began = time.perf_counter()
+    for page in (
+        "<a " * 60_000, '<a b="' * 40_000, "<a b='x\" " * 40_000, "<!" * 80_000, "<!-" * 80_000, "<div>x" * 60_000, "<b>" * 40_000 + "<div>x</div>" * 20_000,
+        "<div>" * 40_000 + "</p>x" * 40_000, "<li><ul>" + "<div>" * 30_000 + "<li>x" * 30_000, "<p>x" * 60_000, '<a b=" >' * 40_000, "<select><a " * 20_000,
+    ):
+        leaf_blocks(page)
+    assert time.perf_counter() - began < 60
+    deep = leaf_blocks("<div class='a b'>x" * 5000)
+    assert len(deep) == 5000 and max(len(b.path) for b in deep) <= 96 and deep[-1].path[-3:] == ("div", ".a", ".b")
+
+
+def test_no_markup_comes_out_as_text():
+    pages = {
+        '<p title="x>Second part</p><p class="y">Third</p>': ["Second part", "Third"],
+        '<img alt="a"b">Two': ["Two"],
+        "<p data-x='it's'>Four</p>": ["Four"],
+        '<p title="a > b < c" id=z>Five</p>': ["Five"],
+        '<a href="/q?a=1&b=2"\n>Six</a> <i x=y=z>seven': ["Six seven"],
+        "a < b <p Eight": ["a < b"],
+        "<p>Nine<span class=": ["Nine"],
+        '<input value=">" disabled>Ten': ["Ten"],
+        "<p\n>Eleven</p\n>": ["Eleven"],
+    }
+    for page, want in pages.items():
+        assert [b.text for b in leaf_blocks(page)] == want
+
+
+def test_a_large_page_is_not_padded_against_small_ones():
+    import tracemalloc
+
+    from auditlake.llm import html_extract
+
+    model = html_extract.new_labeller(1)
+    pages = [leaf_blocks("<p>some words</p>" * 20_000)] + [leaf_blocks("<p>few words</p>")] * 255
+    tracemalloc.start()
+    found = html_extract.label(model, pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [len(f) for f in found[:2]] == [20_000, 1] and peak < 400 << 20
