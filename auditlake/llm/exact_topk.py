@@ -132,6 +132,7 @@ def whole_component(x):
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
+    """Rows of ``embeddings`` whose id is divisible by 50 against all; see ``vectors`` and ``top_k``."""
     rows = vectors(table(spark, sf_dir, "embeddings"), whole_component)
     return top_k(rows, rows.where(F.col("vec_id") % 50 == 0), whole=True)
 

@@ -290,5 +290,6 @@ def fit(pages: DataFrame) -> Labeller:
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``pages``; see ``extract``, with a labeller fitted on a sample of them."""
     pages = table(spark, sf_dir, "pages")
     return extract(pages, fit(pages))

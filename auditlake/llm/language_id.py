@@ -271,6 +271,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; see ``fit`` and ``identify``."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", (~in_training_part()).alias("held_out"), "text")
     named = identify(rows, fit(docs)).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))

@@ -193,6 +193,7 @@ def dedup_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; see ``dedup_lines``."""
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
 
 

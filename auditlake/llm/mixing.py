@@ -122,6 +122,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; see ``mix``. Repeated ids are documents of their own."""
     sizes = cut_table(sizes_of(table(spark, sf_dir, "documents")))  # words are counted once, not for each use of the sizes
     return mix(sizes).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -197,4 +197,5 @@ def pack(
 
 
 def op5_packing(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; see ``pack``."""
     return pack(table(spark, sf_dir, "documents"))

@@ -134,5 +134,6 @@ def nearest(index: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
 
 
 def op4_rotated_codes(spark, sf_dir: str) -> DataFrame:
+    """Rows of ``embeddings`` whose id is divisible by 20 against all; see ``nearest``."""
     rows = vectors(table(spark, sf_dir, "embeddings"))
     return nearest(build_index(rows), rows.where(F.col("vec_id") % 20 == 0))

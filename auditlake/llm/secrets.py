@@ -198,4 +198,5 @@ def secret_digest(docs: DataFrame) -> DataFrame:
 
 
 def op2_secret_scan(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``; see ``secret_digest``."""
     return secret_digest(table(spark, sf_dir, "documents"))

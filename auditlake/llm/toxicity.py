@@ -213,6 +213,7 @@ def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def op8_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every row of ``documents``, scored by a machine fitted on the training part's labels; see ``fit`` and ``score_toxicity``."""
     docs = table(spark, sf_dir, "documents")
     machine = fit(docs, table(spark, sf_dir, "labels"))
     scored = score_toxicity(docs.select("doc_id", F.coalesce(~in_training_part(), F.lit(False)).alias("held_out"), "text"), machine)
