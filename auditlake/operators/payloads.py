@@ -235,8 +235,8 @@ def _merged(default: dict, override: Column) -> Column:
 
 
 def merged(default: dict, override: Column) -> Column:
-    """JSON settings: the defaults merged with an override (JSON text). Keys that defaults lack stay, numbers stay numbers, a null replaces;
-    what is no JSON object (or names a key twice) changes nothing."""
+    """JSON settings: the defaults merged with an override (JSON text). Keys that defaults lack stay, numbers stay numbers (without
+    zeros at the end of their decimals), a null replaces; what is no JSON object (or names a key twice) changes nothing."""
     given = F.try_parse_json(override)
     fine = F.startswith(F.schema_of_variant(given), F.lit("OBJECT"))
     return F.when(fine, F.to_json(_merged(default, given))).otherwise(F.to_json(F.parse_json(F.lit(json.dumps(default)))))

@@ -137,12 +137,12 @@ def action_parse(spark, sf):
     return found.select("conv_id", "turn", "action", F.coalesce("path", F.lit("-")).alias("path"), bare.alias("bare"), F.col("findings").isNotNull().alias("has_findings"))
 
 
-@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN '{"limits":{"chars":100,"more":[' || c_nationkey || ',null],"steps":' || c_custkey || '},"new":{"a":' || c_acctbal || '},"provider":"' || c_mktsegment || '"}'
+@query("""SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN '{"limits":{"chars":100,"more":[' || c_nationkey || ',null],"steps":' || c_custkey || '},"new":{"a":' || CAST(floor(c_acctbal) AS BIGINT) || '.25},"provider":"' || c_mktsegment || '"}'
  WHEN 1 THEN '{"limits":{"chars":5,"steps":null},"provider":"' || c_name || '"}' WHEN 2 THEN '{"limits":"' || c_mktsegment || '","provider":null}' ELSE '{"limits":{"chars":100,"steps":30},"provider":"none"}' END AS settings FROM customer""")
 def override_merge(spark, sf):
     """Settings of customers, sorted by key."""
     k, segment, quote = F.col("c_nationkey") % 4, F.col("c_mktsegment"), F.lit('"')
-    more = F.concat(F.lit('{"provider": "'), segment, F.lit('", "limits": {"steps": '), F.col("c_custkey").cast("string"), F.lit(', "more": ['), F.col("c_nationkey").cast("string"), F.lit(', null]}, "new": {"a": '), F.col("c_acctbal").cast("string"), F.lit("}}"))
+    more = F.concat(F.lit('{"provider": "'), segment, F.lit('", "limits": {"steps": '), F.col("c_custkey").cast("string"), F.lit(', "more": ['), F.col("c_nationkey").cast("string"), F.lit(', null]}, "new": {"a": '), F.floor("c_acctbal").cast("string"), F.lit(".25}}"))
     null = F.concat(F.lit('{"limits": {"steps": null, "chars": 5}, "provider": "'), F.col("c_name"), F.lit('"}'))
     other = F.concat(F.lit('{"provider": null, "limits": '), quote, segment, quote, F.lit("}"))
     override = F.when(k == 0, more).when(k == 1, null).when(k == 2, other).otherwise(F.concat(F.lit("{broken "), segment))
