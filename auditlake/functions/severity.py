@@ -79,6 +79,10 @@ _USUAL = (
 )
 
 
+#: No vector of eight metrics is shorter.
+_SHORTEST = len("/".join(f"{m}:N" for m in CVSS_WEIGHTS))
+
+
 def base_score(letters: str) -> float:
     """Base score of the values of the eight metrics, in the order of the weights; rounded up to one decimal by the integer rule of
     the specification."""
@@ -105,7 +109,8 @@ def _letters(vector: Column) -> Column:
     are searched for the last valid value of each metric."""
     usual = F.regexp_replace(F.upper(F.trim(vector)), _USUAL, "".join(f"${i}" for i in range(1, 9)))
     found = F.transform(F.array(_valid_metrics(vector)), lambda valid: F.concat(*[_value(valid, m) for m in CVSS_WEIGHTS]))
-    return F.when(F.length(usual) == 8, usual).otherwise(found.getItem(0))
+    either = F.transform(F.array(usual), lambda u: F.when(F.length(u) == 8, u).otherwise(found.getItem(0))).getItem(0)
+    return F.when(F.length(vector) >= _SHORTEST, either)
 
 
 def with_cvss_score(df: DataFrame, vector: str = "vector", score: str = "score") -> DataFrame:
@@ -121,8 +126,9 @@ def with_cvss_score(df: DataFrame, vector: str = "vector", score: str = "score")
             at = at * len(values) + F.instr(F.lit("".join(values)), F.substring(letters, i + 1, 1)) - 1
         return at
 
-    found = F.transform(F.array(_letters(F.col(f"`{vector}`"))), lambda x: F.when(F.length(x) == 8, F.get(F.expr(_score_table()), place(x))))
-    return df.select(*own, found.getItem(0).alias(score))
+    letters = df.select(*own, _letters(F.col(f"`{vector}`")).alias("cvss__letters"))
+    found = F.when(F.length("cvss__letters") == 8, F.get(F.expr(_score_table()), place(F.col("cvss__letters"))))
+    return letters.select(*own, found.alias(score))
 
 
 def cvss_band(score: Column) -> Column:
