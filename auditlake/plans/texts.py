@@ -28,9 +28,10 @@ def grep_lines(spark, sf):
 
 
 @query(f"""WITH {_LINES}, f AS (SELECT path, CAST(line_no AS INTEGER) AS line_no, left(trim(line), 200) AS line FROM l WHERE contains(lower(line), 'e t') ORDER BY path, line_no LIMIT 60)
-SELECT * FROM f UNION ALL SELECT NULL, NULL, '... (stopped at 60 matches)' FROM f HAVING count(*) >= 60""")
+SELECT * FROM f UNION ALL SELECT -1, -1, '... (stopped at 60 matches)' FROM f HAVING count(*) >= 60""")
 def grep_first_60(spark, sf):
-    return C.first_matches(C.grep(documents(spark, sf), "e t", scoped=True))
+    """The row that says where it stopped has neither path nor line, here -1."""
+    return C.first_matches(C.grep(documents(spark, sf), "e t", scoped=True)).fillna(-1, ["path", "line_no"])
 
 
 @query(rf"""
