@@ -65,13 +65,15 @@ class SparseRows:
 
     def __init__(self, rows: list[np.ndarray], width: int):
         lengths = np.array([len(r) for r in rows], np.int64)
-        columns = np.concatenate(rows).astype(np.int32)
-        owners = np.repeat(np.arange(len(rows), dtype=np.int32), lengths)
-        by_column = np.argsort(columns, kind="stable")
+        columns = np.concatenate(rows).astype(np.int32, copy=False)
         counts = np.bincount(columns, minlength=width)
         self.counts = counts
         self._take, self._sizes = columns, lengths
-        self._back, self._back_sizes = owners[by_column], counts
+        # Owners in the order of the columns: one number holds both, so that the sort needs no room beside it.
+        both = columns.astype(np.int64) << 32
+        both |= np.repeat(np.arange(len(rows), dtype=np.int64), lengths)
+        both.sort()
+        self._back, self._back_sizes = both.astype(np.int32), counts
 
     def __matmul__(self, other: np.ndarray) -> np.ndarray:
         return _sums(other, self._take, self._sizes)
@@ -199,7 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Machine:
     found = found.assign(key=[np.asarray(t, np.int32).tobytes() for t in found["terms"]]).sort_values(["doc_id", "key"])
     total = sum(counts.values())
     prior = counts.get(1, 0) / total if total else None
-    return train([np.asarray(t, np.int32) for t in found["terms"]], found["toxic"].tolist(), prior)
+    terms, toxic = [np.asarray(t, np.int32) for t in found["terms"]], found["toxic"].tolist()
+    del found  # it holds the sample twice
+    return train(terms, toxic, prior)
 
 
 def score_toxicity(docs: DataFrame, machine: Machine) -> DataFrame:
