@@ -111,9 +111,14 @@ def derived_title(description: Column) -> Column:
     return F.transform(start, title).getItem(0)
 
 
+def half_even(x: Column, digits: int) -> Column:
+    """A double of so many decimals, halves to even once it is scaled as a double; a negative zero keeps its sign."""
+    return F.rint(x * 10.0**digits) / 10.0**digits
+
+
 def tenths(x: Column) -> Column:
     """A number with one decimal, halves to even."""
-    return F.format_string("%.1f", F.bround(x, 1))
+    return F.format_string("%.1f", half_even(x, 1))
 
 
 def duration(seconds: Column) -> Column:
@@ -148,7 +153,7 @@ def client_size(size: Column) -> Column:
         .when(size < 1024, F.concat(size.cast("string"), F.lit(" B")))
         .when(size < 1024**2, F.concat(tenths(size / k), F.lit(" KB")))
         .when(size < 1024**3, F.concat(tenths(size / k**2), F.lit(" MB")))
-        .otherwise(F.concat(F.format_string("%.2f", F.bround(size / k**3, 2)), F.lit(" GB")))
+        .otherwise(F.concat(F.format_string("%.2f", half_even(size / k**3, 2)), F.lit(" GB")))
     )
 
 

@@ -104,3 +104,8 @@ def test_titles_need_the_start_alone(spark):
         return "Security Issue" if not folded else head if len(head) <= 80 else head[:77].rstrip() + "..."
 
     assert values(spark, T.derived_title, said) == [title(t) for t in said]
+
+
+def test_halves_are_even_once_scaled(spark):
+    assert values(spark, lambda v: T.duration(v.cast("double")), ["0.25545", "-0.0", "0.00035", "2.25"]) == ["255.4ms", "-0.0ms", "0.4ms", "2.2s"]
+    assert values(spark, lambda v: T.client_size(v.cast("long")), ["1126", "1152", None]) == ["1.1 KB", "1.1 KB", "—"]
