@@ -85,12 +85,14 @@ def structure(files: DataFrame, project: str = "project") -> DataFrame:
 
 
 def content_blob(files: DataFrame, project: str, most: int = 1_000_000) -> DataFrame:
-    """Paths of a project joined by spaces in order, cut to a length; a path that starts beyond it is never gathered."""
+    """Paths of a project joined by spaces in order, cut to a length; a path that starts beyond it is never gathered, but for the one whose
+    space is the last character. Null without any path."""
     from pyspark.sql import Window
 
     before = Window.partitionBy(project).orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
-    near = files.withColumn("before", F.coalesce(F.sum(F.length("path") + 1).over(before), F.lit(0))).where(F.col("before") < most)
-    return near.groupBy(project).agg(F.left(F.array_join(F.array_sort(F.collect_list("path")), " "), F.lit(most)).alias("blob"))
+    near = files.withColumn("before", F.coalesce(F.sum(F.length("path") + 1).over(before), F.lit(0))).where(F.col("before") <= most)
+    listed = F.array_sort(F.collect_list("path"))
+    return near.groupBy(project).agg(F.when(F.size(listed) > 0, F.left(F.array_join(listed, " "), F.lit(most))).alias("blob"))
 
 
 def completeness(sources: Column, manifest: Column, build: Column) -> tuple[Column, Column]:

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import context, graph, indicators, payloads, reports, rollups, rules, verdicts
+from auditlake.operators import context, graph, indicators, payloads, projects, reports, rollups, rules, verdicts
 from auditlake.sources import files
 from auditlake.streaming import events
 
@@ -184,3 +184,10 @@ def test_reports_know_their_formats(spark):
     rows = spark.createDataFrame([(1, None, "SQL", None, 5, None), (2, "t", None, "HIGH", None, 9)], "id int, title string, vulnerability_type string, severity string, line_number int, line_end int")
     got = [(r.id, r.bucket, r.title, r.severity, r.line, r.line_end, r.file, r.cvss_score) for r in reports.entries(rows, ["id"]).orderBy("id").collect()]
     assert got == [(1, "info", "SQL", "info", 5, 5, "", None), (2, "high", "t", "HIGH", 0, 9, "", None)]
+
+
+def test_a_blob_ends_with_the_space_before_a_path(spark):
+    rows = [("p", "bbb"), ("p", "aaa"), ("p", "ccc"), ("q", None), ("q", "a"), ("r", None)]
+    found = lambda most: {r.project: r.blob for r in projects.content_blob(spark.createDataFrame(rows, "project string, path string"), "project", most).collect()}
+    for most in range(1, 13):
+        assert found(most) == {"p": "aaa bbb ccc"[:most], "q": "a", "r": None}
