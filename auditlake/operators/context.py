@@ -120,11 +120,13 @@ def batch_within(rows: DataFrame, keys: list[str], order: str, size: str, most:
 
 
 def transcript_tail(turns: DataFrame, key: str, order: str, text: str, most: int) -> DataFrame:
-    """The last ``most`` characters of a key's turns, a line feed between them. A turn that ends further from the end than that is
-    dropped before the turns are gathered, so what is gathered is bounded."""
-    parts = Segments(turns.select(key, order, text), [key], [order])
-    found = parts.running(parts.rows, {"upto": F.coalesce(F.length(text), F.lit(0)) + 1})
-    near = found.where(F.col("upto_total") - F.col("upto") < most)
-    listed = F.array_sort(F.collect_list(F.struct(order, text)))
-    joined = near.groupBy(key).agg(F.array_join(F.transform(listed, lambda s: s[text]), "\n").alias("joined"))
+    """The last ``most`` characters of a key's turns, a line feed between them; null if none has a text. Turns without a text are none; those
+    of one place stand by text, those without a place last. A turn that ends further from the end than that is dropped before the
+    turns are gathered, so what is gathered is bounded; one whose line feed alone is within it stays."""
+    slim = turns.select(key, F.col(order).isNull().alias("unplaced"), order, text)
+    parts = Segments(slim, [key], ["unplaced", order, text])
+    found = parts.running(parts.rows, {"upto": F.coalesce(F.length(text) + 1, F.lit(0))})
+    near = F.when(F.col(text).isNotNull() & (F.col("upto_total") - F.col("upto") <= most), F.struct("unplaced", order, text))
+    listed = F.array_sort(F.collect_list(near))
+    joined = found.groupBy(key).agg(F.when(F.size(listed) > 0, F.array_join(F.transform(listed, lambda s: s[text]), "\n")).alias("joined"))
     return joined.select(key, F.right("joined", F.lit(most)).alias("tail"))

@@ -94,3 +94,11 @@ def test_batches_and_tails(spread, rows):
             before += r[3] or 0
         assert tails[key] == "\n".join(r[4] for r in own if r[4] is not None)[-40:] or any(r[4] is None for r in own)
     assert context.batch_within(spread.limit(0), ["k"], "at", "n", 300, 200).count() == 0
+
+
+def test_a_tail_begins_with_the_line_feed_behind_a_turn(spark):
+    rows = [("k", 1, "aaa"), ("k", 2, None), ("k", 3, "bb"), ("k", 3, "ba"), ("k", None, "c"), ("k", 4, ""), ("q", 1, None)]
+    turns = spark.createDataFrame(rows, "k string, at int, said string")
+    for most in range(1, 15):
+        found = {r.k: r.tail for r in context.transcript_tail(turns, "k", "at", "said", most).collect()}
+        assert found == {"k": "aaa\nba\nbb\n\nc"[-most:], "q": None}
