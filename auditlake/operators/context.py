@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,24 +88,25 @@ def highlighted(numbered: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 def pages(files: DataFrame, key: str, most: int = PAGE_CHARS) -> DataFrame:
     """key, page (from 1), first_line, last_line: whole lines while they fit in ``most`` characters, a line feed each; a page has one
-    line at least. Where a page begins depends on all before it, so a file is folded in order; files are independent."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, text in zip(batch[key], batch["text"], strict=True):
-                page, first, used = 1, 1, 0
-                own = re.split(r"\r\n|\n|\r", text or "")
-                for n, line in enumerate(own, 1):
-                    if used and used + len(line) + 1 > most:
-                        rows.append((name, page, first, n - 1))
-                        page, first, used = page + 1, n, 0
-                    used += len(line) + 1
-                rows.append((name, page, first, len(own)))
-            yield pd.DataFrame(rows, columns=[key, "page", "first_line", "last_line"])
-
-    kind = dict(files.dtypes)[key]
-    return files.select(key, "text").mapInPandas(run, f"{key} {kind}, page int, first_line int, last_line int")
+    line at least. Where a page begins depends on all before it, so a file is folded in order; files are independent. Only the lengths
+    of lines reach Python, those of a hundred files at once."""
+
+    @F.udf("array<int>", useArrow=False)
+    def first_lines(sizes: list[int]) -> list[int]:
+        firsts, used = [1], 0
+        for n, size in enumerate(sizes, 1):
+            if used and used + size + 1 > most:
+                firsts.append(n)
+                used = 0
+            used += size + 1
+        return firsts
+
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    sizes = F.transform(F.split(text, "\n"), lambda line: F.length(line))
+    folded = files.select(key, sizes.alias("sizes")).select(key, F.size("sizes").alias("n"), first_lines("sizes").alias("firsts"))
+    ends = F.concat(F.transform(F.slice("firsts", F.lit(2), F.size("firsts")), lambda first: first - 1), F.array("n"))
+    page = F.arrays_zip(F.sequence(F.lit(1), F.size("firsts")).alias("page"), F.col("firsts").alias("first_line"), ends.alias("last_line"))
+    return folded.select(key, F.inline(page))
 
 
 def batch_within(rows: DataFrame, keys: list[str], order: str, size: str, most: int, count: int) -> DataFrame:

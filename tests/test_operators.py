@@ -1,4 +1,5 @@
 import json
+import re
 import zipfile
 
 import pytest
@@ -191,3 +192,22 @@ def test_a_blob_ends_with_the_space_before_a_path(spark):
     found = lambda most: {r.project: r.blob for r in projects.content_blob(spark.createDataFrame(rows, "project string, path string"), "project", most).collect()}
     for most in range(1, 13):
         assert found(most) == {"p": "aaa bbb ccc"[:most], "q": "a", "r": None}
+
+
+def test_pages_are_folded_from_lengths_alone(spark):
+    def plain(text, most):
+        rows, first, used, own = [], 1, 0, re.split(r"\r\n|\n|\r", text or "")
+        for n, line in enumerate(own, 1):
+            if used and used + len(line) + 1 > most:
+                rows.append((first, n - 1))
+                first, used = n, 0
+            used += len(line) + 1
+        return [(k, *r) for k, r in enumerate([*rows, (first, len(own))], 1)]
+
+    texts = [None, "", "\n", "a" * 50, "é𝄞\r\n" * 40, "a\rb\n\nc" * 9 + "x" * 30, *["\n".join("y" * (i * k % 23) for i in range(60)) for k in range(1, 9)]]
+    files = spark.createDataFrame(list(enumerate(texts)), "path int, text string")
+    for most in (1, 20, 64):
+        found = context.pages(files, "path", most)
+        assert "first_lines(sizes" in found._jdf.queryExecution().optimizedPlan().toString()  # no text reaches Python
+        got = sorted(tuple(r) for r in found.select("path", "page", "first_line", "last_line").collect())
+        assert got == sorted((i, *page) for i, text in enumerate(texts) for page in plain(text, most))
