@@ -5,12 +5,10 @@ from __future__ import annotations
 import html
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.operators.context import lines
-from auditlake.operators.segments import Segments
+from auditlake.operators.context import split_lines
 
 # Class names of marked words.
 COMMENT, TEXT, NUMBER, WORD, NAME, SIGN = "tok-cm", "tok-str", "tok-num", "tok-kw", "tok-fn", "tok-op"
@@ -24,6 +22,8 @@ RESERVED = frozenset(
 #: States at the start of a line: plain, in a comment, in a text of many lines (code) or a tag (markup).
 PLAIN, IN_COMMENT, IN_TEXT = "pct"
 STATES = (PLAIN, IN_COMMENT, IN_TEXT)
+#: Size of a file that is marked in one go, and lines of a piece of a larger one.
+WHOLE_BYTES, PIECE_LINES = 1 << 18, 4096
 KINDS = {"java": "code", "kt": "code", "xml": "markup", "html": "markup"}
 
 _CODE = re.compile(
@@ -115,29 +115,41 @@ def state_map(own: list[str], kind: str | None) -> str:
 def highlighted_lines(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path, line_no (from 1), html of each line of the files, whose ending tells the kind; lines of other kinds are only made safe.
 
-    A file of any size is dealt in segments. Each gives its state after for every state before it; composed along the segments of a
-    file these tell where each begins, and then each is marked by itself. A path names one file.
+    A file of up to ``WHOLE_BYTES`` is marked in one go, where it was read. Larger ones are dealt in pieces of ``PIECE_LINES`` lines. Each
+    gives its state after for every state before it; composed along the pieces of a file these tell where each begins, and then each
+    is marked by itself. A path names one file. Python gets a hundred files or pieces at once.
     """
     kind = lambda name: KINDS.get(str(name).rpartition(".")[2].lower())
-    parts = Segments(lines(files, path, text), [path], ["line_no"])
-    slim = parts.rows.select("segment", F.col(path).alias("path"), "line_no", "line")
-
-    def mapped(rows: pd.DataFrame) -> pd.DataFrame:
-        own = rows.sort_values("line_no")
-        return pd.DataFrame({"segment": [rows["segment"].iloc[0]], "path": [rows["path"].iloc[0]], "after": [state_map(own["line"].tolist(), kind(rows["path"].iloc[0]))]})
-
-    maps = slim.groupBy("segment", "path").applyInPandas(mapped, "segment int, path string, after string")
-    before = F.collect_list("after").over(parts.segments.partitionBy("path").rowsBetween(-(1 << 31), -1))
-    step = lambda state, after: F.substring(after, F.instr(F.lit("".join(STATES)), state), F.lit(1))
-    starts = maps.select("segment", "path", F.aggregate(before, F.lit(PLAIN), step).alias("state"))
-
-    def marked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        own, out = left.sort_values("line_no"), []
-        state, of = right["state"].iloc[0], kind(right["path"].iloc[0])
-        for line in own["line"]:
+
+    @F.udf("string", useArrow=False)
+    def mapped(name, own: list[str]) -> str:
+        return state_map(own, kind(name))
+
+    @F.udf("array<string>", useArrow=False)
+    def marked(name, own: list[str], state: str) -> list[str]:
+        of, out = kind(name), []
+        for line in own:
             said, state = marked_line(line, state, of)
             out.append(said)
-        return pd.DataFrame({"path": own["path"], "line_no": own["line_no"], "html": out})
-
-    both = slim.groupBy("segment", "path").cogroup(starts.groupBy("segment", "path"))
-    return both.applyInPandas(marked, "path string, line_no int, html string").withColumnRenamed("path", path)
+        return out
+
+    def numbered(pieces: DataFrame) -> DataFrame:
+        done = pieces.select("path", "piece", marked("path", "own", "state").alias("htmls"))
+        line_no = (F.col("piece") * PIECE_LINES + F.col("at") + 1).alias("line_no")
+        return done.select("path", "piece", F.posexplode("htmls").alias("at", "html")).select("path", line_no, "html")
+
+    large = F.octet_length(text) > WHOLE_BYTES
+    small = numbered(files.where(~large).select(F.col(path).alias("path"), F.lit(0).alias("piece"), split_lines(F.col(text)).alias("own"), F.lit(PLAIN).alias("state")))
+
+    whole = files.where(large).select(F.col(path).alias("path"), split_lines(F.col(text)).alias("all"))
+    first = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / PIECE_LINES).cast("int"))
+    pieces = whole.select("path", F.posexplode(F.transform(first, lambda k: F.slice("all", k * PIECE_LINES + 1, PIECE_LINES))).alias("piece", "own"))
+    pieces = pieces.repartition("path", "piece")
+    maps = pieces.select("path", "piece", mapped("path", "own").alias("after"))
+    states = F.lit("".join(STATES))
+    step = lambda so_far, m: F.concat(so_far, F.substring(m["after"], F.instr(states, F.right(so_far, F.lit(1))), F.lit(1)))  # noqa: E731  a letter for each piece
+    along = maps.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("piece", "after"))).alias("maps"))
+    starts = along.select("path", F.posexplode(F.split(F.aggregate("maps", F.lit(PLAIN), step), "")).alias("piece", "state"))
+    starts = starts.select(F.col("path").alias("of"), F.col("piece").alias("at"), "state")
+    rest = pieces.join(starts, F.col("path").eqNullSafe(F.col("of")) & (F.col("piece") == F.col("at"))).select("path", "piece", "own", "state")
+    return small.unionByName(numbered(rest)).withColumnRenamed("path", path)

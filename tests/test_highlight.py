@@ -64,6 +64,25 @@ def test_files_in_segments(spark):
     assert not by
 
 
+def test_large_files_in_pieces_and_small_ones_where_they_were_read(spark, monkeypatch):
+    monkeypatch.setattr(highlight, "WHOLE_BYTES", 40)
+    monkeypatch.setattr(highlight, "PIECE_LINES", 3)
+    rng = random.Random(5)
+    bits = ["/*", "*/", '"""', "x1 = 5;", "<!--", "-->", "<a b=", ">", "\r", "\r\n", "\n", "\n", "\n"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(120))) for _ in range(12)] + ["", None, "é" * 41]
+    files = [(f"f{i}.{('java', 'xml', 'txt')[i % 3]}", text) for i, text in enumerate(texts)] + [(None, "/* a\n" * 20)]
+    got = {(r.path, r.line_no): r.html for r in highlight.highlighted_lines(spark.createDataFrame(files, "path string, text string")).collect()}
+    want = {}
+    for path, text in files:
+        state, kind = "p", highlight.KINDS.get(str(path).rpartition(".")[2])
+        for i, line in enumerate(re.split(r"\r\n|\n|\r", text) if text is not None else [], 1):
+            want[path, i], state = highlight.marked_line(line, state, kind)
+    assert got == want
+    monkeypatch.undo()
+    plan = highlight.highlighted_lines(spark.createDataFrame([], "path string, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan  # no call of Python for each file
+
+
 def test_symbols(spark):
     text = """junk
 a/libx.so:     file format elf64-x86-64
