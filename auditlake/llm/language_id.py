@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +18,8 @@ SAMPLE_CHARS = 600
 HIDDEN = 12
 WINDOW = 128
 BLOCK = 4096
+#: Texts that are strings of Python at the same time; about a block of windows.
+ROWS_AT_ONCE = 256
 TRAIN_STEPS = 420
 TRAIN_BATCH = 192
 TRAIN_WINDOW = 64
@@ -253,17 +255,23 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     return train(*training_sample(docs, rows))
 
 
+def label_batch(model: Model, texts: pa.Array) -> pa.Array:
+    """struct<lang, score> of each text of a batch, of which few at once become strings of Python."""
+    found = [predict(model, texts.slice(at, ROWS_AT_ONCE).to_pylist()) for at in range(0, len(texts), ROWS_AT_ONCE)]
+    language, score = [name for names, _ in found for name in names], [s for _, scores in found for s in scores]
+    return pa.StructArray.from_arrays([pa.array(language, pa.string()), pa.array(score, pa.float64())], names=["lang", "score"])
+
+
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (any columns, text among them) with lang_pred and lang_score, which replace columns of these names.
 
     Null texts and texts without a letter get ``und`` and 0; so does everything if the model saw no language. Equal texts get
-    equal predictions whatever their other columns. Batches stream through; a text is never longer in memory than itself.
+    equal predictions whatever their other columns. Batches stream through as Arrow, and Python holds ``ROWS_AT_ONCE`` texts of one.
     """
 
-    @F.pandas_udf("lang string, score double")
-    def label(texts: pd.Series) -> pd.DataFrame:
-        language, score = predict(model, texts.tolist())
-        return pd.DataFrame({"lang": language, "score": score})
+    @F.arrow_udf("lang string, score double")
+    def label(texts: pa.Array) -> pa.Array:
+        return label_batch(model, texts)
 
     own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
     with_label = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), label(F.col("text")).alias("label"))

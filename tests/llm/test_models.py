@@ -140,3 +140,16 @@ def test_extract_frame(spark, labeller):
 def test_training_repeats():
     a, b = (html_extract.train(["a few words here"], steps=3) for _ in range(2))
     assert all(np.array_equal(x, y) for x, y in zip(a.arrays(), copy.deepcopy(b).arrays(), strict=True))
+
+
+def test_few_texts_of_a_batch_are_strings_at_once(monkeypatch):
+    import pyarrow as pa
+
+    from auditlake.llm import language_id
+
+    seen = []
+    monkeypatch.setattr(language_id, "predict", lambda model, texts: (seen.append(len(texts)), (texts, [0.5] * len(texts)))[1])
+    texts = [None, *map(str, range(2 * language_id.ROWS_AT_ONCE))]
+    got = language_id.label_batch(None, pa.array(texts))
+    assert got.to_pylist() == [{"lang": t, "score": 0.5} for t in texts] and max(seen) <= language_id.ROWS_AT_ONCE
+    assert language_id.label_batch(None, pa.array([], pa.string())).to_pylist() == []
