@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructField, StructType
@@ -79,48 +79,48 @@ def backlog(events: DataFrame, root: str, n: int = BACKLOG, key: str = "scan_id"
 
 
 class _Steps(StatefulProcessor):
-    """Rows of a scan wait until the watermark has passed them and are then taken in the order of seq. What follows a final status or a
-    deletion is dropped, then and later."""
+    """Rows of a scan wait until the watermark has passed them and are then taken in the order of seq; of those that repeat one, the last
+    that came. What follows a final status or a deletion is dropped, then and later. State is read and written once for a scan in a
+    micro-batch, not once for each row."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = handle.getMapState("waiting", "seq long", "status string, deleted boolean, at long")
+        self.waiting = handle.getListState("waiting", "seq long, status string, deleted boolean, at long")
         self.last = handle.getValueState("last", "status string, over boolean")
         self.timers = handle
 
     def _so_far(self) -> tuple[str | None, bool]:
-        return tuple(self.last.get()) if self.last.exists() else (None, False)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        latest, over = None, self._so_far()[1]
-        for batch in rows:
-            if over:
-                continue
-            real = batch[batch["type"] != "beat"]
-            for seq, status, kind, at in zip(real["seq"], real["status"], real["type"], real["at"], strict=True):
-                self.waiting.updateValue((int(seq),), (status, kind == "deleted", int(at)))
-                latest = int(at) if latest is None else max(latest, int(at))
-        if latest is not None:
-            self.timers.registerTimer(latest)
-        yield pd.DataFrame(columns=[c.split()[0] for c in STEP.split(", ")])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, (last, over) = timerValues.getCurrentWatermarkInMs(), self._so_far()
-        ready = sorted((tuple(k)[0], tuple(v)) for k, v in self.waiting.iterator())
-        out = []
-        for seq, (status, deleted, at) in ready:
-            if at > passed:
-                continue
-            self.waiting.removeKey((seq,))
+        return tuple(self.last.get() or (None, False))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        real = [(r.seq, r.status, r.type == "deleted", r.at) for r in rows if r.type != "beat"]
+        if real and not self._so_far()[1]:
+            self.waiting.appendList(real)
+            self.timers.registerTimer(max(at for *_, at in real))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        passed, before = timerValues.getCurrentWatermarkInMs(), self._so_far()
+        held = [tuple(r) for r in self.waiting.get()]
+        if not held:
+            return iter(())
+        (last, over), out = before, []
+        rows = {seq: (status, deleted, at) for seq, status, deleted, at in held}
+        ready = sorted(seq for seq, (*_, at) in rows.items() if at <= passed)
+        for seq in ready:
             if over:
-                continue
+                break
+            status, deleted, _ = rows.pop(seq)
             if not deleted:
-                out.append((key[0], seq, status, last))
+                out.append(Row(scan_id=key[0], seq=seq, status=status, before=last))
                 last = status
             over = deleted or status in TERMINAL
-        if over:
+        if over or not rows:
             self.waiting.clear()
-        self.last.update((last, over))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STEP.split(", ")])
+        elif len(rows) < len(held):
+            self.waiting.put([(seq, *row) for seq, row in rows.items()])
+        if (last, over) != before:
+            self.last.update((last, over))
+        return iter(out)
 
 
 def streamed_steps(events: DataFrame, lag: str) -> DataFrame:
@@ -130,7 +130,7 @@ def streamed_steps(events: DataFrame, lag: str) -> DataFrame:
     nothing else does. Rows without a scan are those of one scan."""
     only = events.where(F.col("type").isin("status", "deleted", "beat"))
     slim = only.select("scan_id", "seq", "type", "status", "clock", F.unix_millis("clock").alias("at")).withWatermark("clock", lag)
-    return slim.groupBy("scan_id").transformWithStateInPandas(_Steps(), STEP, "Append", "EventTime")
+    return slim.groupBy("scan_id").transformWithState(_Steps(), STEP, "Append", "EventTime")
 
 
 def seen_in_time(starts: DataFrame, flows: DataFrame, wanted: str, within_seconds: int, lag: str) -> DataFrame:

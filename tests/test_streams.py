@@ -114,3 +114,44 @@ def test_upsert_and_subscribe(spark):
 def test_hosts_seen_in_time(spark):
     flows = spark.sql("SELECT * FROM VALUES (1, 'api.shop', TIMESTAMP'2024-01-01 00:00:06', TIMESTAMP'2024-01-01 00:00:00'), (2, 'api.shop', TIMESTAMP'2024-01-01 00:00:07', TIMESTAMP'2024-01-01 00:00:00'), (3, NULL, NULL, NULL) AS f(session, host, ts, began)")
     assert {r.session: r.seen for r in E.seen_hosts(flows, "shop").select("session", F.col("seen")).collect()} == {1: True, 2: False, 3: False}
+
+
+def test_state_is_written_once_for_a_scan_and_not_for_each_row():
+    from pyspark.sql import Row
+
+    class Kept:
+        def __init__(self):
+            self.value, self.writes = [], 0
+
+        def get(self):
+            return iter(self.value)
+
+        def put(self, rows):
+            self.value, self.writes = list(rows), self.writes + 1
+
+        def appendList(self, rows):
+            self.put([*self.value, *rows])
+
+        def clear(self):
+            self.put([])
+
+    class Last(Kept):
+        def get(self):
+            return self.value or None
+
+        def update(self, value):
+            self.put(value)
+
+    steps, timers, at = S._Steps(), [], lambda ms: type("At", (), {"getCurrentWatermarkInMs": lambda self: ms})()
+    steps.waiting, steps.last, steps.timers = Kept(), Last(), type("Timers", (), {"registerTimer": lambda self, ms: timers.append(ms)})()
+    row = lambda seq, status, kind="status": Row(seq=seq, type=kind, status=status, at=seq * 10)
+    assert list(steps.handleInputRows((1,), iter([row(k, "running") for k in range(50, 0, -1)] + [row(99, None, "beat"), row(7, "queued")]), at(0))) == []
+    assert steps.waiting.writes == 1 and timers == [500]
+    first = list(steps.handleExpiredTimer((1,), at(300), None))
+    assert [(r.seq, r.status, r.before) for r in first[5:8]] == [(6, "running", "running"), (7, "queued", "running"), (8, "running", "queued")]
+    assert len(first) == 30 and len(steps.waiting.value) == 20 and steps.waiting.writes == 2 and steps.last.writes == 1
+    steps.handleInputRows((1,), iter([row(40, None, "deleted")]), at(300))
+    assert [r.seq for r in steps.handleExpiredTimer((1,), at(500), None)] == list(range(31, 40))
+    assert steps.waiting.value == [] and list(steps.handleExpiredTimer((1,), at(900), None)) == []
+    steps.handleInputRows((1,), iter([row(60, "running")]), at(900))
+    assert steps.waiting.value == [] and len(timers) == 2
